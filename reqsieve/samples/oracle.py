@@ -93,7 +93,7 @@ _SUMS = """count(*)::bigint as input, count(*) filter (filtered)::bigint as filt
     count(*) filter (real_positive)::bigint as real_value,
     coalesce(sum(cast(round(precision, 6) as decimal(18, 6))), 0) as total"""
 _SHOWN = """input, filtered, false_negative, invalid, real_value,
-    round(cast(total as double), 6) as precision_sum, round(cast(total as double) / input, 6) as avg_precision"""
+    cast(total as double) as precision_sum, cast(total as double) / input as avg_precision"""
 
 
 def _counted(keys: str = "", source: str = "gated") -> str:
@@ -209,7 +209,8 @@ def _flush() -> str:
         f"""select monitor_id, epoch_ms(start_ms) as window_start, window_end, {_SHOWN} from windows""",
         "training",
         _gated(),
-        """ranked as (select *, epoch_ms(ts) as ms,
+        # The clock counts whole elapsed milliseconds; epoch_ms would round up.
+        """ranked as (select *, epoch_us(ts) // 1000 as ms,
              row_number() over (partition by monitor_id order by ts, request_id) as rn from gated)""",
         "good as (select monitor_id, ms, min(rn) as rn from ranked where status = 'ok' group by 1, 2)",
         "starts as (select monitor_id, min(ms) as ms from ranked group by 1)",
@@ -404,10 +405,10 @@ def oracle_sql() -> dict[str, str]:
             _gated(),
         ),
         "quality_ratios": _score(
-            """select *, round(n_scored / n_rows, 6) as coverage,
-                round((true_positive + true_negative) / nullif(n_scored, 0), 6) as accuracy,
-                round(true_positive / nullif(true_positive + false_positive, 0), 6) as precision,
-                round(true_positive / nullif(true_positive + false_negative, 0), 6) as recall from cells""",
+            """select *, n_scored / n_rows as coverage,
+                (true_positive + true_negative) / nullif(n_scored, 0) as accuracy,
+                true_positive / nullif(true_positive + false_positive, 0) as precision,
+                true_positive / nullif(true_positive + false_negative, 0) as recall from cells""",
             "training",
             _gated(),
             """cells as (select monitor_id, count(*) as n_rows, count(*) filter (status = 'ok') as n_scored,

@@ -60,7 +60,8 @@ def _gated(spark: SparkSession, folder: str, threshold: float | None = 0.7) -> D
 
 
 def _report(frame: DataFrame, *keys: Column) -> DataFrame:
-    return frame.select(*keys, *COUNTERS, _number("precision_sum").alias("precision_sum"), _number("avg_precision").alias("avg_precision"))
+    # Both are one division of whole numbers, so they need no rounding.
+    return frame.select(*keys, *COUNTERS, "precision_sum", "avg_precision")
 
 
 # --- sources -----------------------------------------------------------------
@@ -427,9 +428,7 @@ def confusion_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 def quality_ratios(spark: SparkSession, folder: str) -> DataFrame:
     """Does filtering hit the losing requests? Losing is the positive outcome here."""
-    ratios = evaluation.quality(_gated(spark, folder), "real_positive", "filtered", by=["monitor_id"])
-    shares = ("coverage", "accuracy", "precision", "recall")
-    return ratios.select(*[c for c in ratios.columns if c not in shares], *[_number(c).alias(c) for c in shares])
+    return evaluation.quality(_gated(spark, folder), "real_positive", "filtered", by=["monitor_id"])
 
 
 def holdout_confusion(spark: SparkSession, folder: str) -> DataFrame:
