@@ -33,7 +33,7 @@ from reqsieve.session import cut_lineage
 from reqsieve.sizing import join_side
 
 # How many step-function rows a task may be given at once.
-TASK_ROWS = 4_000_000
+TASK_ROWS = 1_000_000
 MAX_FANOUT = 1024
 
 _NEVER = np.iinfo(np.int64).min
@@ -114,7 +114,7 @@ def _bucket_entries(steps: DataFrame, period: int, task_rows: int) -> DataFrame:
             .groupBy("monitor_id", F.floor(F.col("node") / fanout).alias("parent"))
             .applyInPandas(_combine(period, fanout, span), _STEPS)
         )
-        levels.append(cut_lineage(combined))
+        levels.append(cut_lineage(combined, "flush-steps"))
         low, high, span = low // fanout, high // fanout, span * fanout
     above = None
     for level in reversed(levels):
@@ -164,7 +164,8 @@ def flush_partials(
     times = cut_lineage(
         events.groupBy("monitor_id", "node", ok_ms.alias("upto")).agg(
             F.min(F.when(F.col("ok"), F.col("pos"))).alias("pos"), F.min("ms").alias("first_ms")
-        )
+        ),
+        "flush-times",
     )
     origin = times.groupBy("monitor_id").agg(F.min("first_ms").alias("upto"))
     if starts is not None:
@@ -176,8 +177,7 @@ def flush_partials(
     steps = times.select("monitor_id", "node", "upto").unionByName(
         origin.select("monitor_id", F.floor(F.col("upto") / millis).alias("node"), "upto")
     )
-    steps = cut_lineage(steps.withColumn("last", F.col("upto")))
-    entries = _bucket_entries(steps, millis, task_rows)
+    entries = _bucket_entries(steps.withColumn("last", F.col("upto")), millis, task_rows)
 
     closing = times.filter(F.col("upto").isNotNull()).select("monitor_id", "node", F.col("upto").alias("last"), "pos")
     buckets = cut_lineage(
@@ -187,7 +187,8 @@ def flush_partials(
             F.when(F.col("entry") != int(_NEVER), F.col("entry") - millis).alias("before_ms"),
             F.col("last").alias("inside_ms"),
             F.col("pos").alias("inside_pos"),
-        )
+        ),
+        "flush-buckets",
     )
     joined = events.join(join_side(buckets), ["monitor_id", "node"])
     first_bucket = F.col("before_ms").isNull()

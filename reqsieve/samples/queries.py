@@ -18,6 +18,7 @@ from reqsieve.operators import counters, evaluation, flush, normalize, score
 from reqsieve.plans import batch, portable, training
 from reqsieve.schemas import COUNTERS, CSV_COLUMNS, LABEL, NORMALIZED
 from reqsieve.session import prepare, scratch_path
+from reqsieve.sizing import join_side
 from reqsieve.sources import model_store, request_csv, tables
 from reqsieve.streaming import counters as stream_counters_
 from reqsieve.streaming import flush as stream_flush_
@@ -321,7 +322,7 @@ def coefficient_table_lookup(spark: SparkSession, folder: str) -> DataFrame:
         side = table.filter(F.col("feature") == feature).select(
             F.col("category").alias(feature), F.col("coefficient").alias(f"{feature}_coefficient")
         )
-        rows = rows.join(F.broadcast(side), feature, "left")
+        rows = rows.join(join_side(side), feature, "left")
     return rows.select("request_id", *FIXED_CATEGORIES, *[f"{f}_coefficient" for f in FIXED_CATEGORIES])
 
 

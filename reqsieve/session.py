@@ -46,7 +46,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialize ``df`` in the shared folder so later steps do not recompute it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder and go on from there.
+
+    Later steps do not recompute it, a lost executor costs nothing, and parquet
+    keeps it small and lets each reader take only its columns.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
