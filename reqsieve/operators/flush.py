@@ -18,10 +18,12 @@ monitor with a third of all rows is spread like any other.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,9 @@ from reqsieve.sizing import join_side
 TASK_ROWS = 1_000_000
 MAX_FANOUT = 1024
 
+# The task functions travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NEVER = np.iinfo(np.int64).min
 _STEPS = "monitor_id string, node long, upto long, last long"
 _ENTRIES = "monitor_id string, node long, entry long, last long"
@@ -137,7 +142,8 @@ def flush_partials(
     starts: DataFrame | None = None,
     task_rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Additive counters of every window, the open last one (``closed`` false) included.
+    """Additive counters of every window, the open last one (``closed`` false) included,
+    which has no events yet if the last event closed the one before.
 
     ``starts`` (``monitor_id, start_ms``) gives the moment a monitor's first
     window begins; a monitor without one begins at its first event. Events
@@ -195,10 +201,28 @@ def flush_partials(
     after_closing = F.col("inside_ms").isNotNull() & (first_bucket | (F.col("pos") > F.col("inside_pos")))
     start_ms = F.when(after_closing, F.col("inside_ms")).otherwise(F.col("before_ms"))
     is_closing = ~first_bucket & (F.col("pos") == F.col("inside_pos"))
-    return (
-        joined.withColumns({"start_ms": start_ms, "closing": F.coalesce(is_closing, F.lit(False))})
-        .groupBy("monitor_id", "start_ms")
-        .agg(*counter_sums(), F.max("pos.ts").alias("last_ts"), F.max("closing").alias("closed"))
+    counted = joined.select(
+        "monitor_id",
+        start_ms.alias("start_ms"),
+        *deltas,
+        F.col("pos.ts").alias("last_ts"),
+        F.coalesce(is_closing, F.lit(False)).alias("closed"),
+    )
+    # Every closing opens a window, even if no event follows it.
+    opened = buckets.filter("before_ms IS NOT NULL AND inside_ms IS NOT NULL").select(
+        "monitor_id",
+        F.col("inside_ms").alias("start_ms"),
+        *[F.lit(0).cast("bigint").alias(name) for name in deltas],
+        F.lit(None).cast("timestamp").alias("last_ts"),
+        F.lit(False).alias("closed"),
+    )
+    return merge_partials(counted.unionByName(opened))
+
+
+def merge_partials(parts: DataFrame) -> DataFrame:
+    """One row per monitor and window from any number of partial rows."""
+    return parts.groupBy("monitor_id", "start_ms").agg(
+        *counter_sums(), F.max("last_ts").alias("last_ts"), F.max("closed").alias("closed")
     )
 
 

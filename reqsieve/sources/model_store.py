@@ -64,6 +64,7 @@ def coefficients(spark: SparkSession, base: str, model_date: str) -> DataFrame:
 
 def load_scorer(spark: SparkSession, base: str, model_date: str, inline_limit: int = INLINE_CATEGORIES) -> PortableModel:
     """Read a published model once, to score any number of rows with it."""
+    _date(model_date)
     try:
         return PortableModel.from_table(coefficients(spark, base, model_date), inline_limit)
     except (AnalysisException, ValueError) as error:

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reqsieve.operators.counters import MICROS, counter_sums
-from reqsieve.operators.flush import flush_partials, present_windows
+from reqsieve.operators.counters import MICROS
+from reqsieve.operators.flush import flush_partials, merge_partials, present_windows
 from reqsieve.schemas import COUNTERS
 from reqsieve.sources.sinks import Sink, no_sink
 
@@ -31,11 +31,7 @@ _STORED = (
 def advance(scored: DataFrame, open_windows: DataFrame, period: str, **options) -> DataFrame:
     """Windows after one more batch: those left open before, continued, and new ones."""
     fresh = flush_partials(scored, period, starts=open_windows.select("monitor_id", "start_ms"), **options)
-    return (
-        fresh.unionByName(open_windows)
-        .groupBy("monitor_id", "start_ms")
-        .agg(*counter_sums(), F.max("last_ts").alias("last_ts"), F.max("closed").alias("closed"))
-    )
+    return merge_partials(fresh.unionByName(open_windows))
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:

@@ -1,11 +1,16 @@
 """Flush windows against a plain event-by-event fold."""
 
 import random
+import subprocess
+import sys
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark import cloudpickle
 
+from reqsieve.operators import flush
 from reqsieve.operators.flush import flush_partials, flush_windows
+from reqsieve.streaming import flush as stream_flush
 
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = (
@@ -101,6 +106,28 @@ def test_worked_example(spark):
     assert [(r.window_end.second + 60 * r.window_end.minute, r.input, r.invalid) for r in got] == [(35, 4, 1), (65, 2, 0)]
 
 
+def test_batches_continue_each_other(spark):
+    """Cut at any event, also right after a closing, the windows stay the same."""
+    rows = sorted(rows_of(11, 120, 2, 400_000, 0.2), key=lambda r: (r[1], r[2]))
+    expected = fold(rows, 10_000)
+    first_end = expected[0][2]
+    cuts = [0, [r[1] for r in rows].index(first_end) + 1, 60, len(rows)]
+    state, windows = spark.createDataFrame([], stream_flush._STORED), []
+    for low, high in zip(cuts, cuts[1:]):
+        result = stream_flush.advance(spark.createDataFrame(rows[low:high], SCHEMA), state, "PT10S").collect()
+        after = spark.createDataFrame(result, stream_flush._STORED)
+        windows += collected(flush.present_windows(after))
+        state = after.filter("NOT closed")
+    assert sorted(windows) == expected
+
+
+def test_a_closing_opens_an_empty_window(spark):
+    rows = [("m", EPOCH + timedelta(seconds=s), s, "ok", True, 0.9, True) for s in (0, 40)]
+    got = sorted(flush_partials(spark.createDataFrame(rows, SCHEMA), "PT30S").collect(), key=lambda r: r.start_ms)
+    start = int(EPOCH.timestamp() * 1000)
+    assert [(r.start_ms - start, r.input, r.closed) for r in got] == [(0, 2, True), (40_000, 0, False)]
+
+
 def test_only_failures_close_nothing(spark):
     rows = [("m", EPOCH + timedelta(minutes=i), i, "failure", None, None, False) for i in range(50)]
     frame = spark.createDataFrame(rows, SCHEMA)
@@ -118,3 +145,10 @@ def test_dense_successes_keep_the_table_within_one_period(spark):
 
 def test_empty_input(spark):
     assert flush_windows(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_task_functions_need_no_package_on_the_executors(tmp_path):
+    for i, function in enumerate((flush._combine(1000, 2, 1000), flush._enter(1000))):
+        (tmp_path / f"{i}.pkl").write_bytes(cloudpickle.dumps(function))
+        code = f"import pickle; f = pickle.load(open('{i}.pkl', 'rb')); import sys; assert 'reqsieve' not in sys.modules"
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin", "HOME": "/tmp"})
