@@ -8,7 +8,7 @@ are the ones the model has seen, the one-hot reference category included
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -16,6 +16,7 @@ from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reqsieve.schemas import COEFFICIENTS
 from reqsieve.sizing import join_side
@@ -92,10 +93,23 @@ def coefficient_frame(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), COEFFICIENTS)
 
 
-def coefficient_table(spark: SparkSession, model: PipelineModel, model_date: str) -> DataFrame:
+def _check_fields(declared: T.StructType, numeric: Iterable[str], categories: Iterable[str]) -> None:
+    """Raise unless every model input is declared, categories as text and the rest as numbers."""
+    wanted = [(f, T.NumericType, "a number") for f in numeric] + [(f, T.StringType, "text") for f in categories]
+    kinds = {f.name: f.dataType for f in declared.fields}
+    problems = [f"{name} must be {label}" for name, kind, label in wanted if not isinstance(kinds.get(name), kind)]
+    if problems:
+        raise ValueError("the declared schema does not fit the model: " + ", ".join(problems))
+
+
+def coefficient_table(
+    spark: SparkSession, model: PipelineModel, model_date: str, declared: T.StructType | None = None
+) -> DataFrame:
     """The coefficient table of a fitted index / one-hot / assemble / LR pipeline.
 
-    Its size is that of the fitted model, which Spark ML keeps on the driver.
+    ``declared`` is the schema the caller promises to score with; a model that
+    needs other fields is not exported. The table has the size of the fitted
+    model, which Spark ML keeps on the driver.
     """
     indexer = next((s for s in model.stages if isinstance(s, StringIndexerModel)), None)
     encoder = next((s for s in model.stages if isinstance(s, OneHotEncoderModel)), None)
@@ -122,4 +136,6 @@ def coefficient_table(spark: SparkSession, model: PipelineModel, model_date: str
         at += width
     if at != len(weights):
         raise ValueError("pipeline stages do not line up with the coefficients")
+    if declared is not None:
+        _check_fields(declared, numeric, categories)
     return coefficient_frame(spark, coefficient_rows(model_date, lr.intercept, numeric, categories))

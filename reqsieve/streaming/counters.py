@@ -2,7 +2,8 @@
 
 State is one row per open window and group, and the watermark bounds how many
 windows stay open. Events later than the watermark are dropped by Spark; choose
-``lateness`` so that none are.
+``lateness`` so that none are. ``start_counters`` shows windows while they fill,
+``start_final_counters`` writes each window once, when the watermark has passed.
 """
 
 from __future__ import annotations
@@ -58,6 +59,17 @@ def start_counters(
     )
 
 
+def start_final_counters(
+    counters: DataFrame, out: str, checkpoint: str, trigger: Mapping[str, object] | None = None
+) -> StreamingQuery:
+    """Append finished windows to a parquet table, exactly once.
+
+    The windows still inside ``lateness`` of the newest event stay in the state.
+    """
+    writer = counters.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return writer.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+
+
 def latest_counters(spark: SparkSession, out: str, schema: T.StructType, by: Sequence[str] = ()) -> DataFrame:
     """The current counters per window from everything written so far."""
     stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(out)

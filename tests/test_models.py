@@ -136,6 +136,13 @@ def test_declared_schema(rows):
         check_declared(rows, wrong)
 
 
+def test_export_checks_the_declared_schema(spark, fitted):
+    assert portable.coefficient_table(spark, fitted, "20240101", NORMALIZED).count() > 0
+    short = T.StructType([f for f in NORMALIZED.fields if f.name not in ("gender", "age")])
+    with pytest.raises(ValueError, match="age must be a number, gender must be text"):
+        portable.coefficient_table(spark, fitted, "20240101", short)
+
+
 def test_feature_selects(spark, rows):
     by_list = tables.select_features(rows, ["gender", "age", LABEL])
     by_sql = tables.select_features(rows, f"SELECT gender, age, {LABEL} FROM my_rows", "my_rows")

@@ -73,6 +73,19 @@ def test_counters_equal_batch_and_sinks_are_switched(spark, folder, fixed_model,
     assert os.path.exists(tmp_path / "report" / "log") == log
 
 
+def test_final_counters_hold_every_window_the_watermark_passed(spark, folder, fixed_model, tmp_path):
+    scored = scoring.score_stream(stream(spark, folder, max_files=1), fixed_model, KEEP)
+    windows = stream_counters.stream_counters(scored, "PT1H", "1 hour", ["monitor_id"])
+    out = str(tmp_path / "out")
+    stream_counters.start_final_counters(windows, out, str(tmp_path / "cp")).awaitTermination()
+    got = spark.read.schema(windows.schema).parquet(out)
+    batch = counters.window_counters(score_labelled(folder[1], fixed_model, KEEP), "PT1H", by=["monitor_id"])
+    newest = folder[1].agg(F.max("ts")).first()[0]
+    done = batch.filter(F.col("window_start") + F.expr("INTERVAL 2 HOURS") < F.lit(newest))
+    assert done.count() > 0 and done.select(got.columns).exceptAll(got).count() == 0
+    assert got.exceptAll(batch.select(got.columns)).count() == 0
+
+
 def test_flush_equals_batch_across_batches(spark, folder, fixed_model, tmp_path):
     scored = scoring.score_stream(stream(spark, folder, max_files=1), fixed_model, KEEP)
     out, seen = str(tmp_path / "out"), []
