@@ -22,7 +22,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,21 +46,29 @@ _STEPS = "monitor_id string, node long, upto long, last long"
 _ENTRIES = "monitor_id string, node long, entry long, last long"
 
 
-def _children(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _children(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Each child node in time order with its steps; a child without any is empty."""
-    rows = rows.sort_values(["node", "upto"], kind="stable")
-    nodes, starts = np.unique(rows["node"].to_numpy(), return_index=True)
-    upto, last = rows["upto"].to_numpy(dtype="float64"), rows["last"].to_numpy(dtype="float64")
-    for node, block in zip(nodes, np.split(np.arange(len(rows)), starts[1:])):
-        block = block[~np.isnan(upto[block])]
-        yield int(node), upto[block].astype("int64"), last[block].astype("int64")
+    known = rows["upto"].is_valid()
+    steps = rows.filter(known)
+    node, upto, last = (steps[c].to_numpy() for c in ("node", "upto", "last"))
+    order = np.lexsort((upto, node))
+    node, upto, last = node[order], upto[order], last[order]
+    for child in np.unique(rows["node"].to_numpy()):
+        own = slice(*np.searchsorted(node, [child, child + 1]))
+        yield int(child), upto[own], last[own]
+
+
+def _named(monitor: pa.Scalar, **columns) -> pa.Table:
+    size = len(next(iter(columns.values())))
+    typed = {name: pa.array(values, pa.int64()) for name, values in columns.items()}
+    return pa.table({"monitor_id": pa.array([monitor.as_py()] * size, pa.string()), **typed})
 
 
 def _combine(period: int, fanout: int, node_span: int):
     """Steps of a parent from those of its children."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        parent = int(rows["node"].iloc[0]) // fanout
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        parent = key[1].as_py()
         # A closing before this stretch allows the next one within a period of its start.
         horizon = parent * fanout * node_span + period
         upto, last = np.empty(0, "int64"), np.empty(0, "int64")
@@ -74,13 +82,10 @@ def _combine(period: int, fanout: int, node_span: int):
             if not len(upto) or upto[-1] < horizon:
                 end = np.searchsorted(child_upto, horizon) + 1
                 upto, last = np.append(upto, child_upto[begin:end]), np.append(last, child_last[begin:end])
-        if len(upto):
-            final = np.append(last[1:] != last[:-1], True)
-            upto, last = upto[final], last[final]
-        out = pd.DataFrame({"upto": upto, "last": last}, dtype="Int64")
-        if not len(out):
-            out = pd.DataFrame({"upto": [None], "last": [None]}, dtype="Int64")
-        return out.assign(monitor_id=rows["monitor_id"].iloc[0], node=parent)[["monitor_id", "node", "upto", "last"]]
+        if not len(upto):
+            return _named(key[0], node=[parent], upto=[None], last=[None])
+        final = np.append(last[1:] != last[:-1], True)
+        return _named(key[0], node=np.full(final.sum(), parent), upto=upto[final], last=last[final])
 
     return run
 
@@ -88,15 +93,17 @@ def _combine(period: int, fanout: int, node_span: int):
 def _enter(period: int):
     """The moment from which each child may close, and its last closing."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        entry, found = int(rows["entry"].iloc[0]), []
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        entry = rows["entry"][0].as_py()
+        nodes, entries, found = [], [], []
         for node, upto, last in _children(rows):
             at = np.searchsorted(upto, entry)
             hit = int(last[at]) if at < len(upto) else None
-            found.append((node, entry, hit))
+            nodes.append(node)
+            entries.append(entry)
+            found.append(hit)
             entry = entry if hit is None else hit + period
-        out = pd.DataFrame(found, columns=["node", "entry", "last"]).astype("Int64")
-        return out.assign(monitor_id=rows["monitor_id"].iloc[0])[["monitor_id", "node", "entry", "last"]]
+        return _named(key[0], node=nodes, entry=entries, last=found)
 
     return run
 
@@ -117,7 +124,7 @@ def _bucket_entries(steps: DataFrame, period: int, task_rows: int) -> DataFrame:
         combined = (
             levels[-1]
             .groupBy("monitor_id", F.floor(F.col("node") / fanout).alias("parent"))
-            .applyInPandas(_combine(period, fanout, span), _STEPS)
+            .applyInArrow(_combine(period, fanout, span), _STEPS)
         )
         levels.append(cut_lineage(combined, "flush-steps"))
         low, high, span = low // fanout, high // fanout, span * fanout
@@ -128,7 +135,7 @@ def _bucket_entries(steps: DataFrame, period: int, task_rows: int) -> DataFrame:
         else:
             entered = above.select("monitor_id", F.col("node").alias("parent"), "entry")
             rows = level.withColumn("parent", F.floor(F.col("node") / fanout)).join(entered, ["monitor_id", "parent"])
-        above = rows.groupBy("monitor_id", "parent").applyInPandas(_enter(period), _ENTRIES)
+        above = rows.groupBy("monitor_id", "parent").applyInArrow(_enter(period), _ENTRIES)
     return above
 
 
@@ -154,7 +161,8 @@ def flush_partials(
     deltas = event_deltas(threshold)
     events = scored.select(
         F.coalesce(F.col(monitor).cast("string"), F.lit("")).alias("monitor_id"),
-        F.struct(F.col(ts).cast("timestamp").alias("ts"), F.col(order).alias("seq")).alias("pos"),
+        F.col(ts).cast("timestamp").alias("ts"),
+        F.col(order).alias("seq"),
         F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"),
         (F.col("status") == OK).alias("ok"),
         *[value.alias(name) for name, value in deltas.items()],
@@ -166,10 +174,9 @@ def flush_partials(
     events = events.withColumn("node", F.floor(F.col("ms") / millis))
 
     # Distinct success times, plus one row for each bucket with failures.
-    ok_ms = F.when(F.col("ok"), F.col("ms"))
     times = cut_lineage(
-        events.groupBy("monitor_id", "node", ok_ms.alias("upto")).agg(
-            F.min(F.when(F.col("ok"), F.col("pos"))).alias("pos"), F.min("ms").alias("first_ms")
+        events.groupBy("monitor_id", "node", F.when(F.col("ok"), F.col("ms")).alias("upto")).agg(
+            F.min("ms").alias("first_ms")
         ),
         "flush-times",
     )
@@ -184,29 +191,40 @@ def flush_partials(
         origin.select("monitor_id", F.floor(F.col("upto") / millis).alias("node"), "upto")
     )
     entries = _bucket_entries(steps.withColumn("last", F.col("upto")), millis, task_rows)
-
-    closing = times.filter(F.col("upto").isNotNull()).select("monitor_id", "node", F.col("upto").alias("last"), "pos")
     buckets = cut_lineage(
-        entries.join(closing, ["monitor_id", "node", "last"], "left").select(
+        entries.select(
             "monitor_id",
             "node",
             F.when(F.col("entry") != int(_NEVER), F.col("entry") - millis).alias("before_ms"),
             F.col("last").alias("inside_ms"),
-            F.col("pos").alias("inside_pos"),
         ),
         "flush-buckets",
     )
-    joined = events.join(join_side(buckets), ["monitor_id", "node"])
-    first_bucket = F.col("before_ms").isNull()
-    after_closing = F.col("inside_ms").isNotNull() & (first_bucket | (F.col("pos") > F.col("inside_pos")))
-    start_ms = F.when(after_closing, F.col("inside_ms")).otherwise(F.col("before_ms"))
-    is_closing = ~first_bucket & (F.col("pos") == F.col("inside_pos"))
-    counted = joined.select(
+
+    # Events before and after the closing time of their bucket are added up at
+    # once; those of the very millisecond stay apart until their order is known.
+    before, inside, ms = F.col("before_ms"), F.col("inside_ms"), F.col("ms")
+    zone = (
+        F.when(before.isNull() | (ms > inside), "after").when(inside.isNull() | (ms < inside), "before").otherwise("at")
+    )
+    zoned = events.join(join_side(buckets), ["monitor_id", "node"]).withColumn("zone", zone)
+    moment = [F.when(F.col("zone") == "at", F.col(c)).alias(f"at_{c}") for c in ("ts", "seq", "ok")]
+    parts = cut_lineage(
+        zoned.groupBy("monitor_id", "node", "before_ms", "inside_ms", "zone", *moment).agg(
+            *counter_sums(), F.max("ts").alias("last_ts")
+        ),
+        "flush-parts",
+    )
+    position = F.struct("at_ts", "at_seq")
+    closing = parts.filter("at_ok").groupBy("monitor_id", "node").agg(F.min(position).alias("closing"))
+    ordered = parts.join(join_side(closing), ["monitor_id", "node"], "left")
+    in_old = (F.col("zone") == "before") | ((F.col("zone") == "at") & (position <= F.col("closing")))
+    counted = ordered.select(
         "monitor_id",
-        start_ms.alias("start_ms"),
+        F.when(in_old, before).otherwise(inside).alias("start_ms"),
         *deltas,
-        F.col("pos.ts").alias("last_ts"),
-        F.coalesce(is_closing, F.lit(False)).alias("closed"),
+        "last_ts",
+        ((F.col("zone") == "at") & (position == F.col("closing"))).alias("closed"),
     )
     # Every closing opens a window, even if no event follows it.
     opened = buckets.filter("before_ms IS NOT NULL AND inside_ms IS NOT NULL").select(
