@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoderModel, StringIndexerModel, VectorAssembler
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reqsieve.plans.training import WideModel
 from reqsieve.schemas import COEFFICIENTS
 from reqsieve.sizing import join_side
 
@@ -111,16 +113,21 @@ def coefficient_table(
     needs other fields is not exported. The table has the size of the fitted
     model, which Spark ML keeps on the driver.
     """
-    indexer = next((s for s in model.stages if isinstance(s, StringIndexerModel)), None)
+    indexers = [s for s in model.stages if isinstance(s, StringIndexerModel)]
     encoder = next((s for s in model.stages if isinstance(s, OneHotEncoderModel)), None)
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
     lr = next(s for s in model.stages if isinstance(s, LogisticRegressionModel))
     weights = lr.coefficients.toArray()
     labels_of: dict[str, tuple[str, list[str]]] = {}
-    if indexer is not None and encoder is not None:
+    if encoder is not None:
         index_of = dict(zip(encoder.getOutputCols(), encoder.getInputCols()))
-        names = dict(zip(indexer.getOutputCols(), zip(indexer.getInputCols(), indexer.labelsArray)))
-        labels_of = {vector: (names[index][0], list(names[index][1])) for vector, index in index_of.items()}
+        names = {}
+        for indexer in indexers:
+            many = indexer.isSet(indexer.inputCols)
+            inputs = indexer.getInputCols() if many else [indexer.getInputCol()]
+            outputs = indexer.getOutputCols() if many else [indexer.getOutputCol()]
+            names.update(zip(outputs, zip(inputs, map(list, indexer.labelsArray))))
+        labels_of = {vector: names[index] for vector, index in index_of.items()}
     numeric: dict[str, float] = {}
     categories: dict[str, dict[str, float]] = {}
     at = 0
@@ -139,3 +146,29 @@ def coefficient_table(
     if declared is not None:
         _check_fields(declared, numeric, categories)
     return coefficient_frame(spark, coefficient_rows(model_date, lr.intercept, numeric, categories))
+
+
+def wide_coefficient_table(spark: SparkSession, model: WideModel, model_date: str) -> DataFrame:
+    """The coefficient table of a ``fit_wide`` model; categories never leave their table."""
+    weights = model.regression.coefficients.toArray()
+    numbers = dict(zip(model.numeric, weights))
+    frame = coefficient_frame(spark, coefficient_rows(model_date, model.regression.intercept, numbers, {}))
+    at = len(model.numeric)
+    for feature, size in model.sizes.items():
+        own = weights[at : at + size - 1]
+        at += size - 1
+        used = own.nonzero()[0]
+        slots = spark.createDataFrame(
+            pd.DataFrame({"idx": used.astype("int64"), "weight": own[used]}), "idx long, weight double"
+        )
+        entries = model.categories.filter(F.col("feature") == feature).join(join_side(slots), "idx", "left")
+        frame = frame.unionByName(
+            entries.select(
+                F.lit(model_date).alias("model_date"),
+                "feature",
+                F.lit(CATEGORY).alias("kind"),
+                "category",
+                F.coalesce("weight", F.lit(0.0)).alias("coefficient"),
+            )
+        )
+    return frame

@@ -8,13 +8,16 @@ from itertools import product
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reqsieve.operators.vocabulary import attach_index, vocabulary
 from reqsieve.schemas import LABEL
+from reqsieve.session import cut_lineage
+from reqsieve.sizing import BROADCAST_ROWS, fits
 
 # Split shares and the regression's settings.
 SPLIT = (0.8, 0.1, 0.1)
@@ -74,26 +77,43 @@ def _vector(name: str) -> str:
     return f"{name}_vector"
 
 
-def fit_indexer(df: DataFrame, columns: Sequence[str] = CATEGORICAL, handle_invalid: str = "skip") -> StringIndexerModel:
-    """Categories by falling frequency, ties in text order, all columns in one pass.
+class TooManyCategories(ValueError):
+    """The categories do not fit a Spark ML indexer; ``fit_wide`` takes any number."""
 
-    ``skip`` is set on the fitted model: rows with an unseen category are left
-    out of training.
+
+def fit_indexers(
+    df: DataFrame, columns: Sequence[str] = CATEGORICAL, handle_invalid: str = "skip", limit: int = BROADCAST_ROWS
+) -> list[StringIndexerModel]:
+    """One indexer per column, all from one pass: categories by falling frequency,
+    ties in text order.
+
+    ``skip`` is set on the fitted models: rows with an unseen category are left
+    out of training. An indexer keeps its labels on the driver and in every
+    task, so the list is counted first.
     """
-    indexer = StringIndexer(inputCols=list(columns), outputCols=[_index(c) for c in columns])
-    return indexer.fit(df).setHandleInvalid(handle_invalid)
+    known = vocabulary(df, columns)
+    if not fits(known, limit):
+        raise TooManyCategories(f"more than {limit} categories in {', '.join(columns)}")
+    rows = known.orderBy("feature", "idx").collect()
+    return [
+        StringIndexerModel.from_labels([r.category for r in rows if r.feature == c], c, _index(c), handle_invalid)
+        for c in columns
+    ]
 
 
 def one_hot(columns: Sequence[str] = CATEGORICAL) -> OneHotEncoder:
     return OneHotEncoder(inputCols=[_index(c) for c in columns], outputCols=[_vector(c) for c in columns])
 
 
-def feature_stages(vocabulary: DataFrame, categorical: Sequence[str] = CATEGORICAL, numeric: Sequence[str] = NUMERIC) -> list:
-    """Index, encode and assemble; ``vocabulary`` is the data the categories come from."""
-    assembler = VectorAssembler(inputCols=[*numeric, *map(_vector, categorical)], outputCol=FEATURES)
+def _assembler(categorical: Sequence[str], numeric: Sequence[str]) -> VectorAssembler:
+    return VectorAssembler(inputCols=[*numeric, *map(_vector, categorical)], outputCol=FEATURES)
+
+
+def feature_stages(source: DataFrame, categorical: Sequence[str] = CATEGORICAL, numeric: Sequence[str] = NUMERIC) -> list:
+    """Index, encode and assemble; ``source`` is the data the categories come from."""
     if not categorical:
-        return [assembler]
-    return [fit_indexer(vocabulary, categorical), one_hot(categorical), assembler]
+        return [_assembler(categorical, numeric)]
+    return [*fit_indexers(source, categorical), one_hot(categorical), _assembler(categorical, numeric)]
 
 
 def regression(label: str = LABEL) -> LogisticRegression:
@@ -105,9 +125,14 @@ def overrides(lr: LogisticRegression, **values: float) -> dict:
     return {lr.getParam(name): value for name, value in values.items()}
 
 
+def _settings(params: Mapping[str, float] | None) -> dict[str, float]:
+    defaults = {"maxIter": MAX_ITER, "regParam": REG_PARAM, "elasticNetParam": ELASTIC_NET_PARAM}
+    return {**defaults, **(params or {})}
+
+
 def fit(
     train: DataFrame,
-    vocabulary: DataFrame,
+    source: DataFrame,
     categorical: Sequence[str] = CATEGORICAL,
     numeric: Sequence[str] = NUMERIC,
     label: str = LABEL,
@@ -115,13 +140,50 @@ def fit(
 ) -> PipelineModel:
     """Fit the whole pipeline on ``train``.
 
-    The categories come from ``vocabulary``: pass the full data set to know the
+    The categories come from ``source``: pass the full data set to know the
     categories of the held-out parts too, or ``train`` itself.
     """
     lr = regression(label)
-    pipeline = Pipeline(stages=[*feature_stages(vocabulary, categorical, numeric), lr])
-    settings = {"maxIter": MAX_ITER, "regParam": REG_PARAM, "elasticNetParam": ELASTIC_NET_PARAM}
-    return pipeline.fit(train, overrides(lr, **{**settings, **(params or {})}))
+    pipeline = Pipeline(stages=[*feature_stages(source, categorical, numeric), lr])
+    return pipeline.fit(train, overrides(lr, **_settings(params)))
+
+
+@dataclass(frozen=True)
+class WideModel:
+    """A regression over categories kept in a table instead of on the driver."""
+
+    regression: LogisticRegressionModel
+    categories: DataFrame
+    sizes: Mapping[str, int]
+    numeric: Sequence[str]
+
+
+def fit_wide(
+    train: DataFrame,
+    source: DataFrame,
+    categorical: Sequence[str] = CATEGORICAL,
+    numeric: Sequence[str] = NUMERIC,
+    label: str = LABEL,
+    params: Mapping[str, float] | None = None,
+) -> WideModel:
+    """The same fit for any number of categories.
+
+    Categories are indexed by joins; only the coefficient vector, which the
+    regression needs whole, is as long as the vocabulary.
+    """
+    known = cut_lineage(vocabulary(source, categorical), "categories")
+    sizes = {r.feature: r.n for r in known.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = train.select(*numeric, *categorical, label)
+    for column in categorical:
+        rows = attach_index(rows, known, column, _index(column))
+        # The encoder takes its width from here instead of scanning for it.
+        nominal = {"ml_attr": {"type": "nominal", "num_vals": sizes[column]}}
+        rows = rows.withColumn(_index(column), F.col(_index(column)).alias(_index(column), metadata=nominal))
+    stages = [one_hot(categorical)] if categorical else []
+    ready = Pipeline(stages=[*stages, _assembler(categorical, numeric)]).fit(rows).transform(rows)
+    lr = regression(label)
+    model = lr.fit(ready.select(FEATURES, label), overrides(lr, **_settings(params)))
+    return WideModel(model, known, {c: sizes[c] for c in categorical}, tuple(numeric))
 
 
 @dataclass(frozen=True)
@@ -133,7 +195,7 @@ class Trial:
 
 def tune(
     splits: Splits,
-    vocabulary: DataFrame,
+    source: DataFrame,
     grid: Mapping[str, Sequence[float]],
     categorical: Sequence[str] = CATEGORICAL,
     numeric: Sequence[str] = NUMERIC,
@@ -144,7 +206,7 @@ def tune(
 
     The feature stages run once; their output is cached for all the fits.
     """
-    features = Pipeline(stages=feature_stages(vocabulary, categorical, numeric)).fit(splits.train)
+    features = Pipeline(stages=feature_stages(source, categorical, numeric)).fit(splits.train)
     ready = [features.transform(part).select(FEATURES, label).persist() for part in (splits.train, splits.cv)]
     lr = regression(label)
     judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")

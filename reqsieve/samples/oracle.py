@@ -308,7 +308,17 @@ def oracle_sql() -> dict[str, str]:
                 isWinning = 1.0 as won from requests""",
         ),
         "hash_split": _with(_REQUESTS, query=f"select request_id, {_hash_part('request_id')} as part from requests"),
+        "vocabulary": _with(
+            _REQUESTS,
+            f"normal as ({_rows('training')})",
+            query=" union all ".join(
+                f"""select '{c}' as feature, {c} as category, count(*) as frequency,
+                    row_number() over (order by count(*) desc, {c}) - 1 as idx from normal group by {c}"""
+                for c in _CATEGORICAL
+            ),
+        ),
         "string_index": _indexed("true"),
+        "string_index_joined": _indexed("true"),
         "string_index_skip": _indexed("isWinning = 1.0 and rtbFloorPriceSent > 100"),
         "one_hot": _one_hot(),
         "prepare_status": _with(

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reqsieve.functions.identity import features_id
 from reqsieve.operators import counters, evaluation, flush, normalize, score
+from reqsieve.operators import vocabulary as vocabularies
 from reqsieve.plans import batch, portable, training
 from reqsieve.schemas import COUNTERS, CSV_COLUMNS, LABEL, NORMALIZED
 from reqsieve.session import prepare, scratch_path
@@ -193,7 +194,7 @@ def hash_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _indexes(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    indexed = training.fit_indexer(vocabulary).transform(rows)
+    indexed = PipelineModel(training.fit_indexers(vocabulary)).transform(rows)
     return indexed.select("request_id", *[F.col(f"{c}_index").cast("bigint").alias(f"{c}_index") for c in training.CATEGORICAL])
 
 
@@ -209,10 +210,24 @@ def string_index_skip(spark: SparkSession, folder: str) -> DataFrame:
     return _indexes(rows, rows.filter((F.col(LABEL) == 1.0) & (F.col("rtbFloorPriceSent") > 100)))
 
 
+def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    rows = normalize.normalize_training(tables.requests(spark, folder))
+    return vocabularies.vocabulary(rows, training.CATEGORICAL)
+
+
+def string_index_joined(spark: SparkSession, folder: str) -> DataFrame:
+    """The same indexes by joins, for vocabularies of any size."""
+    rows = normalize.normalize_training(tables.requests(spark, folder), keep=ROW)
+    known = vocabularies.vocabulary(rows, training.CATEGORICAL)
+    for c in training.CATEGORICAL:
+        rows = vocabularies.attach_index(rows, known, c, f"{c}_index")
+    return rows.select("request_id", *[F.col(f"{c}_index").cast("bigint").alias(f"{c}_index") for c in training.CATEGORICAL])
+
+
 def one_hot(spark: SparkSession, folder: str) -> DataFrame:
     rows = normalize.normalize_training(tables.requests(spark, folder), keep=["request_id"])
     columns = ("gender", "conType")
-    stages = [training.fit_indexer(rows, columns), training.one_hot(columns)]
+    stages = [*training.fit_indexers(rows, columns), training.one_hot(columns)]
     encoded = Pipeline(stages=stages).fit(rows).transform(rows)
     arrays = encoded.select("request_id", *[vector_to_array(f"{c}_vector").alias(c) for c in columns])
     sizes = {"gender": 4, "conType": 4}
@@ -455,6 +470,11 @@ def train_lr(spark: SparkSession, folder: str) -> DataFrame:
     return portable.coefficient_table(spark, model, FIXED_DATE)
 
 
+def train_wide(spark: SparkSession, folder: str) -> DataFrame:
+    rows, splits = _splits(spark, folder)
+    return portable.wide_coefficient_table(spark, training.fit_wide(splits.train, rows), FIXED_DATE)
+
+
 def tune_lr(spark: SparkSession, folder: str) -> DataFrame:
     rows, splits = _splits(spark, folder)
     grid = {"regParam": [0.01, training.REG_PARAM], "elasticNetParam": [0.0, training.ELASTIC_NET_PARAM]}
@@ -524,14 +544,14 @@ QUERIES: dict[str, Query] = {
         feature_select, csv_parse, csv_rejects,
         normalize_training, normalize_prediction, normalize_unified, normalize_mixed, normalize_defaults,
         features_id_query, feature_map_json, label_outcome,
-        hash_split, string_index, string_index_skip, one_hot,
+        hash_split, vocabulary, string_index, string_index_skip, string_index_joined, one_hot,
         prepare_status, prepare_missing_field, score_fixed, score_unlabelled, score_default_on_failure,
         prediction_from_class, score_csv_line, confidence_gate, gate_off, route_kept, route_filtered,
         coefficient_table_lookup, score_by_model_date, score_large_vocabulary,
         counters_total, counters_by_monitor, counters_intended_polarity, counters_tumbling, counters_default_period,
         counters_flush, counters_merge, counters_merge_compat, metrics_long, metrics_log_line,
         confusion_matrix, quality_ratios, holdout_confusion,
-        train_lr, tune_lr, score_trained, holdout_trained, random_split,
+        train_lr, train_wide, tune_lr, score_trained, holdout_trained, random_split,
         stream_score, stream_counters, stream_flush,
     )
 }

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from conftest import SMALL
 from reqsieve.operators import score
 from reqsieve.operators.normalize import normalize_training
+from reqsieve.operators.vocabulary import vocabulary
 from reqsieve.plans import portable, training
 from reqsieve.schemas import LABEL, NORMALIZED, check_declared
 from reqsieve.sources import model_store, tables
@@ -58,9 +59,37 @@ def test_unseen_category_is_dropped_in_training_and_fails_in_scoring(spark, fitt
 
 def test_vocabulary_order(spark):
     data = spark.createDataFrame([(v,) for v in "bbbaaccccd"], "c string")
-    assert training.fit_indexer(data, ["c"]).labelsArray == [["c", "b", "a", "d"]]
+    assert training.fit_indexers(data, ["c"])[0].labels == ["c", "b", "a", "d"]
     ties = spark.createDataFrame([(v,) for v in ("z", "a", "m")], "c string")
-    assert training.fit_indexer(ties, ["c"]).labelsArray == [["a", "m", "z"]]
+    assert training.fit_indexers(ties, ["c"])[0].labels == ["a", "m", "z"]
+
+
+def test_vocabulary_over_many_partitions(spark):
+    """Frequencies with many ties, far more categories than one partition takes."""
+    data = spark.range(20_000).select(
+        F.concat(F.lit("c"), (F.col("id") % 7_001).cast("string")).alias("a"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 11).cast("string")).alias("b"),
+    )
+    got = vocabulary(data, ["a", "b"]).collect()
+    for column in ("a", "b"):
+        counts = data.groupBy(column).count().collect()
+        expected = [r[0] for r in sorted(counts, key=lambda r: (-r["count"], r[0]))]
+        assert [r.category for r in sorted((r for r in got if r.feature == column), key=lambda r: r.idx)] == expected
+        assert sorted(r.idx for r in got if r.feature == column) == list(range(len(expected)))
+    with pytest.raises(training.TooManyCategories):
+        training.fit_indexers(data, ["a"], limit=100)
+
+
+@pytest.mark.parametrize("merge", [False, True])
+def test_wide_fit_equals_the_pipeline(spark, rows, splits, fitted, monkeypatch, merge):
+    if merge:
+        monkeypatch.setattr("reqsieve.operators.vocabulary.join_side", lambda df: df.hint("merge"))
+    wide = training.fit_wide(splits.train, rows, CATEGORICAL, NUMERIC, params={"regParam": 0.01, "maxIter": 40})
+    key = lambda r: (r.feature, r.category or "")
+    own = sorted(portable.wide_coefficient_table(spark, wide, "20240101").collect(), key=key)
+    ml = sorted(portable.coefficient_table(spark, fitted, "20240101").collect(), key=key)
+    assert [r[:4] for r in own] == [r[:4] for r in ml]
+    assert [r.coefficient for r in own] == pytest.approx([r.coefficient for r in ml], abs=1e-9)
 
 
 def test_params_reach_the_fit(fitted):

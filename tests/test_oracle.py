@@ -6,7 +6,7 @@ import __spark_entry__ as contract
 from check_oracle import compare, connect
 from conftest import SMALL
 
-TRAINED = {"train_lr", "tune_lr", "score_trained", "holdout_trained", "random_split"}
+TRAINED = {"train_lr", "train_wide", "tune_lr", "score_trained", "holdout_trained", "random_split"}
 
 
 @pytest.fixture(scope="module")
