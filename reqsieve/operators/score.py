@@ -6,7 +6,7 @@ unless the model's category table was counted too large to broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Container, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +24,7 @@ NO_PREDICTION = {"features_id": "NA", "to_filter": False, "precision": 0.0}
 _WEIGHT = "__w_{}"
 _NUMBER = "__x_{}"
 _MARGIN = "__margin"
+_PROBLEM = "__problem"
 
 
 def _numeric_value(df: DataFrame, feature: str) -> Column | None:
@@ -35,27 +36,33 @@ def _numeric_value(df: DataFrame, feature: str) -> Column | None:
     return None
 
 
-def _attach_weights(df: DataFrame, model) -> DataFrame:
-    """One weight column per category feature; null where the category is unseen."""
-    for feature in model.category_features:
-        if feature not in df.columns:
+def _inline_weight(feature: str, weights: Mapping[str, float]) -> Column:
+    text = F.col(feature).cast("string")
+    (category, weight), *others = weights.items()
+    return reduce(lambda chain, item: chain.when(text == item[0], item[1]), others, F.when(text == category, weight))
+
+
+def _attach_inputs(df: DataFrame, model) -> DataFrame:
+    """The number or category weight of every model input the table has.
+
+    A weight is null where the category is unseen, a number where the text is none.
+    """
+    present, inputs = set(df.columns), {}
+    for feature in model.features:
+        if feature not in present:
             continue
-        text = F.col(feature).cast("string")
-        inline = model.inline_weights(feature)
-        if inline is not None:
-            branches = reduce(
-                lambda chain, item: chain.when(text == item[0], item[1]),
-                list(inline.items())[1:],
-                F.when(text == next(iter(inline)), next(iter(inline.values()))),
-            )
-            df = df.withColumn(_WEIGHT.format(feature), branches)
+        if feature not in model.category_features:
+            value = _numeric_value(df, feature)
+            inputs[_NUMBER.format(feature)] = F.lit(None).cast("double") if value is None else value
+        elif model.inline_weights(feature) is not None:
+            inputs[_WEIGHT.format(feature)] = _inline_weight(feature, model.inline_weights(feature))
         else:
             key = f"__k_{feature}"
             side = model.weight_table(feature).select(
                 F.col("category").alias(key), F.col("coefficient").alias(_WEIGHT.format(feature))
             )
-            df = df.join(side, text == F.col(key), "left").drop(key)
-    return df
+            df = df.join(side, F.col(feature).cast("string") == F.col(key), "left").drop(key)
+    return df.withColumns(inputs) if inputs else df
 
 
 def _first_problem(df: DataFrame, model) -> Column:
@@ -84,39 +91,28 @@ def prepare(df: DataFrame, model) -> DataFrame:
 
 
 def _helper_columns(model) -> list[str]:
-    numbers = [_NUMBER.format(f) for f in model.features if f not in model.category_features]
-    weights = [_WEIGHT.format(f) for f in model.category_features]
-    return numbers + weights + [_MARGIN]
+    inputs = [(_WEIGHT if f in model.category_features else _NUMBER).format(f) for f in model.features]
+    return [*inputs, _PROBLEM, _MARGIN]
 
 
 def _prepared(df: DataFrame, model) -> DataFrame:
-    df = _attach_weights(df, model)
-    numbers = {}
-    for feature in model.features:
-        if feature in model.category_features or feature not in df.columns:
-            continue
-        value = _numeric_value(df, feature)
-        numbers[_NUMBER.format(feature)] = F.lit(None).cast("double") if value is None else value
-    df = df.withColumns(numbers) if numbers else df
-    problem = F.col("__problem")
-    return (
-        df.withColumn("__problem", _first_problem(df, model))
-        .withColumns(
-            {
-                "status": F.when(problem.isNull(), OK).otherwise(FAILURE),
-                "failure_reason": F.substring_index(problem, ":", 1),
-                "failed_field": F.when(problem.isNotNull(), F.expr("substr(__problem, instr(__problem, ':') + 1)")),
-            }
-        )
-        .drop("__problem")
+    ready = _attach_inputs(df, model).withColumn(_PROBLEM, _first_problem(df, model))
+    problem = F.col(_PROBLEM)
+    return ready.withColumns(
+        {
+            "status": F.when(problem.isNull(), OK).otherwise(FAILURE),
+            "failure_reason": F.substring_index(problem, ":", 1),
+            "failed_field": F.substring(problem, F.locate(":", problem) + 1, F.length(problem)),
+            _MARGIN: F.when(problem.isNull(), margin(model, set(df.columns))),
+        }
     )
 
 
-def margin(model, has: Callable[[str], bool]) -> Column:
+def margin(model, present: Container[str]) -> Column:
     """Intercept plus the weighted inputs, added up in model order."""
     total = F.lit(float(model.intercept))
     for feature in model.features:
-        if not has(feature):
+        if feature not in present:
             term = F.lit(None).cast("double")
         elif feature in model.category_features:
             term = F.col(_WEIGHT.format(feature))
@@ -134,15 +130,12 @@ def score(df: DataFrame, model) -> DataFrame:
     last five are null where the status is a failure. ``to_filter`` is not
     gated by any threshold.
     """
-    present = set(df.columns)
-    ready = _prepared(df, model)
     p1, p0 = F.col("probability_1"), F.col("probability_0")
     prediction = F.col("prediction")
     return (
-        ready.withColumn(_MARGIN, F.when(F.col("status") == OK, margin(model, present.__contains__)))
+        _prepared(df, model)
         .withColumn("probability_1", logistic.positive_probability(F.col(_MARGIN)))
-        .withColumn("probability_0", F.lit(1.0) - p1)
-        .withColumn("prediction", logistic.predicted_class(p1))
+        .withColumns({"probability_0": F.lit(1.0) - p1, "prediction": logistic.predicted_class(p1)})
         .withColumns(
             {
                 "to_filter": logistic.is_filtered_class(prediction),

@@ -60,9 +60,10 @@ class PortableModel:
     @classmethod
     def from_table(cls, table: DataFrame, inline_limit: int = INLINE_CATEGORIES) -> PortableModel:
         """Read a model of one date. Raises when the table holds no such model."""
-        sizes = table.groupBy("feature", "kind").agg(F.count(F.lit(1)).alias("n")).collect()
-        if sum(r.n for r in sizes if r.kind == INTERCEPT) != 1:
-            raise ValueError("the coefficient table must hold exactly one model (one intercept row)")
+        names = F.count_distinct(F.coalesce("category", F.lit("")))
+        sizes = table.groupBy("feature", "kind").agg(F.count(F.lit(1)).alias("n"), names.alias("names")).collect()
+        if sum(r.n for r in sizes if r.kind == INTERCEPT) != 1 or any(r.n != r.names for r in sizes):
+            raise ValueError("the coefficient table must hold exactly one model, each coefficient once")
         small = sorted(r.feature for r in sizes if r.kind == CATEGORY and r.n <= inline_limit)
         large = sorted(r.feature for r in sizes if r.kind == CATEGORY and r.n > inline_limit)
         is_small = (F.col("kind") != CATEGORY) | F.col("feature").isin(small)

@@ -115,9 +115,18 @@ def test_large_lists_are_not_broadcast(spark, monkeypatch):
 
 
 def test_model_table_must_hold_one_model(spark):
-    rows = portable.coefficient_rows("20240101", 0.1, {}, {}) + portable.coefficient_rows("20240102", 0.1, {}, {})
-    with pytest.raises(ValueError):
-        PortableModel.from_table(portable.coefficient_frame(spark, rows))
+    one = portable.coefficient_rows("20240101", 0.1, {"x": 1.0}, {"c": {"a": 1.0}})
+    for extra in (portable.coefficient_rows("20240102", 0.1, {}, {}), [one[1]], [one[2]]):
+        with pytest.raises(ValueError):
+            PortableModel.from_table(portable.coefficient_frame(spark, one + extra))
+    assert PortableModel.from_table(portable.coefficient_frame(spark, one)).features == ("x", "c")
+
+
+def test_model_of_joined_categories_only(spark):
+    rows = portable.coefficient_rows("20240101", 0.5, {}, {"c": {"a": 1.0, "b": -2.0}})
+    model = PortableModel.from_table(portable.coefficient_frame(spark, rows), inline_limit=0)
+    got = score.score(spark.createDataFrame([("a",), ("b",), ("z",)], "c string"), model).collect()
+    assert {r.c: r.prediction for r in got} == {"a": 1.0, "b": 0.0, "z": None}
 
 
 def test_scoring_stays_in_generated_code(spark, fixed_model):
