@@ -48,6 +48,12 @@ class Splits:
 
 
 def random_split(df: DataFrame, weights: Sequence[float] = SPLIT, seed: int | None = None) -> Splits:
+    """Three random parts of a table.
+
+    Each part draws the rows again, so ``df`` should be read from files (a scan
+    or a written table) to give every draw the same partitions; after joins or
+    groupings write it first, or use ``hash_split``.
+    """
     return Splits(*df.randomSplit(list(weights), seed))
 
 

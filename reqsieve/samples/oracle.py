@@ -317,6 +317,14 @@ def oracle_sql() -> dict[str, str]:
                 for c in _CATEGORICAL
             ),
         ),
+        "random_split": _with(_REQUESTS, query="select request_id, 1::bigint as n_parts from requests"),
+        "trained_fields": _with(
+            _REQUESTS,
+            f"normal as ({_rows('training')})",
+            query="""select '(intercept)' as feature, 'intercept' as kind, cast(null as varchar) as category
+                union all select unnest(['age', 'height', 'width', 'withBundleId', 'withGeo', 'rtbFloorPriceSent']), 'numeric', null"""
+            + "".join(f" union all select distinct '{c}', 'category', {c} from normal" for c in _CATEGORICAL),
+        ),
         "string_index": _indexed("true"),
         "string_index_joined": _indexed("true"),
         "string_index_skip": _indexed("isWinning = 1.0 and rtbFloorPriceSent > 100"),

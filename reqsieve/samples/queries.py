@@ -18,7 +18,7 @@ from reqsieve.operators import counters, evaluation, flush, normalize, score
 from reqsieve.operators import vocabulary as vocabularies
 from reqsieve.plans import batch, portable, training
 from reqsieve.schemas import COUNTERS, CSV_COLUMNS, LABEL, NORMALIZED
-from reqsieve.session import prepare, scratch_path
+from reqsieve.session import cut_lineage, prepare, scratch_path
 from reqsieve.sizing import join_side
 from reqsieve.sources import model_store, request_csv, tables
 from reqsieve.streaming import counters as stream_counters_
@@ -498,11 +498,16 @@ def holdout_trained(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def random_split(spark: SparkSession, folder: str) -> DataFrame:
+    """In how many of the three random parts each request is: exactly one."""
     rows, _ = _splits(spark, folder)
-    parts = training.random_split(rows, seed=7)
-    named = {"train": parts.train, "cv": parts.cv, "test": parts.test}
-    labelled = [part.select("request_id", F.lit(name).alias("part")) for name, part in named.items()]
-    return labelled[0].unionByName(labelled[1]).unionByName(labelled[2])
+    parts = training.random_split(cut_lineage(rows, "requests"), seed=7)
+    drawn = parts.train.unionByName(parts.cv).unionByName(parts.test)
+    return drawn.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_parts"))
+
+
+def trained_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """What a trained coefficient table lists: every input and every category seen."""
+    return train_lr(spark, folder).select("feature", "kind", "category")
 
 
 # --- streams -----------------------------------------------------------------
@@ -551,7 +556,7 @@ QUERIES: dict[str, Query] = {
         counters_total, counters_by_monitor, counters_intended_polarity, counters_tumbling, counters_default_period,
         counters_flush, counters_merge, counters_merge_compat, metrics_long, metrics_log_line,
         confusion_matrix, quality_ratios, holdout_confusion,
-        train_lr, train_wide, tune_lr, score_trained, holdout_trained, random_split,
+        train_lr, trained_fields, train_wide, tune_lr, score_trained, holdout_trained, random_split,
         stream_score, stream_counters, stream_flush,
     )
 }

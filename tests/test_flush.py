@@ -82,9 +82,9 @@ def utc_clock(monkeypatch):
     "n, monitors, span_ms, period, period_ms, failure_rate, hot, task_rows",
     [
         (400, 3, 3_600_000, "PT30S", 30_000, 0.3, 0.0, 4_000_000),
-        (2000, 4, 600_000, "PT1S", 1_000, 0.2, 0.5, 10),  # tree of several levels
+        (1200, 3, 200_000, "PT1S", 1_000, 0.2, 0.5, 20),  # tree of several levels
         (1500, 2, 2_000, "PT0.050S", 50, 0.4, 0.9, 300),  # many events per millisecond
-        (300, 2, 86_400_000, "PT1M", 60_000, 0.5, 0.0, 4),  # sparse, binary tree
+        (200, 2, 7_200_000, "PT1M", 60_000, 0.5, 0.0, 4),  # sparse, binary tree
         (200, 3, 100_000, "PT10S", 10_000, 0.97, 0.0, 4),  # almost only failures
     ],
 )

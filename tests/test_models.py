@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -97,16 +98,29 @@ def test_params_reach_the_fit(fitted):
     assert (lr.getMaxIter(), lr.getRegParam(), lr.getElasticNetParam()) == (40, 0.01, training.ELASTIC_NET_PARAM)
 
 
+def test_unpenalized_fit_is_the_maximum_likelihood(rows, splits):
+    """Against Newton's method on the same numbers."""
+    model = training.fit(splits.train, rows, (), NUMERIC, params={"regParam": 0.0, "maxIter": 100})
+    data = splits.train.select(*NUMERIC, LABEL).toPandas().to_numpy(dtype=float)
+    x, y = np.column_stack([np.ones(len(data)), data[:, :-1]]), data[:, -1]
+    weights = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ weights))
+        weights += np.linalg.solve((x.T * (p * (1 - p))) @ x, x.T @ (y - p))
+    lr = model.stages[-1]
+    assert [lr.intercept, *lr.coefficients] == pytest.approx(list(weights), rel=1e-3, abs=1e-5)
+
+
 def test_refit_gives_the_same_model(rows, splits, fitted):
     again = training.fit(splits.train, rows, CATEGORICAL, NUMERIC, params={"regParam": 0.01, "maxIter": 40})
     assert again.stages[-1].coefficients.toArray() == pytest.approx(fitted.stages[-1].coefficients.toArray(), abs=1e-9)
 
 
 def test_tune_ranks_by_cv(rows, splits):
-    grid = {"regParam": [0.01, 100.0], "elasticNetParam": [0.0, 1.0]}
+    grid = {"regParam": [0.01, 100.0], "elasticNetParam": [1.0]}
     trials = training.tune(splits, rows, grid, CATEGORICAL, NUMERIC, max_iter=20)
     areas = [t.area_under_roc for t in trials]
-    assert len(trials) == 4 and areas == sorted(areas, reverse=True) and areas[0] > areas[-1]
+    assert len(trials) == 2 and areas == sorted(areas, reverse=True) and areas[0] > areas[-1]
     # The strongest penalty removes every coefficient.
     assert trials[-1].params["regParam"] == 100.0
     held_out = training.evaluate(trials[0].model, splits.test)
