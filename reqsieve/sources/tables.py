@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reqsieve.session import prepare
 from reqsieve.sizing import join_side
@@ -14,8 +16,15 @@ from reqsieve.sizing import join_side
 PART_KEYS = 200
 
 
+@lru_cache(maxsize=64)
+def _schema(spark: SparkSession, path: str) -> T.StructType:
+    """Column types of a table, read from its files once per session."""
+    return spark.read.parquet(path).schema
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    path = f"{folder}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def select_features(df: DataFrame, features: Sequence[str] | str, table_name: str = "features") -> DataFrame:
@@ -37,39 +46,40 @@ def requests(spark: SparkSession, folder: str, events: DataFrame | None = None)
     """
     prepare(spark)
     e = table(spark, folder, "events") if events is None else events
-    e = e.select("event_id", "ts", "user_id", "event_type", "value", (F.col("event_id") % PART_KEYS).alias("part_key"))
+    e = e.selectExpr("event_id", "ts", "user_id", "event_type", "value", f"event_id % {PART_KEYS} AS part_key")
     parts = (
         table(spark, folder, "part")
         # What the join on event_id % 200 implies for this side.
         .filter(F.col("p_partkey").between(1 - PART_KEYS, PART_KEYS - 1))
         .select("p_partkey", "p_brand", "p_size")
     )
+    # Nations are 25 rows; Spark broadcasts them by its own size check.
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     buyers = (
-        orders.join(customers, orders.o_custkey == customers.c_custkey)
-        .join(join_side(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", "o_orderstatus", "o_orderpriority", "n_nationkey", "n_name")
     )
     joined = e.join(join_side(parts), F.col("part_key") == F.col("p_partkey")).join(
         buyers, F.col("event_id") == F.col("o_orderkey")
     )
-    size, kind, priority = F.col("p_size"), F.col("event_type"), F.col("o_orderpriority")
-    return joined.select(
-        F.col("event_id").alias("request_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("monitor_id"),
-        F.col("p_partkey").alias("publisherId"),
-        F.when(F.col("n_nationkey") % 5 == 0, "").otherwise(F.col("n_name")).alias("country"),
-        size.alias("age"),
-        F.when(kind == "view", "null").when(kind != "error", F.col("o_orderstatus")).alias("gender"),
-        F.when(size % 7 == 0, "").otherwise(F.col("p_brand")).alias("brand"),
-        ((size % 5 + 1) * 50).alias("height"),
-        ((size % 3 + 1) * 320).alias("width"),
-        F.when(priority == "4-NOT SPECIFIED", "(null)").when(priority != "5-LOW", priority).alias("connectionType"),
-        (F.col("event_id") % 2 == 0).alias("withBundleId"),
-        (F.col("user_id") % 3 == 0).alias("withGeoInfo"),
-        F.col("value").alias("rtbFloorSent"),
-        ((kind == "purchase") | (F.col("value") > 60)).cast("double").alias("isWinning"),
+    return joined.selectExpr(
+        "event_id AS request_id",
+        "CAST(ts AS TIMESTAMP) AS ts",
+        "concat('m', user_id % 4) AS monitor_id",
+        "p_partkey AS publisherId",
+        "CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name END AS country",
+        "p_size AS age",
+        "CASE WHEN event_type = 'view' THEN 'null' WHEN event_type <> 'error' THEN o_orderstatus END AS gender",
+        "CASE WHEN p_size % 7 = 0 THEN '' ELSE p_brand END AS brand",
+        "(p_size % 5 + 1) * 50 AS height",
+        "(p_size % 3 + 1) * 320 AS width",
+        "CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN '(null)' "
+        "WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS connectionType",
+        "event_id % 2 = 0 AS withBundleId",
+        "user_id % 3 = 0 AS withGeoInfo",
+        "value AS rtbFloorSent",
+        "CAST(event_type = 'purchase' OR value > 60 AS DOUBLE) AS isWinning",
     )
