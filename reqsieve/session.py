@@ -7,22 +7,33 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SETTINGS = {
-    "spark.sql.session.timeZone": "UTC",
+_HOT_KEYS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key even where the join's partitioning would save a later
+    # shuffle: a join followed by a grouping on the same key.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings results depend on (UTC clock, AQE with skew joins)."""
-    for key, value in _SETTINGS.items():
+def _set(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    for key, value in settings.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
 
 
+def split_hot_keys(spark: SparkSession) -> SparkSession:
+    """Let Spark split the partition of a hot key in shuffle joins."""
+    return _set(spark, _HOT_KEYS)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Pin the runtime settings results and plans depend on: UTC clock, skew joins."""
+    return split_hot_keys(_set(spark, {"spark.sql.session.timeZone": "UTC"}))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as named by ``spark.checkpoint.dir``.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reqsieve.session import split_hot_keys
+
 BROADCAST_ROWS = 200_000
 
 
@@ -19,4 +21,7 @@ def join_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     Counted small: broadcast, so the big side is not shuffled. Otherwise left
     alone for a shuffle join, where AQE splits the partitions of hot keys.
     """
-    return F.broadcast(df) if fits(df, max_rows) else df
+    if fits(df, max_rows):
+        return F.broadcast(df)
+    split_hot_keys(df.sparkSession)
+    return df

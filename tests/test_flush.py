@@ -10,6 +10,7 @@ from pyspark import cloudpickle
 
 from reqsieve.operators import flush
 from reqsieve.operators.flush import flush_partials, flush_windows
+from reqsieve.sizing import join_side
 from reqsieve.streaming import flush as stream_flush
 
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -106,6 +107,17 @@ def test_worked_example(spark):
     assert [(r.window_end.second + 60 * r.window_end.minute, r.input, r.invalid) for r in got] == [(35, 4, 1), (65, 2, 0)]
 
 
+def test_buckets_too_many_to_broadcast(spark, monkeypatch):
+    """The shuffle joins give the same windows, with most events in one bucket."""
+    monkeypatch.setattr(flush, "join_side", lambda df: join_side(df, 0).hint("merge"))
+    rows = rows_of(21, 300, 2, 300_000, 0.2) + [
+        ("m0", EPOCH + timedelta(seconds=100, milliseconds=i % 7), 10**12 + i, "ok" if i % 3 else "failure", bool(i % 3) or None, 0.9 if i % 3 else None, True)
+        for i in range(600)
+    ]
+    got = collected(flush_windows(spark.createDataFrame(rows, SCHEMA).repartition(4), "PT10S"))
+    assert got == fold(rows, 10_000)
+
+
 def test_batches_continue_each_other(spark):
     """Cut at any event, also right after a closing, the windows stay the same."""
     rows = sorted(rows_of(11, 120, 2, 400_000, 0.2), key=lambda r: (r[1], r[2]))
