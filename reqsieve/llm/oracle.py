@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reqsieve.llm.queries import FIRST_DAY, QUERY_EVERY, SCALE, SPREAD_SECONDS, TOP_K
+from reqsieve.llm.queries import CONTROL_TEXT, FIRST_DAY, QUERY_EVERY, SCALE, SPREAD_SECONDS, TOP_K
 
 _TOPK = f"""
 WITH usable AS (
@@ -86,8 +86,27 @@ SELECT page_id, fetched_at, coalesce(string_agg(DISTINCT list, ',' ORDER BY list
 FROM parsed LEFT JOIN hits USING (page_id) GROUP BY page_id, fetched_at
 """
 
+_CONTROL = r"'<(\\*)\|(im_(?:start|end)\|>)', '<\1\\\\|\2', 'g'"
+
+_CHAT = rf"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{CONTROL_TEXT}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL_TEXT}'
+), written AS (
+  SELECT *, '<|im_start|>' || regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), {_CONTROL}) || chr(10)
+    || regexp_replace(text, {_CONTROL}) || '<|im_end|>' || chr(10) AS formatted FROM rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(formatted))::BIGINT AS formatted_chars
+FROM written GROUP BY conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_threshold_topk": _TOPK,
+    "op4_chat_prefix_tree": _CHAT,
     "op5_suffix_array_decontamination": _DECONTAMINATION,
     "op10_temporal_url_lists": _URL_LISTS,
 }

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqsieve.llm import decontaminate, forced_bpe, neardup, sharding, suffix_tree, token_counts, topk, url_lists
+from reqsieve.llm import chat_tree, decontaminate, forced_bpe, neardup, quality, sharding, suffix_tree, token_counts, topk, url_lists
 from reqsieve.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +50,16 @@ def op3_suffix_tree_scores(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_tree.score_texts(docs, F.coalesce(id_remainder(7) != 2, F.lit(True)))
 
 
+#: Says nothing but control strings.
+CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+def op4_chat_prefix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = [(-1, k, role, CONTROL_TEXT) for k, role in enumerate(("user", "assistant"))]
+    return chat_tree.format_conversations(rows.unionByName(spark.createDataFrame(extra, rows.schema)))
+
+
 def op5_suffix_array_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), ["doc_id"])
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string"))))
@@ -68,6 +79,20 @@ def op6_whole_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def quality_model(spark: SparkSession, folder: str, docs: DataFrame) -> Broadcast:
+    """Learned from the labels of rows whose id has a remainder other than 0."""
+    labels = _table(spark, folder, "labels")
+    good = labels.filter((F.col("quality") == 1) & (id_remainder(5) != 0))
+    return spark.sparkContext.broadcast(quality.train(docs, good))
+
+
+def op7_positive_unlabelled_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    scored = quality.score_texts(docs, quality_model(spark, folder, docs), ["doc_id"])
+    held_out = F.coalesce(id_remainder(5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
     classes = neardup.text_classes(_table(spark, folder, "documents"))
     return classes.select("doc_id", "class_id", "stays")
@@ -127,8 +152,10 @@ QUERIES: dict[str, Query] = {
         op1_threshold_topk,
         op2_jump_hash_shards,
         op3_suffix_tree_scores,
+        op4_chat_prefix_tree,
         op5_suffix_array_decontamination,
         op6_whole_token_counts,
+        op7_positive_unlabelled_quality,
         op8_weighted_minhash,
         op9_forced_boundary_bpe,
         op10_temporal_url_lists,
