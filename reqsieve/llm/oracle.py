@@ -86,7 +86,7 @@ SELECT page_id, fetched_at, coalesce(string_agg(DISTINCT list, ',' ORDER BY list
 FROM parsed LEFT JOIN hits USING (page_id) GROUP BY page_id, fetched_at
 """
 
-_CONTROL = r"'<(\\*)\|(im_(?:start|end)\|>)', '<\1\\\\|\2', 'g'"
+_CONTROL = r"'<(\\*)\|(im_(?:start|end)\|>)', '<\1\\|\2', 'g'"
 
 _CHAT = rf"""
 WITH rows AS (
