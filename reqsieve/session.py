@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
+from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,9 +35,29 @@ def split_hot_keys(spark: SparkSession) -> SparkSession:
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings results and plans depend on: UTC clock, skew joins."""
+    ship_package(spark)
     return split_hot_keys(_set(spark, {"spark.sql.session.timeZone": "UTC"}))
 
 
+_SHIPPED = "reqsieve.shipped"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per application."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, _SHIPPED, False) or not root.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    folder = tempfile.TemporaryDirectory()  # Spark serves it from here as long as the application runs
+    path = Path(folder.name, "reqsieve.zip")
+    path.write_bytes(packed.getvalue())
+    context.addPyFile(str(path))
+    setattr(context, _SHIPPED, folder)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as named by ``spark.checkpoint.dir``.
 
@@ -47,6 +71,8 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    if not context.master.startswith("local") and folder.startswith("file:"):
+        raise RuntimeError(f"spark.checkpoint.dir is {folder}; set it to a folder all executors share")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
@@ -67,3 +93,32 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of this run from the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """The intermediate tables of one computation; they go when it ends.
+
+    What outlives the block must have been written elsewhere, e.g. by ``cut_lineage``.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.count = spark, scratch_path(spark, name), 0
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Like ``cut_lineage``."""
+        self.count += 1
+        path = f"{self.folder}/{self.count}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        remove(self.spark, self.folder)
