@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqsieve.llm import textbytes
-from reqsieve.session import cut_lineage, split_hot_keys
+from reqsieve.session import Scratch, cut_lineage, split_hot_keys
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_SAMPLES = 10, 3
@@ -250,33 +250,27 @@ def verify(pairs: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame:
 # --- classes ---------------------------------------------------------------------
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, label)``: the smallest node reached over the links ``(a, b)``, for every linked node.
 
     Each round takes the smallest label next door and then the label's own label, so chains
     shorten by halves; every round is a table in the shared folder.
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
-    both = cut_lineage(both.distinct(), "links")
-    labels = cut_lineage(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
+    both = scratch.table(both.distinct(), "links")
+    labels = scratch.table(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("next")), "other")
         lowest = near.groupBy("node").agg(F.min("next").alias("next"))
         stepped = labels.join(lowest, "node").select("node", F.col("label").alias("was"), F.least("label", "next").alias("label"))
         further = stepped.select(F.col("node").alias("label"), F.col("label").alias("root"))
         jumped = stepped.join(further, "label").select("node", "was", F.least("label", "root").alias("label"))
-        after = cut_lineage(jumped, "labels")
+        after = scratch.table(jumped, "labels")
         if after.filter(F.col("was") != F.col("label")).isEmpty():
             return after.select("node", "label")
         labels = after.select("node", "label")
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("node"))
-    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
 def _few(frame: DataFrame) -> DataFrame:
     """For the small side of a join: broadcast if counted small."""
     return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
@@ -294,48 +288,60 @@ def text_classes(docs: DataFrame, text: str = "text", id: str = "doc_id", simila
     """
     spark = split_hot_keys(docs.sparkSession)
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    with Scratch(spark, "neardup") as scratch:
+        return cut_lineage(_classes(rows, similarity, size, scratch), "classes")
+
+
+def _classes(rows: DataFrame, similarity: float, size: int, scratch: Scratch) -> DataFrame:
+    spark = rows.sparkSession
     total, frequencies = document_frequencies(rows, size=size)
     idf = spark.sparkContext.broadcast(inverse_frequencies(total, frequencies))
-    banded = cut_lineage(band_table(rows, idf, size), "bands")
+    banded = scratch.table(band_table(rows, idf, size), "bands")
     nodes = banded.filter("node IS NOT NULL AND size(bands) > 0").groupBy("node").agg(F.any_value("bands").alias("bands"))
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     firsts = keyed.groupBy("band", "key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = cut_lineage(keyed.join(firsts, ["band", "key"]), "buckets")
+    members = scratch.table(keyed.join(firsts, ["band", "key"]), "buckets")
     wanted = members.select("node").distinct()
     texts = rows.withColumn("node", fingerprint(F.col("text"))).join(_few(wanted), "node", "left_semi")
-    sets = cut_lineage(shingle_sets(texts, size).dropDuplicates(["node"]), "sets")
+    sets = scratch.table(shingle_sets(texts, size).dropDuplicates(["node"]), "sets")
 
     pairs = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    tested = cut_lineage(verify(pairs, sets, idf), "tested")
+    tested = scratch.table(verify(pairs, sets, idf), "tested")
     linked = tested.filter(F.col("similarity") >= similarity).select("a", "b")
-    labels = components(linked)
-    # members of one bucket in different classes, unless their distances to the bucket's first one forbid a link
-    distance = tested.select(F.col("a").alias("first"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    others = _labelled(members.filter("node <> first").join(distance, ["first", "node"]), labels)
-    split = others.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    others = others.join(split.select("band", "key"), ["band", "key"])
-    left = others.select("band", "key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("far").alias("far_a"))
-    right = others.select("band", "key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("far").alias("far_b"))
-    open_ = left.join(right, ["band", "key"]).filter("a < b AND label_a <> label_b")
-    open_ = open_.filter(F.abs(F.col("far_a") - F.col("far_b")) <= 1 - similarity + 1e-9).select("a", "b").distinct()
-    more = cut_lineage(verify(open_, sets, idf).filter(F.col("similarity") >= similarity).select("a", "b"), "more")
+    labels = components(linked, scratch)
+    more = scratch.table(_open_pairs(members, tested, labels, similarity), "open")
+    more = scratch.table(verify(more, sets, idf).filter(F.col("similarity") >= similarity).select("a", "b"), "more")
     if not more.isEmpty():
-        labels = components(linked.union(more))
+        labels = components(linked.union(more), scratch)
 
     classed = banded.select("doc_id", "node").join(labels, "node", "left")
     classed = classed.withColumn("class_node", F.coalesce("label", "node")).drop("label")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
     kept = classed.filter("node IS NOT NULL").groupBy("class_node").agg(F.min(order).alias("least"))
     classed = classed.join(kept, "class_node", "left")
-    stays = F.col("least").isNull() | (F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.node") == F.col("node")))
-    return classed.select(
-        "doc_id", "node", "class_node", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"), stays.alias("stays")
-    )
+    least = F.col("least")
+    stays = least.isNull() | (least["doc_id"].eqNullSafe(F.col("doc_id")) & (least["node"] == F.col("node")))
+    class_id = F.when(least.isNull(), F.col("doc_id")).otherwise(least["doc_id"])
+    return classed.select("doc_id", "node", "class_node", class_id.alias("class_id"), stays.alias("stays"))
+
+
+def _open_pairs(members: DataFrame, tested: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of one bucket in different classes, unless their distances to the bucket's
+    first node forbid a link."""
+    distance = tested.select(F.col("a").alias("first"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
+    others = members.filter("node <> first").join(distance, ["first", "node"]).join(labels, "node", "left")
+    others = others.withColumn("label", F.coalesce("label", "node"))
+    split = others.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    others = others.join(split.select("band", "key"), ["band", "key"])
+    left = others.select("band", "key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("far").alias("far_a"))
+    right = others.select("band", "key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("far").alias("far_b"))
+    near = F.abs(F.col("far_a") - F.col("far_b")) <= 1 - similarity + 1e-9
+    return left.join(right, ["band", "key"]).filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near).select("a", "b").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class of ``text_classes``, with its own columns; rows with null texts all stay."""
-    classes = cut_lineage(text_classes(docs, text, id, similarity), "classes")
+    classes = text_classes(docs, text, id, similarity)
     key = [F.col(id).cast("string").eqNullSafe(F.col("_id")), fingerprint(F.col(text).cast("string")) == F.col("_node")]
     named = classes.filter("node IS NOT NULL").select(F.col("doc_id").cast("string").alias("_id"), F.col("node").alias("_node"), "stays")
     gone = named.filter("NOT stays").drop("stays").distinct()

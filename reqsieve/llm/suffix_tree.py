@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqsieve.llm import textbytes
-from reqsieve.session import cut_lineage, split_hot_keys
+from reqsieve.session import Scratch, cut_lineage, split_hot_keys
 
 DEPTH = 6
 MIN_SHARE = 1e-5
@@ -237,7 +237,7 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return ((key.view(np.uint64) << np.uint64(1)) >> np.uint64(64 - HEAD_BITS)).astype(np.int64)
 
 
-def _candidate_contexts(grams: DataFrame, min_share: float) -> pa.Table:
+def _candidate_contexts(grams: DataFrame, min_share: float, scratch: Scratch) -> pa.Table:
     """Next-symbol counts of all contexts with at least ``min_share`` of the positions."""
     position = F.col("key")
     total = grams.agg(F.sum("n")).first()[0] or 0
@@ -245,7 +245,7 @@ def _candidate_contexts(grams: DataFrame, min_share: float) -> pa.Table:
     mask = F.element_at(F.array(*[F.lit((1 << _BITS * (d + 1)) - 1).cast("long") for d in range(DEPTH + 1)]), F.col("depth") + 1)
     levels = levels.groupBy("depth", position.bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n"))
     levels = levels.select("depth", F.shiftright("code", _BITS).alias("context"), F.col("code").bitwiseAND(_SYMBOLS - 1).alias("next"), "n")
-    levels = cut_lineage(levels, "contexts")
+    levels = scratch.table(levels, "contexts")
     frequent = levels.groupBy("depth", "context").agg(F.sum("n").alias("whole")).filter(F.col("whole") >= max(1.0, min_share * total))
     rows = levels.join(frequent, ["depth", "context"], "left_semi")
     return rows.select(*[F.col(c).cast("long").alias(c) for c in ("depth", "context", "next", "n")]).toArrow()
@@ -288,8 +288,14 @@ def score_texts(
     """
     spark = split_hot_keys(docs.sparkSession)
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
+    with Scratch(spark, "suffix-tree") as scratch:
+        return cut_lineage(_scores(rows, min_share, divergence, head_words, scratch), "scores")
+
+
+def _scores(rows: DataFrame, min_share: float, divergence: float, head_words: int, scratch: Scratch) -> DataFrame:
+    spark = rows.sparkSession
     learned = rows.filter("training").select("text").mapInArrow(_counted, "key long, n long")
-    counts = cut_lineage(learned.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    counts = scratch.table(learned.groupBy("key").agg(F.sum("n").alias("n")), "counts")
     words = counts.filter("key < 0")
     bytes_ = np.zeros(256)
     for row in counts.filter(F.col("key") >= _BYTE_KEY).collect():  # 256 rows
@@ -298,7 +304,7 @@ def score_texts(
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = int(total) + ends, distinct + (ends > 0)
     grams = counts.filter((F.col("key") >= 0) & (F.col("key") < _BYTE_KEY))
-    model = spark.sparkContext.broadcast((grow(_candidate_contexts(grams, min_share), bytes_, divergence), _head(words, ends, head_words)))
+    model = spark.sparkContext.broadcast((grow(_candidate_contexts(grams, min_share, scratch), bytes_, divergence), _head(words, ends, head_words)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, head = model.value
@@ -323,10 +329,10 @@ def score_texts(
                     names=["doc_id", "training", "n_tokens", "known", "base", "score", "rest"],
                 )
 
-    fields = [T.StructField("doc_id", docs.schema[id].dataType), T.StructField("training", T.BooleanType())]
+    fields = [rows.schema["doc_id"], T.StructField("training", T.BooleanType())]
     fields += [T.StructField(c, T.LongType()) for c in ("n_tokens", "known")] + [T.StructField(c, T.DoubleType()) for c in ("base", "score")]
     scored = rows.mapInArrow(task, T.StructType([*fields, T.StructField("rest", T.ArrayType(T.LongType()))]))
-    scored = cut_lineage(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = scratch.table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     looked_up = scored.select("row", F.explode("rest").alias("key")).join(words.select("key", "n"), "key", "left")
     rest = looked_up.groupBy("row").agg(F.count("n").alias("rest_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("rest_base"))
     each = float(np.log10(total + distinct + 1))
