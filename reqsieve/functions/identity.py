@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from reqsieve.schemas import RAW_REQUEST
 
 _SEPARATOR = "\x1f"
-_NULL = "\\N"
+# A null is told from any text by its mark.
+_NULL, _VALUE = "n", "v"
 
 
 def features_id(columns: Sequence[str] = tuple(RAW_REQUEST.fieldNames()), method: str = "md5") -> Column:
@@ -20,7 +21,7 @@ def features_id(columns: Sequence[str] = tuple(RAW_REQUEST.fieldNames()), method
     cheaper and enough where an id only spreads rows.
     """
     if method == "md5":
-        texts = [F.coalesce(F.col(c).cast("string"), F.lit(_NULL)) for c in columns]
+        texts = [F.coalesce(F.concat(F.lit(_VALUE), F.col(c).cast("string")), F.lit(_NULL)) for c in columns]
         return F.md5(F.concat_ws(_SEPARATOR, *texts))
     if method == "xxhash64":
         # xxhash64 skips nulls, so their positions are hashed as well.

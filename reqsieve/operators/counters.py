@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reqsieve.functions.periods import period_interval
+from reqsieve.functions.periods import period_millis
 from reqsieve.operators.score import FAILURE, OK, gated
 from reqsieve.schemas import COUNTERS
 
@@ -81,17 +81,21 @@ def count_total(scored: DataFrame, by: Sequence[str] = (), threshold: float | No
     return present(aggregate_counters(scored, by, threshold))
 
 
+def window_start(ts: Column, period: str) -> Column:
+    """Start of the tumbling window of a moment, counted from 1970; null for a null moment."""
+    micros = F.unix_micros(ts.cast("timestamp"))
+    return F.timestamp_micros(micros - F.pmod(micros, F.lit(period_millis(period) * 1000)))
+
+
 def window_counters(
     scored: DataFrame, period: str = "PT30S", ts: str = "ts", by: Sequence[str] = (), threshold: float | None = 0.7
 ) -> DataFrame:
-    """Tumbling windows in additive form; also the streaming aggregate."""
-    deltas = event_deltas(threshold)
-    events = scored.select(ts, *by, *[value.alias(name) for name, value in deltas.items()])
-    return (
-        events.groupBy(F.window(F.col(ts), period_interval(period)).alias("window"), *by)
-        .agg(*counter_sums())
-        .select(F.col("window.start").alias("window_start"), *by, *COUNTERS, MICROS)
-    )
+    """Tumbling windows in additive form.
+
+    Events without a time are counted under a null ``window_start``, so the
+    windows always add up to the total.
+    """
+    return aggregate_counters(scored, [window_start(F.col(ts), period).alias("window_start"), *by], threshold)
 
 
 def merge_counters(parts: DataFrame, by: Sequence[Column | str] = (), compat: bool = False) -> DataFrame:
@@ -124,3 +128,9 @@ def log_line() -> Column:
 
 def log_lines(counters: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return counters.select(*keys, log_line().alias("line"))
+
+
+def keyed_log_lines(counters: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Report lines that say what they are about: ``window_start=...,monitor_id=...,`` and the counters."""
+    named = [F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit(""))) for k in keys]
+    return counters.select(F.concat_ws(",", *named, log_line()).alias("line"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqsieve.operators.score import FAILURE
@@ -19,6 +19,33 @@ def confusion_matrix(scored: DataFrame, real: str = "real_positive", predicted:
     )
 
 
+def area_under_roc(scored: DataFrame, score: str, positive: Column) -> DataFrame:
+    """``positives``, ``negatives`` and the exact ``area_under_roc`` (null without either), one row.
+
+    The share of pairs of a positive and a negative row in which the positive one
+    scores higher; ties count half. Rows are first counted per distinct score. The
+    scores are then range-sorted, and each partition counts from the negatives of
+    the partitions before it, so no task sees more than its own scores.
+    """
+    hit = F.count_if(positive).alias("p"), F.count_if(~positive).alias("n")
+    counts = scored.groupBy(F.col(score).alias("score")).agg(*hit).repartitionByRange("score")
+    placed = counts.withColumn("part", F.spark_partition_id())
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
+    below = placed.withColumn("below", F.coalesce(inside, F.lit(0)))
+    own = below.groupBy("part").agg(
+        F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("won")
+    )
+    # one row per partition from here on
+    earlier = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    summed = own.withColumn("earlier", F.coalesce(earlier, F.lit(0))).agg(
+        F.coalesce(F.sum("p"), F.lit(0)).alias("positives"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("negatives"),
+        F.sum(F.col("won") + F.col("p") * F.col("earlier")).alias("won"),
+    )
+    pairs = F.col("positives").cast("double") * F.col("negatives")
+    return summed.select("positives", "negatives", F.try_divide("won", pairs).alias("area_under_roc"))
+
+
 def quality(scored: DataFrame, real: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """Accuracy, precision and recall of ``predicted`` against ``real``, in one pass.
 

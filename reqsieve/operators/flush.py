@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reqsieve.functions.periods import period_millis
@@ -41,11 +41,18 @@ MAX_FANOUT = 1024
 # The task functions travel by value, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# A null monitor is a monitor of its own, told from any name by its mark.
+_MONITOR, _NO_MONITOR = "m", "n"
+
 _NEVER = np.iinfo(np.int64).min
 _STEPS = "monitor_id string, node long, upto long, last long"
 _ENTRIES = "monitor_id string, node long, entry long, last long"
 
 
+def _key(monitor: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(_MONITOR), monitor.cast("string")), F.lit(_NO_MONITOR))
+
+
 def _children(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Each child node in time order with its steps; a child without any is empty."""
     known = rows["upto"].is_valid()
@@ -155,12 +162,17 @@ def flush_partials(
     ``starts`` (``monitor_id, start_ms``) gives the moment a monitor's first
     window begins; a monitor without one begins at its first event. Events
     earlier than the start count into that first window. ``ts`` and ``order``
-    must not be null; together they are the order of arrival.
+    together are the order of arrival; a null ``order`` comes first at its time.
+    Events without a time belong to no moment: they are one closed window per
+    monitor without a start, so that all windows add up to all events.
     """
     millis = period_millis(period)
     deltas = event_deltas(threshold)
-    events = scored.select(
-        F.coalesce(F.col(monitor).cast("string"), F.lit("")).alias("monitor_id"),
+    if starts is not None:
+        starts = starts.filter("start_ms IS NOT NULL").withColumn("monitor_id", _key(F.col("monitor_id")))
+    timeless = scored.filter(F.col(ts).isNull())
+    events = scored.filter(F.col(ts).isNotNull()).select(
+        _key(F.col(monitor)).alias("monitor_id"),
         F.col(ts).cast("timestamp").alias("ts"),
         F.col(order).alias("seq"),
         F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"),
@@ -234,7 +246,16 @@ def flush_partials(
         F.lit(None).cast("timestamp").alias("last_ts"),
         F.lit(False).alias("closed"),
     )
-    return merge_partials(counted.unionByName(opened))
+    apart = timeless.select(_key(F.col(monitor)).alias("monitor_id"), *[value.alias(name) for name, value in deltas.items()])
+    apart = apart.groupBy("monitor_id").agg(*counter_sums()).select(
+        "monitor_id",
+        F.lit(None).cast("bigint").alias("start_ms"),
+        *deltas,
+        F.lit(None).cast("timestamp").alias("last_ts"),
+        F.lit(True).alias("closed"),
+    )
+    merged = merge_partials(counted.unionByName(opened).unionByName(apart))
+    return merged.withColumn("monitor_id", F.when(F.col("monitor_id") != _NO_MONITOR, F.expr(f"substring(monitor_id, {len(_MONITOR) + 1})")))
 
 
 def merge_partials(parts: DataFrame) -> DataFrame:

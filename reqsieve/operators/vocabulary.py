@@ -47,13 +47,21 @@ def vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def attach_index(df: DataFrame, vocabulary: DataFrame, column: str, output: str) -> DataFrame:
+def sizes(vocabulary: DataFrame) -> dict[str, tuple[int, int]]:
+    """Categories of each feature and the bytes they take in a join, from one job over a
+    written vocabulary."""
+    width = F.octet_length("category") + 2 * 8
+    counted = vocabulary.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
+    return {r.feature: (r.n, r.bytes) for r in counted.collect()}  # one row per feature
+
+
+def attach_index(df: DataFrame, vocabulary: DataFrame, column: str, output: str, known_bytes: int | None = None) -> DataFrame:
     """Index of each row's category; rows with an unseen category are left out.
 
-    A list counted small is broadcast. A larger one is a shuffle join, where
-    AQE splits the partition of a hot category.
+    A list counted small (by the caller, where ``known_bytes`` is given) is broadcast.
+    A larger one is a shuffle join, where AQE splits the partition of a hot category.
     """
     side = vocabulary.filter(F.col("feature") == column).select(
         F.col("category").alias("__category"), F.col("idx").cast("double").alias(output)
     )
-    return df.join(join_side(side), F.col(column).cast("string") == F.col("__category")).drop("__category")
+    return df.join(join_side(side, known_bytes=known_bytes), F.col(column).cast("string") == F.col("__category")).drop("__category")

@@ -27,6 +27,8 @@ INTERCEPT, NUMERIC, CATEGORY = "intercept", "numeric", "category"
 # Up to this many categories of a feature become a CASE expression inside the
 # generated code; more are looked up by a join.
 INLINE_CATEGORIES = 64
+# Coefficients handed to Spark at once.
+SLOT_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -149,20 +151,28 @@ def coefficient_table(
     return coefficient_frame(spark, coefficient_rows(model_date, lr.intercept, numeric, categories))
 
 
-def wide_coefficient_table(spark: SparkSession, model: WideModel, model_date: str) -> DataFrame:
+def wide_coefficient_table(
+    spark: SparkSession, model: WideModel, model_date: str, declared: T.StructType | None = None
+) -> DataFrame:
     """The coefficient table of a ``fit_wide`` model; categories never leave their table."""
+    if declared is not None:
+        _check_fields(declared, model.numeric, model.sizes)
     weights = model.regression.coefficients.toArray()
     numbers = dict(zip(model.numeric, weights))
     frame = coefficient_frame(spark, coefficient_rows(model_date, model.regression.intercept, numbers, {}))
     at = len(model.numeric)
     for feature, size in model.sizes.items():
-        own = weights[at : at + size - 1]
-        at += size - 1
+        own = weights[at : at + max(size - 1, 0)]
+        at += len(own)
         used = own.nonzero()[0]
-        slots = spark.createDataFrame(
-            pd.DataFrame({"idx": used.astype("int64"), "weight": own[used]}), "idx long, weight double"
-        )
-        entries = model.categories.filter(F.col("feature") == feature).join(join_side(slots), "idx", "left")
+        # the vector is on the driver already: Spark ML's regression keeps it there
+        slots = None
+        for first in range(0, max(1, len(used)), SLOT_ROWS):
+            part = used[first : first + SLOT_ROWS]
+            rows = spark.createDataFrame(pd.DataFrame({"idx": part.astype("int64"), "weight": own[part]}), "idx long, weight double")
+            slots = rows if slots is None else slots.unionByName(rows)
+        side = join_side(slots, known_bytes=32 * len(used))
+        entries = model.categories.filter(F.col("feature") == feature).join(side, "idx", "left")
         frame = frame.unionByName(
             entries.select(
                 F.lit(model_date).alias("model_date"),

@@ -13,11 +13,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reqsieve.operators.vocabulary import attach_index, vocabulary
+from reqsieve.operators.vocabulary import attach_index, sizes, vocabulary
 from reqsieve.schemas import LABEL
 from reqsieve.session import cut_lineage
-from reqsieve.sizing import BROADCAST_ROWS, fits
+from reqsieve.sizing import BROADCAST_BYTES, fits
 
 # Split shares and the regression's settings.
 SPLIT = (0.8, 0.1, 0.1)
@@ -48,7 +49,7 @@ class Splits:
 
 
 def random_split(df: DataFrame, weights: Sequence[float] = SPLIT, seed: int | None = None) -> Splits:
-    """Three random parts of a table.
+    """Three random parts of a table, drawn anew by each reader; ``stored_split`` draws once.
 
     Each part draws the rows again, so ``df`` should be read from files (a scan
     or a written table) to give every draw the same partitions; after joins or
@@ -57,6 +58,18 @@ def random_split(df: DataFrame, weights: Sequence[float] = SPLIT, seed: int | No
     return Splits(*df.randomSplit(list(weights), seed))
 
 
+def stored_split(df: DataFrame, path: str, weights: Sequence[float] = SPLIT, seed: int | None = None) -> Splits:
+    """Three random parts, drawn once and written as one table; each part reads its own files."""
+    names = ("train", "cv", "test")
+    draw = F.rand(seed) * sum(weights)
+    part = F.lit(names[-1])
+    for name, bound in reversed(list(zip(names[:-1], (weights[0], weights[0] + weights[1])))):
+        part = F.when(F.col("_draw") < bound, name).otherwise(part)
+    df.withColumn("_draw", draw).withColumn("_part", part).drop("_draw").write.partitionBy("_part").parquet(path)
+    stored = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_part", T.StringType())])).parquet(path)
+    return Splits(*[stored.filter(F.col("_part") == name).drop("_part") for name in names])
+
+
 def hash_bucket(key: Column | str, buckets: int = 10) -> Column:
     """A row's bucket from its key alone: the same on every run and engine."""
     key = F.col(key) if isinstance(key, str) else key
@@ -84,22 +97,30 @@ def _vector(name: str) -> str:
 
 
 class TooManyCategories(ValueError):
-    """The categories do not fit a Spark ML indexer; ``fit_wide`` takes any number."""
+    """The categories do not fit a Spark ML indexer; ``fit_wide`` and ``tune`` take any number."""
+
+
+def complete(rows: DataFrame, numeric: Sequence[str] = NUMERIC, label: str = LABEL) -> DataFrame:
+    """Rows that can be learned from: no number and no label is null or NaN."""
+    whole = F.lit(True)
+    for name in (*numeric, label):
+        whole = whole & F.col(name).isNotNull() & ~F.isnan(F.col(name).cast("double"))
+    return rows.filter(whole)
 
 
 def fit_indexers(
-    df: DataFrame, columns: Sequence[str] = CATEGORICAL, handle_invalid: str = "skip", limit: int = BROADCAST_ROWS
+    df: DataFrame, columns: Sequence[str] = CATEGORICAL, handle_invalid: str = "skip", limit: int = BROADCAST_BYTES
 ) -> list[StringIndexerModel]:
     """One indexer per column, all from one pass: categories by falling frequency,
     ties in text order.
 
     ``skip`` is set on the fitted models: rows with an unseen category are left
     out of training. An indexer keeps its labels on the driver and in every
-    task, so the list is counted first.
+    task, so their bytes are counted first.
     """
-    known = vocabulary(df, columns)
+    known = cut_lineage(vocabulary(df, columns), "categories")
     if not fits(known, limit):
-        raise TooManyCategories(f"more than {limit} categories in {', '.join(columns)}")
+        raise TooManyCategories(f"more than {limit} bytes of categories in {', '.join(columns)}")
     rows = known.orderBy("feature", "idx").collect()
     return [
         StringIndexerModel.from_labels([r.category for r in rows if r.feature == c], c, _index(c), handle_invalid)
@@ -112,7 +133,7 @@ def one_hot(columns: Sequence[str] = CATEGORICAL) -> OneHotEncoder:
 
 
 def _assembler(categorical: Sequence[str], numeric: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=[*numeric, *map(_vector, categorical)], outputCol=FEATURES)
+    return VectorAssembler(inputCols=[*numeric, *map(_vector, categorical)], outputCol=FEATURES, handleInvalid="skip")
 
 
 def feature_stages(source: DataFrame, categorical: Sequence[str] = CATEGORICAL, numeric: Sequence[str] = NUMERIC) -> list:
@@ -144,14 +165,15 @@ def fit(
     label: str = LABEL,
     params: Mapping[str, float] | None = None,
 ) -> PipelineModel:
-    """Fit the whole pipeline on ``train``.
+    """Fit the whole pipeline on ``train``, for as many categories as Spark ML's indexers hold.
 
-    The categories come from ``source``: pass the full data set to know the
+    Rows with a null number or label are left out, as rows with an unseen
+    category are; ``fit_wide`` counts both. The categories come from ``source``: pass the full data set to know the
     categories of the held-out parts too, or ``train`` itself.
     """
     lr = regression(label)
     pipeline = Pipeline(stages=[*feature_stages(source, categorical, numeric), lr])
-    return pipeline.fit(train, overrides(lr, **_settings(params)))
+    return pipeline.fit(complete(train, numeric, label), overrides(lr, **_settings(params)))
 
 
 @dataclass(frozen=True)
@@ -159,10 +181,78 @@ class WideModel:
     """A regression over categories kept in a table instead of on the driver."""
 
     regression: LogisticRegressionModel
-    categories: DataFrame
-    sizes: Mapping[str, int]
+    encoding: Encoding
+
+    @property
+    def categories(self) -> DataFrame:
+        return self.encoding.known
+
+    @property
+    def sizes(self) -> Mapping[str, int]:
+        return {c: self.encoding.sizes[c][0] for c in self.encoding.categorical}
+
+    @property
+    def numeric(self) -> Sequence[str]:
+        return self.encoding.numeric
+
+    def transform(self, rows: DataFrame, keep: Sequence[str] = (LABEL,)) -> DataFrame:
+        """Predictions for the rows that are complete and of known categories."""
+        return self.regression.transform(self.encoding.assemble(rows, keep))
+
+    def pipeline(self) -> PipelineModel:
+        """The stages after indexing, as Spark ML stores them."""
+        return PipelineModel([*self.encoding.stages(), self.regression])
+
+
+@dataclass(frozen=True)
+class Encoding:
+    """Indexing by joins, one-hot and assembly, for any number of categories.
+
+    ``sizes``: categories and bytes of each feature, counted in one job.
+    """
+
+    known: DataFrame
+    sizes: Mapping[str, tuple[int, int]]
+    categorical: Sequence[str]
     numeric: Sequence[str]
 
+    @classmethod
+    def of(cls, source: DataFrame, categorical: Sequence[str], numeric: Sequence[str]) -> Encoding:
+        if not categorical:
+            return cls(source.limit(0), {}, (), tuple(numeric))
+        known = cut_lineage(vocabulary(source, categorical), "categories")
+        return cls(known, {c: (0, 0) for c in categorical} | sizes(known), tuple(categorical), tuple(numeric))
+
+    def index(self, rows: DataFrame) -> DataFrame:
+        for column in self.categorical:
+            count, used = self.sizes[column]
+            rows = attach_index(rows, self.known, column, _index(column), known_bytes=used)
+            # The encoder takes its width from here instead of scanning for it.
+            nominal = {"ml_attr": {"type": "nominal", "num_vals": count}}
+            rows = rows.withColumn(_index(column), F.col(_index(column)).alias(_index(column), metadata=nominal))
+        return rows
+
+    def stages(self) -> list:
+        stages = [one_hot(self.categorical)] if self.categorical else []
+        blank = [F.lit(0.0).alias(_index(c), metadata={"ml_attr": {"type": "nominal", "num_vals": self.sizes[c][0]}}) for c in self.categorical]
+        numbers = [F.lit(0.0).alias(n) for n in self.numeric]
+        shape = self.known.sparkSession.range(0).select(*blank, *numbers)
+        return Pipeline(stages=[*stages, _assembler(self.categorical, self.numeric)]).fit(shape).stages
+
+    def assemble(self, rows: DataFrame, keep: Sequence[str] = (LABEL,)) -> DataFrame:
+        """``features`` and the columns ``keep`` of the rows that can be used."""
+        columns = dict.fromkeys([*self.numeric, *self.categorical, *keep])
+        indexed = self.index(complete(rows.select(*columns), self.numeric, self.numeric[0] if self.numeric else keep[0]))
+        return PipelineModel(self.stages()).transform(indexed).select(FEATURES, *keep)
+
+
+def left_out(rows: DataFrame, encoding: Encoding, label: str = LABEL) -> dict[str, int]:
+    """How many rows are used, and how many are not for want of a number, a label or a known category."""
+    whole = complete(rows, encoding.numeric, label)
+    total, usable = rows.count(), whole.count()
+    used = encoding.index(whole.select(*encoding.categorical, label)).count() if encoding.categorical else usable
+    return {"rows_used": used, "rows_null": total - usable, "rows_unseen": usable - used}
+
 
 def fit_wide(
     train: DataFrame,
@@ -177,26 +267,22 @@ def fit_wide(
     Categories are indexed by joins; only the coefficient vector, which the
     regression needs whole, is as long as the vocabulary.
     """
-    known = cut_lineage(vocabulary(source, categorical), "categories")
-    sizes = {r.feature: r.n for r in known.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = train.select(*numeric, *categorical, label)
-    for column in categorical:
-        rows = attach_index(rows, known, column, _index(column))
-        # The encoder takes its width from here instead of scanning for it.
-        nominal = {"ml_attr": {"type": "nominal", "num_vals": sizes[column]}}
-        rows = rows.withColumn(_index(column), F.col(_index(column)).alias(_index(column), metadata=nominal))
-    stages = [one_hot(categorical)] if categorical else []
-    ready = Pipeline(stages=[*stages, _assembler(categorical, numeric)]).fit(rows).transform(rows)
+    encoding = Encoding.of(source, categorical, numeric)
     lr = regression(label)
-    model = lr.fit(ready.select(FEATURES, label), overrides(lr, **_settings(params)))
-    return WideModel(model, known, {c: sizes[c] for c in categorical}, tuple(numeric))
+    ready = encoding.assemble(complete(train, numeric, label), [label])
+    return WideModel(lr.fit(ready, overrides(lr, **_settings(params))), encoding)
 
 
 @dataclass(frozen=True)
 class Trial:
     params: Mapping[str, float]
     area_under_roc: float
-    model: PipelineModel
+    model: WideModel
+
+
+def _area(label: str) -> BinaryClassificationEvaluator:
+    # No binning: the area over all distinct scores.
+    return BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0)
 
 
 def tune(
@@ -206,35 +292,38 @@ def tune(
     categorical: Sequence[str] = CATEGORICAL,
     numeric: Sequence[str] = NUMERIC,
     label: str = LABEL,
-    max_iter: int = MAX_ITER,
+    params: Mapping[str, float] | None = None,
 ) -> list[Trial]:
-    """Fit every grid point on the training part and rank them on the cv part.
+    """Fit every grid point on the training part and rank them on the cv part, the best first.
 
-    The feature stages run once; their output is cached for all the fits.
+    The features are made once, and written; all fits read them. ``params``
+    are the settings that the grid leaves alone.
     """
-    features = Pipeline(stages=feature_stages(source, categorical, numeric)).fit(splits.train)
-    ready = [features.transform(part).select(FEATURES, label).persist() for part in (splits.train, splits.cv)]
-    lr = regression(label)
-    judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+    encoding = Encoding.of(source, categorical, numeric)
+    parts = [complete(part, numeric, label) for part in (splits.train, splits.cv)]
+    ready = [cut_lineage(encoding.assemble(part, [label]), "features").persist() for part in parts]
+    lr, judge = regression(label), _area(label)
     trials = []
     try:
         for values in product(*grid.values()):
-            params = {**dict(zip(grid, values)), "maxIter": max_iter}
-            model = lr.fit(ready[0], overrides(lr, **params))
-            area = judge.evaluate(model.transform(ready[1]))
-            trials.append(Trial(params, area, PipelineModel([*features.stages, model])))
+            settings = {**_settings(params), **dict(zip(grid, values))}
+            model = lr.fit(ready[0], overrides(lr, **settings))
+            trials.append(Trial(settings, judge.evaluate(model.transform(ready[1])), WideModel(model, encoding)))
     finally:
         for part in ready:
             part.unpersist()
     return sorted(trials, key=lambda t: -t.area_under_roc)
 
 
-def evaluate(model: PipelineModel, test: DataFrame, label: str = LABEL) -> dict[str, float]:
-    """Area under ROC and accuracy on a held-out part."""
-    scored = model.transform(test).select(label, "rawPrediction", "prediction").persist()
+def evaluate(model: PipelineModel | WideModel, test: DataFrame, label: str = LABEL) -> dict[str, float]:
+    """Area under ROC and accuracy on a held-out part, and the share of its rows that could be
+    evaluated (``coverage``): the others have a null or an unseen category."""
+    scored = model.transform(test).select(label, "rawPrediction", "prediction").filter(F.col(label).isNotNull()).persist()
     try:
-        area = BinaryClassificationEvaluator(labelCol=label).evaluate(scored)
-        accuracy = scored.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+        area = _area(label).evaluate(scored)
+        right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
+        accuracy, evaluated = scored.agg(right, F.count(F.lit(1))).first()
     finally:
         scored.unpersist()
-    return {"area_under_roc": area, "accuracy": accuracy}
+    total = test.count()
+    return {"area_under_roc": area, "accuracy": accuracy, "coverage": evaluated / total if total else 0.0}

@@ -24,14 +24,13 @@ requests as (
   join orders o on o.o_orderkey = e.event_id
   join customer c on c.c_custkey = o.o_custkey
   join nation n on n.n_nationkey = c.c_nationkey
-  join part p on p.p_partkey = e.event_id % 200
+  join part p on p.p_partkey = e.event_id % (select count(*) from part)
 )"""
 
-_ID = """md5(concat_ws(chr(31), coalesce(cast(publisherId as varchar), '\\N'), coalesce(country, '\\N'),
-    coalesce(cast(age as varchar), '\\N'), coalesce(gender, '\\N'), coalesce(brand, '\\N'),
-    coalesce(cast(height as varchar), '\\N'), coalesce(cast(width as varchar), '\\N'),
-    coalesce(connectionType, '\\N'), coalesce(cast(withBundleId as varchar), '\\N'),
-    coalesce(cast(withGeoInfo as varchar), '\\N'), coalesce(cast(rtbFloorSent as varchar), '\\N')))"""
+_ID = "md5(concat_ws(chr(31), {}))".format(", ".join(
+    f"coalesce('v' || cast({c} as varchar), 'n')" for c in
+    ("publisherId", "country", "age", "gender", "brand", "height", "width", "connectionType", "withBundleId", "withGeoInfo", "rtbFloorSent")
+))
 
 _GENDER = {
     "training": "case when gender is null or gender = 'null' then 'NA' else gender end",
@@ -161,22 +160,65 @@ def _indexed(source: str) -> str:
 
 
 def _one_hot() -> str:
-    slots = ", ".join(
-        f"case when {n}_1 <= {i} then null when rank_{c}.idx = {i} then 1 else 0 end::bigint as {c}_{i}"
-        for c, n in (("gender", "ng"), ("conType", "nc"))
-        for i in range(4)
+    return _with(
+        _REQUESTS,
+        f"normal as ({_rows('training')})",
+        _ranked(_CATEGORICAL, "normal"),
+        query=" union all ".join(
+            f"""select request_id, '{c}' as feature, case when idx < n - 1 then idx else -1 end::bigint as slot, (n - 1)::bigint as slots
+                from normal join rank_{c} on rank_{c}.category = normal.{c}, (select count(*) as n from rank_{c})"""
+            for c in _CATEGORICAL
+        ),
     )
+
+
+def _assembled() -> str:
+    joins = " ".join(f"join rank_{c} on rank_{c}.category = normal.{c}" for c in _CATEGORICAL)
+    widths = " + ".join(f"(select count(*) - 1 from rank_{c})" for c in _CATEGORICAL)
+    active = " + ".join(f"(rank_{c}.idx < (select count(*) - 1 from rank_{c}))::bigint" for c in _CATEGORICAL)
+    numbers = ("age", "height", "width", "withBundleId", "withGeo", "rtbFloorPriceSent")
+    filled = " + ".join(f"({c} <> 0)::bigint" for c in numbers)
     return _with(
         _REQUESTS,
         f"normal as ({_rows('training')})",
-        _ranked({"gender": "", "conType": ""}, "normal"),
-        "sizes as (select (select count(*) from rank_gender) - 1 as ng_1, (select count(*) from rank_conType) - 1 as nc_1)",
-        query=f"""select request_id, {slots} from normal
-            join rank_gender on rank_gender.category = normal.gender
-            join rank_conType on rank_conType.category = normal.conType, sizes""",
+        _ranked(_CATEGORICAL, "normal"),
+        query=f"""select request_id, (6 + {widths})::bigint as slots, ({active} + {filled})::bigint as filled,
+            round({" + ".join(numbers)} + {active}, 4) as total from normal {joins}""",
+    )
+
+
+# A regression on one category without penalty: the log-odds of each category in the training part.
+_ODDS = f"""normal as ({_rows('training')}),
+ranked as (select gender as category, row_number() over (order by count(*) desc, gender) as place, count(*) over () as places
+  from normal group by gender),
+parts as (select *, {{part}} as part from normal),
+rates as (select gender, avg(isWinning) as rate, ln(sum(isWinning) / sum(1 - isWinning)) as odds
+  from parts where part = 'train' group by gender)"""
+
+
+def _odds() -> str:
+    return _ODDS.format(part=_hash_part("request_id"))
+
+
+def _coefficients() -> str:
+    last = "(select odds from rates join ranked on category = gender where place = places)"
+    return _with(
+        _REQUESTS,
+        _odds(),
+        query=f"""select '(intercept)' as feature, 'intercept' as kind, null::varchar as category, round({last}, 4) as coefficient
+            union all select 'gender', 'category', category, round(odds - {last}, 4) from rates join ranked on category = gender""",
     )
 
 
+def _area(part: str) -> str:
+    """Area under ROC of the category rates on a part, by counting pairs."""
+    return f"""
+scores as (select rate as score, isWinning = 1.0 as won from parts join rates using (gender) where part = '{part}'),
+tallies as (select score, count(*) filter (won) as p, count(*) filter (not won) as n from scores group by score),
+areas as (select sum(p * (coalesce(below, 0) + n / 2.0)) / (sum(p) * sum(n)) as area, sum(p) as p, sum(n) as n
+  from (select *, sum(n) over (order by score rows between unbounded preceding and 1 preceding) as below from tallies))"""
+
+
 _SCORE_COLUMNS = """request_id, featuresId as features_id, status, prediction, round(p0, 6) as probability_0,
     round(p1, 6) as probability_1, to_filter, case when p1 is not null then round(precision, 6) end as precision"""
 
@@ -440,7 +482,79 @@ def oracle_sql() -> dict[str, str]:
             f"""select isWinning as real, prediction as predicted, count(*) as n from scored
                 where status = 'ok' and {_hash_part('request_id')} = 'test' group by 1, 2"""
         ),
+        "assembled": _assembled(),
+        "normalize_custom_rules": _with(
+            _REQUESTS,
+            query="""select request_id, cast(publisherId as varchar) as publisherId,
+                case when country is null or country in ('', 'FRANCE', 'CHINA') then 'NA' else country end as country,
+                case when gender is null or gender in ('F', 'null') then 'NA' else gender end as gender,
+                case when brand is null or brand in ('Brand#11', 'Brand#23') then 'NA' else brand end as brand,
+                connectionType as conType from requests""",
+        ),
+        "declared_schema": _with(
+            _REQUESTS,
+            query="""select * from (values ('publisherId', 'bigint', 'string'), ('feature1', 'string', null)) as v(field, declared, found),
+                (select count(*) as n_rows from requests)""",
+        ),
+        "train_saturated": _coefficients(),
+        "train_pipeline_saturated": _coefficients(),
+        "tune_saturated": _with(
+            _REQUESTS,
+            _odds(),
+            _area("cv"),
+            query="""select 0.0::double as reg_param, 1.0::double as elastic_net_param, round(area, 6) as area_under_roc from areas
+                union all select 10.0, 1.0, 0.5""",
+        ),
+        "holdout_saturated": _with(
+            _REQUESTS,
+            _odds(),
+            _area("test"),
+            query="""select round(area, 6) as area_under_roc,
+                (select round(avg(((score > 0.5) = won)::int), 6) from scores) as accuracy,
+                round((p + n) / (select count(*) from parts where part = 'test'), 6) as coverage from areas""",
+        ),
+        "model_round_trip": _with(
+            _REQUESTS,
+            _odds(),
+            query="""select request_id, round(rate, 4) as pipeline_probability, round(rate, 4) as published_probability
+                from parts join rates using (gender) where part = 'test'""",
+        ),
+        "split_sizes": _with(
+            _REQUESTS,
+            f"parts as (select {_hash_part('request_id')} as part from requests)",
+            query="""select part, count(*) as cached_rows, count(*) as rows, true as was_cached from parts group by part""",
+        ),
+        "stored_split": _with(
+            _REQUESTS,
+            query="""select part, n_rows, true as near_its_share
+                from (values ('train'), ('cv'), ('test')) as v(part), (select count(*) as n_rows from requests)""",
+        ),
+        "holdout_fixed": _score(
+            """select p::bigint as positives, n::bigint as negatives, round(area, 6) as area_under_roc from areas""",
+            "training",
+            f"""tallies as (select p1 as score, count(*) filter (isWinning = 1.0) as p, count(*) filter (isWinning <> 1.0) as n
+                from scored where status = 'ok' and {_hash_part('request_id')} = 'test' group by p1)""",
+            """areas as (select sum(p * (coalesce(below, 0) + n / 2.0)) / (sum(p) * sum(n)) as area, sum(p) as p, sum(n) as n
+                from (select *, sum(n) over (order by score rows between unbounded preceding and 1 preceding) as below from tallies))""",
+        ),
+        "counters_null_ts": _report(
+            "case when request_id % 10 <> 0 then date_trunc('day', ts) end as window_start", "window_start"
+        ),
+        "sink_switches": _with(
+            _REQUESTS,
+            "windows as (select distinct time_bucket(interval '7 days', ts, timestamp '1970-01-01') as w, monitor_id from requests)",
+            query="""select m as metric_monitoring, l as send_metric_logging, case when m then 5 * n else 0 end::bigint as metric_rows,
+                case when l then n else 0 end::bigint as log_lines
+                from (values (true, true), (true, false), (false, true), (false, false)) as v(m, l), (select count(*) as n from windows)""",
+        ),
         "stream_score": score_fixed,
+        "stream_counters_late": tumbling,
+        "stream_metric_deltas": _score(
+            " union all ".join(f"select monitor_id, '{name}' as metric, {c} as value from counted" for name, c in metrics),
+            "training",
+            _gated(),
+            _counted("monitor_id"),
+        ),
         "stream_counters": tumbling,
         "stream_flush": flush,
     }

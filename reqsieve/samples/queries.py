@@ -8,19 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from reqsieve.config import EngineConfig
 from reqsieve.functions.identity import features_id
 from reqsieve.operators import counters, evaluation, flush, normalize, score
 from reqsieve.operators import vocabulary as vocabularies
 from reqsieve.plans import batch, portable, training
-from reqsieve.schemas import COUNTERS, CSV_COLUMNS, LABEL, NORMALIZED
-from reqsieve.session import cut_lineage, prepare, scratch_path
+from reqsieve.schemas import COUNTERS, CSV_COLUMNS, LABEL, NORMALIZED, schema_problems
+from reqsieve.session import cut_lineage, prepare, scratch_path, written_folders
 from reqsieve.sizing import join_side
-from reqsieve.sources import model_store, request_csv, tables
+from reqsieve.sources import model_store, request_csv, sinks, tables
 from reqsieve.streaming import counters as stream_counters_
 from reqsieve.streaming import flush as stream_flush_
 from reqsieve.streaming import scoring as stream_scoring
@@ -218,21 +220,49 @@ def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 def string_index_joined(spark: SparkSession, folder: str) -> DataFrame:
     """The same indexes by joins, for vocabularies of any size."""
     rows = normalize.normalize_training(tables.requests(spark, folder), keep=ROW)
-    known = vocabularies.vocabulary(rows, training.CATEGORICAL)
-    for c in training.CATEGORICAL:
-        rows = vocabularies.attach_index(rows, known, c, f"{c}_index")
+    rows = training.Encoding.of(rows, training.CATEGORICAL, ()).index(rows)
     return rows.select("request_id", *[F.col(f"{c}_index").cast("bigint").alias(f"{c}_index") for c in training.CATEGORICAL])
 
 
 def one_hot(spark: SparkSession, folder: str) -> DataFrame:
+    """The active slot of each encoded column and the slots it has; the last category has none (-1)."""
     rows = normalize.normalize_training(tables.requests(spark, folder), keep=["request_id"])
-    columns = ("gender", "conType")
-    stages = [*training.fit_indexers(rows, columns), training.one_hot(columns)]
-    encoded = Pipeline(stages=stages).fit(rows).transform(rows)
-    arrays = encoded.select("request_id", *[vector_to_array(f"{c}_vector").alias(c) for c in columns])
-    sizes = {"gender": 4, "conType": 4}
-    slots = [F.get(c, F.lit(i)).cast("bigint").alias(f"{c}_{i}") for c, n in sizes.items() for i in range(n)]
-    return arrays.select("request_id", *slots)
+    encoding = training.Encoding.of(rows, training.CATEGORICAL, ())
+    encoded = PipelineModel(encoding.stages()[:1]).transform(encoding.index(rows))
+    slots = []
+    for c in training.CATEGORICAL:
+        vector = F.unwrap_udt(f"{c}_vector")
+        slot = F.coalesce(F.get(vector["indices"], F.lit(0)), F.lit(-1))
+        slots.append(F.struct(F.lit(c).alias("feature"), slot.cast("bigint").alias("slot"), vector["size"].cast("bigint").alias("slots")))
+    return encoded.select("request_id", F.inline(F.array(*slots)))
+
+
+def assembled(spark: SparkSession, folder: str) -> DataFrame:
+    """Every request as the regression sees it: how many slots, how many filled, and their sum."""
+    rows = normalize.normalize_training(tables.requests(spark, folder), keep=["request_id"])
+    encoding = training.Encoding.of(rows, training.CATEGORICAL, training.NUMERIC)
+    ready = encoding.assemble(rows, ["request_id"]).select("request_id", F.unwrap_udt("features").alias("v"))
+    # a vector with few zeros is stored whole, and then has no indices
+    total = F.aggregate(F.col("v.values"), F.lit(0.0), lambda a, x: a + x)
+    filled = F.size(F.filter(F.col("v.values"), lambda x: x != 0.0))
+    slots = F.coalesce(F.col("v.size"), F.size(F.col("v.values")))
+    return ready.select("request_id", slots.cast("bigint").alias("slots"), filled.cast("bigint").alias("filled"), F.round(total, 4).alias("total"))
+
+
+def normalize_custom_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """The user's own texts for "not available"."""
+    rules = {"country": ("", "FRANCE", "CHINA"), "brand": ("Brand#11", "Brand#23"), "gender": ("F", "null")}
+    rows = normalize.normalize_training(tables.requests(spark, folder), keep=["request_id"], rules=rules)
+    return rows.select("request_id", "publisherId", "country", "gender", "brand", "conType")
+
+
+def declared_schema(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests that fit a declared schema, and the fields that do not, as rows."""
+    rows = normalize.normalize_training(tables.requests(spark, folder))
+    declared = T.StructType([*NORMALIZED.fields[1:], T.StructField("publisherId", T.LongType()), T.StructField("feature1", T.StringType())])
+    problems = schema_problems(rows, declared)
+    named = [F.struct(*[F.lit(v).cast("string").alias(k) for k, v in zip(("field", "declared", "found"), p)]) for p in problems]
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.inline(F.array(*named)))
 
 
 # --- scoring -----------------------------------------------------------------
@@ -478,9 +508,100 @@ def train_wide(spark: SparkSession, folder: str) -> DataFrame:
 def tune_lr(spark: SparkSession, folder: str) -> DataFrame:
     rows, splits = _splits(spark, folder)
     grid = {"regParam": [0.01, training.REG_PARAM], "elasticNetParam": [0.0, training.ELASTIC_NET_PARAM]}
-    trials = training.tune(splits, rows, grid, max_iter=50)
+    return _trials(spark, training.tune(splits, rows, grid))
+
+
+def _trials(spark: SparkSession, trials: list[training.Trial]) -> DataFrame:
     found = [(t.params["regParam"], t.params["elasticNetParam"], t.area_under_roc) for t in trials]
-    return spark.createDataFrame(found, "reg_param double, elastic_net_param double, area_under_roc double")
+    shape = "reg_param double, elastic_net_param double, area_under_roc double"
+    return spark.createDataFrame(found, shape).withColumn("area_under_roc", _number("area_under_roc"))
+
+
+# A model of one category without penalty has a closed form: each category's log-odds.
+SATURATED = {"categorical": ("gender",), "numeric": ()}
+EXACT = {"regParam": 0.0, "elasticNetParam": 0.0, "tol": 1e-12}
+
+
+def _saturated(spark: SparkSession, folder: str) -> tuple[DataFrame, training.Splits, training.WideModel]:
+    rows, splits = _splits(spark, folder)
+    return rows, splits, training.fit_wide(splits.train, rows, **SATURATED, params=EXACT)
+
+
+def _coefficients(table: DataFrame) -> DataFrame:
+    return table.select("feature", "kind", "category", F.round("coefficient", 4).alias("coefficient"))
+
+
+def train_saturated(spark: SparkSession, folder: str) -> DataFrame:
+    return _coefficients(portable.wide_coefficient_table(spark, _saturated(spark, folder)[2], FIXED_DATE))
+
+
+def train_pipeline_saturated(spark: SparkSession, folder: str) -> DataFrame:
+    """The same fit by the stages of one Spark ML pipeline."""
+    rows, splits = _splits(spark, folder)
+    model = training.fit(splits.train, rows, **SATURATED, params=EXACT)
+    return _coefficients(portable.coefficient_table(spark, model, FIXED_DATE))
+
+
+def tune_saturated(spark: SparkSession, folder: str) -> DataFrame:
+    """No penalty against one that leaves no coefficient, and so no order."""
+    rows, splits = _splits(spark, folder)
+    grid = {"regParam": [10.0, 0.0], "elasticNetParam": [1.0]}
+    return _trials(spark, training.tune(splits, rows, grid, **SATURATED, params={"tol": 1e-12}))
+
+
+def holdout_saturated(spark: SparkSession, folder: str) -> DataFrame:
+    _, splits, model = _saturated(spark, folder)
+    found = training.evaluate(model, splits.test)
+    shape = ", ".join(f"{name} double" for name in found)
+    return spark.createDataFrame([tuple(found.values())], shape).select(*[_number(c).alias(c) for c in found])
+
+
+def model_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved and loaded by date in both forms: the stored pipeline and the published
+    coefficients score the test part alike."""
+    rows, splits = _splits(spark, folder)
+    base, model = scratch_path(spark, "models"), training.fit(splits.train, rows, **SATURATED, params=EXACT)
+    model_store.save_pipeline(model, base, FIXED_DATE)
+    model_store.publish(portable.coefficient_table(spark, model, FIXED_DATE), base)
+    stored = model_store.load_pipeline(base, FIXED_DATE).transform(splits.test)
+    stored = stored.select("request_id", F.round(vector_to_array("probability")[1], 4).alias("pipeline_probability"))
+    scored = score.score(splits.test, model_store.load_scorer(spark, base, FIXED_DATE))
+    scored = scored.select("request_id", F.round("probability_1", 4).alias("published_probability"))
+    return stored.join(scored, "request_id")
+
+
+def split_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each part while the parts are cached, and again after."""
+    rows, splits = _splits(spark, folder)
+    kept = splits.persist()
+    cached = [p.count() for p in (kept.train, kept.cv, kept.test)]
+    held = all(p.storageLevel.useMemory and p.storageLevel.useDisk for p in (kept.train, kept.cv, kept.test))
+    kept.unpersist()
+    later = [p.count() for p in (splits.train, splits.cv, splits.test)]
+    found = [(n, a, b, held) for n, a, b in zip(("train", "cv", "test"), cached, later)]
+    return spark.createDataFrame(found, "part string, cached_rows long, rows long, was_cached boolean")
+
+
+def stored_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests per part of a split drawn once, next to the share each part should have."""
+    rows, _ = _splits(spark, folder)
+    parts = training.stored_split(rows, scratch_path(spark, "parts"), seed=11)
+    named = [p.select("request_id", F.lit(n).alias("part")) for n, p in zip(("train", "cv", "test"), (parts.train, parts.cv, parts.test))]
+    drawn = named[0].unionByName(named[1]).unionByName(named[2])
+    sizes = drawn.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # three rows
+    sizes = sizes.withColumn("n_rows", F.sum("n").over(Window.partitionBy()))
+    share = F.when(F.col("part") == "train", 0.8).otherwise(0.1)
+    # a part of n rows is off by more than five deviations once in a million draws
+    near = F.abs(F.col("n") - share * F.col("n_rows")) <= 5 * F.sqrt(F.col("n_rows") * share * (1 - share))
+    return sizes.select("part", "n_rows", near.alias("near_its_share"))
+
+
+def holdout_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact area under ROC of the fixed model on the scored requests of the test part."""
+    scored = batch.score_labelled(training.hash_split(tables.requests(spark, folder), "request_id").test, fixed_model(), keep=ROW)
+    return evaluation.area_under_roc(scored.filter("status = 'ok'"), "probability_1", F.col(LABEL) == 1.0).select(
+        "positives", "negatives", _number("area_under_roc").alias("area_under_roc")
+    )
 
 
 def score_trained(spark: SparkSession, folder: str) -> DataFrame:
@@ -512,11 +633,20 @@ def trained_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- streams -----------------------------------------------------------------
 
+BATCHES, FILES_PER_BATCH = 4, 2
+
 
-def _request_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = tables.table(spark, folder, "events").schema
-    events = stream_scoring.read_requests(spark, folder, schema, glob="events.parquet")
-    return tables.requests(spark, folder, events)
+def _request_stream(spark: SparkSession, folder: str, newest_first: bool = False) -> DataFrame:
+    """The requests in files by time, as a stream of one stretch of time per micro-batch."""
+    rows, path = cut_lineage(tables.requests(spark, folder), "requests"), scratch_path(spark, "stream-in")
+    micros = F.unix_micros("ts")
+    cuts = rows.select(micros.cast("double").alias("t")).approxQuantile("t", [k / BATCHES for k in range(1, BATCHES)], 0.01)
+    stretch = F.lit(0)
+    for cut in cuts:
+        stretch = stretch + (micros >= int(cut)).cast("int")
+    for k in sorted(range(BATCHES), reverse=newest_first):
+        rows.filter(stretch == k).repartition(FILES_PER_BATCH).write.mode("append").parquet(path)
+    return stream_scoring.read_requests(spark, path, rows.schema, max_files=FILES_PER_BATCH)
 
 
 def stream_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -527,13 +657,58 @@ def stream_score(spark: SparkSession, folder: str) -> DataFrame:
     return _score_columns(spark.read.schema(scored.schema).parquet(f"{run}/out"))
 
 
+def _counted_stream(spark: SparkSession, folder: str, newest_first: bool = False, **options) -> str:
+    requests, run = _request_stream(spark, folder, newest_first), scratch_path(spark, "stream-counters")
+    scored = stream_scoring.score_stream(requests, fixed_model(), keep=ROW)
+    stream_counters_.start_counters(scored, f"{run}/out", f"{run}/checkpoint", "PT1H", ["monitor_id"], **options).awaitTermination()
+    return run
+
+
+def _stream_report(spark: SparkSession, run: str) -> DataFrame:
+    report = counters.present(stream_counters_.stream_report(spark, f"{run}/out", ["monitor_id"]))
+    return _report(report, _plain("window_start").alias("window_start"), F.col("monitor_id"))
+
+
 def stream_counters(spark: SparkSession, folder: str) -> DataFrame:
-    scored = stream_scoring.score_stream(_request_stream(spark, folder), fixed_model(), keep=ROW)
-    run, by = scratch_path(spark, "stream-counters"), ["monitor_id"]
-    windows = stream_counters_.stream_counters(scored, "PT1H", "1 hour", by)
-    stream_counters_.start_counters(windows, f"{run}/out", f"{run}/checkpoint").awaitTermination()
-    latest = stream_counters_.latest_counters(spark, f"{run}/out", windows.schema, by)
-    return _report(counters.present(latest), _plain("window_start").alias("window_start"), F.col("monitor_id"))
+    return _stream_report(spark, _counted_stream(spark, folder, compact_every=2))
+
+
+def stream_counters_late(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest requests come first, so that all others are late, up to a month."""
+    return _stream_report(spark, _counted_stream(spark, folder, newest_first=True))
+
+
+def stream_metric_deltas(spark: SparkSession, folder: str) -> DataFrame:
+    """Named metrics as a sink of the user's own gets them: added up, each request counts once."""
+    deltas = scratch_path(spark, "metrics")
+
+    def sink(report: DataFrame, batch_id: int) -> None:
+        counters.metric_rows(report, ["monitor_id"]).write.mode("overwrite").parquet(f"{deltas}/batch_id={batch_id}")
+
+    _counted_stream(spark, folder, sink=sink)
+    return spark.read.parquet(deltas).groupBy("monitor_id", "metric").agg(F.sum("value").alias("value"))
+
+
+def sink_switches(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that the report sink writes under each setting of its two switches."""
+    report = counters.present(counters.window_counters(_scored(spark, folder), "P7D", by=["monitor_id"]))
+    found = []
+    for metrics, log in ((True, True), (True, False), (False, True), (False, False)):
+        path = scratch_path(spark, "report")
+        sinks.report_sink(path, EngineConfig(metric_monitoring=metrics, send_metric_logging=log), ["window_start", "monitor_id"])(report, 0)
+        sinks.no_sink(report, 0)
+        written = written_folders(spark, f"{path}/metrics"), written_folders(spark, f"{path}/log")
+        n_metrics = spark.read.parquet(f"{path}/metrics").count() if written[0] else 0
+        n_lines = spark.read.text(f"{path}/log").count() if written[1] else 0
+        found.append((metrics, log, n_metrics, n_lines))
+    return spark.createDataFrame(found, "metric_monitoring boolean, send_metric_logging boolean, metric_rows long, log_lines long")
+
+
+def counters_null_ts(spark: SparkSession, folder: str) -> DataFrame:
+    """Every tenth request has no time: it is counted in a window without a start."""
+    scored = _scored(spark, folder).withColumn("ts", F.when(F.col("request_id") % 10 != 0, F.col("ts")))
+    report = counters.present(counters.window_counters(scored, "P1D"))
+    return _report(report, _plain("window_start").alias("window_start"))
 
 
 def stream_flush(spark: SparkSession, folder: str) -> DataFrame:
@@ -547,16 +722,17 @@ QUERIES: dict[str, Query] = {
     query.__name__.removesuffix("_query"): query
     for query in (
         feature_select, csv_parse, csv_rejects,
-        normalize_training, normalize_prediction, normalize_unified, normalize_mixed, normalize_defaults,
-        features_id_query, feature_map_json, label_outcome,
-        hash_split, vocabulary, string_index, string_index_skip, string_index_joined, one_hot,
+        normalize_training, normalize_prediction, normalize_unified, normalize_mixed, normalize_defaults, normalize_custom_rules,
+        features_id_query, feature_map_json, label_outcome, declared_schema,
+        hash_split, vocabulary, string_index, string_index_skip, string_index_joined, one_hot, assembled,
         prepare_status, prepare_missing_field, score_fixed, score_unlabelled, score_default_on_failure,
         prediction_from_class, score_csv_line, confidence_gate, gate_off, route_kept, route_filtered,
         coefficient_table_lookup, score_by_model_date, score_large_vocabulary,
-        counters_total, counters_by_monitor, counters_intended_polarity, counters_tumbling, counters_default_period,
-        counters_flush, counters_merge, counters_merge_compat, metrics_long, metrics_log_line,
-        confusion_matrix, quality_ratios, holdout_confusion,
-        train_lr, trained_fields, train_wide, tune_lr, score_trained, holdout_trained, random_split,
-        stream_score, stream_counters, stream_flush,
+        counters_total, counters_by_monitor, counters_intended_polarity, counters_tumbling, counters_default_period, counters_null_ts,
+        counters_flush, counters_merge, counters_merge_compat, metrics_long, metrics_log_line, sink_switches,
+        confusion_matrix, quality_ratios, holdout_confusion, holdout_fixed,
+        train_lr, trained_fields, train_wide, tune_lr, score_trained, holdout_trained, random_split, stored_split, split_sizes,
+        train_saturated, train_pipeline_saturated, tune_saturated, holdout_saturated, model_round_trip,
+        stream_score, stream_counters, stream_counters_late, stream_metric_deltas, stream_flush,
     )
 }

@@ -71,18 +71,25 @@ LABEL = "isWinning"
 COUNTERS = ("input", "filtered", "false_negative", "invalid", "real_value")
 
 
+def schema_problems(df, declared: T.StructType) -> list[tuple[str, str, str | None]]:
+    """``(field, declared type, found type)`` of each declared field that ``df`` lacks (found
+    None) or has with another type."""
+    have = {f.name: f.dataType for f in df.schema.fields}
+    return [
+        (f.name, f.dataType.simpleString(), have[f.name].simpleString() if f.name in have else None)
+        for f in declared.fields
+        if have.get(f.name) != f.dataType
+    ]
+
+
 def check_declared(df, declared: T.StructType) -> None:
     """Raise unless ``df`` carries every declared model field with its type.
 
     A field declared NOT NULL must be NOT NULL in ``df`` only if Spark knows it
     to be; row-level nulls surface at scoring as a failure status instead.
     """
-    have = {f.name: f.dataType for f in df.schema.fields}
     problems = [
-        f"{f.name}: declared {f.dataType.simpleString()}, "
-        + (f"found {have[f.name].simpleString()}" if f.name in have else "missing")
-        for f in declared.fields
-        if have.get(f.name) != f.dataType
+        f"{name}: declared {wanted}, " + (f"found {found}" if found else "missing") for name, wanted, found in schema_problems(df, declared)
     ]
     if problems:
         raise ValueError("input does not match the declared model schema: " + "; ".join(problems))

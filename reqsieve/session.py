@@ -95,10 +95,24 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _location(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of this run from the shared folder."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    at, files = _location(spark, path)
+    files.delete(at, True)
+
+
+def written_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the finished tables inside a folder of any Hadoop file system."""
+    at, files = _location(spark, path)
+    if not files.exists(at):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(at) if status.isDirectory()]
+    return [n for n in names if files.exists(_location(spark, f"{path}/{n}/_SUCCESS")[0])]
 
 
 class Scratch:

@@ -24,14 +24,20 @@ _FLAGS = ("withBundleId", "withGeoInfo")
 _REJECT = "reject_reason"
 
 
+# One header line per file. Quotes are plain characters, extra fields are ignored, and a
+# short line has nulls at its end.
+_OPTIONS = {"header": True, "quote": "", "mode": "PERMISSIVE"}
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The 13 text columns of every line of a file, folder or glob.
+    """The 13 text columns of every line of a file, folder or glob."""
+    return spark.read.schema(CSV_LINE).options(**_OPTIONS).csv(path)
+
 
-    One header line per file. Quotes are plain characters, extra fields are
-    ignored, and a short line has nulls at its end.
-    """
-    reader = spark.read.schema(CSV_LINE).option("header", True).option("quote", "").option("mode", "PERMISSIVE")
-    return reader.csv(path)
+def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The same for new files of a folder, as a stream; ``max_files`` per micro-batch."""
+    reader = spark.readStream.schema(CSV_LINE).options(**_OPTIONS)
+    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).csv(path)
 
 
 def _texts() -> dict[str, Column]:

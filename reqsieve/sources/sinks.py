@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reqsieve.config import EngineConfig
-from reqsieve.operators.counters import log_lines, metric_rows
+from reqsieve.operators.counters import keyed_log_lines, metric_rows
 from reqsieve.operators.score import prediction_csv
 
 Sink = Callable[[DataFrame, int], None]
@@ -17,7 +17,7 @@ Sink = Callable[[DataFrame, int], None]
 def report_sink(folder: str, config: EngineConfig, keys: Sequence[str] = ()) -> Sink:
     """A sink for presented counter rows, usable with ``foreachBatch``.
 
-    Named metrics and report lines are switched separately. Each batch writes
+    Named metrics and report lines are switched separately; both carry ``keys``. Each batch writes
     its own folder, so a repeated batch replaces its output instead of adding.
     """
 
@@ -25,7 +25,7 @@ def report_sink(folder: str, config: EngineConfig, keys: Sequence[str] = ()) ->
         if config.metric_monitoring:
             metric_rows(counters, keys).write.mode("overwrite").parquet(f"{folder}/metrics/batch_id={batch_id}")
         if config.send_metric_logging:
-            log_lines(counters).write.mode("overwrite").text(f"{folder}/log/batch_id={batch_id}")
+            keyed_log_lines(counters, keys).write.mode("overwrite").text(f"{folder}/log/batch_id={batch_id}")
 
     return write
 

@@ -3,28 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from reqsieve.session import prepare
 from reqsieve.sizing import join_side
 
-# Fixed value: the sample view spreads events over the part keys 0..199.
-PART_KEYS = 200
-
-
-@lru_cache(maxsize=64)
-def _schema(spark: SparkSession, path: str) -> T.StructType:
-    """Column types of a table, read from its files once per session."""
-    return spark.read.parquet(path).schema
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    path = f"{folder}/{name}.parquet"
-    return spark.read.schema(_schema(spark, path)).parquet(path)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def select_features(df: DataFrame, features: Sequence[str] | str, table_name: str = "features") -> DataFrame:
@@ -38,21 +26,16 @@ def select_features(df: DataFrame, features: Sequence[str] | str, table_name: st
 def requests(spark: SparkSession, folder: str, events: DataFrame | None = None) -> DataFrame:
     """One labelled request per event of the sample tables.
 
-    ``events`` may be a stream; the other tables are static. Every event looks
-    up one of 200 parts: that side is at most those keys and is broadcast after
-    a count, since shuffling events on 200 keys would make 200 giant groups.
-    Orders, customers and events are joined on their own keys, which Spark
+    ``events`` may be a stream; the other tables are static. Event ``i`` looks up
+    part ``i`` modulo the number of parts; that side is broadcast where it is
+    counted small. Orders, customers and events are joined on their own keys, which Spark
     sorts and merges, or broadcasts where the statistics allow.
     """
     prepare(spark)
     e = table(spark, folder, "events") if events is None else events
-    e = e.selectExpr("event_id", "ts", "user_id", "event_type", "value", f"event_id % {PART_KEYS} AS part_key")
-    parts = (
-        table(spark, folder, "part")
-        # What the join on event_id % 200 implies for this side.
-        .filter(F.col("p_partkey").between(1 - PART_KEYS, PART_KEYS - 1))
-        .select("p_partkey", "p_brand", "p_size")
-    )
+    parts = table(spark, folder, "part").select("p_partkey", "p_brand", "p_size")
+    n_parts = max(1, parts.count())  # from the file footers
+    e = e.selectExpr("event_id", "ts", "user_id", "event_type", "value", f"event_id % {n_parts} AS part_key")
     # Nations are 25 rows; Spark broadcasts them by its own size check.
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")

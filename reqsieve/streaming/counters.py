@@ -1,9 +1,12 @@
 """Counters of a stream per tumbling window.
 
-State is one row per open window and group, and the watermark bounds how many
-windows stay open. Events later than the watermark are dropped by Spark; choose
-``lateness`` so that none are. ``start_counters`` shows windows while they fill,
-``start_final_counters`` writes each window once, when the watermark has passed.
+The counters are additive, so nothing has to be kept open: every micro-batch
+writes what its own events add to their windows, however late they are, and
+the sum over all batches is the report. There is no state and no watermark,
+and the sink of a batch gets each event exactly once.
+
+    <out>/batch_id=<n>     what batch n adds
+    <out>/upto=<n>         the sums of batches 0 to n, which replace their folders
 """
 
 from __future__ import annotations
@@ -11,69 +14,78 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from reqsieve.operators.counters import MICROS, present, window_counters
-from reqsieve.schemas import COUNTERS
+from reqsieve.operators.counters import merge_counters, present, window_counters
+from reqsieve.session import remove, written_folders
 from reqsieve.sources.sinks import Sink, no_sink
 
+#: Every so many batches the older ones are added up into one table.
+COMPACT_EVERY = 100
+
 
-def stream_counters(
+def start_counters(
     scored: DataFrame,
+    out: str,
+    checkpoint: str,
     period: str = "PT30S",
-    lateness: str = "10 minutes",
     by: Sequence[str] = (),
     threshold: float | None = 0.7,
     ts: str = "ts",
-) -> DataFrame:
-    return window_counters(scored.withWatermark(ts, lateness), period, ts, by, threshold)
-
-
-def start_counters(
-    counters: DataFrame,
-    out: str,
-    checkpoint: str,
     sink: Sink = no_sink,
     trigger: Mapping[str, object] | None = None,
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
-    """Write the windows each micro-batch changed, and hand them to ``sink``.
+    """Write what each micro-batch adds to the windows, and hand it to ``sink``.
 
     A batch overwrites its own folder, so running it again after a failure
-    leaves the same result; ``latest_counters`` reads the newest row per window.
+    leaves the same result; ``stream_report`` adds everything up.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         path = f"{out}/batch_id={batch_id}"
-        batch.write.mode("overwrite").parquet(path)
+        added = window_counters(batch, period, ts, by, threshold)
+        added.write.mode("overwrite").parquet(path)
         if sink is not no_sink:
-            sink(present(batch.sparkSession.read.schema(batch.schema).parquet(path)), batch_id)
+            sink(present(batch.sparkSession.read.schema(added.schema).parquet(path)), batch_id)
+        if batch_id and batch_id % compact_every == 0:
+            compact(batch.sparkSession, out, batch_id - 1, by)  # all before this one are final
 
     return (
-        counters.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        scored.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(write)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def start_final_counters(
-    counters: DataFrame, out: str, checkpoint: str, trigger: Mapping[str, object] | None = None
-) -> StreamingQuery:
-    """Append finished windows to a parquet table, exactly once.
+def _parts(spark: SparkSession, out: str) -> tuple[int, list[int]]:
+    """The last compacted batch (-1: none) and the batches after it."""
+    names = written_folders(spark, out)
+    upto = max((int(n.removeprefix("upto=")) for n in names if n.startswith("upto=")), default=-1)
+    batches = [int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id=")]
+    return upto, sorted(b for b in batches if b > upto)
 
-    The windows still inside ``lateness`` of the newest event stay in the state.
-    """
-    writer = counters.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    return writer.outputMode("append").trigger(**(trigger or {"availableNow": True})).start()
+
+def _read(spark: SparkSession, out: str, upto: int, batches: Sequence[int]) -> DataFrame:
+    paths = ([f"{out}/upto={upto}"] if upto >= 0 else []) + [f"{out}/batch_id={b}" for b in batches]
+    if not paths:
+        raise LookupError(f"no batch has been counted under {out}")
+    return spark.read.parquet(*paths)
+
+
+def compact(spark: SparkSession, out: str, last: int, by: Sequence[str] = ()) -> None:
+    """Add up all batches up to ``last`` and drop their folders."""
+    upto, batches = _parts(spark, out)
+    old = [b for b in batches if b <= last]
+    if not old:
+        return
+    merged = merge_counters(_read(spark, out, upto, old), ["window_start", *by])
+    merged.write.mode("overwrite").parquet(f"{out}/upto={last}")
+    for name in [f"upto={upto}"] * (upto >= 0) + [f"batch_id={b}" for b in old]:
+        remove(spark, f"{out}/{name}")
 
 
-def latest_counters(spark: SparkSession, out: str, schema: T.StructType, by: Sequence[str] = ()) -> DataFrame:
-    """The current counters per window from everything written so far."""
-    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])).parquet(out)
-    keys = ["window_start", *by]
-    values = F.struct("batch_id", *COUNTERS, MICROS)
-    newest = stored.groupBy(*keys).agg(F.max(values).alias("newest"))
-    return newest.select(*keys, *[F.col(f"newest.{c}") for c in (*COUNTERS, MICROS)])
+def stream_report(spark: SparkSession, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """The counters per window, in additive form, from everything written so far."""
+    return merge_counters(_read(spark, out, *_parts(spark, out)), ["window_start", *by])

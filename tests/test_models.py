@@ -84,7 +84,7 @@ def test_vocabulary_over_many_partitions(spark):
 @pytest.mark.parametrize("merge", [False, True])
 def test_wide_fit_equals_the_pipeline(spark, rows, splits, fitted, monkeypatch, merge):
     if merge:
-        monkeypatch.setattr("reqsieve.operators.vocabulary.join_side", lambda df: df.hint("merge"))
+        monkeypatch.setattr("reqsieve.operators.vocabulary.join_side", lambda df, **_: df.hint("merge"))
     wide = training.fit_wide(splits.train, rows, CATEGORICAL, NUMERIC, params={"regParam": 0.01, "maxIter": 40})
     key = lambda r: (r.feature, r.category or "")
     own = sorted(portable.wide_coefficient_table(spark, wide, "20240101").collect(), key=key)
@@ -118,7 +118,7 @@ def test_refit_gives_the_same_model(rows, splits, fitted):
 
 def test_tune_ranks_by_cv(rows, splits):
     grid = {"regParam": [0.01, 100.0], "elasticNetParam": [1.0]}
-    trials = training.tune(splits, rows, grid, CATEGORICAL, NUMERIC, max_iter=20)
+    trials = training.tune(splits, rows, grid, CATEGORICAL, NUMERIC, params={"maxIter": 20})
     areas = [t.area_under_roc for t in trials]
     assert len(trials) == 2 and areas == sorted(areas, reverse=True) and areas[0] > areas[-1]
     # The strongest penalty removes every coefficient.
@@ -127,6 +127,79 @@ def test_tune_ranks_by_cv(rows, splits):
     assert held_out["area_under_roc"] > 0.6 and 0 < held_out["accuracy"] <= 1
 
 
+def test_any_number_of_categories(spark, monkeypatch):
+    """More categories than a broadcast or an indexer takes, and a hot one."""
+    from reqsieve.sizing import join_side
+
+    monkeypatch.setattr("reqsieve.operators.vocabulary.join_side", lambda df, **known: join_side(df, 1000, **known))
+    many = spark.range(40_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 20_011).cast("string")).alias("site"),
+        (F.col("id") % 7).cast("double").alias("x"),
+        ((F.col("id") * 7919) % 10 < 4 + (F.col("id") % 7) / 2).cast("double").alias(LABEL),
+    )
+    with pytest.raises(training.TooManyCategories):
+        training.fit_indexers(many, ["site"], limit=1000)
+    wide = training.fit_wide(many, many, ["site"], ["x"], params={"maxIter": 5, "regParam": 1.0})
+    assert wide.sizes["site"] > 13_000
+    table = portable.wide_coefficient_table(spark, wide, "20240101")
+    assert table.count() == wide.sizes["site"] + 2
+    assert training.left_out(many, wide.encoding) == {"rows_used": 40_000, "rows_null": 0, "rows_unseen": 0}
+
+
+def test_rows_with_null_numbers_are_left_out_and_counted(spark, rows, splits):
+    odd = splits.train.withColumn("age", F.when(F.col("request_id") % 4 != 0, F.col("age")))
+    odd = odd.withColumn("rtbFloorPriceSent", F.when(F.col("request_id") % 5 == 1, float("nan")).otherwise(F.col("rtbFloorPriceSent")))
+    whole = odd.filter((F.col("request_id") % 4 != 0) & (F.col("request_id") % 5 != 1))
+    options = {"params": {"regParam": 0.01, "maxIter": 10}}
+    wide = training.fit_wide(odd, rows, CATEGORICAL, NUMERIC, **options)
+    same = training.fit_wide(whole, rows, CATEGORICAL, NUMERIC, **options)
+    assert list(wide.regression.coefficients) == pytest.approx(list(same.regression.coefficients), abs=1e-9)
+    assert list(training.fit(odd, rows, CATEGORICAL, NUMERIC, **options).stages[-1].coefficients) == pytest.approx(list(wide.regression.coefficients), abs=1e-6)
+    counted = training.left_out(odd, wide.encoding)
+    assert counted == {"rows_used": whole.count(), "rows_null": odd.count() - whole.count(), "rows_unseen": 0}
+    found = training.evaluate(wide, odd)
+    assert found["coverage"] == pytest.approx(whole.count() / odd.count())
+
+
+def test_unseen_categories_are_counted(rows, splits):
+    known = splits.train.filter("gender <> 'F'")
+    encoding = training.Encoding.of(known, CATEGORICAL, NUMERIC)
+    counted = training.left_out(splits.test, encoding)
+    assert counted["rows_unseen"] >= splits.test.filter("gender = 'F'").count() > 0
+    assert counted["rows_used"] + counted["rows_unseen"] == splits.test.count()
+
+
+def test_the_area_is_exact_on_any_number_of_partitions(spark, rows):
+    from reqsieve.operators.evaluation import area_under_roc
+
+    scored = rows.select(F.round(F.col("rtbFloorPriceSent"), 0).alias("s"), LABEL)
+    data = scored.collect()
+    won, lost = [r.s for r in data if r[LABEL] == 1.0], [r.s for r in data if r[LABEL] != 1.0]
+    exact = sum((a > b) + (a == b) / 2 for a in won for b in lost) / (len(won) * len(lost))
+    for n in (1, 5, 64):
+        found = area_under_roc(scored.repartition(n), "s", F.col(LABEL) == 1.0).first()
+        assert tuple(found) == (len(won), len(lost), pytest.approx(exact, abs=1e-12))
+    assert area_under_roc(scored.limit(0), "s", F.col(LABEL) == 1.0).first() == (0, 0, None)
+
+
+def test_stored_split(spark, rows, tmp_path):
+    parts = training.stored_split(rows, str(tmp_path / "parts"), seed=3)
+    assert parts.train.dtypes == rows.dtypes
+    counts = [p.count() for p in (parts.train, parts.cv, parts.test)]
+    assert sum(counts) == rows.count() and counts == [p.count() for p in (parts.train, parts.cv, parts.test)]
+    assert parts.train.unionByName(parts.cv).unionByName(parts.test).exceptAll(rows).count() == 0
+    plan = parts.cv._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_part" in plan
+
+
+def test_the_wide_model_is_stored_as_a_pipeline_over_indexed_rows(spark, rows, splits, tmp_path):
+    wide = training.fit_wide(splits.train, rows, CATEGORICAL, NUMERIC, params={"maxIter": 5})
+    model_store.save_pipeline(wide.pipeline(), str(tmp_path), "20240101")
+    loaded = model_store.load_pipeline(str(tmp_path), "20240101")
+    again = loaded.transform(wide.encoding.index(splits.test)).select("request_id", "prediction")
+    assert again.exceptAll(wide.transform(splits.test, ["request_id"]).select("request_id", "prediction")).count() == 0
+
+
 def test_numeric_only_model(spark, rows, splits):
     model = training.fit(splits.train, rows, (), NUMERIC, params={"maxIter": 5})
     table = portable.coefficient_table(spark, model, "20240101")

@@ -60,30 +60,61 @@ def test_unlabelled_stream(spark, folder, fixed_model):
 @pytest.mark.parametrize("metrics, log", [(True, True), (False, True), (True, False)])
 def test_counters_equal_batch_and_sinks_are_switched(spark, folder, fixed_model, tmp_path, metrics, log):
     scored = scoring.score_stream(stream(spark, folder, max_files=1), fixed_model, KEEP)
-    windows = stream_counters.stream_counters(scored, "PT1H", "2 days", ["monitor_id"])
     out = str(tmp_path / "out")
     config = EngineConfig(metric_monitoring=metrics, send_metric_logging=log)
-    sink = sinks.report_sink(str(tmp_path / "report"), config, ["monitor_id"])
-    stream_counters.start_counters(windows, out, str(tmp_path / "cp"), sink).awaitTermination()
-    latest = stream_counters.latest_counters(spark, out, windows.schema, ["monitor_id"])
+    sink = sinks.report_sink(str(tmp_path / "report"), config, ["window_start", "monitor_id"])
+    stream_counters.start_counters(scored, out, str(tmp_path / "cp"), "PT1H", ["monitor_id"], sink=sink).awaitTermination()
+    report = stream_counters.stream_report(spark, out, ["monitor_id"])
     expected = counters.window_counters(score_labelled(folder[1], fixed_model, KEEP), "PT1H", by=["monitor_id"])
-    assert sorted(latest.collect()) == sorted(expected.select(latest.columns).collect())
-    assert len([p for p in os.listdir(out) if p.startswith("batch_id=")]) >= FILES
+    assert sorted(report.collect()) == sorted(expected.select(report.columns).collect())
+    assert len([p for p in os.listdir(out) if p.startswith("batch_id=")]) == FILES
     assert os.path.exists(tmp_path / "report" / "metrics") == metrics
     assert os.path.exists(tmp_path / "report" / "log") == log
-
-
-def test_final_counters_hold_every_window_the_watermark_passed(spark, folder, fixed_model, tmp_path):
-    scored = scoring.score_stream(stream(spark, folder, max_files=1), fixed_model, KEEP)
-    windows = stream_counters.stream_counters(scored, "PT1H", "1 hour", ["monitor_id"])
+    if metrics:
+        # each request is reported once, over all batches
+        rows = spark.read.parquet(str(tmp_path / "report" / "metrics")).filter("metric = 'Request-Histogram'")
+        assert rows.agg(F.sum("value")).first()[0] == folder[1].count()
+    if log:
+        lines = [r.value for r in spark.read.text(str(tmp_path / "report" / "log")).collect()]
+        assert lines and all(line.startswith("window_start=2024-01-") and ",monitor_id=m" in line for line in lines)
+
+
+@pytest.mark.parametrize("compact_every", [2, 3, 100])
+def test_late_and_timeless_events_are_counted(spark, folder, fixed_model, tmp_path, compact_every):
+    """Files newest first, a tenth of the events without a time; batches are compacted on the way."""
+    path = tmp_path / "in"
+    path.mkdir()
+    rows = folder[1].withColumn("ts", F.when(F.col("request_id") % 10 != 0, F.col("ts"))).persist()
+    for i, part in enumerate(sorted(os.listdir(folder[0]), reverse=True)):
+        spark.read.parquet(f"{folder[0]}/{part}").join(rows.select("request_id", F.col("ts").alias("t")), "request_id").withColumn(
+            "ts", F.col("t")
+        ).drop("t").select(rows.columns).coalesce(1).write.mode("append").parquet(str(path))
+    requests = scoring.read_requests(spark, str(path), rows.schema, max_files=1)
+    scored, out = scoring.score_stream(requests, fixed_model, KEEP), str(tmp_path / "out")
+    stream_counters.start_counters(scored, out, str(tmp_path / "cp"), "P1D", compact_every=compact_every).awaitTermination()
+    report = stream_counters.stream_report(spark, out)
+    expected = counters.window_counters(score_labelled(rows, fixed_model, KEEP), "P1D")
+    key = lambda r: str(r.window_start)
+    assert sorted(report.collect(), key=key) == sorted(expected.select(report.columns).collect(), key=key)
+    assert report.agg(F.sum("input")).first()[0] == 1000 and report.filter("window_start IS NULL").first().input == 100
+    assert any(p.startswith("upto=") for p in os.listdir(out)) == (compact_every < FILES)
+
+
+def test_repeated_batches_and_compaction_change_nothing(spark, folder, fixed_model, tmp_path):
     out = str(tmp_path / "out")
-    stream_counters.start_final_counters(windows, out, str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.schema(windows.schema).parquet(out)
-    batch = counters.window_counters(score_labelled(folder[1], fixed_model, KEEP), "PT1H", by=["monitor_id"])
-    newest = folder[1].agg(F.max("ts")).first()[0]
-    done = batch.filter(F.col("window_start") + F.expr("INTERVAL 2 HOURS") < F.lit(newest))
-    assert done.count() > 0 and done.select(got.columns).exceptAll(got).count() == 0
-    assert got.exceptAll(batch.select(got.columns)).count() == 0
+    for n in (0, 1, 2, 1):
+        part = score_labelled(folder[1].filter(F.col("request_id") % 3 == n), fixed_model, KEEP)
+        counters.window_counters(part, "P1D").write.mode("overwrite").parquet(f"{out}/batch_id={n}")
+    before = sorted(stream_counters.stream_report(spark, out).collect())
+    for last in (0, 0, 2):
+        stream_counters.compact(spark, out, last)
+        assert sorted(stream_counters.stream_report(spark, out).collect()) == before
+    assert [p for p in os.listdir(out) if "=" in p] == ["upto=2"]
+    # a compaction that did not finish is no part of the report
+    (tmp_path / "out" / "upto=9").mkdir()
+    assert sorted(stream_counters.stream_report(spark, out).collect()) == before
+    with pytest.raises(LookupError):
+        stream_counters.stream_report(spark, str(tmp_path / "nowhere"))
 
 
 def test_flush_equals_batch_across_batches(spark, folder, fixed_model, tmp_path):
