@@ -12,8 +12,13 @@ bucket holds at most one of them. What a stretch of time does to the chain is
 a step function: given the earliest moment the next closing may happen, it
 tells the last closing inside the stretch. Stretches are combined in a tree,
 each node in its own task, and the real closings are then read off on the way
-down. No task ever holds more than a few buckets' distinct success times, so a
-monitor with a third of all rows is spread like any other.
+down. Where a few buckets' distinct success times fit a task, a task holds that
+many. Where not even two do (long periods, dense successes), the steps of a
+stretch are cut once more, into pieces of at most half a task's rows by the
+moment they apply to: two stretches are combined by handing each step of the
+earlier one to the piece of the later one that its next closing falls into. So
+no task holds more than ``TASK_ROWS`` steps, whatever the period and however
+many rows a monitor has.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reqsieve.functions.periods import period_millis
@@ -34,7 +39,7 @@ from reqsieve.schemas import COUNTERS
 from reqsieve.session import cut_lineage
 from reqsieve.sizing import join_side
 
-# How many step-function rows a task may be given at once.
+# How many step-function rows a task is given at most.
 TASK_ROWS = 1_000_000
 MAX_FANOUT = 1024
 
@@ -125,7 +130,9 @@ def _bucket_entries(steps: DataFrame, period: int, task_rows: int) -> DataFrame:
     )
     if stats.n is None:
         return steps.sparkSession.createDataFrame([], _ENTRIES)
-    fanout = int(min(MAX_FANOUT, max(2, task_rows // stats.n)))
+    if 2 * stats.n > task_rows:
+        return _split_entries(steps, period, max(1, task_rows // 2), stats.low, stats.high)
+    fanout = int(min(MAX_FANOUT, task_rows // stats.n))
     levels, span, low, high = [steps], period, stats.low, stats.high
     while high - low >= fanout:
         combined = (
@@ -146,6 +153,81 @@ def _bucket_entries(steps: DataFrame, period: int, task_rows: int) -> DataFrame:
     return above
 
 
+_NODE = ["monitor_id", "node"]
+
+
+def _pieces(steps: DataFrame, width: int) -> DataFrame:
+    """Steps with the piece of time they apply to: at most ``width`` of a node are in one."""
+    return steps.filter("upto IS NOT NULL").withColumn("piece", F.floor(F.col("upto") / width))
+
+
+def _next_piece(wanted: DataFrame, later: DataFrame) -> DataFrame:
+    """``(monitor_id, node, piece, head)``: for each wanted piece, the first step of the pieces after it.
+
+    One row per piece: their number is that of the pieces in a period, not of the events.
+    """
+    heads = later.groupBy(*_NODE, "piece").agg(F.min(F.struct("upto", "last")).alias("first"))
+    both = heads.unionByName(wanted.select(*_NODE, "piece").distinct(), allowMissingColumns=True)
+    known = both.groupBy(*_NODE, "piece").agg(F.max("first").alias("first"))
+    after = Window.partitionBy(*_NODE).orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, -1)
+    return known.withColumn("head", F.last("first", ignorenulls=True).over(after)).drop("first")
+
+
+def _first_steps(asked: DataFrame, later: DataFrame, width: int) -> DataFrame:
+    """``asked (monitor_id, node, entry, ...)`` with ``hit``: the last closing of the node's first
+    step at or after ``entry``, null if there is none.
+
+    Within a piece, the steps and the entries that fall into it are read in falling order of
+    time; beyond it, the head of the next piece answers.
+    """
+    pieced = asked.withColumn("piece", F.floor(F.col("entry") / width))
+    mixed = later.select(*_NODE, "piece", F.col("upto").alias("at"), F.col("last").alias("closing")).unionByName(
+        pieced.withColumn("at", F.col("entry")), allowMissingColumns=True
+    )
+    # at one moment the step comes before the entry
+    falling = Window.partitionBy(*_NODE, "piece").orderBy(F.desc("at"), F.col("entry").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = mixed.withColumn("inside", F.last("closing", ignorenulls=True).over(falling)).filter("entry IS NOT NULL").drop("closing", "at")
+    answered = inside.join(_next_piece(pieced, later), [*_NODE, "piece"], "left")
+    return answered.withColumn("hit", F.coalesce("inside", F.col("head.last"))).drop("piece", "inside", "head")
+
+
+def _split_entries(steps: DataFrame, period: int, width: int, low: int, high: int) -> DataFrame:
+    """``_bucket_entries`` where two buckets do not fit a task: a binary tree over pieces of stretches."""
+    width = min(width, period)
+    levels, span = [steps.select("monitor_id", "node", "upto", "last")], period
+    while high > low:
+        below = levels[-1]
+        nodes = below.select("monitor_id", F.floor(F.col("node") / 2).alias("node")).distinct()
+        known = below.filter("upto IS NOT NULL").withColumn("side", F.pmod("node", F.lit(2))).withColumn("node", F.floor(F.col("node") / 2))
+        early, late = known.filter("side = 0").drop("side"), _pieces(known.filter("side = 1").drop("side"), width)
+        early = early.withColumn("entry", F.col("last") + period)
+        # many steps may end at one closing, which is looked up once
+        answers = _first_steps(early.select(*_NODE, "entry").distinct(), late, width)
+        handed = early.join(answers, [*_NODE, "entry"]).select(*_NODE, "upto", F.coalesce("hit", "last").alias("last"))
+        # what enters after the earlier half's last step closes at the later half's first
+        reach = early.groupBy(*_NODE).agg(F.max("upto").alias("reach"))
+        first = late.groupBy(*_NODE).agg(F.min(F.struct("upto", "last")).alias("first")).join(reach, _NODE, "left")
+        horizon = F.col("node") * 2 * span + period
+        first = first.filter(F.col("reach").isNull() | (F.col("reach") < horizon)).select(*_NODE, "first.upto", "first.last")
+        merged = handed.unionByName(first)
+        merged = nodes.join(merged, _NODE, "left").select(*_NODE, "upto", "last")
+        levels.append(cut_lineage(merged, "flush-steps"))
+        low, high, span = low // 2, high // 2, span * 2
+    entries = levels[-1].select(*_NODE).distinct().withColumn("entry", F.lit(int(_NEVER)))
+    for depth, level in enumerate(reversed(levels)):
+        if depth:
+            # the earlier half is entered like the whole; the later one after the earlier one's closing
+            halves = level.select(*_NODE).distinct().withColumns({"side": F.pmod("node", F.lit(2)), "parent": F.floor(F.col("node") / 2)})
+            given = entries.select("monitor_id", F.col("node").alias("parent"), "entry")
+            halves = halves.join(given, ["monitor_id", "parent"])
+            early = _first_steps(halves.filter("side = 0"), _pieces(level, width), width)
+            closed = early.select("monitor_id", "parent", (F.col("hit") + period).alias("after"))
+            late = halves.filter("side = 1").join(closed, ["monitor_id", "parent"], "left")
+            late = late.select(*_NODE, F.coalesce("after", "entry").alias("entry"))
+            entries = cut_lineage(early.select(*_NODE, "entry").unionByName(late), "flush-entries")
+    return _first_steps(entries, _pieces(levels[0], width), width).select(*_NODE, "entry", F.col("hit").alias("last"))
+
+
 def flush_partials(
     scored: DataFrame,
     period: str = "PT30S",

@@ -96,6 +96,42 @@ def test_flush_matches_fold(spark, n, monitors, span_ms, period, period_ms, fail
     assert got == fold(rows, period_ms)
 
 
+@pytest.mark.parametrize("period, period_ms", [("PT1S", 1_000), ("PT6S", 6_000)])
+def test_no_task_gets_more_steps_than_allowed(spark, monkeypatch, period, period_ms):
+    """Dense successes, one every other millisecond: a period holds many times a task's rows."""
+    task_rows, groups = 300, []
+
+    def counted(frame, *keys):
+        groups.append(frame.groupBy(*keys).count().agg({"count": "max"}).first()[0] or 0)
+
+    first_steps, combine = flush._first_steps, flush._combine
+
+    def watched(asked, later, width):
+        counted(later, "monitor_id", "node", "piece")
+        counted(asked.selectExpr("*", f"floor(entry / {width}) as p"), "monitor_id", "node", "p")
+        return first_steps(asked, later, width)
+
+    monkeypatch.setattr(flush, "_first_steps", watched)
+    monkeypatch.setattr(flush, "_combine", lambda *a: pytest.fail("a task would get two whole buckets") if a else combine)
+    rows = [("m0", EPOCH + timedelta(milliseconds=2 * i), i, "ok", True, 0.9, False) for i in range(6_000)]
+    rows += [("m1", EPOCH + timedelta(milliseconds=900 * i), i, "ok" if i % 3 else "failure", i % 3 == 0, 0.9, False) for i in range(12)]
+    got = collected(flush_windows(spark.createDataFrame(rows, SCHEMA).repartition(4), period, task_rows=task_rows))
+    assert got == fold(rows, period_ms) and got
+    assert 0 < max(groups) <= task_rows // 2
+
+
+def test_null_times_and_null_monitors_are_kept_apart(spark):
+    at = lambda s: EPOCH + timedelta(seconds=s)
+    rows = [(m, at(s), s, "ok", True, 0.9, True) for m in (None, "", "n") for s in (0, 31, 70)]
+    rows += [(m, None, 5, "ok", True, 0.8, False) for m in (None, "", "m1") for _ in range(2)]
+    partials = flush_partials(spark.createDataFrame(rows, SCHEMA), "PT30S").collect()
+    assert sum(r.input for r in partials) == len(rows)
+    untimed = {r.monitor_id: (r.input, r.closed) for r in partials if r.start_ms is None}
+    assert untimed == {None: (2, True), "": (2, True), "m1": (2, True)}
+    closed = {(r.monitor_id, r.input) for r in partials if r.start_ms is not None and r.closed and r.input}
+    assert closed == {(m, n) for m in (None, "", "n") for n in (2, 1)}
+
+
 def test_worked_example(spark):
     times = [(10, True), (29, True), (31, False), (35, True), (64, True), (65, True)]
     rows = [
