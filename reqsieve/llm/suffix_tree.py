@@ -3,14 +3,15 @@
 A text is its tokens (words between white space, A-Z as a-z, then one end), written as
 symbols: each word's bytes by class, a separator after each word, the end. The tree's
 nodes are contexts, up to six symbols back. A context is a candidate if it makes up
-``MIN_SHARE`` of all positions; it is retained if its next-symbol distribution diverges
+``MIN_SHARE`` of all positions (a share that is doubled as long as more than ``MAX_NODES``
+contexts reach it); it is retained if its next-symbol distribution diverges
 from its parent's (the context one symbol shorter) by more than chance, or if a longer
 retained context needs it. Distributions are smoothed into the parent's. A symbol's
 probability is that of the longest retained suffix of what precedes it, and of its byte
 within the class.
 
-The tree has at most ``DEPTH / MIN_SHARE`` nodes of 512 bytes (natural text has a
-twentieth of that), which bounds what is collected and broadcast; the counts behind it, and the word counts, come from every training text.
+The tree has at most ``MAX_NODES`` nodes of 512 bytes, which bounds what is collected and
+broadcast; the counts behind it, and the word counts, come from every training text.
 Word counts grow with the corpus: the most frequent words are looked up in a broadcast
 table of fixed size, all others by a join.
 """
@@ -30,7 +31,7 @@ from reqsieve.llm import textbytes
 from reqsieve.session import Scratch, cut_lineage, split_hot_keys
 
 DEPTH = 6
-MIN_SHARE = 1e-5
+MIN_SHARE, MIN_COUNT, MAX_NODES = 3e-6, 8, 300_000
 #: Log-likelihood gain, in nats, from which a context is retained.
 DIVERGENCE = 20.0
 #: Words looked up by broadcast at most, and the slots of their table as a power of 2.
@@ -172,8 +173,8 @@ class Tree(NamedTuple):
 def grow(counts: pa.Table, bytes_: np.ndarray, divergence: float = DIVERGENCE) -> Tree:
     """The tree from rows ``(depth, context, next, n)`` of the candidate contexts."""
     depth, context, following, n = (counts[c].to_numpy() for c in ("depth", "context", "next", "n"))
-    node_key, node = np.unique(np.stack([depth, context], axis=1), axis=0, return_inverse=True)
-    node = node.ravel()
+    whole_key, node = np.unique((depth << _BITS * DEPTH) | context, return_inverse=True)
+    node_key = np.stack([whole_key >> _BITS * DEPTH, whole_key & ((1 << _BITS * DEPTH) - 1)], axis=1)
     size = max(1, len(node_key))
     tally = np.zeros((size, _SYMBOLS))
     np.add.at(tally, (node, following), n)
@@ -246,7 +247,18 @@ def _candidate_contexts(grams: DataFrame, min_share: float, scratch: Scratch) ->
     levels = levels.groupBy("depth", position.bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n"))
     levels = levels.select("depth", F.shiftright("code", _BITS).alias("context"), F.col("code").bitwiseAND(_SYMBOLS - 1).alias("next"), "n")
     levels = scratch.table(levels, "contexts")
-    frequent = levels.groupBy("depth", "context").agg(F.sum("n").alias("whole")).filter(F.col("whole") >= max(1.0, min_share * total))
+    least = max(MIN_COUNT, min_share * total)
+    times = F.floor(F.log2(F.col("whole") / F.lit(least))).cast("int")
+    frequent = levels.groupBy("depth", "context").agg(F.sum("n").alias("whole")).filter(F.col("whole") >= least)
+    frequent = scratch.table(frequent.withColumn("times", times), "frequent")
+    # at most 64 rows; the empty context is always kept
+    room, reached = MAX_NODES, 0
+    for row in frequent.groupBy("times").count().orderBy(F.desc("times")).collect():
+        room -= row["count"]
+        if room < 0:
+            reached = row["times"] + 1
+            break
+    frequent = frequent.filter((F.col("times") >= reached) | (F.col("depth") == 0))
     rows = levels.join(frequent, ["depth", "context"], "left_semi")
     return rows.select(*[F.col(c).cast("long").alias(c) for c in ("depth", "context", "next", "n")]).toArrow()
 

@@ -89,14 +89,13 @@ class Lists:
 
 
 def _stacked(vectors: pd.Series) -> np.ndarray:
-    stacked = np.stack(vectors.to_numpy()) if len(vectors) else np.zeros((0, 0), np.int64)
-    return stacked.astype(np.int64).reshape(len(vectors), -1)
+    return np.stack([np.asarray(v, np.int64) for v in vectors])
 
 
 def _pair_tasks(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> Iterator[tuple]:
-    vectors, wanted = _stacked(candidates["vector"]), _stacked(queries["vector"])
-    if not len(vectors) or not len(wanted):
+    if not len(candidates) or not len(queries):
         return
+    vectors, wanted = _stacked(candidates["vector"]), _stacked(queries["vector"])
     # sums of products below 2**53 are exact in floating point, which is faster; others stay whole
     reach = float(np.abs(vectors).max(initial=0)) * float(np.abs(wanted).max(initial=0)) * max(1, vectors.shape[1])
     kind = np.float64 if reach < _EXACT else np.int64 if reach < 9.2e18 else object

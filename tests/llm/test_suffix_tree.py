@@ -82,6 +82,16 @@ def test_distributions_sum_to_one_and_longest_context_is_used():
     assert np.allclose(suffix_tree.score(tree, found), expected)
 
 
+def test_the_number_of_contexts_is_bounded(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sizes, grow = [], suffix_tree.grow
+    monkeypatch.setattr(suffix_tree, "grow", lambda counts, *a: sizes.append(len({*zip(counts["depth"].to_pylist(), counts["context"].to_pylist())})) or grow(counts, *a))
+    for most in (300_000, 500, 3):
+        monkeypatch.setattr(suffix_tree, "MAX_NODES", most)
+        assert suffix_tree.score_texts(docs, F.lit(True)).filter("isnan(score) OR score >= 0").count() == 0
+    assert sizes[0] > 3000 and 100 < sizes[1] <= 500 and 1 <= sizes[2] <= 4
+
+
 def test_only_diverging_contexts_are_retained():
     draw = np.random.default_rng(1)
     random = " ".join("".join(draw.choice(list("ab"), 4)) for _ in range(4000))
@@ -93,7 +103,7 @@ def test_only_diverging_contexts_are_retained():
 
 
 def test_it_beats_word_frequencies_on_held_out_text(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     found = suffix_tree.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
     held = found.filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
