@@ -57,7 +57,10 @@ def assign_shards(rows: DataFrame, key: str, shards: int, order: list[str], slic
     counts of the slices are added up: no task sees a whole shard. Pass narrow rows:
     they are shuffled once by shard and slice.
     """
-    kept = rows.drop("shard", "grown_shard", "slot")
+    names = [c for c in rows.columns if c not in ("shard", "grown_shard", "slot")]
+    # inner names, so that no column of the rows meets one made here
+    kept = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    key, order = f"c{names.index(key)}", [f"c{names.index(c)}" for c in order]
     slices = max(1, -(-rows.count() // (shards * slice_rows)))
     # the key takes part, so that many rows of one text or source spread over slices
     part = F.pmod(F.xxhash64(key, *order), F.lit(slices))
@@ -67,7 +70,7 @@ def assign_shards(rows: DataFrame, key: str, shards: int, order: list[str], slic
     offsets = counts.select("shard", "_slice", F.coalesce(before, F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("shard", "_slice").orderBy(*order))
     numbered = placed.withColumn("_within", within - 1).join(offsets, ["shard", "_slice"])
-    return numbered.select(*kept.columns, "shard", "grown_shard", (F.col("_before") + F.col("_within")).cast("long").alias("slot"))
+    return numbered.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "shard", "grown_shard", (F.col("_before") + F.col("_within")).cast("long").alias("slot"))
 
 
 def write_shards(rows: DataFrame, path: str, key: str, shards: int) -> None:

@@ -67,15 +67,21 @@ def validity_intervals(changes: DataFrame) -> DataFrame:
         F.col("at").cast("timestamp").alias("at"),
     )
     clean = named.filter("list IS NOT NULL AND pattern <> '' AND at IS NOT NULL AND action IN ('add', 'remove')")
-    # the last word at each instant: only what differs from the state before remains
+    # the last word at each instant; a log is read in slices of time, each by its own task
     instants = clean.groupBy("list", "pattern", "at").agg(F.bool_and(F.col("action") == "add").alias("active"))
-    order = Window.partitionBy("list", "pattern").orderBy("at")
-    switched = instants.withColumn("before", F.lag("active", 1, False).over(order)).filter("active <> before")
-    return (
-        switched.withColumn("valid_to", F.lead("at").over(order))
-        .filter("active")
-        .select("list", "pattern", F.col("at").alias("valid_from"), "valid_to")
-    )
+    instants = instants.withColumn("slice", _slice(F.col("at"), SLICE_DAYS))
+    entry, inner = ["list", "pattern"], Window.partitionBy("list", "pattern", "slice").orderBy("at")
+    # the state that each slice begins with: one row per entry and slice
+    ends = instants.groupBy(*entry, "slice").agg(F.max_by("active", "at").alias("end"))
+    outer = Window.partitionBy(*entry).orderBy("slice")
+    begins = ends.select(*entry, "slice", F.lag("end", 1, False).over(outer).alias("begin"))
+    # only what differs from the state before remains
+    before = F.coalesce(F.lag("active").over(inner), F.col("begin"))
+    switched = instants.join(begins, [*entry, "slice"]).withColumn("before", before).filter("active <> before")
+    firsts = switched.groupBy(*entry, "slice").agg(F.min("at").alias("first"))
+    nexts = firsts.select(*entry, "slice", F.lead("first").over(outer).alias("next"))
+    closed = switched.withColumn("after", F.lead("at").over(inner)).join(nexts, [*entry, "slice"])
+    return closed.filter("active").select(*entry, F.col("at").alias("valid_from"), F.coalesce("after", "next").alias("valid_to"))
 
 
 def _slice(at: Column, days: int) -> Column:
@@ -112,11 +118,15 @@ def active_entries(captures: DataFrame, changes: DataFrame, url: str = "url", fe
     like the results are left out.
     """
     split_hot_keys(captures.sparkSession)
-    kept = captures.drop("list", "pattern", "valid_from", "valid_to")
-    side = _cut_intervals(captures, changes, fetched_at, slice_days)
+    names = [c for c in captures.columns if c not in ("list", "pattern", "valid_from", "valid_to")]
+    # inner names, so that no column of the captures meets one made here
+    kept = captures.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    url, fetched_at = f"c{names.index(url)}", f"c{names.index(fetched_at)}"
+    side = _cut_intervals(kept, changes, fetched_at, slice_days)
     keyed = kept.withColumns({"_key_slice": _slice(F.col(fetched_at), slice_days), "_key_pattern": F.explode(url_patterns(F.col(url)))})
     matched = _match(keyed, side, F.col(fetched_at).cast("timestamp"), "inner")
-    return matched.select(*kept.columns, "list", F.col("_pattern").alias("pattern"), "valid_from", "valid_to")
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+    return matched.select(*own, "list", F.col("_pattern").alias("pattern"), "valid_from", "valid_to")
 
 
 def filter_urls(

@@ -55,7 +55,7 @@ def brute(rows):
 
 
 def captures(spark, rows):
-    return spark.createDataFrame([(k, u, day(a), "x", 1) for k, u, a in rows], "page_id long, url string, fetched_at timestamp, list string, n_entries int")
+    return spark.createDataFrame([(k, u, day(a), "x", 1) for k, u, a in rows], "page_id long, url string, fetched_at timestamp, list string, _key_slice int")
 
 
 def changes(spark, rows=CHANGES):
