@@ -34,9 +34,10 @@ def split_hot_keys(spark: SparkSession) -> SparkSession:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the runtime settings results and plans depend on: UTC clock, skew joins."""
+    """Pin the runtime settings results and plans depend on: UTC clock, skew joins, and how many
+    rows Python gets at once, which bounds its memory where rows are whole texts."""
     ship_package(spark)
-    return split_hot_keys(_set(spark, {"spark.sql.session.timeZone": "UTC"}))
+    return split_hot_keys(_set(spark, {"spark.sql.session.timeZone": "UTC", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}))
 
 
 _SHIPPED = "reqsieve.shipped"
