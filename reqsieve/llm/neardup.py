@@ -6,15 +6,18 @@ two texts share with a probability equal to their weighted Jaccard similarity
 
     sum of min(weight) / sum of max(weight)
 
-so with 10 bands of 3 samples a pair at the threshold of 0.8 meets in some band with a
-probability of 0.9992, a pair at 0.9 with 0.999998. Pairs that meet are verified on
+so with 14 bands of 4 samples a pair at the threshold of 0.8 meets in some band with a
+probability of 0.9994, a pair at 0.85 with 0.99998, one at 0.3 with 0.11. Pairs that meet are verified on
 their whole multisets.
 
 Nodes are distinct texts, so copies cost nothing. A band's bucket is not expanded into its
-pairs: all members are compared with the bucket's first one, and links found are closed to
-classes; only then members of different classes that still share a bucket are compared, and
-of these only pairs that the triangle inequality of the Jaccard distance leaves open. What
-this gives is the classes that all links between bucket members would give.
+pairs: all members are compared with the bucket's first one, that of the most company in all
+buckets and so likely what the others were copied from, and links found are closed to classes; only then members of different classes that still share a bucket are compared, and
+of these only pairs that two exact bounds leave open: the triangle inequality of the Jaccard
+distance, and the weight of the shingles that a text shares with any other such text, beyond
+which no similarity can go. What this gives is the classes that all links between bucket
+members would give. In a large group of near copies with edits of their own, the copies far
+from the rest have too many shingles of their own, and no pair of theirs is made.
 
 Document frequencies are counted over all rows in ``2 ** IDF_BITS`` hash buckets, as
 Spark's HashingTF and IDF do, so their table has one size for any corpus: a passage in many
@@ -23,12 +26,12 @@ documents weighs little, and all else about the same.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,13 +39,17 @@ from reqsieve.llm import textbytes
 from reqsieve.session import Scratch, cut_lineage, split_hot_keys
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
-BANDS, BAND_SAMPLES = 10, 3
+BANDS, BAND_SAMPLES = 14, 4
 IDF_BITS = 20
 #: Lists of text fingerprints are broadcast up to so many rows (of 16 bytes).
 BROADCAST_ROWS = 250_000
+#: Rounds in which members of a bucket are compared with a few others, before all open pairs are.
+LOOKS, NEIGHBOURS, NEIGHBOURHOOD = 1, 1, 1000
+#: Shingles that one task compares to tell which of them stand in one text only.
+PIECE_SHINGLES = 500_000
 _SLICE = 1024
 _FEATURE_BITS = 44
-_CELL_BITS = 16
+_CELL_BITS = 15
 _CHUNK = 1 << 20
 
 
@@ -140,11 +147,12 @@ class Sampler:
         self.log_idf, self.bands, self.samples = log_idf, bands, bands * band_samples
         self.band_samples = band_samples
         draw = np.random.Generator(np.random.PCG64(20))
-        shape = (self.samples, 1 << _CELL_BITS)
-        r, c = draw.gamma(2.0, 1.0, shape), draw.gamma(2.0, 1.0, shape)
-        beta = draw.uniform(0.0, 1.0, shape)
-        # of a shingle with log weight w: t = floor(w / r + beta), and the smallest ln c - r (t - beta) - r wins
-        self.cells = np.stack([1 / r, beta, r, np.log(c) + r * beta - r], axis=2).astype(np.float32)
+        size = 1 << _CELL_BITS
+        self.cells = np.empty((self.samples, size, 4), np.float32)
+        for cells in self.cells:
+            r, c, beta = draw.gamma(2.0, 1.0, size), draw.gamma(2.0, 1.0, size), draw.uniform(0.0, 1.0, size)
+            # of a shingle with log weight w: t = floor(w / r + beta), and the smallest ln c - r (t - beta) - r wins
+            cells[:] = np.stack([1 / r, beta, r, np.log(c) + r * beta - r], axis=1)
         self.factors = textbytes.seeded(self.samples, 4) | np.uint64(1)
 
     def band_keys(self, rows: int, row: np.ndarray, feature: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -198,8 +206,9 @@ def band_table(docs: DataFrame, idf: Broadcast, size: int = SHINGLE_WORDS, bands
 # --- verification --------------------------------------------------------------
 
 
-def shingle_sets(texts: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
-    """Rows ``(node, shingles)`` of rows ``(node, text)``: each occurrence of a shingle in 32 bits, sorted.
+def shingle_sets(texts: DataFrame, idf: Broadcast, size: int = SHINGLE_WORDS) -> DataFrame:
+    """Rows ``(node, shingles, weight)`` of rows ``(node, text)``: each occurrence of a shingle in
+    32 bits, sorted, and the sum of their weights.
 
     The low bits are the bucket of the document frequency, which gives the weight; the
     others tell shingles of one bucket apart, and first from further occurrences.
@@ -217,9 +226,59 @@ def shingle_sets(texts: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
                 bounds = pa.array(np.searchsorted(key >> 32, np.arange(last - first + 1)), pa.int32())
                 values = (key & 0xFFFFFFFF).astype(np.uint32).view(np.int32)
                 lists = pa.ListArray.from_arrays(bounds, pa.array(values))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(first, last - first), lists], names=["node", "shingles"])
+                weight = np.bincount(key >> 32, idf.value[key & ((1 << IDF_BITS) - 1)], last - first)
+                node = batch.column("node").slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([node, lists, pa.array(weight)], names=["node", "shingles", "weight"])
 
-    return texts.select("node", "text").mapInArrow(task, "node binary, shingles array<int>")
+    return texts.select("node", "text").mapInArrow(task, "node binary, shingles array<int>, weight double")
+
+
+def shared_weights(sets: DataFrame, idf: Broadcast, piece_rows: int = PIECE_SHINGLES) -> DataFrame:
+    """``(node, weight, shared)``: the weight of each set and of what it shares with any other one.
+
+    Sets are cut by the hash of their shingles into pieces of about ``piece_rows`` shingles
+    of all sets together, packed, so that a task sees all sets that hold its shingles.
+    """
+    named = sets.withColumn("id", F.xxhash64("node"))
+    total = named.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    pieces = max(1, -(-total // piece_rows))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("shingles")
+            value = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
+            piece = (textbytes.mix(value.astype(np.int64).view(np.uint64)) % np.uint64(pieces)).astype(np.int64)
+            place = row * pieces + piece
+            order = np.argsort(place, kind="stable")
+            value, place = value[order], place[order]
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
+            bounds = pa.array(np.append(first, len(place)) if len(place) else np.zeros(1, np.int64), pa.int32())
+            packed = pa.ListArray.from_arrays(bounds, pa.array(value))
+            ids = batch.column("id").take(pa.array(place[first] // pieces))
+            yield pa.RecordBatch.from_arrays([pa.array((place[first] % pieces).astype(np.int32)), ids, packed], names=["piece", "id", "shingles"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            lists = batch.column("shingles")
+            values.append(lists.flatten().to_numpy())
+            owners.append(np.repeat(batch.column("id").to_numpy(), lists.value_lengths().to_numpy()))
+        value, owner = np.concatenate(values), np.concatenate(owners)
+        order = np.argsort(value)
+        value, owner = value[order], owner[order]
+        alone = np.ones(len(value), bool)
+        alone[1:] &= value[1:] != value[:-1]
+        alone[:-1] &= value[1:] != value[:-1]
+        ids, place = np.unique(owner[alone], return_inverse=True)
+        own = np.bincount(place, idf.value[value[alone] & ((1 << IDF_BITS) - 1)], len(ids)).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own)], names=["id", "own"])
+
+    packed = named.select("id", "shingles").mapInArrow(cut, "piece int, id long, shingles array<int>").repartition(pieces, "piece")
+    own = packed.mapInArrow(count, "id long, own double").groupBy("id").agg(F.sum("own").alias("own"))
+    return named.select("id", "node", "weight").join(_few(own), "id", "left").select(
+        "node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("shared")
+    )
 
 
 def weighted_jaccard(left: np.ndarray, right: np.ndarray, idf: np.ndarray) -> float:
@@ -242,8 +301,10 @@ def verify(pairs: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
+    # only the sets that take part are shuffled
+    left, right = (sets.join(_few(pairs.select(F.col(n).alias("node")).distinct()), "node", "left_semi") for n in ("a", "b"))
+    left = left.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    right = right.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(task, "a binary, b binary, similarity double")
 
 
@@ -253,27 +314,51 @@ def verify(pairs: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame:
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, label)``: the smallest node reached over the links ``(a, b)``, for every linked node.
 
-    Each round takes the smallest label next door and then the label's own label, so chains
-    shorten by halves; every round is a table in the shared folder.
+    Each round hands the smallest label next door to a node and to the node it is labelled
+    with, and then takes the label's own label, so paths shorten by halves; every round is a
+    table in the shared folder. Labels are broadcast if they are counted few.
     """
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+    both = links.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))))
     both = scratch.table(both.distinct(), "links")
     labels = scratch.table(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("label")), "labels")
+    few = _is_few(labels)
+    side = F.broadcast if few else lambda frame: frame
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("next")), "other")
-        lowest = near.groupBy("node").agg(F.min("next").alias("next"))
-        stepped = labels.join(lowest, "node").select("node", F.col("label").alias("was"), F.least("label", "next").alias("label"))
-        further = stepped.select(F.col("node").alias("label"), F.col("label").alias("root"))
-        jumped = stepped.join(further, "label").select("node", "was", F.least("label", "root").alias("label"))
-        after = scratch.table(jumped, "labels")
+        near = both.join(side(labels.select(F.col("node").alias("other"), F.col("label").alias("next"))), "other").join(side(labels), "node")
+        handed = near.select(F.inline(F.array(F.struct("node", "next"), F.struct(F.col("label").alias("node"), F.col("next")))))
+        handed = handed.unionByName(labels.select("node", F.col("label").alias("next")))
+        stepped = scratch.table(handed.groupBy("node").agg(F.min("next").alias("label")), "labels")
+        jump = stepped.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        jumped = stepped.join(side(jump), "label").select("node", F.least("label", "root").alias("label"))
+        was = labels.select("node", F.col("label").alias("was"))
+        after = scratch.table(jumped.join(side(was), "node"), "labels")
         if after.filter(F.col("was") != F.col("label")).isEmpty():
             return after.select("node", "label")
         labels = after.select("node", "label")
 
 
+def _joined(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels after more links: components of the classes, each class being one node."""
+    side = F.broadcast if _is_few(labels) else lambda frame: frame
+    classes = links
+    for n in ("a", "b"):
+        known = labels.select(F.col("node").alias(n), F.col("label").alias(f"label_{n}"))
+        classes = classes.join(side(known), n, "left")
+    classes = classes.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).filter("a <> b")
+    roots = components(classes, scratch).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    few = F.broadcast if _is_few(roots) else lambda frame: frame
+    moved = labels.join(few(roots), "label", "left").select("node", F.coalesce("root", "label").alias("label"))
+    single = roots.select(F.col("label").alias("node"), F.col("root").alias("label")).join(side(labels.select("node")), "node", "left_anti")
+    return scratch.table(moved.unionByName(single), "labels")
+
+
+def _is_few(frame: DataFrame) -> bool:
+    return frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def _few(frame: DataFrame) -> DataFrame:
     """For the small side of a join: broadcast if counted small."""
-    return F.broadcast(frame) if frame.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else frame
+    return F.broadcast(frame) if _is_few(frame) else frame
 
 
 def text_classes(docs: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -299,20 +384,37 @@ def _classes(rows: DataFrame, similarity: float, size: int, scratch: Scratch) ->
     banded = scratch.table(band_table(rows, idf, size), "bands")
     nodes = banded.filter("node IS NOT NULL AND size(bands) > 0").groupBy("node").agg(F.any_value("bands").alias("bands"))
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    firsts = keyed.groupBy("band", "key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = scratch.table(keyed.join(firsts, ["band", "key"]), "buckets")
+    counts = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = scratch.table(keyed.join(counts, ["band", "key"]), "met")
+    # a bucket's first node is that of the most company in all buckets: likely what the others were copied from
+    company = met.groupBy("node").agg(F.sum("n").alias("company"))
+    ranked = met.join(_few(company), "node")
+    firsts = ranked.groupBy("band", "key").agg(F.max(F.struct("company", "node"))["node"].alias("first"))
+    members = scratch.table(met.join(_few(firsts), ["band", "key"]), "buckets")
     wanted = members.select("node").distinct()
     texts = rows.withColumn("node", fingerprint(F.col("text"))).join(_few(wanted), "node", "left_semi")
-    sets = scratch.table(shingle_sets(texts, size).dropDuplicates(["node"]), "sets")
+    sets = scratch.table(shingle_sets(texts, idf, size).dropDuplicates(["node"]), "sets")
 
     pairs = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = scratch.table(pairs, "stars")
     tested = scratch.table(verify(pairs, sets, idf), "tested")
-    linked = tested.filter(F.col("similarity") >= similarity).select("a", "b")
-    labels = components(linked, scratch)
-    more = scratch.table(_open_pairs(members, tested, labels, similarity), "open")
-    more = scratch.table(verify(more, sets, idf).filter(F.col("similarity") >= similarity).select("a", "b"), "more")
-    if not more.isEmpty():
-        labels = components(linked.union(more), scratch)
+    labels = components(tested.filter(F.col("similarity") >= similarity).select("a", "b"), scratch)
+    unsettled = scratch.table(_unsettled(members, tested, similarity), "unsettled")
+    # first a few pairs of each member, which close large groups, then all that are still open
+    for look in range(LOOKS + 1):
+        divided = scratch.table(_divided(unsettled, labels), "divided")
+        if divided.isEmpty():
+            break
+        if look < LOOKS:
+            pairs = _some_pairs(divided, look, similarity)
+        else:
+            theirs = sets.join(_few(divided.select("node").distinct()), "node", "left_semi")
+            weights = scratch.table(shared_weights(theirs, idf), "weights")
+            pairs = _open_pairs(divided.join(_few(weights), "node"), similarity)
+        more = verify(scratch.table(pairs, "open"), sets, idf).filter(F.col("similarity") >= similarity).select("a", "b")
+        more = scratch.table(more, "more")
+        if not more.isEmpty():
+            labels = _joined(labels, more, scratch)
 
     classed = banded.select("doc_id", "node").join(labels, "node", "left")
     classed = classed.withColumn("class_node", F.coalesce("label", "node")).drop("label")
@@ -325,31 +427,68 @@ def _classes(rows: DataFrame, similarity: float, size: int, scratch: Scratch) ->
     return classed.select("doc_id", "node", "class_node", class_id.alias("class_id"), stays.alias("stays"))
 
 
-def _open_pairs(members: DataFrame, tested: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of one bucket in different classes, unless their distances to the bucket's
-    first node forbid a link."""
+def _unsettled(members: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
+    """Members, besides the first node, of buckets in which not all are linked to that one:
+    ``(band, key, node, far)`` with the distance to it."""
     distance = tested.select(F.col("a").alias("first"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    others = members.filter("node <> first").join(distance, ["first", "node"]).join(labels, "node", "left")
-    others = others.withColumn("label", F.coalesce("label", "node"))
-    split = others.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    others = others.join(split.select("band", "key"), ["band", "key"])
-    left = others.select("band", "key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("far").alias("far_a"))
-    right = others.select("band", "key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("far").alias("far_b"))
-    near = F.abs(F.col("far_a") - F.col("far_b")) <= 1 - similarity + 1e-9
-    return left.join(right, ["band", "key"]).filter((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & near).select("a", "b").distinct()
+    others = members.filter("node <> first").join(distance, ["first", "node"]).select("band", "key", "node", "far")
+    farthest = others.groupBy("band", "key").agg(F.max("far").alias("most"), F.count(F.lit(1)).alias("n"))
+    return others.join(farthest.filter((F.col("most") > 1 - similarity) & (F.col("n") > 1)).drop("most"), ["band", "key"])
+
+
+def _divided(unsettled: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of buckets that still hold more than one class, with their labels."""
+    labelled = unsettled.join(_few(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return labelled.join(_few(split.select("band", "key")), ["band", "key"])
+
+
+def _near(left: Callable[[str], Column], right: Callable[[str], Column], similarity: float) -> Column:
+    """Two classes, and distances to the bucket's first node that differ by no more than a link allows."""
+    return (left("label") != right("label")) & (F.abs(left("far") - right("far")) <= 1 - similarity + 1e-9)
+
+
+def _open_pairs(divided: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of one bucket that could be a link between two classes.
+
+    What two texts have in common weighs no more than what either shares with any text; a
+    text that has too much of its own can be linked to none.
+    """
+    linkable = divided.filter(F.col("shared") >= similarity * F.col("weight") * (1 - 1e-9))
+    left, right = linkable.alias("l"), linkable.alias("r")
+    ours, theirs = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    common = F.least(ours("shared"), theirs("shared"))
+    same = (ours("band") == theirs("band")) & (ours("key") == theirs("key")) & (ours("node") < theirs("node"))
+    same &= common >= similarity * (ours("weight") + theirs("weight") - common) * (1 - 1e-9)
+    return left.join(right, same & _near(ours, theirs, similarity)).select(ours("node").alias("a"), theirs("node").alias("b")).distinct()
+
+
+def _some_pairs(divided: DataFrame, look: int, similarity: float) -> DataFrame:
+    """A few possible pairs of each member: with the next ones in a random order of its part of the bucket."""
+    part = F.pmod(F.xxhash64("node", "band", F.lit(look)), F.ceil(F.col("n") / NEIGHBOURHOOD))
+    order = Window.partitionBy("band", "key", "part").orderBy("place", "node")
+    spread = divided.withColumns({"part": part, "place": F.xxhash64("node", F.lit(look))})
+    nexts = [F.lead(F.struct("node", "label", "far"), k).over(order) for k in range(1, NEIGHBOURS + 1)]
+    paired = spread.withColumn("nexts", F.array(*nexts)).withColumn("next", F.explode(F.array_compact("nexts")))
+    other = F.col("next.node")
+    near = paired.filter(_near(F.col, lambda c: F.col("next")[c], similarity))
+    return near.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """One row of each class of ``text_classes``, with its own columns; rows with null texts all stay."""
-    classes = text_classes(docs, text, id, similarity)
-    key = [F.col(id).cast("string").eqNullSafe(F.col("_id")), fingerprint(F.col(text).cast("string")) == F.col("_node")]
+    names = docs.columns
+    # inner names, so that no column of the rows meets one made here
+    rows, id, text = docs.toDF(*[f"c{i}" for i in range(len(names))]), f"c{names.index(id)}", f"c{names.index(text)}"
+    classes = text_classes(rows, text, id, similarity)
+    key = F.col(id).cast("string").eqNullSafe(F.col("_id")) & (fingerprint(F.col(text).cast("string")) == F.col("_node"))
     named = classes.filter("node IS NOT NULL").select(F.col("doc_id").cast("string").alias("_id"), F.col("node").alias("_node"), "stays")
     gone = named.filter("NOT stays").drop("stays").distinct()
-    alone = docs.join(_few(gone), key[0] & key[1], "left_anti")
+    left = rows.join(_few(gone), key, "left_anti")
     repeated = named.filter("stays").groupBy("_id", "_node").count().filter("count > 1").drop("count")
-    if repeated.isEmpty():
-        return alone
-    # rows equal in id and text: one of them stays
-    repeated = _few(repeated)
-    single = alone.join(repeated, key[0] & key[1], "left_semi").dropDuplicates([id, text])
-    return alone.join(repeated, key[0] & key[1], "left_anti").unionByName(single)
+    if not repeated.isEmpty():
+        # rows equal in id and text: one of them stays
+        repeated = _few(repeated)
+        single = left.join(repeated, key, "left_semi").dropDuplicates([id, text])
+        left = left.join(repeated, key, "left_anti").unionByName(single)
+    return left.toDF(*names)

@@ -14,7 +14,7 @@ def brute(rows, idf, similarity=0.8):
         texts[text if text is not None else ("null", k)].append(id)
     for text in texts:
         if isinstance(text, str):
-            _, feature, count = neardup.features(*textbytes.column_bytes(pa.array([text])), neardup.SHINGLE_WORDS)
+            _, feature, count = neardup.features(*textbytes.column_bytes(pa.array([text], pa.string())), neardup.SHINGLE_WORDS)
             sets[text] = Counter(dict(zip(feature.tolist(), count.tolist())))
     weight = lambda f: float(idf[f & ((1 << neardup.IDF_BITS) - 1)])
     parent = {t: t for t in texts}
@@ -80,7 +80,7 @@ def test_brute_force(spark):
     docs = frame(spark, rows)
     found = neardup.text_classes(docs)
     total, frequencies = neardup.document_frequencies(docs)
-    assert total == sum(bool(textbytes.words(*textbytes.column_bytes(pa.array([t]))).start.size) for _, t in rows)
+    assert total == sum(bool(textbytes.words(*textbytes.column_bytes(pa.array([t], pa.string()))).start.size) for _, t in rows)
     expected = brute(rows, neardup.inverse_frequencies(total, frequencies))
     got = sorted(((r.doc_id, r.class_id) for r in found.collect()), key=repr)
     assert got == sorted(((i, c) for (i, _), c in zip(rows, expected)), key=repr)
@@ -105,7 +105,7 @@ def test_document_frequencies_cover_all_rows(spark):
     total, frequencies = neardup.document_frequencies(frame(spark, rows))
     tally = np.zeros(1 << neardup.IDF_BITS, int)
     for _, text in rows:
-        _, feature, _ = neardup.features(*textbytes.column_bytes(pa.array([text])), 5)
+        _, feature, _ = neardup.features(*textbytes.column_bytes(pa.array([text], pa.string())), 5)
         tally[np.unique(neardup._bucket(feature))] += 1
     assert total == 50 and (tally == frequencies).all()
 
