@@ -276,7 +276,7 @@ def shared_weights(sets: DataFrame, idf: Broadcast, piece_rows: int = PIECE_SHIN
 
     packed = named.select("id", "shingles").mapInArrow(cut, "piece int, id long, shingles array<int>").repartition(pieces, "piece")
     own = packed.mapInArrow(count, "id long, own double").groupBy("id").agg(F.sum("own").alias("own"))
-    return named.select("id", "node", "weight").join(_few(own), "id", "left").select(
+    return named.select("id", "node", "weight").join(own, "id", "left").select(
         "node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("shared")
     )
 
@@ -305,7 +305,7 @@ def verify(pairs: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame:
     left, right = (sets.join(_few(pairs.select(F.col(n).alias("node")).distinct()), "node", "left_semi") for n in ("a", "b"))
     left = left.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = right.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(task, "a binary, b binary, similarity double")
+    return left.join(_few(pairs), "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(task, "a binary, b binary, similarity double")
 
 
 # --- classes ---------------------------------------------------------------------
@@ -391,8 +391,11 @@ def _classes(rows: DataFrame, similarity: float, size: int, scratch: Scratch) ->
     ranked = met.join(_few(company), "node")
     firsts = ranked.groupBy("band", "key").agg(F.max(F.struct("company", "node"))["node"].alias("first"))
     members = scratch.table(met.join(_few(firsts), ["band", "key"]), "buckets")
-    wanted = members.select("node").distinct()
-    texts = rows.withColumn("node", fingerprint(F.col("text"))).join(_few(wanted), "node", "left_semi")
+    # of equal texts, the row of the smallest id will do
+    least = banded.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
+    wanted = scratch.table(members.select("node").distinct().join(least, "node").withColumnRenamed("node", "wanted"), "wanted")
+    marked = rows.withColumn("node", fingerprint(F.col("text")))
+    texts = marked.join(_few(wanted), (F.col("node") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("least")), "left_semi")
     sets = scratch.table(shingle_sets(texts, idf, size).dropDuplicates(["node"]), "sets")
 
     pairs = members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
