@@ -36,7 +36,7 @@ MIN_SHARE, MIN_COUNT, MAX_NODES = 3e-6, 8, 300_000
 DIVERGENCE = 20.0
 #: Words looked up by broadcast at most, and the slots of their table as a power of 2.
 HEAD_WORDS, HEAD_BITS = 400_000, 21
-_BITS, _SYMBOLS = 6, 64
+_BITS, _SYMBOLS, _BLOCK = 6, 64, 16_384
 _PENDING = 3_000_000
 _CHUNK = 1 << 20
 
@@ -176,23 +176,26 @@ def grow(counts: pa.Table, bytes_: np.ndarray, divergence: float = DIVERGENCE) -
     whole_key, node = np.unique((depth << _BITS * DEPTH) | context, return_inverse=True)
     node_key = np.stack([whole_key >> _BITS * DEPTH, whole_key & ((1 << _BITS * DEPTH) - 1)], axis=1)
     size = max(1, len(node_key))
-    tally = np.zeros((size, _SYMBOLS))
-    np.add.at(tally, (node, following), n)
-    total = tally.sum(axis=1)
+    tally = np.zeros((size, _SYMBOLS), np.float32)
+    tally[node, following] = n  # each pair is one row
+    total = tally.sum(axis=1, dtype=np.float64)
     level = node_key[:, 0] if len(node_key) else np.zeros(1, np.int64)
     place = {(int(d), int(c)): k for k, (d, c) in enumerate(node_key)}
     parent = np.zeros(size, np.int64)
     for k, (d, c) in enumerate(node_key):
         if d:
             parent[k] = place[int(d) - 1, int(c) & ((1 << _BITS * (int(d) - 1)) - 1)]
-    share = np.zeros((size, _SYMBOLS))
+    share = np.zeros((size, _SYMBOLS), np.float32)
     share[0] = (tally[0] + 1) / (total[0] + _SYMBOLS)
     retained = np.zeros(size, bool)
     retained[0] = True
-    with np.errstate(divide="ignore", invalid="ignore"):
-        own, above = tally / total[:, None], tally[parent] / total[parent][:, None]
-        gain = np.where(tally > 0, tally * np.log(own / above), 0).sum(axis=1)
-    retained |= (gain >= divergence) & (level > 0)
+    for first in range(0, size, _BLOCK):
+        at = np.arange(first, min(first + _BLOCK, size))
+        ours, theirs = tally[at].astype(np.float64), tally[parent[at]].astype(np.float64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = (ours / total[at][:, None]) / (theirs / total[parent[at]][:, None])
+            gain = np.where(ours > 0, ours * np.log(ratio), 0).sum(axis=1)
+        retained[at] |= (gain >= divergence) & (level[at] > 0)
     for d in range(DEPTH, 0, -1):
         at = np.flatnonzero(retained & (level == d))
         retained[parent[at]] = True
@@ -213,7 +216,7 @@ def grow(counts: pa.Table, bytes_: np.ndarray, divergence: float = DIVERGENCE) -
     whole = np.bincount(_SYMBOL, seen, _SYMBOLS)
     byte_log = np.where(_SYMBOL > 1, np.log10(np.maximum(seen, 1) / whole[_SYMBOL]), 0.0)
     byte_log[0x41:0x5B] = byte_log[0x61:0x7B]
-    return Tree(child.ravel(), np.log10(share[kept]).astype(np.float32).ravel(), byte_log)
+    return Tree(child.ravel(), np.log10(share[kept]).ravel(), byte_log)
 
 
 def score(tree: Tree, found: Symbols) -> np.ndarray:
