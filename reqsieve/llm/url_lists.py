@@ -21,8 +21,6 @@ from reqsieve.session import split_hot_keys
 #: Intervals are broadcast up to so many rows of at most so many bytes of pattern and list.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8 << 20
 SLICE_DAYS = 64
-#: Path folders, from the root, that a pattern may name.
-PATH_DEPTH = 2
 
 
 def url_host(url: Column) -> Column:
@@ -32,15 +30,15 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r"\.?(:[0-9]*)?$", ""))
 
 
-def url_patterns(url: Column, path_depth: int = PATH_DEPTH) -> Column:
-    """All patterns that cover a URL: its host and each parent domain of two labels or
-    more, alone and with its first folders (``example.org/en``)."""
+def url_patterns(url: Column, path_depth: int) -> Column:
+    """All patterns that cover a URL: its host and each parent domain down to the last
+    label, alone and with up to ``path_depth`` of its first folders (``example.org/en``)."""
     host = url_host(url)
     labels = F.split(host, r"\.")
     count = F.size(labels)
     domains = F.transform(
-        F.sequence(F.lit(1), F.greatest(count - 1, F.lit(1))),
-        lambda k: F.array_join(F.slice(labels, k, F.greatest(count - k + 1, F.lit(1))), "."),
+        F.sequence(F.lit(1), count),
+        lambda k: F.array_join(F.slice(labels, k, count - k + 1), "."),
     )
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*://)?[^/?#]*(/[^?#]*)", 1)
     folders = F.filter(F.split(path, "/"), lambda part: part != "")
@@ -58,11 +56,14 @@ def validity_intervals(changes: DataFrame) -> DataFrame:
     An ``add`` opens an interval unless one is open, a ``remove`` closes it; ``valid_to``
     is null while it is open. The interval holds its begin and not its end. At one
     instant a remove comes after an add. Repeated changes change nothing; a change with a
-    null in any column, or another action, is none. Pattern case and a final ``/`` do not matter.
+    null in any column, or another action, is none. A pattern's host has no case, its path
+    has one as a URL's has; a final ``/`` and repeated ones do not matter.
     """
+    whole = F.col("pattern").cast("string")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(whole, r"^[^/]*(/.*)$", 1), "/+", "/"), "/$", "")
     named = changes.select(
         F.col("list").cast("string").alias("list"),
-        F.lower(F.regexp_replace(F.col("pattern").cast("string"), "/+$", "")).alias("pattern"),
+        F.concat(F.lower(F.regexp_extract(whole, r"^[^/]*", 0)), path).alias("pattern"),
         F.col("action"),
         F.col("at").cast("timestamp").alias("at"),
     )
@@ -88,8 +89,9 @@ def _slice(at: Column, days: int) -> Column:
     return F.floor(F.unix_date(F.to_date(at)) / F.lit(days)).cast("long")
 
 
-def _cut_intervals(captures: DataFrame, changes: DataFrame, fetched_at: str, slice_days: int) -> DataFrame:
-    """The intervals once per time slice of the captures that they reach into, broadcast if small."""
+def _cut_intervals(captures: DataFrame, changes: DataFrame, fetched_at: str, slice_days: int) -> tuple[DataFrame, int]:
+    """The intervals once per time slice of the captures that they reach into, broadcast if
+    small, and the number of folders of the deepest pattern among them."""
     at = _slice(F.col(fetched_at), slice_days)
     low, high = captures.agg(F.min(at), F.max(at)).first()  # two numbers
     first = F.greatest(_slice(F.col("valid_from"), slice_days), F.lit(low).cast("long"))
@@ -99,8 +101,9 @@ def _cut_intervals(captures: DataFrame, changes: DataFrame, fetched_at: str, sli
     cut = cut.filter(F.lit(low is not None) & (F.col("_first") <= F.col("_last")))
     cut = cut.withColumn("_slice", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last").withColumnRenamed("pattern", "_pattern")
     size = F.coalesce(F.sum(F.octet_length("_pattern") + F.octet_length("list") + 24), F.lit(0))
-    rows, used = cut.agg(F.count(F.lit(1)), size).first()
-    return F.broadcast(cut) if rows <= BROADCAST_ROWS and used <= BROADCAST_BYTES else cut
+    depth = F.coalesce(F.max(F.size(F.split("_pattern", "/")) - 1), F.lit(0))
+    rows, used, deepest = cut.agg(F.count(F.lit(1)), size, depth).first()
+    return F.broadcast(cut) if rows <= BROADCAST_ROWS and used <= BROADCAST_BYTES else cut, deepest
 
 
 def _match(keyed: DataFrame, side: DataFrame, at: Column, how: str) -> DataFrame:
@@ -122,8 +125,8 @@ def active_entries(captures: DataFrame, changes: DataFrame, url: str = "url", fe
     # inner names, so that no column of the captures meets one made here
     kept = captures.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     url, fetched_at = f"c{names.index(url)}", f"c{names.index(fetched_at)}"
-    side = _cut_intervals(kept, changes, fetched_at, slice_days)
-    keyed = kept.withColumns({"_key_slice": _slice(F.col(fetched_at), slice_days), "_key_pattern": F.explode(url_patterns(F.col(url)))})
+    side, depth = _cut_intervals(kept, changes, fetched_at, slice_days)
+    keyed = kept.withColumns({"_key_slice": _slice(F.col(fetched_at), slice_days), "_key_pattern": F.explode(url_patterns(F.col(url), depth))})
     matched = _match(keyed, side, F.col(fetched_at).cast("timestamp"), "inner")
     own = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
     return matched.select(*own, "list", F.col("_pattern").alias("pattern"), "valid_from", "valid_to")
@@ -141,9 +144,9 @@ def filter_urls(
     """
     split_hot_keys(captures.sparkSession)
     narrow = captures.select(F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(fetched_at).alias("_at"))
-    side = _cut_intervals(narrow, changes, "_at", slice_days)
+    side, depth = _cut_intervals(narrow, changes, "_at", slice_days)
     keyed = narrow.withColumns({"_row": F.monotonically_increasing_id(), "_key_slice": _slice(F.col("_at"), slice_days)})
-    keyed = keyed.withColumn("_key_pattern", F.explode_outer(url_patterns(F.col("_url"))))
+    keyed = keyed.withColumn("_key_pattern", F.explode_outer(url_patterns(F.col("_url"), depth)))
     matched = _match(keyed, side, F.col("_at").cast("timestamp"), "left")
     # the rows of a capture lie side by side: they are joined before the shuffle
     judged = matched.groupBy("_row").agg(

@@ -85,6 +85,25 @@ def test_intervals(spark):
     }
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_deep_folders_capitals_and_single_labels(spark, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(url_lists, "BROADCAST_ROWS", 0)
+    log = [
+        ("deep", "a.org/1/2/3/4/5", "add", 0), ("case", "A.org/News//Old/", "add", 0), ("com", "com", "add", 0), ("com", "com", "remove", 9),
+        ("four", "x.a.org/1/2/3/4", "add", 0),
+    ]
+    expected = {
+        "http://a.org/1/2/3/4/5/6.html": ["deep"], "http://x.A.org/1/2/3/4/5": ["deep", "four"], "http://a.org/1/2/3/4": [], "http://a.org/News/Old/x": ["case"],
+        "http://a.org/news/old/x": [], "http://a.org/News": [], "http://one.com/x": ["com"], "http://deep.one.com": ["com"], "com": ["com"], "http://com.org": [],
+    }
+    frame = captures(spark, [(k, u, 1) for k, u in enumerate(expected)])
+    found = url_lists.filter_urls(frame, changes(spark, log), "page_id")
+    assert {r.url: r.lists for r in found.collect()} == expected
+    active = url_lists.active_entries(frame, changes(spark, log)).collect()
+    assert sorted((r.url, r.list) for r in active) == sorted((u, n) for u, names in expected.items() for n in names)
+
+
 def test_empty(spark):
     rows = [(1, URLS[0], 15)]
     assert url_lists.filter_urls(captures(spark, []), changes(spark), "page_id").count() == 0
