@@ -2,18 +2,18 @@
 
 A text is its tokens (words between white space, A-Z as a-z, then one end), written as
 symbols: each word's bytes by class, a separator after each word, the end. The tree's
-nodes are contexts, up to six symbols back. A context is a candidate if it makes up
-``MIN_SHARE`` of all positions (a share that is doubled as long as more than ``MAX_NODES``
-contexts reach it); it is retained if its next-symbol distribution diverges
-from its parent's (the context one symbol shorter) by more than chance, or if a longer
+nodes are contexts, up to six symbols back. A context is a candidate if it was seen
+``MIN_COUNT`` times, in a corpus of any size; it is retained if its next-symbol distribution
+diverges from its parent's (the context one symbol shorter) by more than chance, or if a longer
 retained context needs it. Distributions are smoothed into the parent's. A symbol's
 probability is that of the longest retained suffix of what precedes it, and of its byte
 within the class.
 
-The tree has at most ``MAX_NODES`` nodes of 512 bytes, which bounds what is collected and
-broadcast; the counts behind it, and the word counts, come from every training text.
-Word counts grow with the corpus: the most frequent words are looked up in a broadcast
-table of fixed size, all others by a join.
+The tree grows with the corpus. Its most frequent contexts, at most ``MAX_NODES`` of 512
+bytes, are broadcast; all others are a table, and the symbols that one of them precedes are
+looked up there by a join, each distinct sequence once. The broadcast nodes tell where
+the table goes on, so the scores are those of the whole tree. Word counts grow too: the
+most frequent words are looked up in a broadcast table of fixed size, all others by a join.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,12 +32,14 @@ from reqsieve.llm import textbytes
 from reqsieve.session import Scratch, cut_lineage, split_hot_keys
 
 DEPTH = 6
-MIN_SHARE, MIN_COUNT, MAX_NODES = 3e-6, 8, 300_000
+#: Times a context must be seen, and contexts that are broadcast at most.
+MIN_COUNT, MAX_NODES = 8, 300_000
 #: Log-likelihood gain, in nats, from which a context is retained.
 DIVERGENCE = 20.0
 #: Words looked up by broadcast at most, and the slots of their table as a power of 2.
 HEAD_WORDS, HEAD_BITS = 400_000, 21
 _BITS, _SYMBOLS, _BLOCK = 6, 64, 16_384
+_ELSEWHERE = -2
 _PENDING = 3_000_000
 _CHUNK = 1 << 20
 
@@ -163,28 +166,31 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Tree(NamedTuple):
-    """The retained contexts; node 0 is the empty one."""
+    """The retained contexts that are broadcast; node 0 is the empty one."""
 
-    child: np.ndarray  # (nodes x symbols) the context one symbol further back, or -1
+    child: np.ndarray  # (nodes x symbols) the context one symbol further back, -1 if none, _ELSEWHERE if in the table
     log: np.ndarray  # (nodes x symbols) log10 of the next symbol's probability
     byte_log: np.ndarray  # log10 of a byte's probability within its class
 
 
-def grow(counts: pa.Table, bytes_: np.ndarray, divergence: float = DIVERGENCE) -> Tree:
-    """The tree from rows ``(depth, context, next, n)`` of the candidate contexts."""
-    depth, context, following, n = (counts[c].to_numpy() for c in ("depth", "context", "next", "n"))
-    whole_key, node = np.unique((depth << _BITS * DEPTH) | context, return_inverse=True)
-    node_key = np.stack([whole_key >> _BITS * DEPTH, whole_key & ((1 << _BITS * DEPTH) - 1)], axis=1)
-    size = max(1, len(node_key))
+def grow(counts: pa.Table, bytes_: np.ndarray, divergence: float = DIVERGENCE, marks: pa.Table | None = None) -> Tree:
+    """The tree from rows ``(depth, context, next, n)`` of the candidate contexts.
+
+    ``marks`` are rows ``(depth, context, longer)``: a bit for each symbol further back with
+    which the context is one of the table's.
+    """
+    # what is done with is let go at once, as all of this is in the driver's memory
+    whole_key = (counts["depth"].to_numpy().astype(np.int64) << _BITS * DEPTH) | counts["context"].to_numpy()
+    keys, node = np.unique(whole_key, return_inverse=True)
+    size = max(1, len(keys))
     tally = np.zeros((size, _SYMBOLS), np.float32)
-    tally[node, following] = n  # each pair is one row
+    tally[node, counts["next"].to_numpy()] = counts["n"].to_numpy()  # each pair is one row
+    del counts, whole_key, node
     total = tally.sum(axis=1, dtype=np.float64)
-    level = node_key[:, 0] if len(node_key) else np.zeros(1, np.int64)
-    place = {(int(d), int(c)): k for k, (d, c) in enumerate(node_key)}
-    parent = np.zeros(size, np.int64)
-    for k, (d, c) in enumerate(node_key):
-        if d:
-            parent[k] = place[int(d) - 1, int(c) & ((1 << _BITS * (int(d) - 1)) - 1)]
+    keys = keys if len(keys) else np.zeros(1, np.int64)
+    level, context = keys >> _BITS * DEPTH, keys & ((1 << _BITS * DEPTH) - 1)
+    up = np.maximum(level - 1, 0)
+    parent = np.searchsorted(keys, np.where(level > 0, (up << _BITS * DEPTH) | (context & ((1 << _BITS * up) - 1)), 0))
     share = np.zeros((size, _SYMBOLS), np.float32)
     share[0] = (tally[0] + 1) / (total[0] + _SYMBOLS)
     retained = np.zeros(size, bool)
@@ -196,39 +202,66 @@ def grow(counts: pa.Table, bytes_: np.ndarray, divergence: float = DIVERGENCE) -
             ratio = (ours / total[at][:, None]) / (theirs / total[parent[at]][:, None])
             gain = np.where(ours > 0, ours * np.log(ratio), 0).sum(axis=1)
         retained[at] |= (gain >= divergence) & (level[at] > 0)
+    marked, longer = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if marks is not None and len(marks):
+        marked = np.searchsorted(keys, (marks["depth"].to_numpy() << _BITS * DEPTH) | marks["context"].to_numpy())
+        longer = marks["longer"].to_numpy()
+        retained[marked] = True
     for d in range(DEPTH, 0, -1):
         at = np.flatnonzero(retained & (level == d))
         retained[parent[at]] = True
     for d in range(1, DEPTH + 1):
-        at = np.flatnonzero(retained & (level == d))
-        pull = (tally[at] > 0).sum(axis=1)[:, None]
-        share[at] = (tally[at] + pull * share[parent[at]]) / (total[at][:, None] + pull)
+        ours = np.flatnonzero(retained & (level == d))
+        for first in range(0, len(ours), _BLOCK):
+            at = ours[first : first + _BLOCK]
+            pull = (tally[at] > 0).sum(axis=1)[:, None]
+            share[at] = (tally[at] + pull * share[parent[at]]) / (total[at][:, None] + pull)
+    del tally
     kept = np.flatnonzero(retained)
     number = np.full(size, -1, np.int64)
     number[kept] = np.arange(len(kept))
     child = np.full((len(kept), _SYMBOLS), -1, np.int32)
-    for k in kept[1:].tolist():
-        d, c = node_key[k]
-        child[number[parent[k]], int(c) >> _BITS * (int(d) - 1)] = number[k]
+    longest = kept[1:]
+    child[number[parent[longest]], context[longest] >> _BITS * (level[longest] - 1)] = number[longest]
+    for symbol in range(_SYMBOLS):
+        child[number[marked[(longer >> symbol) & 1 == 1]], symbol] = _ELSEWHERE
     seen = bytes_ + 1.0
     seen[_SPECIAL[1]] = 0
     seen[[*range(0x41, 0x5B)]] = 0
     whole = np.bincount(_SYMBOL, seen, _SYMBOLS)
     byte_log = np.where(_SYMBOL > 1, np.log10(np.maximum(seen, 1) / whole[_SYMBOL]), 0.0)
     byte_log[0x41:0x5B] = byte_log[0x61:0x7B]
-    return Tree(child.ravel(), np.log10(share[kept]).ravel(), byte_log)
+    share = share[kept]
+    return Tree(child.ravel(), np.log10(share, out=share).ravel(), byte_log)
 
 
-def score(tree: Tree, found: Symbols) -> np.ndarray:
-    """Log10 probability of each row."""
-    state, going = np.zeros(len(found.predicted), np.int32), np.ones(len(found.predicted), bool)
+def _longest(tree: Tree, sequence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each sequence the longest context among the nodes, its length, and whether the table has a longer one."""
+    state, going = np.zeros(len(sequence), np.int32), np.ones(len(sequence), bool)
+    length, more = np.zeros(len(sequence), np.int64), np.zeros(len(sequence), bool)
     for back in range(1, DEPTH + 1):
-        longer = tree.child[state * _SYMBOLS + found.code[found.predicted - back]]
+        longer = tree.child[state * _SYMBOLS + (sequence >> _BITS * back & _SYMBOLS - 1)]
+        more |= going & (longer == _ELSEWHERE)
         going &= longer >= 0
         state = np.where(going, longer, state)
-    log = tree.log[state * _SYMBOLS + found.code[found.predicted]].astype(np.float64)
+        length += going
+    return state, length, more
+
+
+def _scored(tree: Tree, found: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log10 probability of each row without the symbols that need the table, and these:
+    their rows and sequences."""
+    sequence = sequences(found)
+    state, _, more = _longest(tree, sequence)
+    log = tree.log[state * _SYMBOLS + (sequence & _SYMBOLS - 1)].astype(np.float64)
+    log[more] = 0
     log += tree.byte_log[found.byte[found.predicted]]
-    return np.bincount(found.row, log, minlength=int(found.row[-1]) + 1 if len(found.row) else 0)
+    return np.bincount(found.row, log, minlength=int(found.row[-1]) + 1 if len(found.row) else 0), found.row[more], sequence[more]
+
+
+def score(tree: Tree, found: Symbols) -> np.ndarray:
+    """Log10 probability of each row under a tree without a table."""
+    return _scored(tree, found)[0]
 
 
 class Head(NamedTuple):
@@ -241,29 +274,49 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return ((key.view(np.uint64) << np.uint64(1)) >> np.uint64(64 - HEAD_BITS)).astype(np.int64)
 
 
-def _candidate_contexts(grams: DataFrame, min_share: float, scratch: Scratch) -> pa.Table:
-    """Next-symbol counts of all contexts with at least ``min_share`` of the positions."""
+def _shorter(length: str) -> Column:
+    """A context cut to its nearest ``length`` symbols."""
+    return F.expr(f"context & (shiftleft(1L, cast({_BITS} * ({length}) as int)) - 1)")
+
+
+def _candidate_contexts(grams: DataFrame, divergence: float, scratch: Scratch) -> tuple[pa.Table, pa.Table | None, DataFrame | None]:
+    """Next-symbol counts of the most frequent contexts; for ``grow``, where other retained
+    ones go on from them; and the table of these: ``(depth, context, whole, pull, following)``."""
     position = F.col("key")
-    total = grams.agg(F.sum("n")).first()[0] or 0
     levels = grams.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))))
     mask = F.element_at(F.array(*[F.lit((1 << _BITS * (d + 1)) - 1).cast("long") for d in range(DEPTH + 1)]), F.col("depth") + 1)
     levels = levels.groupBy("depth", position.bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n"))
     levels = levels.select("depth", F.shiftright("code", _BITS).alias("context"), F.col("code").bitwiseAND(_SYMBOLS - 1).alias("next"), "n")
     levels = scratch.table(levels, "contexts")
-    least = max(MIN_COUNT, min_share * total)
-    times = F.floor(F.log2(F.col("whole") / F.lit(least))).cast("int")
-    frequent = levels.groupBy("depth", "context").agg(F.sum("n").alias("whole")).filter(F.col("whole") >= least)
-    frequent = scratch.table(frequent.withColumn("times", times), "frequent")
+    known = levels.groupBy("depth", "context").agg(F.sum("n").alias("whole"), F.count(F.lit(1)).alias("pull"))
+    known = known.filter((F.col("whole") >= MIN_COUNT) | (F.col("depth") == 0))
+    known = scratch.table(known.withColumn("times", F.floor(F.log2(F.col("whole") / F.lit(MIN_COUNT))).cast("int")), "known")
     # at most 64 rows; the empty context is always kept
-    room, reached = MAX_NODES, 0
-    for row in frequent.groupBy("times").count().orderBy(F.desc("times")).collect():
+    room, reached = MAX_NODES, None
+    for row in known.groupBy("times").count().orderBy(F.desc("times")).collect():
         room -= row["count"]
         if room < 0:
             reached = row["times"] + 1
             break
-    frequent = frequent.filter((F.col("times") >= reached) | (F.col("depth") == 0))
-    rows = levels.join(frequent, ["depth", "context"], "left_semi")
-    return rows.select(*[F.col(c).cast("long").alias(c) for c in ("depth", "context", "next", "n")]).toArrow()
+    frequent = F.lit(True) if reached is None else (F.col("times") >= reached) | (F.col("depth") == 0)
+    kinds = {"depth": "byte", "context": "long", "next": "byte", "n": "long"}
+    head = levels.join(known.filter(frequent), ["depth", "context"], "left_semi").select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()]).toArrow()
+    if reached is None:
+        return head, None, None
+    rows = levels.join(known.withColumn("frequent", frequent).drop("times"), ["depth", "context"])
+    ours = rows.filter(~F.col("frequent")).withColumn("parent", _shorter("depth - 1"))
+    theirs = rows.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("parent"), "next", (F.col("n") / F.col("whole")).alias("share"))
+    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("share")))
+    diverging = ours.join(theirs, ["depth", "parent", "next"]).groupBy("depth", "context").agg(gain.alias("gain")).filter(F.col("gain") >= divergence)
+    # with all that is shorter
+    needed = diverging.withColumn("length", F.explode(F.sequence(F.lit(1), F.col("depth")))).select(F.col("length").alias("depth"), _shorter("length").alias("context"))
+    table = rows.filter(~F.col("frequent")).join(needed.distinct(), ["depth", "context"], "left_semi").groupBy("depth", "context", "whole", "pull")
+    table = scratch.table(table.agg(F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("following")), "table")
+    nodes = known.filter(frequent).select("depth", "context")
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(context, cast({_BITS} * (depth - 1) as int)) as int))")
+    marks = table.select((F.col("depth") - 1).alias("depth"), _shorter("depth - 1").alias("context"), bit.alias("bit")).join(nodes, ["depth", "context"], "left_semi")
+    marks = marks.groupBy("depth", "context").agg(F.bit_or("bit").alias("longer"))  # at most one row per node
+    return head, marks.select(F.col("depth").cast("long").alias("depth"), "context", "longer").toArrow(), table
 
 
 def _head(words: DataFrame, ends: int, most: int) -> Head:
@@ -286,9 +339,8 @@ def _head(words: DataFrame, ends: int, most: int) -> Head:
 
 
 def score_texts(
-    docs: DataFrame, training: Column, text: str = "text", id: str = "doc_id", min_share: float = MIN_SHARE, divergence: float = DIVERGENCE,
-    head_words: int = HEAD_WORDS,
-) -> DataFrame:
+    docs: DataFrame, training: Column, text: str = "text", id: str = "doc_id", divergence: float = DIVERGENCE, head_words: int = HEAD_WORDS
+) -> DataFrame:
     """Scores of every text under models learned from the rows where ``training`` is true.
 
     ``n_tokens`` (the end counts), ``n_known`` (tokens seen in training), ``train_tokens``
@@ -304,10 +356,10 @@ def score_texts(
     spark = split_hot_keys(docs.sparkSession)
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     with Scratch(spark, "suffix-tree") as scratch:
-        return cut_lineage(_scores(rows, min_share, divergence, head_words, scratch), "scores")
+        return cut_lineage(_scores(rows, divergence, head_words, scratch), "scores")
 
 
-def _scores(rows: DataFrame, min_share: float, divergence: float, head_words: int, scratch: Scratch) -> DataFrame:
+def _scores(rows: DataFrame, divergence: float, head_words: int, scratch: Scratch) -> DataFrame:
     spark = rows.sparkSession
     learned = rows.filter("training").select("text").mapInArrow(_counted, "key long, n long")
     counts = scratch.table(learned.groupBy("key").agg(F.sum("n").alias("n")), "counts")
@@ -319,14 +371,15 @@ def _scores(rows: DataFrame, min_share: float, divergence: float, head_words: in
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = int(total) + ends, distinct + (ends > 0)
     grams = counts.filter((F.col("key") >= 0) & (F.col("key") < _BYTE_KEY))
-    model = spark.sparkContext.broadcast((grow(_candidate_contexts(grams, min_share, scratch), bytes_, divergence), _head(words, ends, head_words)))
+    *contexts, marks, table = _candidate_contexts(grams, divergence, scratch)
+    model = spark.sparkContext.broadcast((grow(contexts.pop(), bytes_, divergence, marks), _head(words, ends, head_words)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, head = model.value
         for batch in batches:
             for first, last, data, offsets in textbytes.text_chunks(batch.column("text"), _CHUNK):
                 number = last - first
-                logs = score(tree, symbols(data, offsets))
+                logs, open_row, sequence = _scored(tree, symbols(data, offsets))
                 key, found = _word_keys(data, offsets)
                 slot, row = _slot(key), found.row
                 quick = head.key[slot] == key
@@ -336,27 +389,63 @@ def _scores(rows: DataFrame, min_share: float, divergence: float, head_words: in
                 rest = pa.ListArray.from_arrays(
                     pa.array(np.searchsorted(row[~quick], np.arange(number + 1)), pa.int32()), pa.array(key[~quick])
                 )
+                opened = pa.ListArray.from_arrays(pa.array(np.searchsorted(open_row, np.arange(number + 1)), pa.int32()), pa.array(sequence))
                 part = batch.slice(first, number)
                 tokens = np.diff(found.bounds).astype(np.int64) + 1
                 columns = [pa.array(x) for x in (tokens, known.astype(np.int64), base, logs)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("training"), *columns, rest],
-                    names=["doc_id", "training", "n_tokens", "known", "base", "score", "rest"],
+                    [part.column("doc_id"), part.column("training"), *columns, rest, opened],
+                    names=["doc_id", "training", "n_tokens", "known", "base", "score", "rest", "opened"],
                 )
 
     fields = [rows.schema["doc_id"], T.StructField("training", T.BooleanType())]
     fields += [T.StructField(c, T.LongType()) for c in ("n_tokens", "known")] + [T.StructField(c, T.DoubleType()) for c in ("base", "score")]
-    scored = rows.mapInArrow(task, T.StructType([*fields, T.StructField("rest", T.ArrayType(T.LongType()))]))
+    fields += [T.StructField(c, T.ArrayType(T.LongType())) for c in ("rest", "opened")]
+    scored = rows.mapInArrow(task, T.StructType(fields))
     scored = scratch.table(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     looked_up = scored.select("row", F.explode("rest").alias("key")).join(words.select("key", "n"), "key", "left")
     rest = looked_up.groupBy("row").agg(F.count("n").alias("rest_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("rest_base"))
     each = float(np.log10(total + distinct + 1))
-    return scored.drop("rest").join(rest, "row", "left").select(
+    scored_rows = scored.drop("rest", "opened").join(rest, "row", "left")
+    if table is None:
+        scored_rows = scored_rows.withColumn("opened", F.lit(0.0))
+    else:
+        open_symbols = scored.select("row", F.explode("opened").alias("sequence"))
+        logs = _table_logs(open_symbols.select("sequence").distinct(), table, model)
+        logs = open_symbols.join(logs, "sequence").groupBy("row").agg(F.sum("log").alias("opened"))
+        scored_rows = scored_rows.join(logs, "row", "left")
+    return scored_rows.select(
         "doc_id",
         (~F.col("training")).alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(each)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("opened", F.lit(0.0))).alias("score"),
     )
+
+
+def _table_logs(open_sequences: DataFrame, table: DataFrame, model: Broadcast) -> DataFrame:
+    """``(sequence, log)`` of sequences whose longest context is one of the table's."""
+    names = ["sequence", "next", "depth", "context", "start"]
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = model.value[0]
+        for batch in batches:
+            sequence = batch.column(0).to_numpy()
+            state, length, _ = _longest(tree, sequence)
+            following = sequence & _SYMBOLS - 1
+            start = 10.0 ** tree.log[state * _SYMBOLS + following].astype(np.float64)
+            for d in range(1, DEPTH + 1):
+                at = np.flatnonzero(length < d)
+                context = sequence[at] >> _BITS & (1 << _BITS * d) - 1
+                columns = [sequence[at], following[at], np.full(len(at), d, np.int32), context, start[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+    steps = open_sequences.mapInArrow(longer, "sequence long, next long, depth int, context long, start double").join(table, ["depth", "context"])
+    seen = F.coalesce(F.try_element_at("following", F.col("next")), F.lit(0)).cast("double")
+    steps = steps.select("sequence", "start", F.struct("depth", seen.alias("n"), "whole", "pull").alias("step"))
+    # at most DEPTH steps each, from the shortest context on
+    chains = steps.groupBy("sequence").agg(F.any_value("start").alias("start"), F.array_sort(F.collect_list("step")).alias("steps"))
+    share = F.aggregate("steps", F.col("start"), lambda p, s: (s["n"] + s["pull"] * p) / (s["whole"] + s["pull"]))
+    return chains.select("sequence", F.log10(share).alias("log"))

@@ -92,6 +92,16 @@ def test_the_number_of_contexts_is_bounded(spark, monkeypatch):
     assert sizes[0] > 3000 and 100 < sizes[1] <= 500 and 1 <= sizes[2] <= 4
 
 
+def test_contexts_that_are_not_broadcast_count(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    training, found = F.col("doc_id") % 3 != 0, []
+    for most in (300_000, 400, 3):
+        monkeypatch.setattr(suffix_tree, "MAX_NODES", most)
+        found.append(dict(suffix_tree.score_texts(docs, training).select("doc_id", "score").collect()))
+    for other in found[1:]:
+        assert other == pytest.approx(found[0], rel=1e-5)
+
+
 def test_only_diverging_contexts_are_retained():
     draw = np.random.default_rng(1)
     random = " ".join("".join(draw.choice(list("ab"), 4)) for _ in range(4000))
