@@ -9,7 +9,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reqsieve.llm import chat_tree, decontaminate, forced_bpe, neardup, quality, sharding, suffix_tree, token_counts, topk, url_lists
+from reqsieve.llm import chat_tree, decontaminate, forced_bpe, neardup, quality, sharding, simhash, spelling, suffix_tree, token_counts, topk, url_lists, whitening
 from reqsieve.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,6 +146,18 @@ def op10_temporal_url_lists(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_table(spark, folder, "embeddings"), scale=SCALE)
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_forms(_table(spark, folder, "documents"))
+
+
+def op13_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash_components(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -159,5 +171,8 @@ QUERIES: dict[str, Query] = {
         op8_weighted_minhash,
         op9_forced_boundary_bpe,
         op10_temporal_url_lists,
+        op11_embedding_whitening,
+        op12_spelling_variants,
+        op13_simhash_components,
     )
 }

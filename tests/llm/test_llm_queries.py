@@ -33,7 +33,7 @@ def test_sql(spark, duck, name):
 
 def test_every_operator_is_registered_once():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(contract.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "near_dedup", "benchmark_decontamination", "encode_decode"]
 
