@@ -108,23 +108,25 @@ def stream(spark: SparkSession, args: argparse.Namespace, config: EngineConfig)
     model = model_store.load_scorer(spark, args.base, args.model)
     trigger = {"availableNow": True} if args.once else {"processingTime": args.every}
     keep = _extra(requests)
-    queries = [scoring.start_scoring(requests, model, f"{args.output}/scored", f"{args.checkpoint}/scored", keep, trigger)]
-    if LABEL in requests.columns:
-        scored = scoring.score_stream(requests, model, keep)
-        by, arrival = _monitors(scored), "ts"
-        if "ts" not in scored.columns:
-            scored, arrival = scored.withColumn("arrived", F.current_timestamp()), "arrived"
-        sink = sinks.report_sink(args.output, config, ["window_start", *by])
-        where = f"{args.output}/counters", f"{args.checkpoint}/counters", config.log_update_period
-        if args.flush and by:
-            if args.order not in scored.columns:
-                raise SystemExit(f"no column {args.order}: give --order")
-            flushed = sinks.report_sink(args.output, config, ["monitor_id", "window_start"])
-            options = {"order": args.order, "threshold": config.threshold, "ts": arrival}
-            queries.append(stream_flush.start_flush(scored, *where, sink=flushed, trigger=trigger, **options))
-        else:
-            queries.append(stream_counters.start_counters(scored, *where, by, config.threshold, arrival, sink, trigger))
-    await_all(queries)
+    if LABEL not in requests.columns:
+        return await_all([scoring.start_scoring(requests, model, f"{args.output}/scored", f"{args.checkpoint}/scored", keep, trigger)])
+    # one query scores, writes and counts
+    scored = scoring.score_stream(requests, model, keep)
+    by, arrival = _monitors(scored), "ts"
+    if "ts" not in scored.columns:
+        scored, arrival = scored.withColumn("arrived", F.current_timestamp()), "arrived"
+    sink = sinks.report_sink(args.output, config, ["window_start", *by])
+    where = f"{args.output}/counters", f"{args.checkpoint}/counters", config.log_update_period
+    kept = f"{args.output}/scored"
+    if args.flush and by:
+        if args.order not in scored.columns:
+            raise SystemExit(f"no column {args.order}: give --order")
+        flushed = sinks.report_sink(args.output, config, ["monitor_id", "window_start"])
+        options = {"order": args.order, "threshold": config.threshold, "ts": arrival}
+        query = stream_flush.start_flush(scored, *where, sink=flushed, trigger=trigger, scored_out=kept, **options)
+    else:
+        query = stream_counters.start_counters(scored, *where, by, config.threshold, arrival, sink, trigger, scored_out=kept)
+    await_all([query])
 
 
 def await_all(queries: Sequence[StreamingQuery], poll_seconds: float = 1.0) -> None:

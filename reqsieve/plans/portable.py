@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqsieve.plans.training import WideModel
-from reqsieve.schemas import COEFFICIENTS
+from reqsieve.schemas import COEFFICIENTS, check_declared
 from reqsieve.sizing import join_side
 
 INTERCEPT, NUMERIC, CATEGORY = "intercept", "numeric", "category"
@@ -108,14 +108,16 @@ def _check_fields(declared: T.StructType, numeric: Iterable[str], categories: It
 
 
 def coefficient_table(
-    spark: SparkSession, model: PipelineModel, model_date: str, declared: T.StructType | None = None
+    spark: SparkSession, model: PipelineModel | WideModel, model_date: str, declared: T.StructType | None = None
 ) -> DataFrame:
-    """The coefficient table of a fitted index / one-hot / assemble / LR pipeline.
+    """The coefficient table of a fitted index / one-hot / assemble / LR pipeline, or of a ``fit_wide`` model.
 
     ``declared`` is the schema the caller promises to score with; a model that
     needs other fields is not exported. The table has the size of the fitted
     model, which Spark ML keeps on the driver.
     """
+    if isinstance(model, WideModel):
+        return wide_coefficient_table(spark, model, model_date, declared)
     indexers = [s for s in model.stages if isinstance(s, StringIndexerModel)]
     encoder = next((s for s in model.stages if isinstance(s, OneHotEncoderModel)), None)
     assembler = next(s for s in model.stages if isinstance(s, VectorAssembler))
@@ -183,3 +185,15 @@ def wide_coefficient_table(
             )
         )
     return frame
+
+
+def export(
+    spark: SparkSession, model: PipelineModel | WideModel, model_date: str, declared: T.StructType, rows: DataFrame
+) -> DataFrame:
+    """The coefficient table of a model under the schema its inputs are declared with.
+
+    Refused if the model needs a field that is not declared, or of another kind, or if ``rows``, which the
+    model is to score, lack a declared field or have a null where it is declared NOT NULL.
+    """
+    check_declared(rows, declared)
+    return coefficient_table(spark, model, model_date, declared)

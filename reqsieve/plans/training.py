@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -97,7 +98,7 @@ def _vector(name: str) -> str:
 
 
 class TooManyCategories(ValueError):
-    """The categories do not fit a Spark ML indexer; ``fit_wide`` and ``tune`` take any number."""
+    """The categories do not fit a Spark ML indexer; ``fit``, ``fit_wide``, ``indexed`` and ``tune`` take any number."""
 
 
 def complete(rows: DataFrame, numeric: Sequence[str] = NUMERIC, label: str = LABEL) -> DataFrame:
@@ -136,11 +137,21 @@ def _assembler(categorical: Sequence[str], numeric: Sequence[str]) -> VectorAsse
     return VectorAssembler(inputCols=[*numeric, *map(_vector, categorical)], outputCol=FEATURES, handleInvalid="skip")
 
 
-def feature_stages(source: DataFrame, categorical: Sequence[str] = CATEGORICAL, numeric: Sequence[str] = NUMERIC) -> list:
+def feature_stages(
+    source: DataFrame, categorical: Sequence[str] = CATEGORICAL, numeric: Sequence[str] = NUMERIC, limit: int = BROADCAST_BYTES
+) -> list:
     """Index, encode and assemble; ``source`` is the data the categories come from."""
     if not categorical:
         return [_assembler(categorical, numeric)]
-    return [*fit_indexers(source, categorical), one_hot(categorical), _assembler(categorical, numeric)]
+    return [*fit_indexers(source, categorical, limit=limit), one_hot(categorical), _assembler(categorical, numeric)]
+
+
+def indexed(rows: DataFrame, source: DataFrame, columns: Sequence[str] = CATEGORICAL, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``rows`` with an index per column, by Spark ML's indexers or, beyond ``limit`` bytes of categories, by joins."""
+    try:
+        return PipelineModel(fit_indexers(source, columns, limit=limit)).transform(rows)
+    except TooManyCategories:
+        return Encoding.of(source, columns, ()).index(rows)
 
 
 def regression(label: str = LABEL) -> LogisticRegression:
@@ -164,15 +175,21 @@ def fit(
     numeric: Sequence[str] = NUMERIC,
     label: str = LABEL,
     params: Mapping[str, float] | None = None,
-) -> PipelineModel:
-    """Fit the whole pipeline on ``train``, for as many categories as Spark ML's indexers hold.
+    limit: int = BROADCAST_BYTES,
+) -> PipelineModel | WideModel:
+    """Fit the whole pipeline on ``train``; where the categories exceed ``limit`` bytes, which
+    Spark ML's indexers would keep on the driver, go on by joins like ``fit_wide``.
 
     Rows with a null number or label are left out, as rows with an unseen
-    category are; ``fit_wide`` counts both. The categories come from ``source``: pass the full data set to know the
+    category are; ``left_out`` counts both. The categories come from ``source``: pass the full data set to know the
     categories of the held-out parts too, or ``train`` itself.
     """
     lr = regression(label)
-    pipeline = Pipeline(stages=[*feature_stages(source, categorical, numeric), lr])
+    try:
+        stages = feature_stages(source, categorical, numeric, limit)
+    except TooManyCategories:
+        return fit_wide(train, source, categorical, numeric, label, params)
+    pipeline = Pipeline(stages=[*stages, lr])
     return pipeline.fit(complete(train, numeric, label), overrides(lr, **_settings(params)))
 
 
@@ -278,6 +295,11 @@ class Trial:
     params: Mapping[str, float]
     area_under_roc: float
     model: WideModel
+    share: float = 1.0  # of the training part that it was fitted on
+
+
+#: Settings that are tried side by side, and the looser tolerance of fits that only rank them.
+FITS_AT_ONCE, RANKING_TOL = 4, 1e-4
 
 
 def _area(label: str) -> BinaryClassificationEvaluator:
@@ -293,26 +315,41 @@ def tune(
     numeric: Sequence[str] = NUMERIC,
     label: str = LABEL,
     params: Mapping[str, float] | None = None,
+    rungs: Sequence[float] = (1.0,),
+    encoding: Encoding | None = None,
+    seed: int = 17,
 ) -> list[Trial]:
     """Fit every grid point on the training part and rank them on the cv part, the best first.
 
-    The features are made once, and written; all fits read them. ``params``
-    are the settings that the grid leaves alone.
+    With several ``rungs`` all points are fitted on the first share of the training part, the better half
+    goes on to the next share, and so on; a point that stops early ranks behind those that
+    went on. The features are made once, and written; all fits read them, some at
+    a time. ``params`` are the settings that the grid leaves alone.
     """
-    encoding = Encoding.of(source, categorical, numeric)
+    encoding = encoding or Encoding.of(source, categorical, numeric)
     parts = [complete(part, numeric, label) for part in (splits.train, splits.cv)]
-    ready = [cut_lineage(encoding.assemble(part, [label]), "features").persist() for part in parts]
-    lr, judge = regression(label), _area(label)
-    trials = []
-    try:
-        for values in product(*grid.values()):
-            settings = {**_settings(params), **dict(zip(grid, values))}
-            model = lr.fit(ready[0], overrides(lr, **settings))
-            trials.append(Trial(settings, judge.evaluate(model.transform(ready[1])), WideModel(model, encoding)))
-    finally:
-        for part in ready:
-            part.unpersist()
-    return sorted(trials, key=lambda t: -t.area_under_roc)
+    drawn = [encoding.assemble(part, [label]).withColumn("_draw", F.rand(seed)) for part in parts]
+    ready = [cut_lineage(part, "features") for part in drawn]  # a fit keeps its rows in memory by itself
+    judge = _area(label)
+
+    def fitted(settings: Mapping[str, float], share: float) -> LogisticRegressionModel:
+        lr = regression(label)
+        used = dict(settings) if share >= 1 else {"tol": RANKING_TOL, **settings}
+        return lr.fit(ready[0] if share >= 1 else ready[0].filter(F.col("_draw") < share), overrides(lr, **used))
+
+    going = [{**_settings(params), **dict(zip(grid, values))} for values in product(*grid.values())]
+    trials: list[Trial] = []
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        for k, share in enumerate(rungs):
+            fits = [pool.submit(inheritable_thread_target(source.sparkSession)(fitted), settings, share) for settings in going]
+            models = [fit.result() for fit in fits]
+            areas = [judge.evaluate(model.transform(ready[1])) for model in models]
+            found = [Trial(s, area, WideModel(m, encoding), share) for s, area, m in zip(going, areas, models)]
+            found.sort(key=lambda t: -t.area_under_roc)
+            on = len(found) if k == len(rungs) - 1 else max(1, -(-len(found) // 2))
+            trials += found if k == len(rungs) - 1 else found[on:]
+            going = [t.params for t in found[:on]]
+    return sorted(trials, key=lambda t: (-t.share, -t.area_under_roc))
 
 
 def evaluate(model: PipelineModel | WideModel, test: DataFrame, label: str = LABEL) -> dict[str, float]:

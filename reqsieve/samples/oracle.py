@@ -210,6 +210,101 @@ def _coefficients() -> str:
     )
 
 
+#: The fit's fixed penalty and its share on absolute values.
+_REG, _MIXING = "0.3::double", "7.482741259139502e-05::double"
+
+
+def _penalised() -> str:
+    """Newton's method on two standardised numbers and an intercept, one row per step."""
+    grad = lambda k: f"g{k} + {_REG} * (1 - {_MIXING}) * b{k} + {_REG} * {_MIXING} * sign(b{k})"
+    return _with(
+        _REQUESTS,
+        f"normal as ({_rows('training')})",
+        f"""learned as (select *, (age - m1) / s1 as u1, (rtbFloorPriceSent - m2) / s2 as u2 from (
+              select *, avg(age) over () as m1, stddev_samp(age) over () as s1,
+                avg(rtbFloorPriceSent) over () as m2, stddev_samp(rtbFloorPriceSent) over () as s2
+              from normal where {_hash_part('request_id')} = 'train'))""",
+        f"""steps(k, b0, b1, b2) as (
+              select 0, 0.0::double, 0.0::double, 0.0::double
+              union all
+              select k + 1,
+                b0 - (d0 * (h11 * h22 - h12 * h12) - h01 * (d1 * h22 - h12 * d2) + h02 * (d1 * h12 - h11 * d2)) / det,
+                b1 - (h00 * (d1 * h22 - h12 * d2) - d0 * (h01 * h22 - h12 * h02) + h02 * (h01 * d2 - d1 * h02)) / det,
+                b2 - (h00 * (h11 * d2 - d1 * h12) - h01 * (h01 * d2 - d1 * h02) + d0 * (h01 * h12 - h11 * h02)) / det
+              from (select *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) as det
+                from (select k, b0, b1, b2, h00, h01, h02, h12, h11 + {_REG} * (1 - {_MIXING}) as h11, h22 + {_REG} * (1 - {_MIXING}) as h22,
+                    g0 as d0, {grad(1)} as d1, {grad(2)} as d2
+                  from (select k, b0, b1, b2, avg(p - isWinning) as g0, avg((p - isWinning) * u1) as g1, avg((p - isWinning) * u2) as g2,
+                      avg(w) as h00, avg(w * u1) as h01, avg(w * u2) as h02, avg(w * u1 * u1) as h11, avg(w * u1 * u2) as h12, avg(w * u2 * u2) as h22
+                    from (select *, p * (1 - p) as w from (select *, 1 / (1 + exp(-(b0 + b1 * u1 + b2 * u2))) as p from steps, learned where k < 12))
+                    group by k, b0, b1, b2))))""",
+        """found as (select b0 - b1 * m1 / s1 - b2 * m2 / s2 as intercept, b1 / s1 as age, b2 / s2 as floor
+              from steps, (select any_value(m1) as m1, any_value(s1) as s1, any_value(m2) as m2, any_value(s2) as s2 from learned) where k = 12)""",
+        query="""select '(intercept)' as feature, 'intercept' as kind, round(intercept, 5) as coefficient from found
+            union all select 'age', 'numeric', round(age, 5) from found
+            union all select 'rtbFloorPriceSent', 'numeric', round(floor, 5) from found""",
+    )
+
+
+def _optimality_fixed() -> str:
+    numbers = {"rtbFloorPriceSent": 0.02, "age": -0.01, "withBundleId": 0.25, "withGeo": -0.3}
+    texts = {"gender": {"F": 0.2, "O": 0.1, "P": -0.1, "NA": 0.0}, "conType": {"1-URGENT": 0.3, "2-HIGH": -0.2, "(null)": 0.15, "NA": 0.0}}
+    parts = ["select '(intercept)' as feature, null::varchar as category, -1.2::double as c, 1.0::double as s, avg(r) as g from learned"]
+    parts += [f"select '{f}', null, {c}::double, stddev_samp({f}), avg(r * {f}) / stddev_samp({f}) from learned" for f, c in numbers.items()]
+    parts += [
+        f"select '{f}', '{v}', {c}::double, stddev_samp(({f} = '{v}')::int), coalesce(avg(r * ({f} = '{v}')::int) / nullif(stddev_samp(({f} = '{v}')::int), 0), 0) from learned"
+        for f, values in texts.items()
+        for v, c in values.items()
+    ]
+    return _score(
+        f"""select feature, category, round(s, 6) as deviation, round(g, 6) as gradient, round(case
+              when feature = '(intercept)' then abs(g) when s = 0 then abs(c)
+              when c <> 0 then abs(g + {_REG} * (1 - {_MIXING}) * c * s + {_REG} * {_MIXING} * sign(c))
+              else greatest(abs(g) - {_REG} * {_MIXING}, 0) end, 6) as violation from entries""",
+        "training",
+        f"learned as (select *, p1 - isWinning as r from scored where status = 'ok' and {_hash_part('request_id')} = 'train')",
+        f"entries as ({' union all '.join(parts)})",
+    )
+
+
+_NUMBERS = ("age", "height", "width", "withBundleId", "withGeo", "rtbFloorPriceSent")
+
+
+def _path_start() -> str:
+    numbers = [
+        f"select '{f}' as feature, stddev_samp({f}) as s, (avg(isWinning) * avg({f}) - avg(isWinning * {f})) / nullif(stddev_samp({f}), 0) as g from learned"
+        for f in _NUMBERS
+    ]
+    slots = [
+        f"""select '{c}', sqrt(m * (1 - m) * n / (n - 1)), (y * m - w) / sqrt(m * (1 - m) * n / (n - 1)) from (
+              select n, y, count(*) / n as m, sum(isWinning) / n as w
+              from learned join rank_{c} on rank_{c}.category = {c}, (select count(*) as n, avg(isWinning) as y from learned)
+              where idx < (select count(*) - 1 from rank_{c}) group by {c}, n, y)"""
+        for c in _CATEGORICAL
+    ]
+    return _with(
+        _REQUESTS,
+        f"normal as ({_rows('training')})",
+        f"learned as (select * from normal where {_hash_part('request_id')} = 'train')",
+        _ranked(_CATEGORICAL, "normal"),
+        f"slopes as ({' union all '.join(numbers + slots)})",
+        query="""select feature, count(*) as n_coefficients, round(max(abs(g)), 6) as steepest,
+            (select round(max(abs(g)) / 0.5, 6) from slopes where s > 0) as largest_penalty from slopes where s > 0 group by feature""",
+    )
+
+
+def _certificate() -> str:
+    widths = " union all ".join(f"select count(distinct {c}) as n from normal" for c in _CATEGORICAL)
+    return _with(
+        _REQUESTS,
+        f"normal as ({_rows('training')})",
+        f"widths as ({widths})",
+        query=f"""select 'intercept' as kind, 1::bigint as n_coefficients, 1::bigint as n_checked, true as optimal
+            union all select 'numeric', {len(_NUMBERS)}, {len(_NUMBERS)}, true
+            union all select 'category', sum(n)::bigint, (sum(n) - count(*))::bigint, true from widths""",
+    )
+
+
 def _area(part: str) -> str:
     """Area under ROC of the category rates on a part, by counting pairs."""
     return f"""
@@ -296,11 +391,23 @@ _NORMALIZED = """request_id, publisherId, country, age, gender, brand, height, w
     rtbFloorPriceSent, featuresId"""
 
 
+def _slot(feature: str, width: int) -> str:
+    return f"(('0x' || substr(md5('{feature}=' || {feature}), 1, 8))::bigint % {width})"
+
+
 def _normalized(mode: str, label: bool = True) -> str:
     columns = _NORMALIZED + (", isWinning" if label else "")
     return _with(_REQUESTS, f"normal as ({_rows(mode)})", query=f"select {columns} from normal")
 
 
+_REQUEST_COLUMNS = (
+    "request_id", "ts", "monitor_id", "publisherId", "country", "age", "gender", "brand", "height", "width",
+    "connectionType", "withBundleId", "withGeoInfo", "rtbFloorSent", "isWinning",
+)
+# In the order of the table's columns.
+_STRICT = ("country", "gender", "connectionType")
+
+
 def oracle_sql() -> dict[str, str]:
     tumbling = _report("date_trunc('hour', ts) as window_start, monitor_id", "window_start, monitor_id")
     flush = _flush()
@@ -406,6 +513,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "confidence_gate": _score("select request_id, to_filter, filtered from gated", "training", _gated()),
         "gate_off": _score("select request_id, to_filter, coalesce(to_filter, false) as filtered from scored"),
+        "route_written": _score("select request_id, status, to_filter, filtered from gated", "training", _gated()),
+        "score_with_counters": _score(
+            f"select 'counted' as source, {_SHOWN}, input as n_written, filtered as n_filtered from counted", "training", _gated(), _counted()
+        ),
         "route_kept": _score("select request_id, status, to_filter from gated where not filtered", "training", _gated()),
         "route_filtered": _score("select request_id, status, to_filter from gated where filtered", "training", _gated()),
         "coefficient_table_lookup": _score(
@@ -420,6 +531,19 @@ def oracle_sql() -> dict[str, str]:
                 union all select '20240201', request_id, to_filter,
                   case when status = 'ok' then round(precision, 6) end from later""",
         ),
+        "score_as_of": _with(
+            _REQUESTS,
+            _scored(name="early"),
+            _scored(floor=0.05, name="late"),
+            """chosen as (select request_id, strftime(ts, '%Y%m%d') as day from requests)""",
+            """ungendered as (select request_id, 1.0::double / (1.0::double + exp(-(-1.2::double + 0.05::double * rtbFloorPriceSent - 0.01::double * age
+                 + 0.25::double * withBundleId - 0.3::double * withGeo + w_con))) as q1 from late_weights)""",
+            """judged as (select request_id, case when day >= '20240119' then '20240119' when day >= '20240108' then '20240108' end as model_date,
+                 case when day >= '20240119' then q1 when day >= '20240108' then p1 end as p from chosen join early using (request_id) join ungendered using (request_id))""",
+            query="""select request_id, model_date, case when p is null then 'failure' else 'ok' end as status,
+                case when model_date is null then 'no_model' end as failure_reason, p <= 0.5 as to_filter,
+                round(case when p > 0.5 then p else 1.0::double - p end, 6) as precision from judged""",
+        ),
         "score_large_vocabulary": _with(
             _REQUESTS,
             f"normal as ({_rows('training')})",
@@ -496,8 +620,51 @@ def oracle_sql() -> dict[str, str]:
             query="""select * from (values ('publisherId', 'bigint', 'string'), ('feature1', 'string', null)) as v(field, declared, found),
                 (select count(*) as n_rows from requests)""",
         ),
+        "declared_not_null": _with(
+            _REQUESTS,
+            query=" union all ".join(
+                f"""select '{c}' as field, {str(c in _STRICT).lower()} as not_null, count(*) as n_rows,
+                    count(*) filter ({c} is null) as n_null, {f"count(*) filter ({c} is null)" if c in _STRICT else "0::bigint"} as n_rejected from requests"""
+                for c in _REQUEST_COLUMNS
+            ),
+        ),
+        "null_rejected_rows": _with(
+            _REQUESTS,
+            query=f"""select request_id, concat_ws(',', {", ".join(f"case when {c} is null then '{c}' end" for c in _STRICT)}) as null_fields
+                from requests where {" or ".join(f"{c} is null" for c in _STRICT)}""",
+        ),
+        "csv_accounting": _with(
+            _REQUESTS,
+            _CSV,
+            query="""select 3::bigint as n_files, n + blanks + 3 as n_lines, kept as n_kept, n - kept as n_rejected, 3::bigint as n_header,
+                blanks as n_blank, true as adds_up, sum_age, sum_publisher
+                from (select count(*) as n, count(*) filter (reject_reason is null) as kept, count(*) filter (id::bigint % 40 = 0) as blanks,
+                    sum(case when reject_reason is null then age::bigint end)::bigint as sum_age,
+                    sum(case when reject_reason is null then publisherId::bigint end)::bigint as sum_publisher from checked)""",
+        ),
+        "export_declared": _coefficients(),
+        "train_hashed": _with(
+            _REQUESTS,
+            f"normal as (select *, {_slot('country', 8)} as slot from ({_rows('training')}))",
+            f"rates as (select slot, avg(isWinning) as rate from normal where {_hash_part('request_id')} = 'train' group by slot)",
+            query="""select country, count(*) as n_rows, round(any_value(rate), 4) as probability, any_value(slot) as slot
+                from normal join rates using (slot) group by country""",
+        ),
+        "hashed_collisions": _with(
+            _REQUESTS,
+            f"normal as ({_rows('training')})",
+            query=" union all ".join(
+                f"""select '{c}' as feature, count(*) as slots, sum(n)::bigint as categories, sum(case when n > 1 then n else 0 end)::bigint as colliding
+                    from (select {_slot(c, 64)} as slot, count(distinct {c}) as n from normal group by 1)"""
+                for c in _CATEGORICAL
+            ),
+        ),
         "train_saturated": _coefficients(),
         "train_pipeline_saturated": _coefficients(),
+        "train_penalised": _penalised(),
+        "train_certificate": _certificate(),
+        "optimality_fixed": _optimality_fixed(),
+        "penalty_path_start": _path_start(),
         "tune_saturated": _with(
             _REQUESTS,
             _odds(),
@@ -557,4 +724,19 @@ def oracle_sql() -> dict[str, str]:
         ),
         "stream_counters": tumbling,
         "stream_flush": flush,
+        "stream_period_once": _score(
+            f"select window_start, monitor_id, kind, 1::bigint as n_reports, {_SHOWN} from counted",
+            "training",
+            _gated(),
+            """times as (select min(epoch_us(ts)) as t0, max(epoch_us(ts)) as t1 from requests)""",
+            """arrived as (
+              select gated.*, time_bucket(interval '1 hour', ts) as window_start,
+                request_id % 50 = 0 and (epoch_us(ts) - t0) * 8 < t1 - t0 as late, t1 from gated, times)""",
+            """kinds as (
+              select *, case
+                when late and bool_or(not late) over (partition by window_start, monitor_id) then 'correction'
+                when epoch_ms(window_start) + 3600000 > t1 // 1000 - 86400000 then 'open'
+                else 'final' end as kind from arrived)""",
+            _counted("window_start, monitor_id, kind", "kinds"),
+        ),
     }

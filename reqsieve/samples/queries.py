@@ -18,13 +18,14 @@ from reqsieve.config import EngineConfig
 from reqsieve.functions.identity import features_id
 from reqsieve.operators import counters, evaluation, flush, normalize, score
 from reqsieve.operators import vocabulary as vocabularies
-from reqsieve.plans import batch, portable, training
-from reqsieve.schemas import COUNTERS, CSV_COLUMNS, LABEL, NORMALIZED, schema_problems
+from reqsieve.plans import batch, certificate, dated, hashed, path, portable, training
+from reqsieve.schemas import COUNTERS, CSV_COLUMNS, LABEL, NORMALIZED, null_profile, null_rejects, schema_problems
 from reqsieve.session import cut_lineage, prepare, scratch_path, written_folders
 from reqsieve.sizing import join_side
 from reqsieve.sources import model_store, request_csv, sinks, tables
 from reqsieve.streaming import counters as stream_counters_
 from reqsieve.streaming import flush as stream_flush_
+from reqsieve.streaming import periods as stream_periods
 from reqsieve.streaming import scoring as stream_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +131,25 @@ def csv_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return request_csv.rejected_lines(_csv_lines(spark, folder)).select("id", "reject_reason")
 
 
+CSV_FILES = 3
+
+
+def csv_accounting(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of three files, blank ones among them, by what became of it; all in one pass."""
+    requests, lines_path, out = tables.requests(spark, folder), scratch_path(spark, "request-csv"), scratch_path(spark, "accounted")
+    blank = F.when(F.col("request_id") % 40 == 0, F.lit("  "))
+    text = requests.select(F.explode(F.array_compact(F.array(_csv_text(requests), blank))).alias(",".join(CSV_COLUMNS)))
+    writer = text.repartition(CSV_FILES).write.option("header", True).option("sep", "\x01").option("quote", "\x00")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(lines_path)
+    request_csv.account_lines(spark, lines_path, out)
+    files = request_csv.accounting(spark, out)
+    names = ["n_lines", "n_kept", "n_rejected", "n_header", "n_blank"]
+    parts = sum((F.col(n) for n in names[2:]), F.col(names[1]))
+    typed = request_csv.accounted(spark, out, request_csv.KEPT).agg(F.sum("age").alias("sum_age"), F.sum("publisherId").alias("sum_publisher"))
+    totals = files.agg(F.count(F.lit(1)).alias("n_files"), *[F.sum(n).alias(n) for n in names], F.every(F.col("n_lines") == parts).alias("adds_up"))
+    return totals.join(typed)  # one row each
+
+
 # --- normalization -----------------------------------------------------------
 
 
@@ -196,8 +216,7 @@ def hash_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _indexes(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    indexed = PipelineModel(training.fit_indexers(vocabulary)).transform(rows)
-    return indexed.select("request_id", *[F.col(f"{c}_index").cast("bigint").alias(f"{c}_index") for c in training.CATEGORICAL])
+    return training.indexed(rows, vocabulary).select("request_id", *[F.col(f"{c}_index").cast("bigint").alias(f"{c}_index") for c in training.CATEGORICAL])
 
 
 def string_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -265,6 +284,29 @@ def declared_schema(spark: SparkSession, folder: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.inline(F.array(*named)))
 
 
+def _strict(requests: DataFrame) -> tuple[DataFrame, T.StructType]:
+    """Raw requests, and their schema with gender, connection type and country declared NOT NULL."""
+    strict = ("gender", "connectionType", "country")
+    return requests, T.StructType([T.StructField(f.name, f.dataType, f.name not in strict) for f in requests.schema.fields])
+
+
+def declared_not_null(spark: SparkSession, folder: str) -> DataFrame:
+    """Nulls of every declared field, and how many rows are rejected for one where it is NOT NULL."""
+    requests, declared = _strict(tables.requests(spark, folder))
+    rejected = null_rejects(requests, declared).select("request_id", F.explode("null_fields").alias("field"))
+    per_field = rejected.groupBy("field").agg(F.count(F.lit(1)).alias("n_rejected"))
+    strict = {f.name: not f.nullable for f in declared.fields}
+    known = spark.createDataFrame(list(strict.items()), "field string, not_null boolean")  # one row per field
+    profile = null_profile(requests, declared).join(known, "field").join(per_field, "field", "left")
+    return profile.select("field", "not_null", "n_rows", "n_null", F.coalesce("n_rejected", F.lit(0).cast("long")).alias("n_rejected"))
+
+
+def null_rejected_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows against the declaration, with the fields that are null."""
+    requests, declared = _strict(tables.requests(spark, folder))
+    return null_rejects(requests, declared).select("request_id", F.array_join("null_fields", ",").alias("null_fields"))
+
+
 # --- scoring -----------------------------------------------------------------
 
 
@@ -344,6 +386,22 @@ def route_filtered(spark: SparkSession, folder: str) -> DataFrame:
     return filtered.select("request_id", "status", "to_filter")
 
 
+def score_with_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Counted while it is written, next to the sums of what was written."""
+    out = scratch_path(spark, "scored")
+    counted = batch.score_with_counters(tables.requests(spark, folder), fixed_model(), out, keep=ROW)
+    written = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n_written"), F.count_if("filtered").alias("n_filtered"))
+    return _report(counted, F.lit("counted").alias("source")).join(written)  # one row each
+
+
+def route_written(spark: SparkSession, folder: str) -> DataFrame:
+    """Kept and filtered requests from one scoring, each read from its own folder."""
+    out = scratch_path(spark, "routed")
+    batch.score_with_counters(tables.requests(spark, folder), fixed_model(), out, keep=ROW, route=True)
+    parts = [batch.read_route(spark, out, side).select("request_id", "status", "to_filter", F.lit(side).alias("filtered")) for side in (False, True)]
+    return parts[0].unionByName(parts[1])
+
+
 # --- portable models ---------------------------------------------------------
 
 
@@ -372,14 +430,34 @@ def coefficient_table_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_by_model_date(spark: SparkSession, folder: str) -> DataFrame:
-    """The same requests under two published models, side by side."""
+    """The same requests under two published models, side by side, read once."""
     prepare(spark)
-    base, requests = _store(spark), tables.requests(spark, folder)
-    dated = []
-    for date in (FIXED_DATE, LATER_DATE):
-        scored = batch.score_labelled(requests, model_store.load_scorer(spark, base, date), keep=ROW)
-        dated.append(scored.select(F.lit(date).alias("model_date"), "request_id", "to_filter", _number("precision").alias("precision")))
-    return dated[0].unionByName(dated[1])
+    models = dated.load_dated(spark, _store(spark), (FIXED_DATE, LATER_DATE))
+    rows = normalize.normalize_training(tables.requests(spark, folder), keep=ROW)
+    scored = dated.score_by_date(rows, models)
+    return scored.select("model_date", "request_id", "to_filter", _number("precision").alias("precision"))
+
+
+AS_OF_DATES = ("20240108", "20240119")
+
+
+def score_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Each request by the model in force on its day; before the first one there is none."""
+    prepare(spark)
+    base = scratch_path(spark, "models")
+    # the later model does not know the gender
+    later = [r for r in _fixed_rows(AS_OF_DATES[1], LATER_NUMERIC) if r[1] != "gender"]
+    model_store.publish(portable.coefficient_frame(spark, _fixed_rows(AS_OF_DATES[0], FIXED_NUMERIC) + later), base)
+    rows = normalize.normalize_training(tables.requests(spark, folder), keep=ROW)
+    scored = dated.score_as_of(rows, dated.load_dated(spark, base, AS_OF_DATES))
+    return scored.select("request_id", "model_date", "status", "failure_reason", "to_filter", _number("precision").alias("precision"))
+
+
+def export_declared(spark: SparkSession, folder: str) -> DataFrame:
+    """A trained model exported under a declared schema, whose NOT NULL the rows are held to."""
+    rows, _, model = _saturated(spark, folder)
+    declared = T.StructType([T.StructField("gender", T.StringType(), nullable=False), T.StructField("publisherId", T.StringType(), nullable=False)])
+    return _coefficients(portable.export(spark, model, FIXED_DATE, declared, rows))
 
 
 def score_large_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
@@ -508,7 +586,7 @@ def train_wide(spark: SparkSession, folder: str) -> DataFrame:
 def tune_lr(spark: SparkSession, folder: str) -> DataFrame:
     rows, splits = _splits(spark, folder)
     grid = {"regParam": [0.01, training.REG_PARAM], "elasticNetParam": [0.0, training.ELASTIC_NET_PARAM]}
-    return _trials(spark, training.tune(splits, rows, grid))
+    return _trials(spark, training.tune(splits, rows, grid, rungs=path.RUNGS))
 
 
 def _trials(spark: SparkSession, trials: list[training.Trial]) -> DataFrame:
@@ -535,6 +613,72 @@ def train_saturated(spark: SparkSession, folder: str) -> DataFrame:
     return _coefficients(portable.wide_coefficient_table(spark, _saturated(spark, folder)[2], FIXED_DATE))
 
 
+# Two numbers under the fixed penalty: few enough for SQL to fit by Newton's method.
+PENALISED = {"categorical": (), "numeric": ("age", "rtbFloorPriceSent")}
+
+
+def train_penalised(spark: SparkSession, folder: str) -> DataFrame:
+    rows, splits = _splits(spark, folder)
+    model = training.fit_wide(splits.train, rows, **PENALISED, params={"tol": 1e-12})
+    table = portable.wide_coefficient_table(spark, model, FIXED_DATE)
+    return table.select("feature", "kind", F.round("coefficient", 5).alias("coefficient"))
+
+
+OPTIMAL_WITHIN = 1e-4
+
+
+def train_certificate(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the whole fit under the fixed settings is optimal: no coefficient's gradient is off."""
+    rows, splits = _splits(spark, folder)
+    model = training.fit_wide(splits.train, rows)
+    table = cut_lineage(portable.wide_coefficient_table(spark, model, FIXED_DATE), "coefficients")
+    left_out = certificate.reference_categories(model.encoding)
+    found = certificate.optimality(splits.train, table, training.NUMERIC, training.CATEGORICAL, left_out)
+    return found.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("n_coefficients"), F.count("violation").alias("n_checked"), (F.max("violation") < OPTIMAL_WITHIN).alias("optimal")
+    )
+
+
+def optimality_fixed(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the fixed model is from the optimum of the penalised loss, coefficient by coefficient."""
+    _, splits = _splits(spark, folder)
+    table = portable.coefficient_frame(spark, _fixed_rows(FIXED_DATE, FIXED_NUMERIC))
+    found = certificate.optimality(splits.train, table, tuple(FIXED_NUMERIC), tuple(FIXED_CATEGORIES))
+    return found.select("feature", "category", *[_number(c).alias(c) for c in ("deviation", "gradient", "violation")])
+
+
+PATH_MIXING = 0.5
+
+
+def penalty_path_start(spark: SparkSession, folder: str) -> DataFrame:
+    """The steepest gradient of each feature at coefficients of 0, and the largest useful penalty."""
+    rows, splits = _splits(spark, folder)
+    at_zero = certificate.gradient_at_zero(splits.train, training.Encoding.of(rows, training.CATEGORICAL, training.NUMERIC))
+    largest = path.largest_penalty(at_zero, PATH_MIXING)
+    steepest = F.max(F.abs("gradient"))
+    return at_zero.groupBy("feature").agg(F.count(F.lit(1)).alias("n_coefficients"), _number(steepest).alias("steepest")).withColumn(
+        "largest_penalty", F.round(F.lit(largest), 6)
+    )
+
+
+SLOTS = 8
+
+
+def train_hashed(spark: SparkSession, folder: str) -> DataFrame:
+    """Countries in eight slots, without penalty: each slot's learned probability, for every category of the whole table."""
+    rows, splits = _splits(spark, folder)
+    model = hashed.fit_hashed(splits.train, ("country",), (), SLOTS, params=EXACT)
+    learned = model.transform(rows, ["country"]).select("country", vector_to_array("probability")[1].alias("p"))
+    return learned.groupBy("country").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.max("p"), 4).alias("probability")).withColumn(
+        "slot", hashed.slot("country", SLOTS)
+    )
+
+
+def hashed_collisions(spark: SparkSession, folder: str) -> DataFrame:
+    rows = normalize.normalize_training(tables.requests(spark, folder))
+    return hashed.collisions(rows, training.CATEGORICAL, 64)
+
+
 def train_pipeline_saturated(spark: SparkSession, folder: str) -> DataFrame:
     """The same fit by the stages of one Spark ML pipeline."""
     rows, splits = _splits(spark, folder)
@@ -636,14 +780,17 @@ def trained_fields(spark: SparkSession, folder: str) -> DataFrame:
 BATCHES, FILES_PER_BATCH = 4, 2
 
 
-def _request_stream(spark: SparkSession, folder: str, newest_first: bool = False) -> DataFrame:
-    """The requests in files by time, as a stream of one stretch of time per micro-batch."""
+def _request_stream(spark: SparkSession, folder: str, newest_first: bool = False, late: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """The requests in files by time, as a stream of one stretch of time per micro-batch; those
+    that are ``late`` come with the last one."""
     rows, path = cut_lineage(tables.requests(spark, folder), "requests"), scratch_path(spark, "stream-in")
     micros = F.unix_micros("ts")
     cuts = rows.select(micros.cast("double").alias("t")).approxQuantile("t", [k / BATCHES for k in range(1, BATCHES)], 0.01)
     stretch = F.lit(0)
     for cut in cuts:
         stretch = stretch + (micros >= int(cut)).cast("int")
+    if late is not None:
+        stretch = F.when(late(rows), BATCHES - 1).otherwise(stretch)
     for k in sorted(range(BATCHES), reverse=newest_first):
         rows.filter(stretch == k).repartition(FILES_PER_BATCH).write.mode("append").parquet(path)
     return stream_scoring.read_requests(spark, path, rows.schema, max_files=FILES_PER_BATCH)
@@ -689,6 +836,25 @@ def stream_metric_deltas(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(deltas).groupBy("monitor_id", "metric").agg(F.sum("value").alias("value"))
 
 
+def _late(rows: DataFrame) -> Column:
+    """Every fiftieth request of the first eighth of the time comes late."""
+    first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    return (F.col("request_id") % 50 == 0) & ((F.unix_micros("ts") - int(first or 0)) * 8 < int((last or 0) - (first or 0)))
+
+
+def stream_period_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Each hour of each monitor reported once over four batches, what came too late as corrections,
+    and the hours that have not ended by the stream's clock, a day behind."""
+    scored = stream_scoring.score_stream(_request_stream(spark, folder, late=_late), fixed_model(), keep=ROW)
+    run, by = scratch_path(spark, "stream-periods"), ["monitor_id"]
+    where = f"{run}/out", f"{run}/checkpoint", "PT1H"
+    stream_periods.start_periods(scored, *where, by, delay="P1D", remember="P365D").awaitTermination()
+    still_open = stream_periods.open_periods(spark, where[1], "monitor_id string").withColumn("kind", F.lit("open"))
+    rows = stream_periods.period_reports(spark, where[0]).unionByName(still_open)
+    grouped = rows.groupBy("window_start", *by, "kind").agg(F.count(F.lit(1)).alias("n_reports"), *counters.counter_sums())
+    return _report(counters.present(grouped), _plain("window_start").alias("window_start"), F.col("monitor_id"), F.col("kind"), F.col("n_reports"))
+
+
 def sink_switches(spark: SparkSession, folder: str) -> DataFrame:
     """Rows that the report sink writes under each setting of its two switches."""
     report = counters.present(counters.window_counters(_scored(spark, folder), "P7D", by=["monitor_id"]))
@@ -721,18 +887,18 @@ def stream_flush(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     query.__name__.removesuffix("_query"): query
     for query in (
-        feature_select, csv_parse, csv_rejects,
+        feature_select, csv_parse, csv_rejects, csv_accounting,
         normalize_training, normalize_prediction, normalize_unified, normalize_mixed, normalize_defaults, normalize_custom_rules,
-        features_id_query, feature_map_json, label_outcome, declared_schema,
+        features_id_query, feature_map_json, label_outcome, declared_schema, declared_not_null, null_rejected_rows,
         hash_split, vocabulary, string_index, string_index_skip, string_index_joined, one_hot, assembled,
         prepare_status, prepare_missing_field, score_fixed, score_unlabelled, score_default_on_failure,
-        prediction_from_class, score_csv_line, confidence_gate, gate_off, route_kept, route_filtered,
-        coefficient_table_lookup, score_by_model_date, score_large_vocabulary,
+        prediction_from_class, score_csv_line, confidence_gate, gate_off, route_kept, route_filtered, route_written, score_with_counters,
+        coefficient_table_lookup, score_by_model_date, score_as_of, score_large_vocabulary,
         counters_total, counters_by_monitor, counters_intended_polarity, counters_tumbling, counters_default_period, counters_null_ts,
         counters_flush, counters_merge, counters_merge_compat, metrics_long, metrics_log_line, sink_switches,
         confusion_matrix, quality_ratios, holdout_confusion, holdout_fixed,
         train_lr, trained_fields, train_wide, tune_lr, score_trained, holdout_trained, random_split, stored_split, split_sizes,
-        train_saturated, train_pipeline_saturated, tune_saturated, holdout_saturated, model_round_trip,
-        stream_score, stream_counters, stream_counters_late, stream_metric_deltas, stream_flush,
+        train_saturated, train_pipeline_saturated, export_declared, train_penalised, train_certificate, optimality_fixed, penalty_path_start, train_hashed, hashed_collisions, tune_saturated, holdout_saturated, model_round_trip,
+        stream_score, stream_counters, stream_counters_late, stream_metric_deltas, stream_period_once, stream_flush,
     )
 }

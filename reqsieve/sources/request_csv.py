@@ -24,6 +24,10 @@ _FLAGS = ("withBundleId", "withGeoInfo")
 _REJECT = "reject_reason"
 
 
+# What a line of a file can be.
+KEPT, REJECTED, HEADER, BLANK = "kept", "rejected", "header", "blank"
+_KINDS = (KEPT, REJECTED, HEADER, BLANK)
+
 # One header line per file. Quotes are plain characters, extra fields are ignored, and a
 # short line has nulls at its end.
 _OPTIONS = {"header": True, "quote": "", "mode": "PERMISSIVE"}
@@ -57,6 +61,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """Typed requests with their label; malformed lines are left out."""
     texts = _texts()
     kept = lines.filter(_reason(texts).isNull())
+    extra = [c for c in lines.columns if c not in CSV_COLUMNS]
+    return kept.select(*extra, F.col("id"), *_values(texts))
+
+
+def _values(texts: dict[str, Column]) -> list[Column]:
     columns = []
     for name in (*RAW_REQUEST.fieldNames(), LABEL):
         if name in _PARSED:
@@ -66,11 +75,50 @@ def parse_lines(lines: DataFrame) -> DataFrame:
         else:
             value = texts[name]
         columns.append(value.alias(name))
-    extra = [c for c in lines.columns if c not in CSV_COLUMNS]
-    return kept.select(*extra, F.col("id"), *columns)
+    return columns
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """Lines that did not parse, with the first field that failed."""
     reason = _reason(_texts())
     return lines.withColumn(_REJECT, reason).filter(F.col(_REJECT).isNotNull())
+
+
+def account_lines(spark: SparkSession, path: str, out: str, header: str = ",".join(CSV_COLUMNS)) -> None:
+    """Write every line of the files to one folder per kind, in one scan and one write.
+
+    ``kind=kept`` holds the typed requests, ``kind=rejected`` the line and the first field that failed,
+    and ``header`` and ``blank`` lines are only told apart; each row names its file. A header is a line equal to
+    ``header`` in the first block of a file; any other first line is a rejected one.
+    """
+    read = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") == 0).alias("first_block")
+    )
+    fields = read.withColumn("fields", F.split("value", ",", -1))
+    lines = fields.select("value", "file", "first_block", *[F.get("fields", F.lit(k)).alias(c) for k, c in enumerate(CSV_COLUMNS)])
+    texts = _texts()
+    reason = _reason(texts)
+    kind = (
+        F.when(F.trim("value") == "", BLANK)
+        .when(F.col("first_block") & (F.col("value") == header), HEADER)
+        .when(reason.isNull(), KEPT)
+        .otherwise(REJECTED)
+    )
+    marked = lines.withColumn("kind", kind)
+    is_kept, is_rejected = F.col("kind") == KEPT, F.col("kind") == REJECTED
+    names = (*RAW_REQUEST.fieldNames(), LABEL)
+    values = [F.when(is_kept, value).alias(name) for name, value in zip(names, _values(texts))]
+    told = [F.when(is_rejected, F.col("value")).alias("line"), F.when(is_rejected, reason).alias(_REJECT)]
+    marked.select("file", F.when(is_kept, F.col("id")).alias("id"), *values, *told, "kind").write.partitionBy("kind").parquet(out)
+
+
+def accounted(spark: SparkSession, out: str, kind: str) -> DataFrame:
+    """The rows of one kind; only their folder is read."""
+    rows = spark.read.parquet(out).filter(F.col("kind") == kind).drop("kind")
+    return rows.drop("line", _REJECT) if kind == KEPT else rows.select("file", "line", _REJECT)
+
+
+def accounting(spark: SparkSession, out: str) -> DataFrame:
+    """Lines of each file by kind: ``(file, n_lines, n_kept, n_rejected, n_header, n_blank)``."""
+    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in _KINDS]
+    return spark.read.parquet(out).groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), *counts)

@@ -34,6 +34,13 @@ def no_sink(counters: DataFrame, batch_id: int) -> None:
     """Drops the report without computing it."""
 
 
+def stored_batch(batch: DataFrame, folder: str, batch_id: int) -> DataFrame:
+    """A micro-batch written to its own folder, and read from there: it is computed once for all that follows."""
+    path = f"{folder}/batch_id={batch_id}"
+    batch.write.mode("overwrite").parquet(path)
+    return batch.sparkSession.read.schema(batch.schema).parquet(path)
+
+
 def write_predictions(scored: DataFrame, path: str) -> None:
     """One ``to_filter,precision`` line per scored request."""
     done = scored.filter(F.col("status") == "ok")

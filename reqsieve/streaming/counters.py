@@ -17,11 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from reqsieve.operators.counters import merge_counters, present, window_counters
-from reqsieve.session import remove, written_folders
-from reqsieve.sources.sinks import Sink, no_sink
-
-#: Every so many batches the older ones are added up into one table.
-COMPACT_EVERY = 100
+from reqsieve.sources.sinks import Sink, no_sink, stored_batch
+from reqsieve.streaming import snapshots
+from reqsieve.streaming.snapshots import COMPACT_EVERY
 
 
 def start_counters(
@@ -35,21 +33,26 @@ def start_counters(
     sink: Sink = no_sink,
     trigger: Mapping[str, object] | None = None,
     compact_every: int = COMPACT_EVERY,
+    scored_out: str | None = None,
 ) -> StreamingQuery:
     """Write what each micro-batch adds to the windows, and hand it to ``sink``.
 
     A batch overwrites its own folder, so running it again after a failure
-    leaves the same result; ``stream_report`` adds everything up.
+    leaves the same result; ``stream_report`` adds everything up. With ``scored_out`` the scored
+    requests themselves go there first, and what was written is counted: one query
+    scores once for both.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         path = f"{out}/batch_id={batch_id}"
+        if scored_out is not None:
+            batch = stored_batch(batch, scored_out, batch_id)
         added = window_counters(batch, period, ts, by, threshold)
         added.write.mode("overwrite").parquet(path)
         if sink is not no_sink:
             sink(present(batch.sparkSession.read.schema(added.schema).parquet(path)), batch_id)
         if batch_id and batch_id % compact_every == 0:
-            compact(batch.sparkSession, out, batch_id - 1, by)  # all before this one are final
+            compact(batch.sparkSession, out, batch_id - 1, by, keep=True)  # all before this one are final
 
     return (
         scored.writeStream.option("checkpointLocation", checkpoint)
@@ -59,33 +62,17 @@ def start_counters(
     )
 
 
-def _parts(spark: SparkSession, out: str) -> tuple[int, list[int]]:
-    """The last compacted batch (-1: none) and the batches after it."""
-    names = written_folders(spark, out)
-    upto = max((int(n.removeprefix("upto=")) for n in names if n.startswith("upto=")), default=-1)
-    batches = [int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id=")]
-    return upto, sorted(b for b in batches if b > upto)
-
-
-def _read(spark: SparkSession, out: str, upto: int, batches: Sequence[int]) -> DataFrame:
-    paths = ([f"{out}/upto={upto}"] if upto >= 0 else []) + [f"{out}/batch_id={b}" for b in batches]
-    if not paths:
-        raise LookupError(f"no batch has been counted under {out}")
-    return spark.read.parquet(*paths)
-
-
-def compact(spark: SparkSession, out: str, last: int, by: Sequence[str] = ()) -> None:
-    """Add up all batches up to ``last`` and drop their folders."""
-    upto, batches = _parts(spark, out)
-    old = [b for b in batches if b <= last]
-    if not old:
-        return
-    merged = merge_counters(_read(spark, out, upto, old), ["window_start", *by])
-    merged.write.mode("overwrite").parquet(f"{out}/upto={last}")
-    for name in [f"upto={upto}"] * (upto >= 0) + [f"batch_id={b}" for b in old]:
-        remove(spark, f"{out}/{name}")
+def compact(spark: SparkSession, out: str, last: int, by: Sequence[str] = (), keep: bool = False) -> None:
+    """Add up all batches up to ``last`` and drop their folders, with ``keep`` at the next compaction only."""
+    keys = ["window_start", *by]
+    snapshots.compact(spark, out, last, lambda paths: merge_counters(spark.read.parquet(*paths), keys), keep)
 
 
 def stream_report(spark: SparkSession, out: str, by: Sequence[str] = ()) -> DataFrame:
-    """The counters per window, in additive form, from everything written so far."""
-    return merge_counters(_read(spark, out, *_parts(spark, out)), ["window_start", *by])
+    """The counters per window, in additive form, from everything written so far.
+
+    Can be read until two more compactions have run, by a stream that goes on.
+    """
+    paths = snapshots.paths(out, *snapshots.parts(spark, out))
+    shape = spark.read.parquet(paths[0]).schema  # of one part, not of each
+    return merge_counters(spark.read.schema(shape).parquet(*paths), ["window_start", *by])

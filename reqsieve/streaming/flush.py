@@ -11,6 +11,7 @@ window.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ from pyspark.sql.streaming import StreamingQuery
 from reqsieve.operators.counters import MICROS
 from reqsieve.operators.flush import flush_partials, merge_partials, present_windows
 from reqsieve.schemas import COUNTERS
-from reqsieve.sources.sinks import Sink, no_sink
+from reqsieve.sources.sinks import Sink, no_sink, stored_batch
+from reqsieve.streaming import snapshots
+from reqsieve.streaming.snapshots import COMPACT_EVERY
 
 _STORED = (
     "monitor_id string, start_ms long, "
@@ -45,10 +48,17 @@ def start_flush(
     period: str = "PT30S",
     sink: Sink = no_sink,
     trigger: Mapping[str, object] | None = None,
+    compact_every: int = COMPACT_EVERY,
+    scored_out: str | None = None,
     **options,
 ) -> StreamingQuery:
+    """Write the windows after each micro-batch, and hand those it closed to ``sink``; with ``scored_out``
+    the scored requests go there first and the windows are made from what was written."""
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if scored_out is not None:
+            batch = stored_batch(batch, scored_out, batch_id)
         if batch_id == 0:
             before = spark.createDataFrame([], _STORED)
         else:
@@ -61,6 +71,9 @@ def start_flush(
             rows.unpersist()
         if sink is not no_sink:
             sink(present_windows(_stored(spark, path)), batch_id)
+        # the batch before this one is the state that a repetition reads
+        if batch_id > 1 and batch_id % compact_every == 0:
+            snapshots.compact(spark, out, batch_id - 2, lambda paths: merge_partials(_closed(spark, paths)))
 
     return (
         scored.writeStream.option("checkpointLocation", checkpoint)
@@ -70,7 +83,17 @@ def start_flush(
     )
 
 
+def _closed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    merged, batches = [p for p in paths if "/upto=" in p], [p for p in paths if "/batch_id=" in p]
+    # ``closed`` is a folder of a batch, and a column of what was merged
+    read = [_stored(spark, p) for p in merged]
+    if batches:
+        base = batches[0].rpartition("/")[0]
+        read.append(spark.read.schema(_STORED + ", batch_id long").option("basePath", base).parquet(*batches).drop("batch_id"))
+    return reduce(DataFrame.unionByName, read).filter("closed")
+
+
 def closed_windows(spark: SparkSession, out: str) -> DataFrame:
     """Every window closed so far; the events without a time of all batches are one window per monitor."""
-    stored = spark.read.schema(_STORED + ", batch_id long").parquet(out).drop("batch_id")
-    return present_windows(merge_partials(stored.filter("closed")))
+    paths = snapshots.paths(out, *snapshots.parts(spark, out))
+    return present_windows(merge_partials(_closed(spark, paths)))
