@@ -21,7 +21,10 @@ from the rest have too many shingles of their own, and no pair of theirs is made
 
 Document frequencies are counted over all rows in ``2 ** IDF_BITS`` hash buckets, as
 Spark's HashingTF and IDF do, so their table has one size for any corpus: a passage in many
-documents weighs little, and all else about the same.
+documents weighs least. A large group of copies makes its own passages frequent, and must not
+thereby push its members apart: the frequency moves a weight by ``IDF_SPREAD`` at most, so any two
+texts of a plain similarity of 0.817 or more reach 0.8, whatever the size of their group, and
+none below 0.784 does.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ from reqsieve.session import Scratch, cut_lineage, split_hot_keys
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_SAMPLES = 14, 4
 IDF_BITS = 20
+#: The rarest shingle weighs so much more than one that stands in every text, which weighs 1.
+IDF_SPREAD = 0.1
 #: Lists of text fingerprints are broadcast up to so many rows (of 16 bytes).
 BROADCAST_ROWS = 250_000
 #: Rounds in which members of a bucket are compared with a few others, before all open pairs are.
@@ -133,26 +138,33 @@ def document_frequencies(docs: DataFrame, text: str = "text", size: int = SHINGL
 
 
 def inverse_frequencies(total: int, frequencies: np.ndarray) -> np.ndarray:
-    """``1 + ln((1 + rows) / (1 + frequency))``: at least 1, so every shingle has a weight."""
-    return (1 + np.log((1 + total) / (1 + frequencies))).astype(np.float32)
+    """``1 + IDF_SPREAD * ln((1 + rows) / (1 + frequency)) / ln(1 + rows)``: from 1 to ``1 + IDF_SPREAD``, at any number of rows."""
+    share = np.log((1 + total) / (1 + frequencies)) / np.log(2 + total)
+    return (1 + IDF_SPREAD * np.maximum(share, 0)).astype(np.float32)
 
 
 # --- consistent weighted samples ---------------------------------------------
 
 
 class Sampler:
-    """Improved consistent weighted sampling, several samples per row, as band keys."""
+    """Improved consistent weighted sampling, several samples per row, as band keys.
+
+    A shingle's r and beta come from one cell of a table and its c from another one, picked by
+    different bits of its hash: 2 ** 30 combinations, so that no two shingles of a text, however
+    long, are likely to share all three.
+    """
 
     def __init__(self, log_idf: np.ndarray, bands: int, band_samples: int):
         self.log_idf, self.bands, self.samples = log_idf, bands, bands * band_samples
         self.band_samples = band_samples
         draw = np.random.Generator(np.random.PCG64(20))
         size = 1 << _CELL_BITS
-        self.cells = np.empty((self.samples, size, 4), np.float32)
-        for cells in self.cells:
+        self.cells, self.log_c = np.empty((self.samples, size, 4), np.float32), np.empty((self.samples, size), np.float32)
+        for cells, log_c in zip(self.cells, self.log_c):
             r, c, beta = draw.gamma(2.0, 1.0, size), draw.gamma(2.0, 1.0, size), draw.uniform(0.0, 1.0, size)
             # of a shingle with log weight w: t = floor(w / r + beta), and the smallest ln c - r (t - beta) - r wins
-            cells[:] = np.stack([1 / r, beta, r, np.log(c) + r * beta - r], axis=1)
+            cells[:] = np.stack([1 / r, beta, r, r * beta - r], axis=1)
+            log_c[:] = np.log(c)
         self.factors = textbytes.seeded(self.samples, 4) | np.uint64(1)
 
     def band_keys(self, rows: int, row: np.ndarray, feature: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,12 +174,15 @@ class Sampler:
             return first, np.zeros((0, self.bands), np.uint64)
         weight = self.log_idf[_bucket(feature)] + np.log(count).astype(np.float32)
         keys = np.zeros((len(first), self.bands), np.uint64)
-        shift = np.uint64(64 - _CELL_BITS)
+        spread = textbytes.mix(feature)
+        high, low, mask = np.uint64(64 - _CELL_BITS), np.uint64(64 - 2 * _CELL_BITS), np.uint64((1 << _CELL_BITS) - 1)
         for k in range(self.samples):
-            cell = np.take(self.cells[k], (feature * self.factors[k] >> shift).astype(np.int64), axis=0)
+            digest = spread * self.factors[k]
+            cell = np.take(self.cells[k], (digest >> high).astype(np.int64), axis=0)
             t = np.floor(weight * cell[:, 0] + cell[:, 1])
-            least = np.minimum.reduceat(cell[:, 3] - cell[:, 2] * t, first)
-            # the value tells the winning cell and its t, and so the sample
+            value = cell[:, 3] - cell[:, 2] * t + np.take(self.log_c[k], (digest >> low & mask).astype(np.int64))
+            least = np.minimum.reduceat(value, first)
+            # the value tells the winning cells and their t, and so the sample
             band = k // self.band_samples
             keys[:, band] = textbytes.mix(keys[:, band] + least.view(np.uint32).astype(np.uint64) + np.uint64(band + 1 << 40))
         return row[first], keys
@@ -362,9 +377,9 @@ def _few(frame: DataFrame) -> DataFrame:
 
 
 def text_classes(docs: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY, size: int = SHINGLE_WORDS) -> DataFrame:
-    """``(doc_id, node, class_node, class_id)`` of every row, and whether it is the one that ``stays``.
+    """``(doc_id, node, class_node, class_id, class_size)`` of every row, and whether it is the one that ``stays``.
 
-    ``class_id`` is the smallest id of the class. Texts are linked from ``similarity`` on,
+    ``class_id`` is the smallest id of the class, ``class_size`` its number of rows. Texts are linked from ``similarity`` on,
     classes are closed over links; equal texts are one class. A text of fewer than ``size``
     words is one shingle; a text without words is like equal texts only; a null text is
     like no other, and stays. Of a class the row of the smallest id stays (a null id
@@ -422,12 +437,13 @@ def _classes(rows: DataFrame, similarity: float, size: int, scratch: Scratch) ->
     classed = banded.select("doc_id", "node").join(labels, "node", "left")
     classed = classed.withColumn("class_node", F.coalesce("label", "node")).drop("label")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    kept = classed.filter("node IS NOT NULL").groupBy("class_node").agg(F.min(order).alias("least"))
+    kept = classed.filter("node IS NOT NULL").groupBy("class_node").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("size"))
     classed = classed.join(kept, "class_node", "left")
     least = F.col("least")
     stays = least.isNull() | (least["doc_id"].eqNullSafe(F.col("doc_id")) & (least["node"] == F.col("node")))
     class_id = F.when(least.isNull(), F.col("doc_id")).otherwise(least["doc_id"])
-    return classed.select("doc_id", "node", "class_node", class_id.alias("class_id"), stays.alias("stays"))
+    class_size = F.coalesce("size", F.lit(1).cast("long")).alias("class_size")
+    return classed.select("doc_id", "node", "class_node", class_id.alias("class_id"), class_size, stays.alias("stays"))
 
 
 def _unsettled(members: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:

@@ -95,7 +95,7 @@ def op7_positive_unlabelled_quality(spark: SparkSession, folder: str) -> DataFra
 
 def op8_weighted_minhash(spark: SparkSession, folder: str) -> DataFrame:
     classes = neardup.text_classes(_table(spark, folder, "documents"))
-    return classes.select("doc_id", "class_id", "stays")
+    return classes.select("doc_id", "class_id", "class_size", "stays")
 
 
 def op9_forced_boundary_bpe(spark: SparkSession, folder: str) -> DataFrame:
