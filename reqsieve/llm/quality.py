@@ -1,37 +1,52 @@
 """A quality classifier learned from trusted positives and unlabelled text.
 
-Only texts known to be good and text of unknown quality are used. The share of good texts
-among the unlabelled (the class prior) is estimated first: a plain classifier tells
-positives from unlabelled on one half of the sample, and on the other half the prior is the
-least ratio of the unlabelled to the positive mass above any of its thresholds, as a stretch
-of scores that no bad text reaches has exactly that ratio. Then a logistic model minimises
-the non-negative unbiased risk
+Only texts known to be good and text of unknown quality are used. A linear model over stepped
+features minimises the non-negative unbiased risk
 
     prior * loss(positives, 1) + max(0, loss(unlabelled, 0) - prior * loss(positives, 0))
 
+with a bounded loss (sigmoid), whose sampling noise does not drown the few bad texts. Where the second
+part falls below 0 the fit takes a damped step back on it.
+
+The share of good texts among the unlabelled (the class prior) is estimated first: plain classifiers tell
+positives from unlabelled, each on all folds but one, and score the fold left out, so that no
+text is scored by a model that has seen it. The prior is the least ratio of the unlabelled to the positive
+mass above any threshold, as a stretch of scores that no bad text reaches has exactly that
+ratio. The final weights are the mean of the folds' models. The scores of the texts
+left out also set where a text is rejected: where the risk, counted in whole texts, is least, and
+in any case below all but one in two hundred of the trusted positives.
+
 A text's features are shares of its characters, words and lines, cut into quantile steps;
-nothing else about the row is looked at. The fit uses a bounded sample (``POSITIVES``,
-``UNLABELLED`` rows of smallest id hash); every text is scored, in the task that reads it.
+nothing else about the row is looked at. Steps and prior come from histograms over all rows, summed by task;
+the gradient's fit uses a bounded sample (``POSITIVES`` labelled and ``UNLABELLED`` other rows,
+picked by a threshold on the hash of their id); every text is scored, in the task that reads it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqsieve.llm import textbytes
+from reqsieve.session import Scratch
 
 #: Bounds of the sample that the classifier is fitted on.
 POSITIVES, UNLABELLED = 10_000, 20_000
 THRESHOLD = 0.3
+#: Parts of the sample, each left out by one of the models.
+FOLDS = 3
+#: Share of the trusted positives that may be scored below the threshold.
+LOST_POSITIVES = 0.005
 _STEPS = 16
+#: Cells of a feature's histogram: equal steps of its logarithm, from 2 ** -18 up.
+_FEATURE_CELLS, _FINEST, _PER_DOUBLING = 2048, 18, 64
 _CHUNK = 1 << 20
 
 # Character classes.
@@ -117,65 +132,137 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def _softplus(x: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0, x)
+def _totals(weights: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return weights[0] + weights[cells].sum(axis=1)
+
+
+def _spread(cells: np.ndarray, slope: np.ndarray, size: int) -> np.ndarray:
+    gradient = np.bincount(cells.ravel(), np.repeat(slope, cells.shape[1]), size)
+    gradient[0] = slope.sum()
+    return gradient / len(cells)
+
+
+def risk(weights: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The positive and the negative part of the unbiased risk, unclipped, and the gradient of each."""
+    p, u = _sigmoid(_totals(weights, positive)), _sigmoid(_totals(weights, unlabelled))
+    up = prior * _spread(positive, p * (p - 1), len(weights))  # loss(positives, 1) is 1 - p
+    down = _spread(unlabelled, u * (1 - u), len(weights)) - prior * _spread(positive, p * (1 - p), len(weights))
+    return prior * float((1 - p).mean()), float(u.mean() - prior * p.mean()), up, down
+
 
+def _apart(positive: np.ndarray, unlabelled: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Gradient of the plain logistic loss of positives against unlabelled."""
 
-def _minimise(positive: np.ndarray, unlabelled: np.ndarray, size: int, prior: float | None, rounds: int = 1000, decay: float = 1e-4) -> np.ndarray:
-    """Weights under the non-negative risk, or of positives against unlabelled if ``prior`` is None."""
-    weights, mean, square = np.zeros(size), np.zeros(size), np.zeros(size)
+    def gradient(weights: np.ndarray) -> np.ndarray:
+        up = _spread(positive, -_sigmoid(-_totals(weights, positive)), len(weights))
+        return up + _spread(unlabelled, _sigmoid(_totals(weights, unlabelled)), len(weights))
 
-    def total(cells: np.ndarray) -> np.ndarray:
-        return weights[0] + weights[cells].sum(axis=1)
+    return gradient
 
-    def spread(cells: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        gradient = np.bincount(cells.ravel(), np.repeat(slope, cells.shape[1]), size)
-        gradient[0] = slope.sum()
-        return gradient / len(cells)
 
+def _non_negative(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Callable[[np.ndarray], np.ndarray]:
+    def gradient(weights: np.ndarray) -> np.ndarray:
+        _, negative, up, down = risk(weights, positive, unlabelled, prior)
+        # below 0 the negative part is fitted too closely: step back on it
+        return up + down if negative >= 0 else -0.1 * down
+
+    return gradient
+
+
+def _minimise(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, rounds: int, decay: float) -> np.ndarray:
+    weights, mean, square = start.copy(), np.zeros(len(start)), np.zeros(len(start))
     for step in range(1, rounds + 1):
-        p, u = total(positive), total(unlabelled)
-        up = spread(positive, -_sigmoid(-p))  # loss(positives, 1)
-        down = spread(unlabelled, _sigmoid(u))  # loss(unlabelled, 0)
-        if prior is None:
-            gradient = up + down
-        else:
-            false = spread(positive, _sigmoid(p))  # loss(positives, 0)
-            negative = _softplus(u).mean() - prior * _softplus(p).mean()
-            # below 0 the negative part is fitted too closely: step back on it
-            gradient = prior * up + (down - prior * false) if negative >= 0 else -(down - prior * false)
-        gradient = gradient + decay * np.concatenate([[0], weights[1:]])
-        mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
+        slope = gradient(weights) + decay * np.concatenate([[0], weights[1:]])
+        mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         weights = weights - 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     return weights
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled, from scores of rows that were not learned from."""
-    cuts = np.unique(np.quantile(positive, np.linspace(0, 0.95, 96)))
-    above_p = np.array([(positive >= c).mean() for c in cuts])
-    above_u = np.array([(unlabelled >= c).mean() for c in cuts])
-    error = np.sqrt(above_u * (1 - above_u) / len(unlabelled)) + np.sqrt(above_p * (1 - above_p) / len(positive))
+def _above(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    return 1 - np.searchsorted(np.sort(scores), cuts) / max(len(scores), 1)
+
+
+def prior_from_shares(above_p: np.ndarray, above_u: np.ndarray, n_p: int, n_u: int) -> float:
+    """The prior from the shares of positives and unlabelled above rising thresholds."""
+    use = above_p >= 0.05
+    above_p, above_u = above_p[use], above_u[use]
+    error = np.sqrt(above_u * (1 - above_u) / max(n_u, 1)) + np.sqrt(above_p * (1 - above_p) / max(n_p, 1))
     best = np.argmin((above_u + error) / above_p)
     return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
-    """The model of two samples of feature rows; without positives every score is the middle one."""
-    if not len(positive) or not len(unlabelled):
-        return Model([], np.zeros(1), 0.5)
-    both = np.concatenate([positive, unlabelled])
-    levels = np.linspace(0, 1, _STEPS + 1)[1:-1]
-    # steps at quantiles of the whole and of the upper tail, where few rows differ from many
-    levels = np.concatenate([levels, [0.005, 0.02, 0.98, 0.995]])
-    steps = [np.unique(np.quantile(both[:, k], levels)) for k in range(both.shape[1])]
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled, from scores of rows that were not learned from."""
+    cuts = np.concatenate([[-np.inf], np.unique(np.quantile(positive, np.linspace(0, 0.95, 192)))])
+    return prior_from_shares(_above(positive, cuts), _above(unlabelled, cuts), len(positive), len(unlabelled))
+
+
+def _reject_below(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
+    """The threshold on scores of rows left out: least risk in whole texts, or what nearly all positives reach."""
+    cuts = np.unique(np.quantile(np.concatenate([positive, unlabelled]), np.linspace(0, 1, 400)))
+    lost, kept = 1 - _above(positive, cuts), _above(unlabelled, cuts)
+    whole = prior * lost + np.maximum(0, kept - prior * (1 - lost))
+    return max(float(cuts[np.argmin(whole)]), float(np.quantile(positive, LOST_POSITIVES)))
+
+
+class Plain(NamedTuple):
+    """Models of positives against unlabelled, each for the fold that it has not seen."""
+
+    steps: list[np.ndarray]
+    weights: np.ndarray  # folds x weights
+
+
+def feature_steps(values: np.ndarray) -> list[np.ndarray]:
+    """Where steps begin: quantiles, and some of the tails, where few rows differ from many."""
+    return [np.unique(np.quantile(values[:, k], _LEVELS)) for k in range(values.shape[1])]
+
+
+_LEVELS = np.concatenate([np.linspace(0, 1, _STEPS + 1)[1:-1], [0.005, 0.02, 0.98, 0.995]])
+
+
+def fit_plain(positive: np.ndarray, unlabelled: np.ndarray, folds: tuple[np.ndarray, np.ndarray], steps: list[np.ndarray]) -> Plain:
     size = 1 + sum(len(s) + 1 for s in steps)
     p, u = _cells(steps, positive), _cells(steps, unlabelled)
-    prior = 0.5
-    if min(len(p), len(u)) >= 20:
-        half = Model(steps, _minimise(p[::2], u[::2], size, None, rounds=200), 0.5)
-        prior = estimate_prior(logits(half, positive[1::2]), logits(half, unlabelled[1::2]))
-    return Model(steps, _minimise(p, u, size, prior), prior)
+    models = [_minimise(_apart(p[folds[0] != k], u[folds[1] != k]), np.zeros(size), 150, 1e-3) for k in range(FOLDS)]
+    return Plain(steps, np.stack(models))
+
+
+def left_out_scores(plain: Plain, values: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """Each row's score by the model that has not seen its fold."""
+    cells = _cells(plain.steps, values)
+    return (plain.weights[:, 0][fold]) + np.take_along_axis(plain.weights[fold], cells, axis=1).sum(axis=1)
+
+
+def fit(
+    positive: np.ndarray,
+    unlabelled: np.ndarray,
+    folds: tuple[np.ndarray, np.ndarray] | None = None,
+    steps: list[np.ndarray] | None = None,
+    plain: Plain | None = None,
+    prior: float | None = None,
+) -> Model:
+    """The model of two samples of feature rows; without enough of either every score is the middle one.
+
+    ``folds`` numbers the fold of each row of both samples, such that a text is in one
+    fold only; ``steps``, ``plain`` and ``prior`` are made from the samples if they are not given.
+    """
+    if min(len(positive), len(unlabelled)) < 2 * FOLDS:
+        return Model([], np.zeros(1), 0.5)
+    if folds is None:
+        folds = np.arange(len(positive)) % FOLDS, np.arange(len(unlabelled)) % FOLDS
+    if min(np.bincount(f, minlength=FOLDS).min() for f in folds) == 0:
+        return Model([], np.zeros(1), 0.5)
+    steps = steps or feature_steps(np.concatenate([positive, unlabelled]))
+    plain = plain or fit_plain(positive, unlabelled, folds, steps)
+    if prior is None:
+        prior = estimate_prior(left_out_scores(plain, positive, folds[0]), left_out_scores(plain, unlabelled, folds[1]))
+    p, u = _cells(steps, positive), _cells(steps, unlabelled)
+    models = [_minimise(_non_negative(p[folds[0] != k], u[folds[1] != k], prior), plain.weights[k], 200, 1e-4) for k in range(FOLDS)]
+    own = Plain(steps, np.stack(models))
+    limit = _reject_below(left_out_scores(own, positive, folds[0]), left_out_scores(own, unlabelled, folds[1]), prior)
+    weights = np.mean(models, axis=0)
+    weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - limit
+    return Model(steps, weights, prior)
 
 
 def score(model: Model, values: np.ndarray) -> np.ndarray:
@@ -190,31 +277,126 @@ def _text_features(column: pa.Array) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, 1))
 
 
+def _histogram_cell(values: np.ndarray) -> np.ndarray:
+    """The cell of a feature's value, which is never negative; 0 for 0."""
+    logs = np.log2(np.maximum(values, 2.0**-_FINEST)) + _FINEST
+    return np.where(values > 0, np.clip(1 + logs * _PER_DOUBLING, 1, _FEATURE_CELLS - 1), 0).astype(np.int64)
+
+
+def _cell_start(cell: np.ndarray) -> np.ndarray:
+    return np.where(cell > 0, 2.0 ** ((cell - 1) / _PER_DOUBLING - _FINEST), 0.0)
+
+
+def _steps_of(counts: np.ndarray) -> list[np.ndarray]:
+    """Steps from histograms, features x cells."""
+    found = []
+    for row in counts:
+        total = np.cumsum(row)
+        found.append(np.unique(_cell_start(np.searchsorted(total, _LEVELS * total[-1], side="left").clip(0, _FEATURE_CELLS - 1))))
+    return found
+
+
+def _fold(id: str) -> Column:
+    return F.pmod(F.xxhash64(id, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
+def _picked(id: str, most: int, rows: int) -> Column:
+    """True for somewhat more than ``most`` of ``rows`` rows, by the hash of their id alone."""
+    span, ample = 1 << 40, most + most // 4 + 50
+    return F.pmod(F.xxhash64(id, F.lit("quality")), F.lit(span)) < span * ample // max(rows, ample)
+
+
 def train(docs: DataFrame, positives: DataFrame, text: str = "text", id: str = "doc_id", most_positive: int = POSITIVES, most_unlabelled: int = UNLABELLED) -> Model:
-    """Fit on the texts of the ids in ``positives`` and on unlabelled texts of ``docs``, both
-    bounded: the rows of smallest id hash. Ids that are null or not in ``docs`` play no part."""
-    order = F.xxhash64("_id", F.lit("quality"))
-    narrow = docs.select(F.col(id).alias("_id")).filter("_id IS NOT NULL")
-    known = positives.select(F.col(id).alias("_id")).filter("_id IS NOT NULL").distinct()
-    good = known.orderBy(order, "_id").limit(most_positive).withColumn("_good", F.lit(True))
-    web = narrow.orderBy(order, "_id").limit(most_unlabelled).distinct().withColumn("_good", F.lit(False))
-    # two bounded lists of ids
-    picked = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("text")).join(F.broadcast(good.union(web)), "_id")
-    width = features(np.zeros(0, np.uint8), np.zeros(1, np.int64)).shape[1]
+    """Fit on the texts of the ids in ``positives`` and on unlabelled texts of ``docs``: about ``most_positive``
+    and ``most_unlabelled`` rows, by the hash of their id. Ids that are null or not in ``docs`` play no part
+    in the sample; all rows count for steps and prior."""
+    known = positives.select(F.col(id).alias("_known")).filter("_known IS NOT NULL").distinct()
+    known = known.filter(_picked("_known", most_positive, known.count())).withColumn("_good", F.lit(True))  # a bounded list
+    rows = docs.select(F.col(id).alias("_id"), F.col(text).cast("string").alias("text"))
+    total = rows.count()
+    web = F.coalesce(F.col("_id").isNotNull() & _picked("_id", most_unlabelled, total), F.lit(False))
+    marked = rows.join(F.broadcast(known), F.col("_id") == F.col("_known"), "left")
+    marked = marked.select("text", _fold("_id").alias("_fold"), F.coalesce("_good", F.lit(False)).alias("_good"), web.alias("_web"))
+    with Scratch(docs.sparkSession, "quality") as scratch:
+        gathered = scratch.table(_gather(marked), "gathered")
+        sample = _sample(gathered, most_positive, most_unlabelled)
+        width = features(np.zeros(0, np.uint8), np.zeros(1, np.int64)).shape[1]
+        counts = np.zeros((width, _FEATURE_CELLS), np.int64)
+        for r in gathered.filter("feature >= 0").groupBy("feature", "cell").agg(F.sum("n").alias("n")).collect():  # features x cells
+            counts[r.feature, r.cell] = r.n
+        positive, unlabelled, folds = sample
+        if min(len(positive), len(unlabelled)) < 2 * FOLDS or min(np.bincount(f, minlength=FOLDS).min() for f in folds) == 0:
+            return fit(positive[:0], unlabelled[:0])
+        plain = fit_plain(positive, unlabelled, folds, _steps_of(counts))
+        prior = _prior_of_all(marked, plain, left_out_scores(plain, positive, folds[0]))
+        return fit(positive, unlabelled, folds, plain.steps, plain, prior)
+
+
+_GATHERED = "feature int, cell int, n long, fold int, good boolean, web boolean, values array<double>"
+
+
+def _gather(marked: DataFrame) -> DataFrame:
+    """Each task's histograms of all features of its rows, and the features of the rows picked."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = None
         for batch in batches:
+            if not len(batch):
+                continue
             values = _text_features(batch.column("text"))
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), width).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_good"), lists], names=["_id", "_good", "values"])
-
-    schema = T.StructType([picked.schema["_id"], T.StructField("_good", T.BooleanType()), T.StructField("values", T.ArrayType(T.DoubleType()))])
-    sample = picked.select("_id", "_good", "text").mapInArrow(task, schema)
-    # copies of an id can exceed the bounds: cut again, in an order that no plan changes
-    found = sample.orderBy(order, "_id", "values").limit(2 * (most_positive + most_unlabelled)).toArrow()
-    good_row = found["_good"].to_numpy().astype(bool)
-    values = np.array(found["values"].combine_chunks().flatten()).reshape(-1, width)
-    return fit(values[good_row][:most_positive], values[~good_row][:most_unlabelled])
+            counts = np.zeros((values.shape[1], _FEATURE_CELLS), np.int64) if counts is None else counts
+            for k in range(values.shape[1]):
+                counts[k] += np.bincount(_histogram_cell(values[:, k]), minlength=_FEATURE_CELLS)
+            good, web = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_good", "_web"))
+            kept = np.flatnonzero(good | web)
+            if len(kept):
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(values[kept].ravel()), values.shape[1]).cast(pa.list_(pa.float64()))
+                blank = pa.array(np.full(len(kept), -1, np.int32))
+                columns = [blank, blank, pa.array(np.ones(len(kept), np.int64)), batch.column("_fold").take(pa.array(kept)), pa.array(good[kept]), pa.array(web[kept]), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["feature", "cell", "n", "fold", "good", "web", "values"])
+        if counts is not None:
+            feature, cell = np.nonzero(counts)
+            none = lambda kind: pa.nulls(len(cell), kind)
+            columns = [pa.array(feature.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(counts[feature, cell]), none(pa.int32()), none(pa.bool_()), none(pa.bool_()), none(pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["feature", "cell", "n", "fold", "good", "web", "values"])
+
+    return marked.mapInArrow(task, _GATHERED)
+
+
+def _sample(gathered: DataFrame, most_positive: int, most_unlabelled: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Feature rows of positives and unlabelled, and their folds, in an order that no plan changes.
+
+    Rows repeated many times are one row of the sample, so that no id fills it.
+    """
+    rows = gathered.filter("feature < 0").groupBy("fold", "good", "web", "values").count()
+    order = F.xxhash64("values", "fold")
+    found = []
+    for kind, most in (("good", most_positive), ("web", most_unlabelled)):
+        table = rows.filter(kind).orderBy(order, "values", "fold").limit(most).select("fold", "values").toArrow()
+        width = len(table["values"][0]) if len(table) else 1
+        found.append((np.array(table["values"].combine_chunks().flatten(), float).reshape(-1, width), table["fold"].to_numpy().astype(np.int64)))
+    return found[0][0], found[1][0], (found[0][1], found[1][1])
+
+
+def _prior_of_all(marked: DataFrame, plain: Plain, positive_scores: np.ndarray) -> float:
+    """The class prior from the scores of all rows, each by the model that has not seen its fold."""
+    shared = marked.sparkSession.sparkContext.broadcast(plain)
+    cuts = np.unique(np.quantile(positive_scores, np.linspace(0, 0.95, 192)))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(cuts) + 1, np.int64)
+        for batch in batches:
+            if len(batch):
+                scores = left_out_scores(shared.value, _text_features(batch.column("text")), batch.column("_fold").to_numpy())
+                counts += np.bincount(np.searchsorted(cuts, scores, side="right"), minlength=len(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts)], names=["cell", "n"])
+
+    counts = np.zeros(len(cuts) + 1, np.int64)
+    for r in marked.mapInArrow(task, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one row per cut
+        counts[r.cell] = r.n
+    above = counts[::-1].cumsum()[::-1] / max(counts.sum(), 1)
+    above_p = np.concatenate([[1.0], _above(positive_scores, cuts)])
+    return prior_from_shares(above_p, above, len(positive_scores), int(counts.sum()))
 
 
 def score_texts(docs: DataFrame, model: Broadcast, keep: list[str], text: str = "text", least: float | None = None) -> DataFrame:

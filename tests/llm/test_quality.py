@@ -72,8 +72,64 @@ def test_the_sample_is_bounded(spark):
     seen = []
     fit = quality.fit
     try:
-        quality.fit = lambda p, u: seen.append((len(p), len(u))) or fit(p, u)
+        quality.fit = lambda p, u, *more: seen.append((len(p), len(u))) or fit(p, u, *more)
         quality.train(docs, docs, most_positive=7, most_unlabelled=9)
     finally:
         quality.fit = fit
     assert seen == [(7, 9)]
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.01", FOLDER])
+def test_held_out_bad_texts_are_rejected_at_every_scale(spark, folder):
+    rows = queries.op7_positive_unlabelled_quality(spark, folder).filter("held_out").toPandas()
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality").toPandas()
+    held = rows.merge(labels, on="doc_id")
+    good = held.quality == 1
+    assert held.predicted[good].mean() > 0.97 and held.predicted[~good].mean() < 0.2
+
+
+def brute_risk(weights, p, u, prior):
+    score = lambda row: 1 / (1 + np.exp(-(weights[0] + sum(weights[c] for c in row))))
+    lost = sum(1 - score(r) for r in p) / len(p)
+    kept = sum(score(r) for r in u) / len(u) - prior * sum(score(r) for r in p) / len(p)
+    return prior * lost, kept
+
+
+def test_risk_and_gradient_against_brute_force():
+    draw = np.random.default_rng(6)
+    p, u = draw.integers(1, 9, (12, 3)), draw.integers(1, 9, (17, 3))
+    weights = draw.normal(size=9)
+    positive, negative, up, down = quality.risk(weights, p, u, 0.7)
+    assert (positive, negative) == pytest.approx(brute_risk(weights, p, u, 0.7))
+    for k in range(9):
+        step = np.zeros(9)
+        step[k] = 1e-6
+        high, low = brute_risk(weights + step, p, u, 0.7), brute_risk(weights - step, p, u, 0.7)
+        assert up[k] == pytest.approx((high[0] - low[0]) / 2e-6, abs=1e-6) and down[k] == pytest.approx((high[1] - low[1]) / 2e-6, abs=1e-6)
+    # the part that must not be negative is not fitted further once it is
+    _, negative, _, down = quality.risk(weights, p, p, 1.5)
+    assert negative < 0 and np.allclose(quality._non_negative(p, p, 1.5)(weights), -0.1 * down)
+
+
+def test_steps_and_prior_come_from_all_rows():
+    draw = np.random.default_rng(7)
+    values = np.concatenate([np.zeros(500), draw.exponential(0.05, 4500)])
+    counts = np.bincount(quality._histogram_cell(values), minlength=quality._FEATURE_CELLS)
+    [steps] = quality._steps_of(counts[None, :])
+    exact = np.unique(np.quantile(values, quality._LEVELS))
+    assert np.abs(np.interp(exact, steps, steps) / np.maximum(exact, 1e-9) - 1)[exact > 0].max() < 0.1
+    cells = quality._histogram_cell(np.array([0.0, 2.0**-30, 1e-3, 0.5, 7.0]))
+    assert (np.diff(cells) > 0).all() and (quality._cell_start(cells[2:]) <= [1e-3, 0.5, 7.0]).all()
+    assert quality.prior_from_shares(np.array([1, 0.9, 0.5]), np.array([1, 0.54, 0.3]), 10**6, 10**6) == pytest.approx(0.6)
+
+
+def test_no_text_is_scored_by_a_model_that_saw_it():
+    draw = np.random.default_rng(8)
+    p, u = draw.normal(0, 1, (60, 2)), draw.normal(1, 1, (90, 2))
+    folds = np.arange(60) % quality.FOLDS, np.arange(90) % quality.FOLDS
+    steps = quality.feature_steps(np.concatenate([p, u]))
+    before = quality.left_out_scores(quality.fit_plain(p, u, folds, steps), p, folds[0])
+    changed = p.copy()
+    changed[folds[0] == 0] += 5
+    after = quality.left_out_scores(quality.fit_plain(changed, u, folds, steps), p, folds[0])
+    assert np.allclose(before[folds[0] == 0], after[folds[0] == 0]) and not np.allclose(before[folds[0] == 1], after[folds[0] == 1])
