@@ -11,13 +11,11 @@ probability of 0.9994, a pair at 0.85 with 0.99998, one at 0.3 with 0.11. Pairs
 their whole multisets.
 
 Nodes are distinct texts, so copies cost nothing. A band's bucket is not expanded into its
-pairs: all members are compared with the bucket's first one, that of the most company in all
-buckets and so likely what the others were copied from, and links found are closed to classes; only then members of different classes that still share a bucket are compared, and
-of these only pairs that two exact bounds leave open: the triangle inequality of the Jaccard
-distance, and the weight of the shingles that a text shares with any other such text, beyond
-which no similarity can go. What this gives is the classes that all links between bucket
-members would give. In a large group of near copies with edits of their own, the copies far
-from the rest have too many shingles of their own, and no pair of theirs is made.
+pairs: all members are compared with the bucket's hub, that of the most company in all
+buckets and so likely what the others were copied from, and links found are closed to classes. Members of
+different classes that share a hub can only be linked if they share a shingle that the hub lacks, or if one is
+much lighter than the hub (``_closed``): those meet a next hub, among the members of such a shingle, until no
+group is divided. What this gives is the classes that all links between bucket members would give.
 
 Document frequencies are counted over all rows in ``2 ** IDF_BITS`` hash buckets, as
 Spark's HashingTF and IDF do, so their table has one size for any corpus: a passage in many
@@ -29,12 +27,12 @@ none below 0.784 does.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,10 +46,8 @@ IDF_BITS = 20
 IDF_SPREAD = 0.1
 #: Lists of text fingerprints are broadcast up to so many rows (of 16 bytes).
 BROADCAST_ROWS = 250_000
-#: Rounds in which members of a bucket are compared with a few others, before all open pairs are.
-LOOKS, NEIGHBOURS, NEIGHBOURHOOD = 1, 1, 1000
-#: Shingles that one task compares to tell which of them stand in one text only.
-PIECE_SHINGLES = 500_000
+#: Rounds in which members meet a next hub, before what is left is listed.
+HUB_ROUNDS = 6
 _SLICE = 1024
 _FEATURE_BITS = 44
 _CELL_BITS = 15
@@ -248,54 +244,6 @@ def shingle_sets(texts: DataFrame, idf: Broadcast, size: int = SHINGLE_WORDS) ->
     return texts.select("node", "text").mapInArrow(task, "node binary, shingles array<int>, weight double")
 
 
-def shared_weights(sets: DataFrame, idf: Broadcast, piece_rows: int = PIECE_SHINGLES) -> DataFrame:
-    """``(node, weight, shared)``: the weight of each set and of what it shares with any other one.
-
-    Sets are cut by the hash of their shingles into pieces of about ``piece_rows`` shingles
-    of all sets together, packed, so that a task sees all sets that hold its shingles.
-    """
-    named = sets.withColumn("id", F.xxhash64("node"))
-    total = named.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    pieces = max(1, -(-total // piece_rows))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("shingles")
-            value = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(len(batch)), lists.value_lengths().to_numpy())
-            piece = (textbytes.mix(value.astype(np.int64).view(np.uint64)) % np.uint64(pieces)).astype(np.int64)
-            place = row * pieces + piece
-            order = np.argsort(place, kind="stable")
-            value, place = value[order], place[order]
-            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-            bounds = pa.array(np.append(first, len(place)) if len(place) else np.zeros(1, np.int64), pa.int32())
-            packed = pa.ListArray.from_arrays(bounds, pa.array(value))
-            ids = batch.column("id").take(pa.array(place[first] // pieces))
-            yield pa.RecordBatch.from_arrays([pa.array((place[first] % pieces).astype(np.int32)), ids, packed], names=["piece", "id", "shingles"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, owners = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            lists = batch.column("shingles")
-            values.append(lists.flatten().to_numpy())
-            owners.append(np.repeat(batch.column("id").to_numpy(), lists.value_lengths().to_numpy()))
-        value, owner = np.concatenate(values), np.concatenate(owners)
-        order = np.argsort(value)
-        value, owner = value[order], owner[order]
-        alone = np.ones(len(value), bool)
-        alone[1:] &= value[1:] != value[:-1]
-        alone[:-1] &= value[1:] != value[:-1]
-        ids, place = np.unique(owner[alone], return_inverse=True)
-        own = np.bincount(place, idf.value[value[alone] & ((1 << IDF_BITS) - 1)], len(ids)).astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own)], names=["id", "own"])
-
-    packed = named.select("id", "shingles").mapInArrow(cut, "piece int, id long, shingles array<int>").repartition(pieces, "piece")
-    own = packed.mapInArrow(count, "id long, own double").groupBy("id").agg(F.sum("own").alias("own"))
-    return named.select("id", "node", "weight").join(own, "id", "left").select(
-        "node", "weight", (F.col("weight") - F.coalesce("own", F.lit(0.0))).alias("shared")
-    )
-
-
 def weighted_jaccard(left: np.ndarray, right: np.ndarray, idf: np.ndarray) -> float:
     """Of two sets as ``shingle_sets`` makes them."""
     mask = (1 << IDF_BITS) - 1
@@ -417,22 +365,8 @@ def _classes(rows: DataFrame, similarity: float, size: int, scratch: Scratch) ->
     pairs = scratch.table(pairs, "stars")
     tested = scratch.table(verify(pairs, sets, idf), "tested")
     labels = components(tested.filter(F.col("similarity") >= similarity).select("a", "b"), scratch)
-    unsettled = scratch.table(_unsettled(members, tested, similarity), "unsettled")
-    # first a few pairs of each member, which close large groups, then all that are still open
-    for look in range(LOOKS + 1):
-        divided = scratch.table(_divided(unsettled, labels), "divided")
-        if divided.isEmpty():
-            break
-        if look < LOOKS:
-            pairs = _some_pairs(divided, look, similarity)
-        else:
-            theirs = sets.join(_few(divided.select("node").distinct()), "node", "left_semi")
-            weights = scratch.table(shared_weights(theirs, idf), "weights")
-            pairs = _open_pairs(divided.join(_few(weights), "node"), similarity)
-        more = verify(scratch.table(pairs, "open"), sets, idf).filter(F.col("similarity") >= similarity).select("a", "b")
-        more = scratch.table(more, "more")
-        if not more.isEmpty():
-            labels = _joined(labels, more, scratch)
+    groups = tested.select(F.col("a").alias("hub"), F.col("b").alias("node"), "similarity")
+    labels = _closed(groups, labels, sets, idf, similarity, scratch)
 
     classed = banded.select("doc_id", "node").join(labels, "node", "left")
     classed = classed.withColumn("class_node", F.coalesce("label", "node")).drop("label")
@@ -446,52 +380,88 @@ def _classes(rows: DataFrame, similarity: float, size: int, scratch: Scratch) ->
     return classed.select("doc_id", "node", "class_node", class_id.alias("class_id"), class_size, stays.alias("stays"))
 
 
-def _unsettled(members: DataFrame, tested: DataFrame, similarity: float) -> DataFrame:
-    """Members, besides the first node, of buckets in which not all are linked to that one:
-    ``(band, key, node, far)`` with the distance to it."""
-    distance = tested.select(F.col("a").alias("first"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    others = members.filter("node <> first").join(distance, ["first", "node"]).select("band", "key", "node", "far")
-    farthest = others.groupBy("band", "key").agg(F.max("far").alias("most"), F.count(F.lit(1)).alias("n"))
-    return others.join(farthest.filter((F.col("most") > 1 - similarity) & (F.col("n") > 1)).drop("most"), ["band", "key"])
+def _closed(groups: DataFrame, labels: DataFrame, sets: DataFrame, idf: Broadcast, similarity: float, scratch: Scratch) -> DataFrame:
+    """Labels after all links between members of a group ``(hub, node, similarity)`` with its hub.
 
+    Say ``inside`` is the weight that a member has in common with the hub. Two members have no more in common
+    inside the hub than the lesser of theirs, and to be linked they need a share of their weights' sum.
+    Either that can be reached inside the hub, which takes a member much lighter than the hub; such pairs are
+    listed. Or they share a shingle that the hub lacks: the members of each such shingle that are of
+    several classes meet the one closest to the hub, as their next hub, and so on. Each round is
+    linear in the shingles that members have beyond their hub.
+    """
+    for round in range(HUB_ROUNDS + 1):
+        open_ = scratch.table(_divided(groups, labels, sets), "divided")
+        if open_.isEmpty():
+            return labels
+        beyond = scratch.table(_several(_beyond(open_, sets)), "beyond")
+        if round < HUB_ROUNDS:
+            nearest = beyond.groupBy("hub", "shingle").agg(F.max(F.struct("similarity", "node"))["node"].alias("a"))
+            pairs = beyond.join(_few(nearest), ["hub", "shingle"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+        else:  # the few that are left
+            left, right = (beyond.select("hub", "shingle", F.col("node").alias(n), F.col("label").alias(f"label_{n}")) for n in ("a", "b"))
+            pairs = left.join(right, ["hub", "shingle"]).filter("a < b AND label_a <> label_b").select("a", "b").distinct()
+        tested = scratch.table(verify(scratch.table(pairs, "pairs"), sets, idf), "tested")
+        listed = scratch.table(_inside_pairs(open_, similarity), "inside")
+        more = tested if listed.isEmpty() else tested.unionByName(verify(listed, sets, idf))
+        more = scratch.table(more.filter(F.col("similarity") >= similarity).select("a", "b"), "more")
+        if not more.isEmpty():
+            labels = _joined(labels, more, scratch)
+        groups = tested.select(F.col("a").alias("hub"), F.col("b").alias("node"), "similarity")
+    return labels
+
+
+def _divided(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of groups that hold more than one class, with their labels, weights and what they have inside the hub."""
+    labelled = groups.join(_few(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    split = labelled.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    members = labelled.join(_few(split.select("hub")), "hub")
+    weights = sets.select("node", "weight")
+    weighed = members.join(weights, "node").join(weights.withColumnsRenamed({"node": "hub", "weight": "hub_weight"}), "hub")
+    inside = F.col("similarity") / (1 + F.col("similarity")) * (F.col("weight") + F.col("hub_weight"))
+    return weighed.select("hub", "node", "similarity", "label", "weight", inside.alias("inside"))
+
+
+def _beyond(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(hub, node, similarity, label, shingle)``: the shingles of each member that its hub lacks."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column("left"), batch.column("right")
+            lists = [np.setdiff1d(right[k].values.to_numpy(), left[k].values.to_numpy(), assume_unique=True) for k in range(len(batch))]
+            count = np.array([len(x) for x in lists], np.int64)
+            place = pa.array(np.repeat(np.arange(len(batch)), count))
+            columns = [batch.column(c).take(place) for c in ("hub", "node", "similarity", "label")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))], names=["hub", "node", "similarity", "label", "shingle"])
 
-def _divided(unsettled: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that still hold more than one class, with their labels."""
-    labelled = unsettled.join(_few(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    return labelled.join(_few(split.select("band", "key")), ["band", "key"])
+    hubs = sets.join(_few(open_.select(F.col("hub").alias("node")).distinct()), "node", "left_semi")
+    members = sets.join(_few(open_.select("node").distinct()), "node", "left_semi")
+    left, right = hubs.select(F.col("node").alias("hub"), F.col("shingles").alias("left")), members.select("node", F.col("shingles").alias("right"))
+    both = left.join(_few(open_.select("hub", "node", "similarity", "label")), "hub").join(right, "node")
+    return both.mapInArrow(task, "hub binary, node binary, similarity double, label binary, shingle int")
 
 
-def _near(left: Callable[[str], Column], right: Callable[[str], Column], similarity: float) -> Column:
-    """Two classes, and distances to the bucket's first node that differ by no more than a link allows."""
-    return (left("label") != right("label")) & (F.abs(left("far") - right("far")) <= 1 - similarity + 1e-9)
+def _several(beyond: DataFrame) -> DataFrame:
+    """The rows of shingles that members of several classes share."""
+    of = F.min("label").alias("low"), F.max("label").alias("high")
+    split = beyond.groupBy("hub", "shingle").agg(*of).filter("low <> high").select("hub", "shingle")
+    return beyond.join(_few(split), ["hub", "shingle"])
 
 
-def _open_pairs(divided: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of one bucket that could be a link between two classes.
+def _inside_pairs(open_: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of two classes that could be a link by what they have inside the hub alone.
 
-    What two texts have in common weighs no more than what either shares with any text; a
-    text that has too much of its own can be linked to none.
+    One of them is not linked to the hub, so the other one must be lighter than the hub by far.
     """
-    linkable = divided.filter(F.col("shared") >= similarity * F.col("weight") * (1 - 1e-9))
-    left, right = linkable.alias("l"), linkable.alias("r")
-    ours, theirs = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    common = F.least(ours("shared"), theirs("shared"))
-    same = (ours("band") == theirs("band")) & (ours("key") == theirs("key")) & (ours("node") < theirs("node"))
-    same &= common >= similarity * (ours("weight") + theirs("weight") - common) * (1 - 1e-9)
-    return left.join(right, same & _near(ours, theirs, similarity)).select(ours("node").alias("a"), theirs("node").alias("b")).distinct()
-
-
-def _some_pairs(divided: DataFrame, look: int, similarity: float) -> DataFrame:
-    """A few possible pairs of each member: with the next ones in a random order of its part of the bucket."""
-    part = F.pmod(F.xxhash64("node", "band", F.lit(look)), F.ceil(F.col("n") / NEIGHBOURHOOD))
-    order = Window.partitionBy("band", "key", "part").orderBy("place", "node")
-    spread = divided.withColumns({"part": part, "place": F.xxhash64("node", F.lit(look))})
-    nexts = [F.lead(F.struct("node", "label", "far"), k).over(order) for k in range(1, NEIGHBOURS + 1)]
-    paired = spread.withColumn("nexts", F.array(*nexts)).withColumn("next", F.explode(F.array_compact("nexts")))
-    other = F.col("next.node")
-    near = paired.filter(_near(F.col, lambda c: F.col("next")[c], similarity))
-    return near.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
+    share = similarity / (1 + similarity) * (1 - 1e-9)
+    lightest = open_.groupBy("hub").agg(F.min("weight").alias("lightest"))
+    room = F.col("inside") / share - F.col("weight")  # the heaviest partner it can have
+    unlinked = open_.filter(F.col("similarity") < similarity).join(_few(lightest), "hub").filter(room >= F.col("lightest"))
+    left = unlinked.select("hub", F.col("node").alias("a"), F.col("label").alias("label_a"), "weight", "inside", room.alias("room"))
+    right = open_.select("hub", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("weight").alias("weight_b"), F.col("inside").alias("inside_b"))
+    enough = F.least("inside", "inside_b") >= share * (F.col("weight") + F.col("weight_b"))
+    fitting = _few(left).join(right, "hub").filter((F.col("label_a") != F.col("label_b")) & (F.col("weight_b") <= F.col("room")) & enough)
+    return fitting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
