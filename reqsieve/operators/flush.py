@@ -18,7 +18,8 @@ stretch are cut once more, into pieces of at most half a task's rows by the
 moment they apply to: two stretches are combined by handing each step of the
 earlier one to the piece of the later one that its next closing falls into. So
 no task holds more than ``TASK_ROWS`` steps, whatever the period and however
-many rows a monitor has.
+many rows a monitor has. A table, or a stream's micro-batch, of no more rows than that
+needs none of it: each monitor's rows fit a task, which reads off its windows in order.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -153,6 +155,66 @@ def _bucket_entries(steps: DataFrame, period: int, task_rows: int) -> DataFrame:
     return above
 
 
+_SUMS = (*COUNTERS, MICROS)
+_WINDOWS = "monitor_id string, start_ms long, " + ", ".join(f"{c} long" for c in _SUMS) + ", last_us long, closed boolean"
+
+
+def _walk(period: int):
+    """All windows of one monitor, from its rows."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        timed = rows["us"].is_valid()
+        windows, apart = [], rows.filter(pc.invert(timed))
+        if len(apart):
+            windows.append((None, *[pc.sum(apart[c]).as_py() for c in _SUMS], None, True))
+        events = rows.filter(timed)
+        if len(events):
+            # a null order comes first at its time
+            events = events.take(pc.sort_indices(events, sort_keys=[("us", "ascending"), ("seq", "ascending")], null_placement="at_start"))
+            us, given = events["us"].to_numpy(), events["given"][0].as_py()
+            ms = us // 1000
+            start = int(ms[0]) if given is None else given
+            ms = np.maximum(ms, start)
+            good = np.flatnonzero(events["ok"].to_numpy(zero_copy_only=False))
+            times, added = ms[good], np.stack([events[c].to_numpy() for c in _SUMS])
+            first, at = 0, int(np.searchsorted(times, start + period))
+            while first < len(ms) or at < len(good):
+                closed = at < len(good)
+                last = int(good[at]) if closed else len(ms) - 1
+                windows.append((start, *added[:, first : last + 1].sum(axis=1).tolist(), int(us[last]), closed))
+                if not closed:
+                    break
+                first, start = last + 1, int(ms[last])
+                at = int(np.searchsorted(times, start + period))
+                if first == len(ms):  # every closing opens a window, even if no event follows it
+                    windows.append((start, *[0] * len(_SUMS), None, False))
+                    break
+        names = ["start_ms", *_SUMS, "last_us", "closed"]
+        kinds = [pa.int64()] * (len(names) - 1) + [pa.bool_()]
+        columns = zip(*windows) if windows else [[]] * len(names)
+        made = {name: pa.array(list(column), kind) for name, column, kind in zip(names, columns, kinds)}
+        return pa.table({"monitor_id": pa.array([key[0].as_py()] * len(windows), pa.string()), **made})
+
+    return run
+
+
+def _walked(scored: DataFrame, period: int, monitor: str, ts: str, order: str, threshold: float | None, starts: DataFrame | None) -> DataFrame:
+    """``flush_partials`` where every monitor's rows fit a task: one shuffle."""
+    time = F.col(ts).cast("timestamp")
+    deltas = [value.alias(name) for name, value in event_deltas(threshold).items()]
+    events = scored.select(_key(F.col(monitor)).alias("monitor_id"), F.unix_micros(time).alias("us"), F.col(order).alias("seq"), (F.col("status") == OK).alias("ok"), *deltas)
+    if starts is None:
+        events = events.withColumn("given", F.lit(None).cast("long"))
+    else:
+        events = events.join(starts.select("monitor_id", F.col("start_ms").alias("given")), "monitor_id", "left")
+    windows = events.groupBy("monitor_id").applyInArrow(_walk(period), _WINDOWS)
+    return windows.select("monitor_id", "start_ms", *_SUMS, F.timestamp_micros("last_us").alias("last_ts"), "closed")
+
+
+def _unkeyed(windows: DataFrame) -> DataFrame:
+    return windows.withColumn("monitor_id", F.when(F.col("monitor_id") != _NO_MONITOR, F.expr(f"substring(monitor_id, {len(_MONITOR) + 1})")))
+
+
 _NODE = ["monitor_id", "node"]
 
 
@@ -237,6 +299,7 @@ def flush_partials(
     threshold: float | None = 0.7,
     starts: DataFrame | None = None,
     task_rows: int = TASK_ROWS,
+    walk_rows: int | None = None,
 ) -> DataFrame:
     """Additive counters of every window, the open last one (``closed`` false) included,
     which has no events yet if the last event closed the one before.
@@ -247,11 +310,15 @@ def flush_partials(
     together are the order of arrival; a null ``order`` comes first at its time.
     Events without a time belong to no moment: they are one closed window per
     monitor without a start, so that all windows add up to all events.
+
+    Up to ``walk_rows`` rows (``task_rows`` by default) are read off monitor by monitor; more go through the tree.
     """
     millis = period_millis(period)
     deltas = event_deltas(threshold)
     if starts is not None:
         starts = starts.filter("start_ms IS NOT NULL").withColumn("monitor_id", _key(F.col("monitor_id")))
+    if scored.count() <= (task_rows if walk_rows is None else walk_rows):
+        return _unkeyed(_walked(scored, millis, monitor, ts, order, threshold, starts))
     timeless = scored.filter(F.col(ts).isNull())
     events = scored.filter(F.col(ts).isNotNull()).select(
         _key(F.col(monitor)).alias("monitor_id"),
@@ -336,8 +403,7 @@ def flush_partials(
         F.lit(None).cast("timestamp").alias("last_ts"),
         F.lit(True).alias("closed"),
     )
-    merged = merge_partials(counted.unionByName(opened).unionByName(apart))
-    return merged.withColumn("monitor_id", F.when(F.col("monitor_id") != _NO_MONITOR, F.expr(f"substring(monitor_id, {len(_MONITOR) + 1})")))
+    return _unkeyed(merge_partials(counted.unionByName(opened).unionByName(apart)))
 
 
 def merge_partials(parts: DataFrame) -> DataFrame:

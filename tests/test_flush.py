@@ -92,8 +92,9 @@ def utc_clock(monkeypatch):
 def test_flush_matches_fold(spark, n, monitors, span_ms, period, period_ms, failure_rate, hot, task_rows):
     rows = rows_of(n, n, monitors, span_ms, failure_rate, hot)
     frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = collected(flush_windows(frame, period, task_rows=task_rows))
-    assert got == fold(rows, period_ms)
+    for walk_rows in (0, n):  # through the tree, and monitor by monitor
+        got = collected(flush_windows(frame, period, task_rows=task_rows, walk_rows=walk_rows))
+        assert got == fold(rows, period_ms)
 
 
 @pytest.mark.parametrize("period, period_ms", [("PT1S", 1_000), ("PT6S", 6_000)])
@@ -120,11 +121,12 @@ def test_no_task_gets_more_steps_than_allowed(spark, monkeypatch, period, period
     assert 0 < max(groups) <= task_rows // 2
 
 
-def test_null_times_and_null_monitors_are_kept_apart(spark):
+@pytest.mark.parametrize("walk_rows", [0, None])
+def test_null_times_and_null_monitors_are_kept_apart(spark, walk_rows):
     at = lambda s: EPOCH + timedelta(seconds=s)
     rows = [(m, at(s), s, "ok", True, 0.9, True) for m in (None, "", "n") for s in (0, 31, 70)]
     rows += [(m, None, 5, "ok", True, 0.8, False) for m in (None, "", "m1") for _ in range(2)]
-    partials = flush_partials(spark.createDataFrame(rows, SCHEMA), "PT30S").collect()
+    partials = flush_partials(spark.createDataFrame(rows, SCHEMA), "PT30S", walk_rows=walk_rows).collect()
     assert sum(r.input for r in partials) == len(rows)
     untimed = {r.monitor_id: (r.input, r.closed) for r in partials if r.start_ms is None}
     assert untimed == {None: (2, True), "": (2, True), "m1": (2, True)}
@@ -132,14 +134,15 @@ def test_null_times_and_null_monitors_are_kept_apart(spark):
     assert closed == {(m, n) for m in (None, "", "n") for n in (2, 1)}
 
 
-def test_worked_example(spark):
+@pytest.mark.parametrize("walk_rows", [0, None])
+def test_worked_example(spark, walk_rows):
     times = [(10, True), (29, True), (31, False), (35, True), (64, True), (65, True)]
     rows = [
         ("m", EPOCH + timedelta(seconds=s), i, "ok" if ok else "failure", ok or None, 0.9 if ok else None, True)
         for i, (s, ok) in enumerate(times)
     ]
     starts = spark.createDataFrame([("m", int(EPOCH.timestamp() * 1000))], "monitor_id string, start_ms long")
-    got = flush_windows(spark.createDataFrame(rows, SCHEMA), "PT30S", starts=starts).orderBy("window_start").collect()
+    got = flush_windows(spark.createDataFrame(rows, SCHEMA), "PT30S", starts=starts, walk_rows=walk_rows).orderBy("window_start").collect()
     assert [(r.window_end.second + 60 * r.window_end.minute, r.input, r.invalid) for r in got] == [(35, 4, 1), (65, 2, 0)]
 
 
@@ -150,11 +153,12 @@ def test_buckets_too_many_to_broadcast(spark, monkeypatch):
         ("m0", EPOCH + timedelta(seconds=100, milliseconds=i % 7), 10**12 + i, "ok" if i % 3 else "failure", bool(i % 3) or None, 0.9 if i % 3 else None, True)
         for i in range(600)
     ]
-    got = collected(flush_windows(spark.createDataFrame(rows, SCHEMA).repartition(4), "PT10S"))
+    got = collected(flush_windows(spark.createDataFrame(rows, SCHEMA).repartition(4), "PT10S", walk_rows=0))
     assert got == fold(rows, 10_000)
 
 
-def test_batches_continue_each_other(spark):
+@pytest.mark.parametrize("walk_rows", [0, None])
+def test_batches_continue_each_other(spark, walk_rows):
     """Cut at any event, also right after a closing, the windows stay the same."""
     rows = sorted(rows_of(11, 120, 2, 400_000, 0.2), key=lambda r: (r[1], r[2]))
     expected = fold(rows, 10_000)
@@ -162,16 +166,17 @@ def test_batches_continue_each_other(spark):
     cuts = [0, [r[1] for r in rows].index(first_end) + 1, 60, len(rows)]
     state, windows = spark.createDataFrame([], stream_flush._STORED), []
     for low, high in zip(cuts, cuts[1:]):
-        result = stream_flush.advance(spark.createDataFrame(rows[low:high], SCHEMA), state, "PT10S").collect()
+        result = stream_flush.advance(spark.createDataFrame(rows[low:high], SCHEMA), state, "PT10S", walk_rows=walk_rows).collect()
         after = spark.createDataFrame(result, stream_flush._STORED)
         windows += collected(flush.present_windows(after))
         state = after.filter("NOT closed")
     assert sorted(windows) == expected
 
 
-def test_a_closing_opens_an_empty_window(spark):
+@pytest.mark.parametrize("walk_rows", [0, None])
+def test_a_closing_opens_an_empty_window(spark, walk_rows):
     rows = [("m", EPOCH + timedelta(seconds=s), s, "ok", True, 0.9, True) for s in (0, 40)]
-    got = sorted(flush_partials(spark.createDataFrame(rows, SCHEMA), "PT30S").collect(), key=lambda r: r.start_ms)
+    got = sorted(flush_partials(spark.createDataFrame(rows, SCHEMA), "PT30S", walk_rows=walk_rows).collect(), key=lambda r: r.start_ms)
     start = int(EPOCH.timestamp() * 1000)
     assert [(r.start_ms - start, r.input, r.closed) for r in got] == [(0, 2, True), (40_000, 0, False)]
 
@@ -191,12 +196,28 @@ def test_dense_successes_keep_the_table_within_one_period(spark):
     assert got == fold(rows, 20)
 
 
+def test_a_batch_of_a_stream_takes_few_jobs(spark, tmp_path):
+    """One monitor with all rows, continued from the batch before."""
+    rows = rows_of(5, 600, 1, 3_600_000, 0.2)
+    spark.createDataFrame(sorted(rows, key=lambda r: r[1])[:300], SCHEMA).write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame(sorted(rows, key=lambda r: r[1])[300:], SCHEMA).write.parquet(str(tmp_path / "b"))
+    first = stream_flush.advance(spark.read.parquet(str(tmp_path / "a")), spark.createDataFrame([], stream_flush._STORED), "PT30S")
+    first.write.parquet(str(tmp_path / "first"))
+    before = spark.read.parquet(str(tmp_path / "first"))
+    jobs = lambda: set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    known = jobs()
+    stream_flush.advance(spark.read.parquet(str(tmp_path / "b")), before.filter("NOT closed"), "PT30S").write.parquet(str(tmp_path / "second"))
+    assert len(jobs() - known) <= 10
+    windows = before.filter("closed").unionByName(spark.read.parquet(str(tmp_path / "second")).filter("closed"))
+    assert collected(flush.present_windows(windows)) == fold(rows, 30_000)
+
+
 def test_empty_input(spark):
     assert flush_windows(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_task_functions_need_no_package_on_the_executors(tmp_path):
-    for i, function in enumerate((flush._combine(1000, 2, 1000), flush._enter(1000))):
+    for i, function in enumerate((flush._combine(1000, 2, 1000), flush._enter(1000), flush._walk(1000))):
         (tmp_path / f"{i}.pkl").write_bytes(cloudpickle.dumps(function))
         code = f"import pickle; f = pickle.load(open('{i}.pkl', 'rb')); import sys; assert 'reqsieve' not in sys.modules"
         subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin", "HOME": "/tmp"})
