@@ -47,7 +47,9 @@ IDF_SPREAD = 0.1
 #: Lists of text fingerprints are broadcast up to so many rows (of 16 bytes).
 BROADCAST_ROWS = 250_000
 #: Rounds in which members meet a next hub, before what is left is listed.
-HUB_ROUNDS = 6
+HUB_ROUNDS = 3
+#: Rows, and shingles beyond a hub, that a task holds at once.
+_ROWS_BEYOND, _SHINGLES_BEYOND = 100, 50_000
 _SLICE = 1024
 _FEATURE_BITS = 44
 _CELL_BITS = 15
@@ -425,14 +427,32 @@ def _divided(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
 def _beyond(open_: DataFrame, sets: DataFrame) -> DataFrame:
     """``(hub, node, similarity, label, shingle)``: the shingles of each member that its hub lacks."""
 
+    names = ("hub", "node", "similarity", "label")
+
+    def packed(part: pa.RecordBatch, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        place = pa.array(np.repeat([k for k, _ in held], [len(x) for _, x in held]))
+        columns = [part.column(c).take(place) for c in names]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([x for _, x in held]))], names=[*names, "shingle"])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            lists = [np.setdiff1d(right[k].values.to_numpy(), left[k].values.to_numpy(), assume_unique=True) for k in range(len(batch))]
-            count = np.array([len(x) for x in lists], np.int64)
-            place = pa.array(np.repeat(np.arange(len(batch)), count))
-            columns = [batch.column(c).take(place) for c in ("hub", "node", "similarity", "label")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32))], names=["hub", "node", "similarity", "label", "shingle"])
+            for first in range(0, len(batch), _ROWS_BEYOND):
+                part = batch.slice(first, _ROWS_BEYOND)
+                left, right = part.column("left"), part.column("right")
+                for k in range(len(part)):
+                    shingle = np.setdiff1d(right[k].values.to_numpy(), left[k].values.to_numpy(), assume_unique=True)
+                    for at in range(0, len(shingle), _SHINGLES_BEYOND):
+                        piece = shingle[at : at + _SHINGLES_BEYOND]
+                        held.append((k, piece))
+                        size += len(piece)
+                        if size >= _SHINGLES_BEYOND:
+                            yield packed(part, held)
+                            held, size = [], 0
+                if held:
+                    yield packed(part, held)
+                    held, size = [], 0
 
     hubs = sets.join(_few(open_.select(F.col("hub").alias("node")).distinct()), "node", "left_semi")
     members = sets.join(_few(open_.select("node").distinct()), "node", "left_semi")
