@@ -397,6 +397,7 @@ def _closed(groups: DataFrame, labels: DataFrame, sets: DataFrame, idf: Broadcas
         if open_.isEmpty():
             return labels
         beyond = scratch.table(_several(_beyond(open_, sets)), "beyond")
+        beyond = scratch.table(_several(_able(beyond, similarity)), "able")
         if round < HUB_ROUNDS:
             nearest = beyond.groupBy("hub", "shingle").agg(F.max(F.struct("similarity", "node"))["node"].alias("a"))
             pairs = beyond.join(_few(nearest), ["hub", "shingle"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
@@ -425,9 +426,8 @@ def _divided(groups: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
 
 
 def _beyond(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(hub, node, similarity, label, shingle)``: the shingles of each member that its hub lacks."""
-
-    names = ("hub", "node", "similarity", "label")
+    """``(hub, node, similarity, label, weight, inside, shingle)``: the shingles of each member that its hub lacks."""
+    names = ("hub", "node", "similarity", "label", "weight", "inside")
 
     def packed(part: pa.RecordBatch, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         place = pa.array(np.repeat([k for k, _ in held], [len(x) for _, x in held]))
@@ -457,8 +457,17 @@ def _beyond(open_: DataFrame, sets: DataFrame) -> DataFrame:
     hubs = sets.join(_few(open_.select(F.col("hub").alias("node")).distinct()), "node", "left_semi")
     members = sets.join(_few(open_.select("node").distinct()), "node", "left_semi")
     left, right = hubs.select(F.col("node").alias("hub"), F.col("shingles").alias("left")), members.select("node", F.col("shingles").alias("right"))
-    both = left.join(_few(open_.select("hub", "node", "similarity", "label")), "hub").join(right, "node")
-    return both.mapInArrow(task, "hub binary, node binary, similarity double, label binary, shingle int")
+    both = left.join(_few(open_.select(*names)), "hub").join(right, "node")
+    return both.mapInArrow(task, "hub binary, node binary, similarity double, label binary, weight double, inside double, shingle int")
+
+
+def _able(beyond: DataFrame, similarity: float) -> DataFrame:
+    """The rows of members that can have a link at all: what they have inside the hub and what they share
+    beyond it with any other class, at the most that a shingle weighs, is enough of their own weight."""
+    counted = beyond.groupBy("hub", "node", "weight", "inside").agg(F.count(F.lit(1)).alias("n"))
+    most = F.col("inside") + (1 + IDF_SPREAD) * F.col("n")
+    able = counted.filter(most >= similarity * F.col("weight") * (1 - 1e-9)).select("hub", "node")
+    return beyond.join(_few(able), ["hub", "node"], "left_semi")
 
 
 def _several(beyond: DataFrame) -> DataFrame:
