@@ -66,7 +66,8 @@ def train(spark: SparkSession, args: argparse.Namespace, config: EngineConfig) -
         splits = training.stored_split(rows, f"{scratch.folder}/parts", seed=args.seed).persist()
         try:
             best = training.tune(splits, rows, GRID)[0]
-            model_store.save_pipeline(best.model.pipeline(), args.base, args.model)
+            if isinstance(best.model, training.WideModel):  # a model in a table has no other form
+                model_store.save_pipeline(best.model.pipeline(), args.base, args.model)
             model_store.publish(portable.wide_coefficient_table(spark, best.model, args.model, NORMALIZED), args.base)
             found = training.evaluate(best.model, splits.test)
             return {**found, **{k: best.params[k] for k in GRID}, **training.left_out(splits.train, best.model.encoding)}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reqsieve.plans.training import WideModel
+from reqsieve.plans.training import TableModel, WideModel
 from reqsieve.schemas import COEFFICIENTS, check_declared
 from reqsieve.sizing import join_side
 
@@ -108,7 +108,7 @@ def _check_fields(declared: T.StructType, numeric: Iterable[str], categories: It
 
 
 def coefficient_table(
-    spark: SparkSession, model: PipelineModel | WideModel, model_date: str, declared: T.StructType | None = None
+    spark: SparkSession, model: PipelineModel | WideModel | TableModel, model_date: str, declared: T.StructType | None = None
 ) -> DataFrame:
     """The coefficient table of a fitted index / one-hot / assemble / LR pipeline, or of a ``fit_wide`` model.
 
@@ -116,7 +116,7 @@ def coefficient_table(
     needs other fields is not exported. The table has the size of the fitted
     model, which Spark ML keeps on the driver.
     """
-    if isinstance(model, WideModel):
+    if isinstance(model, (WideModel, TableModel)):
         return wide_coefficient_table(spark, model, model_date, declared)
     indexers = [s for s in model.stages if isinstance(s, StringIndexerModel)]
     encoder = next((s for s in model.stages if isinstance(s, OneHotEncoderModel)), None)
@@ -154,9 +154,15 @@ def coefficient_table(
 
 
 def wide_coefficient_table(
-    spark: SparkSession, model: WideModel, model_date: str, declared: T.StructType | None = None
+    spark: SparkSession, model: WideModel | TableModel, model_date: str, declared: T.StructType | None = None
 ) -> DataFrame:
     """The coefficient table of a ``fit_wide`` model; categories never leave their table."""
+    if isinstance(model, TableModel):
+        if declared is not None:
+            _check_fields(declared, model.numeric_weights, model.encoding.categorical)
+        frame = coefficient_frame(spark, coefficient_rows(model_date, model.intercept, model.numeric_weights, {}))
+        kind, date = F.lit(CATEGORY).alias("kind"), F.lit(model_date).alias("model_date")
+        return frame.unionByName(model.entries.select(date, "feature", kind, "category", "coefficient")) if model.encoding.categorical else frame
     if declared is not None:
         _check_fields(declared, model.numeric, model.sizes)
     weights = model.regression.coefficients.toArray()
@@ -188,7 +194,7 @@ def wide_coefficient_table(
 
 
 def export(
-    spark: SparkSession, model: PipelineModel | WideModel, model_date: str, declared: T.StructType, rows: DataFrame
+    spark: SparkSession, model: PipelineModel | WideModel | TableModel, model_date: str, declared: T.StructType, rows: DataFrame
 ) -> DataFrame:
     """The coefficient table of a model under the schema its inputs are declared with.
 

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqsieve.operators.vocabulary import attach_index, sizes, vocabulary
+from reqsieve.plans import tabled
 from reqsieve.schemas import LABEL
 from reqsieve.session import cut_lineage
-from reqsieve.sizing import BROADCAST_BYTES, fits
+from reqsieve.sizing import BROADCAST_BYTES, fits, join_side
 
 # Split shares and the regression's settings.
 SPLIT = (0.8, 0.1, 0.1)
@@ -30,6 +31,8 @@ ELASTIC_NET_PARAM = 7.482741259139502e-05
 CATEGORICAL = ("publisherId", "country", "gender", "brand", "conType")
 NUMERIC = ("age", "height", "width", "withBundleId", "withGeo", "rtbFloorPriceSent")
 FEATURES = "features"
+#: Coefficients up to which Spark ML's regression is used, which keeps its vectors whole on the driver and in each task.
+DRIVER_SLOTS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -119,7 +122,10 @@ def fit_indexers(
     out of training. An indexer keeps its labels on the driver and in every
     task, so their bytes are counted first.
     """
-    known = cut_lineage(vocabulary(df, columns), "categories")
+    return _indexers(cut_lineage(vocabulary(df, columns), "categories"), columns, handle_invalid, limit)
+
+
+def _indexers(known: DataFrame, columns: Sequence[str], handle_invalid: str = "skip", limit: int = BROADCAST_BYTES) -> list[StringIndexerModel]:
     if not fits(known, limit):
         raise TooManyCategories(f"more than {limit} bytes of categories in {', '.join(columns)}")
     rows = known.orderBy("feature", "idx").collect()
@@ -137,15 +143,6 @@ def _assembler(categorical: Sequence[str], numeric: Sequence[str]) -> VectorAsse
     return VectorAssembler(inputCols=[*numeric, *map(_vector, categorical)], outputCol=FEATURES, handleInvalid="skip")
 
 
-def feature_stages(
-    source: DataFrame, categorical: Sequence[str] = CATEGORICAL, numeric: Sequence[str] = NUMERIC, limit: int = BROADCAST_BYTES
-) -> list:
-    """Index, encode and assemble; ``source`` is the data the categories come from."""
-    if not categorical:
-        return [_assembler(categorical, numeric)]
-    return [*fit_indexers(source, categorical, limit=limit), one_hot(categorical), _assembler(categorical, numeric)]
-
-
 def indexed(rows: DataFrame, source: DataFrame, columns: Sequence[str] = CATEGORICAL, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``rows`` with an index per column, by Spark ML's indexers or, beyond ``limit`` bytes of categories, by joins."""
     try:
@@ -176,7 +173,7 @@ def fit(
     label: str = LABEL,
     params: Mapping[str, float] | None = None,
     limit: int = BROADCAST_BYTES,
-) -> PipelineModel | WideModel:
+) -> PipelineModel | WideModel | TableModel:
     """Fit the whole pipeline on ``train``; where the categories exceed ``limit`` bytes, which
     Spark ML's indexers would keep on the driver, go on by joins like ``fit_wide``.
 
@@ -184,11 +181,13 @@ def fit(
     category are; ``left_out`` counts both. The categories come from ``source``: pass the full data set to know the
     categories of the held-out parts too, or ``train`` itself.
     """
-    lr = regression(label)
-    try:
-        stages = feature_stages(source, categorical, numeric, limit)
-    except TooManyCategories:
-        return fit_wide(train, source, categorical, numeric, label, params)
+    lr, encoding = regression(label), Encoding.of(source, categorical, numeric)
+    stages = [_assembler(categorical, numeric)]
+    if categorical:
+        try:
+            stages = [*_indexers(encoding.known, categorical, limit=limit), one_hot(categorical), *stages]
+        except TooManyCategories:
+            return _fit_encoding(train, encoding, label, params)
     pipeline = Pipeline(stages=[*stages, lr])
     return pipeline.fit(complete(train, numeric, label), overrides(lr, **_settings(params)))
 
@@ -221,6 +220,47 @@ class WideModel:
         return PipelineModel([*self.encoding.stages(), self.regression])
 
 
+@dataclass(frozen=True)
+class TableModel:
+    """A regression whose coefficients are a table too: ``entries``, ``(feature, category, coefficient)``."""
+
+    intercept: float
+    numeric_weights: Mapping[str, float]
+    entries: DataFrame
+    encoding: Encoding
+    iterations: int
+
+    @classmethod
+    def of(cls, fitted: tabled.Fitted, encoding: Encoding) -> TableModel:
+        named = dict(zip(encoding.categorical, range(len(encoding.categorical))))
+        number = F.lit(None).cast("long")
+        for feature, k in named.items():
+            number = F.when(F.col("feature") == feature, tabled.slot(k, F.col("idx"))).otherwise(number)
+        known = encoding.known.select("feature", "category", number.alias("slot")) if named else encoding.known
+        entries = known
+        if named:
+            entries = known.join(join_side(fitted.weights), "slot", "left")
+            entries = entries.select("feature", "category", F.coalesce("weight", F.lit(0.0)).alias("coefficient"))
+            entries = cut_lineage(entries, "entries")
+        return cls(fitted.intercept, dict(zip(encoding.numeric, fitted.numbers)), entries, encoding, fitted.iterations)
+
+    def transform(self, rows: DataFrame, keep: Sequence[str] = (LABEL,)) -> DataFrame:
+        """Predictions for the rows that are complete and of known categories; ``rawPrediction`` is the margin."""
+        numeric, categorical = self.encoding.numeric, self.encoding.categorical
+        columns = dict.fromkeys([*numeric, *categorical, *keep])
+        rows = complete(rows.select(*columns), numeric, numeric[0] if numeric else keep[0])
+        margin = F.lit(self.intercept)
+        for name, weight in self.numeric_weights.items():
+            margin = margin + F.lit(weight) * F.col(name).cast("double")
+        for k, name in enumerate(categorical):
+            side = self.entries.filter(F.col("feature") == name).select(F.col("category").alias(f"__c{k}"), F.col("coefficient").alias(f"__w{k}"))
+            side = join_side(side, known_bytes=self.encoding.sizes[name][1])
+            rows = rows.join(side, F.col(name).cast("string") == F.col(f"__c{k}"))
+            margin = margin + F.col(f"__w{k}")
+        scored = rows.select(*keep, margin.alias("rawPrediction"))
+        return scored.withColumn("prediction", (F.col("rawPrediction") > 0).cast("double"))
+
+
 @dataclass(frozen=True)
 class Encoding:
     """Indexing by joins, one-hot and assembly, for any number of categories.
@@ -249,6 +289,23 @@ class Encoding:
             rows = rows.withColumn(_index(column), F.col(_index(column)).alias(_index(column), metadata=nominal))
         return rows
 
+    @property
+    def slots(self) -> int:
+        """Coefficients of a regression over these features."""
+        return len(self.numeric) + sum(max(self.sizes[c][0] - 1, 0) for c in self.categorical)
+
+    def encode(self, rows: DataFrame, label: str = LABEL, keep: Sequence[str] = ()) -> DataFrame:
+        """The rows that can be used, as ``tabled.fit`` reads them."""
+        columns = dict.fromkeys([*self.numeric, *self.categorical, label, *keep])
+        ready = self.index(complete(rows.select(*columns), self.numeric, label))
+        return tabled.encode(ready, label, self.numeric, [_index(c) for c in self.categorical], self._counts(), keep)
+
+    def _counts(self) -> list[int]:
+        return [self.sizes[c][0] for c in self.categorical]
+
+    def fit_encoded(self, encoded: DataFrame, settings: Mapping[str, float]) -> TableModel:
+        return TableModel.of(tabled.fit(encoded, len(self.numeric), self._counts(), settings), self)
+
     def stages(self) -> list:
         stages = [one_hot(self.categorical)] if self.categorical else []
         blank = [F.lit(0.0).alias(_index(c), metadata={"ml_attr": {"type": "nominal", "num_vals": self.sizes[c][0]}}) for c in self.categorical]
@@ -278,15 +335,20 @@ def fit_wide(
     numeric: Sequence[str] = NUMERIC,
     label: str = LABEL,
     params: Mapping[str, float] | None = None,
-) -> WideModel:
+) -> WideModel | TableModel:
     """The same fit for any number of categories.
 
-    Categories are indexed by joins; only the coefficient vector, which the
-    regression needs whole, is as long as the vocabulary.
+    Categories are indexed by joins. Beyond ``DRIVER_SLOTS`` coefficients the
+    regression keeps them in a table (``tabled``).
     """
-    encoding = Encoding.of(source, categorical, numeric)
+    return _fit_encoding(train, Encoding.of(source, categorical, numeric), label, params)
+
+
+def _fit_encoding(train: DataFrame, encoding: Encoding, label: str, params: Mapping[str, float] | None) -> WideModel | TableModel:
+    if encoding.slots > DRIVER_SLOTS:
+        return encoding.fit_encoded(cut_lineage(encoding.encode(train, label), "features"), _settings(params))
     lr = regression(label)
-    ready = encoding.assemble(complete(train, numeric, label), [label])
+    ready = encoding.assemble(complete(train, encoding.numeric, label), [label])
     return WideModel(lr.fit(ready, overrides(lr, **_settings(params))), encoding)
 
 
@@ -294,7 +356,7 @@ def fit_wide(
 class Trial:
     params: Mapping[str, float]
     area_under_roc: float
-    model: WideModel
+    model: WideModel | TableModel
     share: float = 1.0  # of the training part that it was fitted on
 
 
@@ -328,14 +390,18 @@ def tune(
     """
     encoding = encoding or Encoding.of(source, categorical, numeric)
     parts = [complete(part, numeric, label) for part in (splits.train, splits.cv)]
-    drawn = [encoding.assemble(part, [label]).withColumn("_draw", F.rand(seed)) for part in parts]
+    if in_table := encoding.slots > DRIVER_SLOTS:
+        drawn = [encoding.encode(parts[0], label).withColumn("_draw", F.rand(seed)), parts[1].select(*dict.fromkeys([*numeric, *categorical, label]))]
+    else:
+        drawn = [encoding.assemble(part, [label]).withColumn("_draw", F.rand(seed)) for part in parts]
     ready = [cut_lineage(part, "features") for part in drawn]  # a fit keeps its rows in memory by itself
     judge = _area(label)
 
-    def fitted(settings: Mapping[str, float], share: float) -> LogisticRegressionModel:
+    def fitted(settings: Mapping[str, float], share: float) -> LogisticRegressionModel | TableModel:
         lr = regression(label)
         used = dict(settings) if share >= 1 else {"tol": RANKING_TOL, **settings}
-        return lr.fit(ready[0] if share >= 1 else ready[0].filter(F.col("_draw") < share), overrides(lr, **used))
+        rows = ready[0] if share >= 1 else ready[0].filter(F.col("_draw") < share)
+        return encoding.fit_encoded(rows.drop("_draw"), used) if in_table else lr.fit(rows, overrides(lr, **used))
 
     going = [{**_settings(params), **dict(zip(grid, values))} for values in product(*grid.values())]
     trials: list[Trial] = []
@@ -343,8 +409,8 @@ def tune(
         for k, share in enumerate(rungs):
             fits = [pool.submit(inheritable_thread_target(source.sparkSession)(fitted), settings, share) for settings in going]
             models = [fit.result() for fit in fits]
-            areas = [judge.evaluate(model.transform(ready[1])) for model in models]
-            found = [Trial(s, area, WideModel(m, encoding), share) for s, area, m in zip(going, areas, models)]
+            areas = [judge.evaluate(model.transform(ready[1], [label]) if in_table else model.transform(ready[1])) for model in models]
+            found = [Trial(s, area, m if in_table else WideModel(m, encoding), share) for s, area, m in zip(going, areas, models)]
             found.sort(key=lambda t: -t.area_under_roc)
             on = len(found) if k == len(rungs) - 1 else max(1, -(-len(found) // 2))
             trials += found if k == len(rungs) - 1 else found[on:]
@@ -352,7 +418,7 @@ def tune(
     return sorted(trials, key=lambda t: (-t.share, -t.area_under_roc))
 
 
-def evaluate(model: PipelineModel | WideModel, test: DataFrame, label: str = LABEL) -> dict[str, float]:
+def evaluate(model: PipelineModel | WideModel | TableModel, test: DataFrame, label: str = LABEL) -> dict[str, float]:
     """Area under ROC and accuracy on a held-out part, and the share of its rows that could be
     evaluated (``coverage``): the others have a null or an unseen category."""
     scored = model.transform(test).select(label, "rawPrediction", "prediction").filter(F.col(label).isNotNull()).persist()

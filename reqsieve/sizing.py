@@ -36,11 +36,12 @@ def fits(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
 def join_side(df: DataFrame, max_bytes: int = BROADCAST_BYTES, known_bytes: int | None = None) -> DataFrame:
     """``df`` as the small side of a join.
 
-    Counted small: broadcast, so the big side is not shuffled. Otherwise left
-    alone for a shuffle join, where AQE splits the partitions of hot keys. A
+    Counted small: broadcast, so the big side is not shuffled. Otherwise a
+    sort-merge join, where AQE splits the partitions of hot keys; the hint keeps Spark from broadcasting
+    it after all, since a table's files can be a small part of what its rows take on the driver. A
     caller that has counted already passes ``known_bytes``, and no job runs.
     """
     if known_bytes <= max_bytes if known_bytes is not None else fits(df, max_bytes):
         return F.broadcast(df)
     split_hot_keys(df.sparkSession)
-    return df
+    return df.hint("merge")
