@@ -10,7 +10,7 @@ probability is that of the longest retained suffix of what precedes it, and of i
 within the class.
 
 The tree grows with the corpus. Its most frequent contexts, at most ``MAX_NODES`` of 512
-bytes, are broadcast; all others are a table, and the symbols that one of them precedes are
+bytes, are broadcast (candidates that are not retained take no place where there are more); all others are a table, and the symbols that one of them precedes are
 looked up there by a join, each distinct sequence once. The broadcast nodes tell where
 the table goes on, so the scores are those of the whole tree. Word counts grow too: the
 most frequent words are looked up in a broadcast table of fixed size, all others by a join.
@@ -24,7 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -279,40 +279,71 @@ def _shorter(length: str) -> Column:
     return F.expr(f"context & (shiftleft(1L, cast({_BITS} * ({length}) as int)) - 1)")
 
 
+def _contexts(grams: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(depth, context, next, n)`` of every context up to ``DEPTH`` symbols long; a sequence that was counted is one of the longest."""
+
+    def counted(rows: DataFrame) -> DataFrame:
+        mask = F.element_at(F.array(*[F.lit((1 << _BITS * (d + 1)) - 1).cast("long") for d in range(DEPTH + 1)]), F.col("depth") + 1)
+        return rows.groupBy("depth", F.col("code").bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n"))
+
+    longest = grams.select(F.lit(DEPTH).alias("depth"), F.col("key").alias("code"), "n")
+    # shorter ones from the few that are left one symbol below
+    second = scratch.table(counted(longest.withColumn("depth", F.lit(DEPTH - 1))), "second")
+    shorter = counted(second.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH - 2)))))
+    levels = longest.unionByName(second).unionByName(shorter)
+    return scratch.table(levels.select("depth", F.shiftright("code", _BITS).alias("context"), F.col("code").bitwiseAND(_SYMBOLS - 1).alias("next"), "n"), "contexts")
+
+
+def _known(levels: DataFrame) -> DataFrame:
+    """``(depth, context, whole, pull, gain)`` of the candidates: how often seen, before how many symbols, and the gain over the parent.
+
+    What precedes a parent's next symbol is one of its children, so the children's rows add up to the
+    parent's. At most 64 x 64 rows have one parent.
+    """
+    children = levels.filter("depth > 0").withColumn("parent", _shorter("depth - 1")).repartition("depth", "parent")
+    own, next_, above = (F.sum("n").over(Window.partitionBy("depth", "parent", *c)) for c in (["context"], ["next"], []))
+    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("own") / (F.col("next_n") / F.col("above"))))
+    children = children.withColumns({"own": own, "next_n": next_, "above": above}).groupBy("depth", "parent", "context")
+    totals = [F.sum("n").alias("whole"), F.count(F.lit(1)).alias("pull")]
+    children = children.agg(*totals, gain.alias("gain")).drop("parent").filter(F.col("whole") >= MIN_COUNT)
+    empty = levels.filter("depth = 0").groupBy("depth", "context").agg(*totals).withColumn("gain", F.lit(0.0))
+    return children.unionByName(empty)
+
+
+def _broadcast_from(nodes: DataFrame) -> int | None:
+    """Of ``(depth, times)`` the least power of two from which on nodes are broadcast; none if all are."""
+    room = MAX_NODES
+    for row in nodes.groupBy("times").count().orderBy(F.desc("times")).collect():  # at most 64 rows
+        room -= row["count"]
+        if room < 0:
+            return row["times"] + 1
+    return None
+
+
 def _candidate_contexts(grams: DataFrame, divergence: float, scratch: Scratch) -> tuple[pa.Table, pa.Table | None, DataFrame | None]:
     """Next-symbol counts of the most frequent contexts; for ``grow``, where other retained
     ones go on from them; and the table of these: ``(depth, context, whole, pull, following)``."""
-    position = F.col("key")
-    levels = grams.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))))
-    mask = F.element_at(F.array(*[F.lit((1 << _BITS * (d + 1)) - 1).cast("long") for d in range(DEPTH + 1)]), F.col("depth") + 1)
-    levels = levels.groupBy("depth", position.bitwiseAND(mask).alias("code")).agg(F.sum("n").alias("n"))
-    levels = levels.select("depth", F.shiftright("code", _BITS).alias("context"), F.col("code").bitwiseAND(_SYMBOLS - 1).alias("next"), "n")
-    levels = scratch.table(levels, "contexts")
-    known = levels.groupBy("depth", "context").agg(F.sum("n").alias("whole"), F.count(F.lit(1)).alias("pull"))
-    known = known.filter((F.col("whole") >= MIN_COUNT) | (F.col("depth") == 0))
-    known = scratch.table(known.withColumn("times", F.floor(F.log2(F.col("whole") / F.lit(MIN_COUNT))).cast("int")), "known")
-    # at most 64 rows; the empty context is always kept
-    room, reached = MAX_NODES, None
-    for row in known.groupBy("times").count().orderBy(F.desc("times")).collect():
-        room -= row["count"]
-        if room < 0:
-            reached = row["times"] + 1
-            break
+    levels = _contexts(grams, scratch)
+    times = F.floor(F.log2(F.col("whole") / F.lit(MIN_COUNT))).cast("int")
+    known = scratch.table(_known(levels).withColumn("times", times), "known")
+    reached = _broadcast_from(known)
+    if reached is not None:
+        # only what is retained, with all that is shorter
+        lengths = F.explode(F.sequence(F.lit(1), F.col("depth")))
+        needed = known.filter((F.col("gain") >= divergence) & (F.col("depth") > 0)).withColumn("length", lengths)
+        needed = needed.select(F.col("length").alias("depth"), _shorter("length").alias("context")).distinct()
+        known = scratch.table(known.join(needed, ["depth", "context"], "left_semi").unionByName(known.filter("depth = 0")), "retained")
+        reached = _broadcast_from(known)
+    # the empty context is always kept
     frequent = F.lit(True) if reached is None else (F.col("times") >= reached) | (F.col("depth") == 0)
     kinds = {"depth": "byte", "context": "long", "next": "byte", "n": "long"}
-    head = levels.join(known.filter(frequent), ["depth", "context"], "left_semi").select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()]).toArrow()
+    nodes = known.filter(frequent).select("depth", "context")  # at most MAX_NODES and the empty one
+    head = levels.join(F.broadcast(nodes), ["depth", "context"], "left_semi").select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()]).toArrow()
     if reached is None:
         return head, None, None
-    rows = levels.join(known.withColumn("frequent", frequent).drop("times"), ["depth", "context"])
-    ours = rows.filter(~F.col("frequent")).withColumn("parent", _shorter("depth - 1"))
-    theirs = rows.select((F.col("depth") + 1).alias("depth"), F.col("context").alias("parent"), "next", (F.col("n") / F.col("whole")).alias("share"))
-    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("share")))
-    diverging = ours.join(theirs, ["depth", "parent", "next"]).groupBy("depth", "context").agg(gain.alias("gain")).filter(F.col("gain") >= divergence)
-    # with all that is shorter
-    needed = diverging.withColumn("length", F.explode(F.sequence(F.lit(1), F.col("depth")))).select(F.col("length").alias("depth"), _shorter("length").alias("context"))
-    table = rows.filter(~F.col("frequent")).join(needed.distinct(), ["depth", "context"], "left_semi").groupBy("depth", "context", "whole", "pull")
-    table = scratch.table(table.agg(F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("following")), "table")
-    nodes = known.filter(frequent).select("depth", "context")
+    table = levels.join(known.filter(~frequent).select("depth", "context", "whole", "pull"), ["depth", "context"])
+    table = table.groupBy("depth", "context", "whole", "pull").agg(F.map_from_entries(F.collect_list(F.struct("next", "n"))).alias("following"))
+    table = scratch.table(table, "table")
     bit = F.expr(f"shiftleft(1L, cast(shiftright(context, cast({_BITS} * (depth - 1) as int)) as int))")
     marks = table.select((F.col("depth") - 1).alias("depth"), _shorter("depth - 1").alias("context"), bit.alias("bit")).join(nodes, ["depth", "context"], "left_semi")
     marks = marks.groupBy("depth", "context").agg(F.bit_or("bit").alias("longer"))  # at most one row per node

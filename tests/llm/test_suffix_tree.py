@@ -117,3 +117,23 @@ def test_it_beats_word_frequencies_on_held_out_text(spark):
     found = suffix_tree.score_texts(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
     held = found.filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert held[0] > held[1]
+
+
+def test_candidates_that_are_not_retained_take_no_place(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sizes, tables, found, inner = [], [], [], suffix_tree._candidate_contexts
+
+    def candidates(*a):
+        counts, marks, table = inner(*a)
+        sizes.append(len({*zip(counts["depth"].to_pylist(), counts["context"].to_pylist())}))
+        tables.append(table)
+        return counts, marks, table
+
+    monkeypatch.setattr(suffix_tree, "_candidate_contexts", candidates)
+    for fewer in (None, 1):
+        # in the second run one candidate more than nodes, but all that are retained are broadcast
+        if fewer:
+            monkeypatch.setattr(suffix_tree, "MAX_NODES", sizes[0] - fewer)
+        found.append(dict(suffix_tree.score_texts(docs, F.lit(True)).select("doc_id", "score").collect()))
+    assert sizes[0] > sizes[1] and tables == [None, None]
+    assert found[1] == pytest.approx(found[0], rel=1e-6)
