@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -390,14 +390,16 @@ def _closed(groups: DataFrame, labels: DataFrame, sets: DataFrame, idf: Broadcas
     Either that can be reached inside the hub, which takes a member much lighter than the hub; such pairs are
     listed. Or they share a shingle that the hub lacks: the members of each such shingle that are of
     several classes meet the one closest to the hub, as their next hub, and so on. Each round is
-    linear in the shingles that members have beyond their hub.
+    linear in the shingles that members have beyond their hub. A pair may share hundreds of these; a member keeps those
+    that the fewest others have, and shingles of the same members count once.
     """
     for round in range(HUB_ROUNDS + 1):
         open_ = scratch.table(_divided(groups, labels, sets), "divided")
         if open_.isEmpty():
             return labels
         beyond = scratch.table(_several(_beyond(open_, sets)), "beyond")
-        beyond = scratch.table(_several(_able(beyond, similarity)), "able")
+        beyond = scratch.table(_several(_able(beyond, open_, similarity)), "able")
+        beyond = scratch.table(_once(_several(_telling(beyond, open_, similarity))), "telling")
         if round < HUB_ROUNDS:
             nearest = beyond.groupBy("hub", "shingle").agg(F.max(F.struct("similarity", "node"))["node"].alias("a"))
             pairs = beyond.join(_few(nearest), ["hub", "shingle"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
@@ -461,15 +463,47 @@ def _beyond(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(task, "hub binary, node binary, similarity double, label binary, weight double, inside double, shingle int")
 
 
-def _able(beyond: DataFrame, similarity: float) -> DataFrame:
-    """The rows of members that can have a link at all: what they have inside the hub and what they share
-    beyond it with any other class, at the most that a shingle weighs, is enough of their own weight."""
+def _needed(members: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:
+    """With ``needed``: the weight that a member must have in common with another one beyond the hub to be linked to it.
+
+    A link takes ``similarity / (1 + similarity)`` of both weights' sum, and a partner weighs no less than ``similarity``
+    times as much, nor less than the lightest of the group. Inside the hub they share no more than the member has there.
+    """
+    lightest = open_.groupBy("hub").agg(F.min("weight").alias("lightest"))
+    both = F.col("weight") + F.greatest("lightest", similarity * F.col("weight"))
+    needed = similarity / (1 + similarity) * both * (1 - 1e-9) - F.col("inside")
+    return members.join(_few(lightest), "hub").withColumn("needed", needed).drop("lightest")
+
+
+def _able(beyond: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:
+    """The rows of members that can have a link at all: what they share beyond the hub with any other class,
+    at the most that a shingle weighs, is enough."""
     counted = beyond.groupBy("hub", "node", "weight", "inside").agg(F.count(F.lit(1)).alias("n"))
-    most = F.col("inside") + (1 + IDF_SPREAD) * F.col("n")
-    able = counted.filter(most >= similarity * F.col("weight") * (1 - 1e-9)).select("hub", "node")
+    able = _needed(counted, open_, similarity).filter((1 + IDF_SPREAD) * F.col("n") >= F.col("needed")).select("hub", "node")
     return beyond.join(_few(able), ["hub", "node"], "left_semi")
 
 
+def _telling(beyond: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:
+    """The rows without those shingles of a member that most others have, as many as are not enough for a link.
+
+    Shingles are in one order for all members of a hub. Two that are linked share more than either of them leaves out, so
+    the first one they share is left out by neither.
+    """
+    sizes = beyond.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("hub", "node").orderBy(F.desc("n"), "shingle"))
+    ranked = beyond.join(_few(sizes), ["hub", "shingle"]).withColumn("place", place)
+    ranked = _needed(ranked, open_, similarity).filter((1 + IDF_SPREAD) * F.col("place") >= F.col("needed"))
+    return ranked.drop("n", "place", "needed")
+
+
+def _once(beyond: DataFrame) -> DataFrame:
+    """Of the shingles that the same members share, one: the others would bring the same pairs again."""
+    marks = [F.sum(F.xxhash64("node", F.lit(k)).cast("decimal(38,0)")).alias(f"mark{k}") for k in (0, 1)]
+    sharing = beyond.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("n"), *marks)
+    single = sharing.groupBy("hub", "n", "mark0", "mark1").agg(F.min("shingle").alias("shingle")).select("hub", "shingle")
+    return beyond.join(_few(single), ["hub", "shingle"], "left_semi")
+
+
 def _several(beyond: DataFrame) -> DataFrame:
     """The rows of shingles that members of several classes share."""
     of = F.min("label").alias("low"), F.max("label").alias("high")

@@ -143,3 +143,34 @@ def test_recall_at_the_threshold():
     """What the bands promise for a pair at the threshold."""
     missed = (1 - neardup.SIMILARITY**neardup.BAND_SAMPLES) ** neardup.BANDS
     assert missed < 1e-3
+
+
+def test_a_pair_is_listed_once_not_once_per_shingle(spark, monkeypatch):
+    """All members meet in the listing, and it still finds every link."""
+    from reqsieve.session import Scratch
+
+    listed, table = [], Scratch.table
+
+    def seen(self, df, name):
+        out = table(self, df, name)
+        if name in ("able", "telling"):
+            groups = out.groupBy("hub", "shingle").count().selectExpr("sum(count * count)").first()[0] or 0
+            listed.append((name, groups))
+        return out
+
+    draw = np.random.default_rng(3)
+    words = lambda n: [f"w{x}" for x in draw.integers(0, 10**6, n)]
+    # texts that share a hub's first part, in fives that share 80 words more and are almost links
+    rows, common = [], words(200)
+    rows.append((0, " ".join(common)))
+    for k in range(6):
+        own = words(80)
+        rows += [(10 * k + j + 1, " ".join(common + own + words(34))) for j in range(5)]
+    monkeypatch.setattr(neardup, "HUB_ROUNDS", 0)
+    monkeypatch.setattr(Scratch, "table", seen)
+    docs = frame(spark, rows)
+    found = {r.doc_id: r.class_id for r in neardup.text_classes(docs).collect()}
+    total, frequencies = neardup.document_frequencies(docs)
+    assert found == dict(zip([i for i, _ in rows], brute(rows, neardup.inverse_frequencies(total, frequencies))))
+    able, telling = (sum(n for k, n in listed if k == name) for name in ("able", "telling"))
+    assert 0 < telling <= able / 4
