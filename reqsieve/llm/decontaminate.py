@@ -29,6 +29,8 @@ from reqsieve.llm import textbytes
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
+#: Bytes of training text searched at once: a task takes some 35 times as much for it, and keeps a part of that for the next stage.
+CHUNK_BYTES = 1 << 20
 _SEEN_BITS = 20
 
 
@@ -213,6 +215,14 @@ def search(index: Index, found: textbytes.Words, word_hash: np.ndarray) -> Found
     return Found(covered[place], row[best], item[best], run[best], at[best] - starts, offset[best])
 
 
+def _searched(indexes: list[Index], column: pa.Array) -> Iterator[tuple[int, int, textbytes.Words, list[Found]]]:
+    """(first row, end row, words, what each index found) of each chunk of a text column."""
+    for first, last, data, offsets in textbytes.text_chunks(column, CHUNK_BYTES):
+        found = textbytes.words(data, offsets)
+        word_hash = textbytes.hashes(data, found)
+        yield first, last, found, [search(i, found, word_hash) for i in indexes]
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[pa.Table]:
     """The items in blocks of about ``block_bytes``, one on the driver at a time."""
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
@@ -255,10 +265,7 @@ def find_matches(
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, offsets in textbytes.text_chunks(batch.column(text)):
-                found = textbytes.words(data, offsets)
-                word_hash = textbytes.hashes(data, found)
-                searched = [search(i.value, found, word_hash) for i in indexes]
+            for first, last, found, searched in _searched([i.value for i in indexes], batch.column(text)):
                 ids = [i.value.ids for i in indexes]
                 yield _result(batch.slice(first, last - first).select(keep), found, ids, id_type, searched)
 

@@ -1,6 +1,8 @@
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reqsieve.llm import decontaminate
@@ -87,3 +89,19 @@ def test_text_items_ids_and_many_distinct_words(spark):
     frame = spark.createDataFrame([(1, "x " + " ".join(f"u{k}" for k in range(69_980, 70_000)))], "doc_id long, text string")
     found = decontaminate.find_matches(frame, benchmark, ["doc_id"]).first()
     assert (found.n_hit, [tuple(m) for m in found.matches]) == (20, [("a", 20, 1, 69_980)])
+
+
+def test_a_batch_is_searched_in_little_memory():
+    """What a task takes does not grow with its batch, which may be 1,000 rows of any length."""
+    draw = np.random.default_rng(5)
+    words = np.array([f"word{k}" for k in range(3000)])
+    texts = [" ".join(words[draw.integers(0, 3000, 500)]) for _ in range(1200)]
+    items = pa.table({"item_id": [1, 2], "text": [" ".join(texts[7].split()[20:60]), " ".join(words)]})
+    index = decontaminate.build_index(items)
+    column = pa.array(texts)
+    assert column.nbytes > 4 << 20
+    tracemalloc.start()
+    hit = [first + int(r) for first, _, _, found in decontaminate._searched([index], column) for r in found[0].row]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hit == [7] and peak < 64 << 20
