@@ -399,7 +399,9 @@ def _closed(groups: DataFrame, labels: DataFrame, sets: DataFrame, idf: Broadcas
             return labels
         beyond = scratch.table(_several(_beyond(open_, sets)), "beyond")
         beyond = scratch.table(_several(_able(beyond, open_, similarity)), "able")
-        beyond = scratch.table(_once(_several(_telling(beyond, open_, similarity))), "telling")
+        # tables between, so that no join is made again for the list of what stays
+        beyond = scratch.table(_telling(beyond, open_, similarity), "ranked")
+        beyond = scratch.table(_once(scratch.table(_several(beyond), "shared")), "telling")
         if round < HUB_ROUNDS:
             nearest = beyond.groupBy("hub", "shingle").agg(F.max(F.struct("similarity", "node"))["node"].alias("a"))
             pairs = beyond.join(_few(nearest), ["hub", "shingle"]).filter("node <> a").select("a", F.col("node").alias("b")).distinct()
@@ -508,7 +510,7 @@ def _several(beyond: DataFrame) -> DataFrame:
     """The rows of shingles that members of several classes share."""
     of = F.min("label").alias("low"), F.max("label").alias("high")
     split = beyond.groupBy("hub", "shingle").agg(*of).filter("low <> high").select("hub", "shingle")
-    return beyond.join(_few(split), ["hub", "shingle"])
+    return beyond.join(_few(split), ["hub", "shingle"], "left_semi")
 
 
 def _inside_pairs(open_: DataFrame, similarity: float) -> DataFrame:

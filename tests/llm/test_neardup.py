@@ -174,3 +174,23 @@ def test_a_pair_is_listed_once_not_once_per_shingle(spark, monkeypatch):
     assert found == dict(zip([i for i, _ in rows], brute(rows, neardup.inverse_frequencies(total, frequencies))))
     able, telling = (sum(n for k, n in listed if k == name) for name in ("able", "telling"))
     assert 0 < telling <= able / 4
+
+
+def test_members_and_shingles_are_joined_once_a_table(spark, monkeypatch):
+    """No join of members by shingle is made again for the list of what stays."""
+    from reqsieve.session import Scratch
+
+    joins, table = [], Scratch.table
+
+    def seen(self, df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joins.append((sum("Join " in line and "shingle#" in line for line in plan), name))
+        return table(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", seen)
+    rows = near_copies()
+    docs = frame(spark, rows)
+    found = {r.doc_id: r.class_id for r in neardup.text_classes(docs).collect()}
+    total, frequencies = neardup.document_frequencies(docs)
+    assert found == dict(zip([i for i, _ in rows], brute(rows, neardup.inverse_frequencies(total, frequencies))))
+    assert max(joins)[0] == 1, max(joins)
