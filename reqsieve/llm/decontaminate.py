@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqsieve.llm import textbytes
+from reqsieve.llm.worker import lean
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
-#: Bytes of training text searched at once: a task takes some 35 times as much for it, and keeps a part of that for the next stage.
-CHUNK_BYTES = 1 << 20
+#: Bytes of training text searched at once: a task takes some 35 times as much for it.
+CHUNK_BYTES = 1 << 18
 _SEEN_BITS = 20
 
 
@@ -269,7 +270,7 @@ def find_matches(
                 ids = [i.value.ids for i in indexes]
                 yield _result(batch.slice(first, last - first).select(keep), found, ids, id_type, searched)
 
-    return docs.select(*needed).mapInArrow(task, schema)
+    return docs.select(*needed).mapInArrow(lean(task), schema)
 
 
 def _result(rows: pa.RecordBatch, found: textbytes.Words, ids: list[pa.Array], id_type: pa.DataType, searched: list[Found]) -> pa.RecordBatch:

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from reqsieve.llm import textbytes
+from reqsieve.llm.worker import held, lean
 
 #: Largest vocabulary file that is sent to the executors.
 MODEL_BYTES = 64 << 20
@@ -295,15 +296,9 @@ class Codec:
         return " ".join(map(self.token_text.__getitem__, ids.split(" "))) if ids else ""
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(text: str) -> Codec:
     """One codec per worker process and vocabulary."""
-    key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs[key] = Codec(text)
-    return _codecs[key]
+    return held("codec", hashlib.sha256(text.encode()).hexdigest(), lambda: Codec(text))
 
 
 def read_rules(path: str) -> str:
@@ -346,4 +341,4 @@ def encode_decode(docs: DataFrame, rules_path: str, keep: list[str], text: str =
                 columns = [*(rows.column(c) for c in keep), *(found[name] for name in ("n_tokens", *outputs))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens", *outputs])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(task, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(task, "codec"), schema)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqsieve.llm import textbytes
+from reqsieve.llm.worker import held, lean
 from reqsieve.session import Scratch, cut_lineage, split_hot_keys
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
@@ -53,7 +54,7 @@ _ROWS_BEYOND, _SHINGLES_BEYOND = 100, 50_000
 _SLICE = 1024
 _FEATURE_BITS = 44
 _CELL_BITS = 15
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def fingerprint(text: Column) -> Column:
@@ -125,9 +126,9 @@ def document_frequencies(docs: DataFrame, text: str = "text", size: int = SHINGL
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["slice", "counts"])
 
     schema = "slice int, counts binary"
-    parts = docs.select(F.col(text).alias("text")).mapInArrow(count, schema)
+    parts = docs.select(F.col(text).alias("text")).mapInArrow(lean(count), schema)
     total, table = 0, np.zeros((slices, _SLICE), np.int64)
-    for row in parts.repartition("slice").mapInArrow(add, schema).collect():  # one row per slice
+    for row in parts.repartition("slice").mapInArrow(lean(add), schema).collect():  # one row per slice
         if row["slice"] < 0:
             total += int(np.frombuffer(row["counts"], np.int64)[0])
         else:
@@ -186,15 +187,9 @@ class Sampler:
         return row[first], keys
 
 
-_samplers: dict[tuple, Sampler] = {}
-
-
 def _sampler(idf: Broadcast, bands: int, band_samples: int) -> Sampler:
     key = (idf.id if hasattr(idf, "id") else id(idf), float(idf.value.sum()), bands, band_samples)
-    if key not in _samplers:
-        _samplers.clear()
-        _samplers[key] = Sampler(np.log(idf.value), bands, band_samples)
-    return _samplers[key]
+    return held("sampler", key, lambda: Sampler(np.log(idf.value), bands, band_samples))
 
 
 def band_table(docs: DataFrame, idf: Broadcast, size: int = SHINGLE_WORDS, bands: int = BANDS, band_samples: int = BAND_SAMPLES) -> DataFrame:
@@ -213,7 +208,7 @@ def band_table(docs: DataFrame, idf: Broadcast, size: int = SHINGLE_WORDS, bands
                 part = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), lists], names=["doc_id", "node", "bands"])
 
-    return docs.select("doc_id", fingerprint(F.col("text")).alias("node"), "text").mapInArrow(task, schema)
+    return docs.select("doc_id", fingerprint(F.col("text")).alias("node"), "text").mapInArrow(lean(task, "sampler"), schema)
 
 
 # --- verification --------------------------------------------------------------
@@ -243,7 +238,7 @@ def shingle_sets(texts: DataFrame, idf: Broadcast, size: int = SHINGLE_WORDS) ->
                 node = batch.column("node").slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([node, lists, pa.array(weight)], names=["node", "shingles", "weight"])
 
-    return texts.select("node", "text").mapInArrow(task, "node binary, shingles array<int>, weight double")
+    return texts.select("node", "text").mapInArrow(lean(task), "node binary, shingles array<int>, weight double")
 
 
 def weighted_jaccard(left: np.ndarray, right: np.ndarray, idf: np.ndarray) -> float:
@@ -270,7 +265,7 @@ def verify(pairs: DataFrame, sets: DataFrame, idf: Broadcast) -> DataFrame:
     left, right = (sets.join(_few(pairs.select(F.col(n).alias("node")).distinct()), "node", "left_semi") for n in ("a", "b"))
     left = left.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = right.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return left.join(_few(pairs), "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(task, "a binary, b binary, similarity double")
+    return left.join(_few(pairs), "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(lean(task), "a binary, b binary, similarity double")
 
 
 # --- classes ---------------------------------------------------------------------
@@ -462,7 +457,7 @@ def _beyond(open_: DataFrame, sets: DataFrame) -> DataFrame:
     members = sets.join(_few(open_.select("node").distinct()), "node", "left_semi")
     left, right = hubs.select(F.col("node").alias("hub"), F.col("shingles").alias("left")), members.select("node", F.col("shingles").alias("right"))
     both = left.join(_few(open_.select(*names)), "hub").join(right, "node")
-    return both.mapInArrow(task, "hub binary, node binary, similarity double, label binary, weight double, inside double, shingle int")
+    return both.mapInArrow(lean(task), "hub binary, node binary, similarity double, label binary, weight double, inside double, shingle int")
 
 
 def _needed(members: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:

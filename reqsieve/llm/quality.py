@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reqsieve.llm import textbytes
+from reqsieve.llm.worker import lean
 from reqsieve.session import Scratch
 
 #: Bounds of the sample that the classifier is fitted on.
@@ -47,7 +48,8 @@ LOST_POSITIVES = 0.005
 _STEPS = 16
 #: Cells of a feature's histogram: equal steps of its logarithm, from 2 ** -18 up.
 _FEATURE_CELLS, _FINEST, _PER_DOUBLING = 2048, 18, 64
-_CHUNK = 1 << 20
+#: Bytes of text whose features are found at once; a task takes some 50 times as much for it.
+_CHUNK = 1 << 18
 
 # Character classes.
 _UPPER, _LOWER, _DIGIT, _BEYOND, _STOP, _SHOUT, _QUOTE, _BRACKET, _PIPE, _MARK, _SPACE, _LINE, _OTHER = range(13)
@@ -360,7 +362,7 @@ def _gather(marked: DataFrame) -> DataFrame:
             columns = [pa.array(feature.astype(np.int32)), pa.array(cell.astype(np.int32)), pa.array(counts[feature, cell]), none(pa.int32()), none(pa.bool_()), none(pa.bool_()), none(pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["feature", "cell", "n", "fold", "good", "web", "values"])
 
-    return marked.mapInArrow(task, _GATHERED)
+    return marked.mapInArrow(lean(task), _GATHERED)
 
 
 def _sample(gathered: DataFrame, most_positive: int, most_unlabelled: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
@@ -392,7 +394,7 @@ def _prior_of_all(marked: DataFrame, plain: Plain, positive_scores: np.ndarray)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts), dtype=np.int32)), pa.array(counts)], names=["cell", "n"])
 
     counts = np.zeros(len(cuts) + 1, np.int64)
-    for r in marked.mapInArrow(task, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one row per cut
+    for r in marked.mapInArrow(lean(task), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # one row per cut
         counts[r.cell] = r.n
     above = counts[::-1].cumsum()[::-1] / max(counts.sum(), 1)
     above_p = np.concatenate([[1.0], _above(positive_scores, cuts)])
@@ -415,7 +417,7 @@ def score_texts(docs: DataFrame, model: Broadcast, keep: list[str], text: str =
             rows = pa.RecordBatch.from_arrays(columns, names=[*keep, "score"])
             yield rows if least is None else rows.filter(pa.array(scores >= least))
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(task, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(lean(task), schema)
 
 
 def keep_good(docs: DataFrame, model: Broadcast, text: str = "text", least: float = THRESHOLD) -> DataFrame:
