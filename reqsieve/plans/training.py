@@ -360,8 +360,8 @@ class Trial:
     share: float = 1.0  # of the training part that it was fitted on
 
 
-#: Settings that are tried side by side, and the looser tolerance of fits that only rank them.
-FITS_AT_ONCE, RANKING_TOL = 4, 1e-4
+#: Settings that are tried side by side.
+FITS_AT_ONCE = 4
 
 
 def _area(label: str) -> BinaryClassificationEvaluator:
@@ -377,45 +377,33 @@ def tune(
     numeric: Sequence[str] = NUMERIC,
     label: str = LABEL,
     params: Mapping[str, float] | None = None,
-    rungs: Sequence[float] = (1.0,),
     encoding: Encoding | None = None,
-    seed: int = 17,
 ) -> list[Trial]:
-    """Fit every grid point on the training part and rank them on the cv part, the best first.
+    """Fit every grid point on the whole training part and rank them on the whole cv part, the best first.
 
-    With several ``rungs`` all points are fitted on the first share of the training part, the better half
-    goes on to the next share, and so on; a point that stops early ranks behind those that
-    went on. The features are made once, and written; all fits read them, some at
+    The features are made once, and written; all fits read them, some at
     a time. ``params`` are the settings that the grid leaves alone.
     """
     encoding = encoding or Encoding.of(source, categorical, numeric)
     parts = [complete(part, numeric, label) for part in (splits.train, splits.cv)]
     if in_table := encoding.slots > DRIVER_SLOTS:
-        drawn = [encoding.encode(parts[0], label).withColumn("_draw", F.rand(seed)), parts[1].select(*dict.fromkeys([*numeric, *categorical, label]))]
+        made = [encoding.encode(parts[0], label), parts[1].select(*dict.fromkeys([*numeric, *categorical, label]))]
     else:
-        drawn = [encoding.assemble(part, [label]).withColumn("_draw", F.rand(seed)) for part in parts]
-    ready = [cut_lineage(part, "features") for part in drawn]  # a fit keeps its rows in memory by itself
+        made = [encoding.assemble(part, [label]) for part in parts]
+    ready = [cut_lineage(part, "features") for part in made]  # a fit keeps its rows in memory by itself
     judge = _area(label)
 
-    def fitted(settings: Mapping[str, float], share: float) -> LogisticRegressionModel | TableModel:
+    def fitted(settings: Mapping[str, float]) -> LogisticRegressionModel | TableModel:
         lr = regression(label)
-        used = dict(settings) if share >= 1 else {"tol": RANKING_TOL, **settings}
-        rows = ready[0] if share >= 1 else ready[0].filter(F.col("_draw") < share)
-        return encoding.fit_encoded(rows.drop("_draw"), used) if in_table else lr.fit(rows, overrides(lr, **used))
+        return encoding.fit_encoded(ready[0], settings) if in_table else lr.fit(ready[0], overrides(lr, **settings))
 
-    going = [{**_settings(params), **dict(zip(grid, values))} for values in product(*grid.values())]
-    trials: list[Trial] = []
+    points = [{**_settings(params), **dict(zip(grid, values))} for values in product(*grid.values())]
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        for k, share in enumerate(rungs):
-            fits = [pool.submit(inheritable_thread_target(source.sparkSession)(fitted), settings, share) for settings in going]
-            models = [fit.result() for fit in fits]
-            areas = [judge.evaluate(model.transform(ready[1], [label]) if in_table else model.transform(ready[1])) for model in models]
-            found = [Trial(s, area, m if in_table else WideModel(m, encoding), share) for s, area, m in zip(going, areas, models)]
-            found.sort(key=lambda t: -t.area_under_roc)
-            on = len(found) if k == len(rungs) - 1 else max(1, -(-len(found) // 2))
-            trials += found if k == len(rungs) - 1 else found[on:]
-            going = [t.params for t in found[:on]]
-    return sorted(trials, key=lambda t: (-t.share, -t.area_under_roc))
+        fits = [pool.submit(inheritable_thread_target(source.sparkSession)(fitted), settings) for settings in points]
+        models = [fit.result() for fit in fits]
+    areas = [judge.evaluate(model.transform(ready[1], [label]) if in_table else model.transform(ready[1])) for model in models]
+    trials = [Trial(s, area, m if in_table else WideModel(m, encoding)) for s, area, m in zip(points, areas, models)]
+    return sorted(trials, key=lambda t: -t.area_under_roc)
 
 
 def evaluate(model: PipelineModel | WideModel | TableModel, test: DataFrame, label: str = LABEL) -> dict[str, float]:
