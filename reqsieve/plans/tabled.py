@@ -4,7 +4,8 @@ The loss is that of Spark ML's regression (``certificate.py`` states it), and so
 steps from the last gradients, kept to one orthant where absolute values are penalised (OWL-QN). Only where
 the vectors are differs. The driver holds the numbers and the ``HEAD`` most frequent categories of
 each feature; all other coefficients, with their gradients and last steps, are rows of a table.
-A step needs the vectors' inner products alone, which are one aggregate. A category beyond the head has at most
+A step needs the vectors' inner products alone, which are one aggregate. Fits of the same rows under several settings
+go side by side, each by its own steps: the rows are read, joined and handed to Python once for a step of each. A category beyond the head has at most
 a ``HEAD``-th of the rows, so rows can be dealt by it once, kept, and meet its coefficient without being
 shuffled again; rows of the head are dealt at random.
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from itertools import combinations_with_replacement, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -86,38 +87,63 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _sums(at: _Layout, weights: np.ndarray, constant: float):
-    """Sums over a task's rows: per slot the residuals; for place ``p`` of the driver under ``-1 - p``; the loss and
-    all residuals under the two numbers after these."""
+def _sums(at: _Layout, fits: Sequence[int], weights: Sequence[np.ndarray], constants: Sequence[float]):
+    """Sums over a task's rows, a column ``v`` for each fit: per slot the residuals; for place ``p`` of the driver under
+    ``-1 - p``; the loss and all residuals under the two numbers after these."""
     inputs = at.numbers
-    padded = np.append(weights, 0.0)
+    padded = [np.append(w, 0.0) for w in weights]
+    names = ["slot", *[f"v{f}" for f in fits]]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, loss, total = np.zeros(at.width + 1), 0.0, 0.0
+        head, losses, totals = np.zeros((len(fits), at.width + 1)), np.zeros(len(fits)), np.zeros(len(fits))
         for batch in _joined(batches):
             column = lambda name: batch.column(name).to_numpy()  # noqa: E731, B023
             y, xs = column("y"), [column(f"x{i}") for i in range(inputs)]
-            margin = np.full(len(y), constant)
-            for i, x in enumerate(xs):
-                margin += weights[i] * x
             places = [column(f"h{k}") for k in range(len(at.sizes))]
-            for place in places:
-                margin += padded[place]
-            for k in at.tails:
-                margin += np.nan_to_num(column(f"u{k}").astype(float))
-            residual = 1 / (1 + np.exp(-np.clip(margin, -700, 700))) - y
-            loss += float(np.sum(np.logaddexp(0.0, margin) - y * margin))
-            total += float(residual.sum())
-            for i, x in enumerate(xs):
-                head[i] += float(residual @ x)
-            for place in places:
-                head += np.bincount(np.where(place < 0, at.width, place), residual, at.width + 1)
+            counted = [np.where(place < 0, at.width, place) for place in places]
+            residuals = []
+            for j, f in enumerate(fits):
+                margin = np.full(len(y), constants[j])
+                for i, x in enumerate(xs):
+                    margin += weights[j][i] * x
+                for place in places:
+                    margin += padded[j][place]
+                for k in at.tails:
+                    margin += np.nan_to_num(column(f"u{k}_{f}").astype(float))
+                residual = 1 / (1 + np.exp(-np.clip(margin, -700, 700))) - y
+                losses[j] += float(np.sum(np.logaddexp(0.0, margin) - y * margin))
+                totals[j] += float(residual.sum())
+                for i, x in enumerate(xs):
+                    head[j, i] += float(residual @ x)
+                for place in counted:
+                    head[j] += np.bincount(place, residual, at.width + 1)
+                residuals.append(residual)
             for k in at.tails:
                 slots, back = np.unique(column(f"t{k}"), return_inverse=True)
-                found = np.bincount(back, residual, len(slots))
-                yield pa.RecordBatch.from_arrays([pa.array(slots[slots >= 0]), pa.array(found[slots >= 0])], ["slot", "v"])
-        values = np.append(head[:-1], [loss, total])
-        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(len(values))), pa.array(values)], ["slot", "v"])
+                found = [pa.array(np.bincount(back, residual, len(slots))[slots >= 0]) for residual in residuals]
+                yield pa.RecordBatch.from_arrays([pa.array(slots[slots >= 0]), *found], names)
+        values = [np.append(own[:-1], [loss, total]) for own, loss, total in zip(head, losses, totals)]
+        yield pa.RecordBatch.from_arrays([pa.array(-1 - np.arange(at.width + 2)), *map(pa.array, values)], names)
+
+    return task
+
+
+def _products(fits: Sequence[tuple[int, int, float, float]]):
+    """Of each fit (number, steps, lasso, ridge): the inner products of a task's vectors, their penalty and promise, one after the other."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((2 * pairs + 1) ** 2 + 2) for _, pairs, _, _ in fits]
+        for batch in _joined(batches):
+            column = lambda name: batch.column(name).to_numpy()  # noqa: E731, B023
+            for own, (f, pairs, lasso, ridge) in zip(sums, fits):
+                b = column(f"b{f}")
+                pg = _steepest(b, column(f"g{f}"), lasso, np.where)
+                vectors = np.stack([*[column(f"{v}{f}_{i}") for v in "sy" for i in range(pairs)], pg])
+                own[:-2] += (vectors @ vectors.T).ravel()
+                own[-2] += ridge / 2 * float(b @ b) + lasso * float(np.abs(b).sum())
+                own[-1] += float(column(f"p{f}").sum())
+        values = np.concatenate(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["k", "v"])
 
     return task
 
@@ -160,6 +186,11 @@ def _when(test: Column, a: Column, b: Column) -> Column:
 
 def fit(encoded: DataFrame, numbers: int, sizes: Sequence[int], settings: Mapping[str, float]) -> Fitted:
     """Fit on the rows of ``encode``; ``settings`` are those of Spark ML's regression."""
+    return fit_each(encoded, numbers, sizes, [settings])[0]
+
+
+def fit_each(encoded: DataFrame, numbers: int, sizes: Sequence[int], settings: Sequence[Mapping[str, float]]) -> list[Fitted]:
+    """A fit of all rows for each of the settings, side by side: one pass over the rows is a step of each."""
     at, spark = _Layout(numbers, sizes), encoded.sparkSession
     first = encoded.agg(
         F.count(F.lit(1)), F.avg("y"), F.count_if(~F.col("y").isin(0.0, 1.0)),
@@ -180,15 +211,92 @@ def fit(encoded: DataFrame, numbers: int, sizes: Sequence[int], settings: Mappin
             dealt.unpersist()
 
 
+class _Fit:
+    """The search of one setting: its vectors' parts on the driver (the intercept first), and the inner products of the
+    parts in the table, whose columns are ``b`` and ``g`` with the fit's number, ``s`` and ``y`` with those of the fit and the step."""
+
+    def __init__(self, number: int, settings: Mapping[str, float], head: np.ndarray):
+        reg, mix = settings["regParam"], settings["elasticNetParam"]
+        self.number, self.lasso, self.ridge = number, reg * mix, reg * (1 - mix)
+        self.end, self.most = LENGTH_PER_TOL * settings.get("tol", 1e-6), int(settings["maxIter"])
+        self.head = self.to = head
+        self.steps: list[np.ndarray] = []
+        self.changes: list[np.ndarray] = []
+        self.iterations, self.tries = 0, 0
+
+    def name(self, vector: str, step: int | None = None) -> str:
+        return f"{vector}{self.number}" if step is None else f"{vector}{self.number}_{step}"
+
+    def columns(self) -> list[str]:
+        return [self.name("b"), self.name("g"), *[self.name(v, i) for v in "sy" for i in range(len(self.steps))]]
+
+    def penalty(self) -> float:
+        b = self.to[1:]
+        return self.ridge / 2 * float(b @ b) + self.lasso * float(np.abs(b).sum())
+
+    def begin(self, loss: float, gradient: np.ndarray, gram: np.ndarray, rare: float) -> None:
+        self.value, self.gradient, self.gram = loss + self.penalty() + rare, gradient, gram
+
+    def aim(self) -> bool:
+        """The next place to try; false at the end of the search."""
+        if self.tries == 0:
+            if self.iterations >= self.most:
+                return False
+            # the intercept has no penalty
+            self.pg = np.append(self.gradient[0], _steepest(self.head[1:], self.gradient[1:], self.lasso, np.where))
+            vectors, m = [*self.steps, *self.changes, self.pg], len(self.steps)
+            whole = self.gram + np.array([[float(a @ b) for b in vectors] for a in vectors])
+            length = whole[-1, -1] ** 0.5
+            if length <= self.end:
+                return False
+            self.share, self.t = _direction(whole, m), 1.0 if m else min(1.0, 1 / length)
+            self.d = sum(s * v for s, v in zip(self.share, vectors))
+        elif self.tries == HALVINGS:
+            return False  # no step makes the loss any smaller: as far as doubles go
+        else:
+            self.t /= 2
+        self.to = np.append(self.head[0] + self.t * self.d[0], _stepped(self.head[1:], self.pg[1:], self.d[1:], self.t, self.lasso, np.where))
+        return True
+
+    def direction(self) -> Column:
+        m = len(self.steps)
+        columns = [*[F.col(self.name(v, i)) for v in "sy" for i in range(m)], F.col(self.name("pg"))]
+        return sum((F.lit(float(s)) * c for s, c in zip(self.share, columns)), F.lit(0.0))
+
+    def moved(self) -> list[Column]:
+        """The columns after a step to ``c``, where the gradient is ``h``."""
+        m, at = len(self.steps), lambda v: F.col(self.name(v))
+        first = 1 if m == MEMORY else 0
+        shifted = [F.col(self.name(v, i)).alias(self.name(v, i - first)) for v in "sy" for i in range(first, m)]
+        step, change = (at("c") - at("b")).alias(self.name("s", m - first)), (at("h") - at("g")).alias(self.name("y", m - first))
+        return [at("c").alias(self.name("b")), at("h").alias(self.name("g")), *shifted, step, change]
+
+    def accept(self, loss: float, gradient: np.ndarray, gram: np.ndarray, rare: float, promise: float) -> list[str | Column]:
+        """Goes on from the place that was tried, if the loss fell there; the columns of the next state."""
+        value, promise = loss + self.penalty() + rare, promise + float(self.pg @ (self.to - self.head))
+        if not value <= self.value + 1e-4 * promise:
+            self.tries += 1
+            return self.columns()
+        columns: list[str | Column] = [*self.moved()]
+        first = 1 if len(self.steps) == MEMORY else 0
+        self.steps, self.changes = [*self.steps[first:], self.to - self.head], [*self.changes[first:], gradient - self.gradient]
+        self.head, self.gradient, self.gram, self.value = self.to, gradient, gram, value
+        self.iterations, self.tries = self.iterations + 1, 0
+        step = len(self.steps) - 1
+        if gram[step, 2 * step + 1] + float(self.steps[-1] @ self.changes[-1]) <= 0:  # a flat step says nothing about the next one
+            self.steps, self.changes, self.gram = [], [], gram[-1:, -1:]
+            return columns[:2]
+        return columns
+
+
 class _Search:
-    """The state of a fit: vectors in two parts, an array on the driver (the intercept first) and columns of ``tail``."""
+    """The state of fits of the same rows: arrays on the driver, and columns of one table with a row per rare category."""
 
-    def __init__(self, rows: DataFrame, at: _Layout, first: Sequence[float], settings: Mapping[str, float], scratch: Scratch):
+    def __init__(self, rows: DataFrame, at: _Layout, first: Sequence[float], settings: Sequence[Mapping[str, float]], scratch: Scratch):
         self.rows, self.at, self.scratch, self.spark = rows, at, scratch, rows.sparkSession
         self.n, self.mean = first[0], first[1]
-        reg, mix = settings["regParam"], settings["elasticNetParam"]
-        self.lasso, self.ridge = reg * mix, reg * (1 - mix)
-        self.end, self.most = LENGTH_PER_TOL * settings.get("tol", 1e-6), int(settings["maxIter"])
+        odds = np.log(self.mean / (1 - self.mean)) if 0 < self.mean < 1 else np.inf if self.mean else -np.inf
+        self.fits = [_Fit(f, s, np.append(odds, np.zeros(at.width))) for f, s in enumerate(settings)]
         keys = [F.col(f"h{k}").cast("long") for k in range(len(at.sizes))]
         keys = [F.when(h >= 0, -1 - h).when(F.col(f"t{k}") >= 0, F.col(f"t{k}")) if k in at.tails else F.when(h >= 0, -1 - h) for k, h in enumerate(keys)]
         used = rows.select(F.explode(F.array(*keys)).alias("slot")) if keys else self.spark.range(0).select(F.col("id").alias("slot"))
@@ -204,105 +312,87 @@ class _Search:
         self.scale = np.divide(1.0, deviations, out=np.zeros(at.width), where=deviations > 0)
         share = F.col("n") / self.n
         scale = 1.0 / F.sqrt(share * (1 - share) * self.n / max(self.n - 1, 1))
-        zero = F.lit(0.0)
         rare = counted.filter((F.col("slot") >= 0) & (F.col("n") < self.n))
-        self.start = rare.select("slot", scale.alias("scale"), zero.alias("b"), zero.alias("g"))
+        zeros = [F.lit(0.0).alias(fit.name(v)) for fit in self.fits for v in "bgc"]
+        self.start = rare.select("slot", scale.alias("scale"), *zeros)
 
     def _table(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         return self.scratch.table(df, name), f"{self.scratch.folder}/{self.scratch.count}-{name}"
 
-    def _evaluate(self, trial: DataFrame, head: np.ndarray) -> tuple[DataFrame, str, float, np.ndarray]:
-        """One pass over the rows: ``trial`` with its gradient ``g1`` at ``b1``, the mean log loss, and the head's gradient."""
-        weights = head[1:] * self.scale
+    def _evaluate(self, trial: DataFrame, fits: Sequence[_Fit]) -> tuple[DataFrame, str, list[float], list[np.ndarray]]:
+        """One pass over the rows: ``trial`` with each fit's gradient ``h`` at ``c``, the mean log losses, and the heads' gradients."""
+        weights, numbers = [fit.to[1:] * self.scale for fit in fits], [fit.number for fit in fits]
         joined = self.rows
         for k in self.at.tails:
             own = trial.filter(F.col("slot").between(k << _FEATURE_BITS, ((k + 1) << _FEATURE_BITS) - 1))
-            side = own.select(F.col("slot").alias(f"t{k}"), (F.col("b1") * F.col("scale")).alias(f"u{k}")).hint("merge")
+            side = own.select(F.col("slot").alias(f"t{k}"), *[(F.col(f"c{f}") * F.col("scale")).alias(f"u{k}_{f}") for f in numbers]).hint("merge")
             joined = joined.join(side, f"t{k}", "left")
-        found = joined.mapInArrow(_sums(self.at, weights, float(head[0] - self.means @ weights)), "slot long, v double")
-        sums, path = self._table(found.groupBy("slot").agg(F.sum("v").alias("v")), "sums")
-        values = np.zeros(self.at.width + 2)
+        constants = [float(fit.to[0] - self.means @ w) for fit, w in zip(fits, weights)]
+        shape = ", ".join(["slot long", *[f"v{f} double" for f in numbers]])
+        found = joined.mapInArrow(_sums(self.at, numbers, weights, constants), shape)
+        sums, path = self._table(found.groupBy("slot").agg(*[F.sum(f"v{f}").alias(f"v{f}") for f in numbers]), "sums")
+        values = np.zeros((len(fits), self.at.width + 2))
         for row in sums.filter("slot < 0").collect():  # HEAD rows a feature
-            values[-1 - row.slot] = row.v
-        loss, total = values[-2:] / self.n
-        gradient = (values[:-2] / self.n - self.means * total) * self.scale + self.ridge * head[1:]
-        smooth = F.coalesce("v", F.lit(0.0)) * F.col("scale") / self.n + self.ridge * F.col("b1")
-        with_gradient = trial.join(sums.filter("slot >= 0").hint("merge"), "slot", "left").withColumn("g1", smooth).drop("v")
-        return with_gradient, path, float(loss), np.append(total, gradient)
-
-    def _measure(self, tail: DataFrame, pairs: int) -> tuple[np.ndarray, float, float]:
-        """Inner products of the tail's vectors, its penalty, and what the gradient promised for the last step."""
-        pg = _steepest(F.col("b"), F.col("g"), self.lasso, _when)
-        vectors = [*[F.col(f"s{i}") for i in range(pairs)], *[F.col(f"y{i}") for i in range(pairs)], pg]
-        both = list(combinations_with_replacement(range(len(vectors)), 2))
-        penalty = self.ridge / 2 * F.col("b") * F.col("b") + self.lasso * F.abs("b")
-        sums = [F.sum(vectors[i] * vectors[j]) for i, j in both] + [F.sum(penalty), F.sum("promise")]
-        row = [v or 0.0 for v in tail.agg(*sums).first()]  # one row
-        gram = np.zeros((len(vectors), len(vectors)))
-        for (i, j), v in zip(both, row):
-            gram[i, j] = gram[j, i] = v
-        return gram, row[-2], row[-1]
-
-    def run(self) -> Fitted:
+            values[:, -1 - row.slot] = [row[f"v{f}"] for f in numbers]
+        losses, gradients = [float(own[-2] / self.n) for own in values], []
+        smooth = {}
+        for fit, own in zip(fits, values):
+            total = own[-1] / self.n
+            gradient = (own[:-2] / self.n - self.means * total) * self.scale + fit.ridge * fit.to[1:]
+            gradients.append(np.append(total, gradient))
+            smooth[fit.name("h")] = F.coalesce(fit.name("v"), F.lit(0.0)) * F.col("scale") / self.n + fit.ridge * F.col(fit.name("c"))
+        with_gradient = trial.join(sums.filter("slot >= 0").hint("merge"), "slot", "left").withColumns(smooth)
+        return with_gradient, path, losses, gradients
+
+    def _measure(self, tail: DataFrame, fits: Sequence[_Fit], pairs: Sequence[int]) -> list[tuple[np.ndarray, float, float]]:
+        """Inner products of the tail's vectors, its penalty, and what the gradient promised for the last step, of each fit."""
+        known = [(fit.number, m, fit.lasso, fit.ridge) for fit, m in zip(fits, pairs)]
+        sides = [2 * m + 1 for m in pairs]
+        values = np.zeros(sum(side**2 + 2 for side in sides))
+        for row in tail.mapInArrow(_products(known), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():  # some hundred rows
+            values[row.k] = row.v
+        found, at = [], 0
+        for side in sides:
+            own, at = values[at : at + side**2 + 2], at + side**2 + 2
+            found.append((own[:-2].reshape(side, side), float(own[-2]), float(own[-1])))
+        return found
+
+    def run(self) -> list[Fitted]:
+        results: dict[int, Fitted] = {}
         if self.mean in (0.0, 1.0):  # one class only: Spark ML's answer
-            return self._result(np.append(np.inf if self.mean else -np.inf, np.zeros(self.at.width)), self.start, 0)
-        where = np.where
-        penalty = lambda h: self.ridge / 2 * float(h[1:] @ h[1:]) + self.lasso * float(np.abs(h[1:]).sum())
-        head = np.append(np.log(self.mean / (1 - self.mean)), np.zeros(self.at.width))
-        steps: list[np.ndarray] = []
-        changes: list[np.ndarray] = []
-        found, sums_path, loss, gradient = self._evaluate(self.start.withColumn("b1", F.col("b")), head)
-        tail, path = self._table(found.select("slot", "scale", "b", F.col("g1").alias("g"), F.lit(0.0).alias("promise")), "state")
+            return [self._result(fit, self.start) for fit in self.fits]
+        found, sums_path, losses, gradients = self._evaluate(self.start, self.fits)
+        kept = [c for fit in self.fits for c in (F.col(fit.name("c")).alias(fit.name("b")), F.col(fit.name("h")).alias(fit.name("g")), F.lit(0.0).alias(fit.name("p")))]
+        tail, path = self._table(found.select("slot", "scale", *kept), "state")
         remove(self.spark, sums_path)
-        gram, rare, _ = self._measure(tail, 0)
-        value, iterations = loss + penalty(head) + rare, 0
-        while iterations < self.most:
-            m = len(steps)
-            # the intercept has no penalty
-            pg = np.append(gradient[0], _steepest(head[1:], gradient[1:], self.lasso, where))
-            vectors = [*steps, *changes, pg]
-            whole = gram + np.array([[float(a @ b) for b in vectors] for a in vectors])
-            length = whole[-1, -1] ** 0.5
-            if length <= self.end:
+        for fit, loss, gradient, (gram, rare, _) in zip(self.fits, losses, gradients, self._measure(tail, self.fits, [0] * len(self.fits))):
+            fit.begin(loss, gradient, gram, rare)
+        going = self.fits
+        while going:
+            ended, going = going, [fit for fit in going if fit.aim()]
+            results |= {fit.number: self._result(fit, tail) for fit in ended if fit not in going}
+            if not going:
                 break
-            share, t = _direction(whole, m), 1.0 if m else min(1.0, 1 / length)
-            d = sum(s * v for s, v in zip(share, vectors))
-            own = _steepest(F.col("b"), F.col("g"), self.lasso, _when)
-            columns = [*[F.col(f"s{i}") for i in range(m)], *[F.col(f"y{i}") for i in range(m)], F.col("pg")]
-            drawn = tail.drop("promise").withColumn("pg", own)
-            drawn = drawn.withColumn("d", sum((F.lit(float(s)) * c for s, c in zip(share, columns)), F.lit(0.0)))
-            for _ in range(HALVINGS):
-                to = np.append(head[0] + t * d[0], _stepped(head[1:], pg[1:], d[1:], t, self.lasso, where))
-                trial = drawn.withColumn("b1", _stepped(F.col("b"), F.col("pg"), F.col("d"), t, self.lasso, _when))
-                found, sums_path, loss, next_gradient = self._evaluate(trial, to)
-                first = 1 if m == MEMORY else 0
-                shifted = [F.col(f"{v}{i}").alias(f"{v}{i - first}") for v in "sy" for i in range(first, m)]
-                moved, step = F.col("b1") - F.col("b"), m - first
-                kept = ["slot", "scale", F.col("b1").alias("b"), F.col("g1").alias("g"), (F.col("pg") * moved).alias("promise")]
-                kept += [*shifted, moved.alias(f"s{step}"), (F.col("g1") - F.col("g")).alias(f"y{step}")]
-                next_tail, next_path = self._table(found.select(*kept), "state")
-                remove(self.spark, sums_path)
-                next_gram, rare, promise = self._measure(next_tail, step + 1)
-                next_value, promise = loss + penalty(to) + rare, promise + float(pg @ (to - head))
-                if next_value <= value + 1e-4 * promise:
-                    break
-                remove(self.spark, next_path)
-                t /= 2
-            else:
-                break  # no step makes the loss any smaller: as far as doubles go
+            own = {fit.name("pg"): _steepest(F.col(fit.name("b")), F.col(fit.name("g")), fit.lasso, _when) for fit in going}
+            drawn = tail.select("slot", "scale", *[c for fit in going for c in fit.columns()]).withColumns(own)
+            drawn = drawn.withColumns({fit.name("d"): fit.direction() for fit in going})
+            to = {fit.name("c"): _stepped(*[F.col(fit.name(v)) for v in ("b", "pg", "d")], fit.t, fit.lasso, _when) for fit in going}
+            found, sums_path, losses, gradients = self._evaluate(drawn.withColumns(to), going)
+            kept = [(F.col(fit.name("pg")) * (F.col(fit.name("c")) - F.col(fit.name("b")))).alias(fit.name("p")) for fit in going]
+            kept += [c for fit in going for c in (*fit.columns(), fit.name("c"), fit.name("h"))]
+            tried, next_path = self._table(found.select("slot", "scale", *kept), "state")
+            remove(self.spark, sums_path)
+            moved = tried.select(*[c for fit in going for c in (fit.name("p"), *fit.moved())])
+            measured = self._measure(moved, going, [min(len(fit.steps) + 1, MEMORY) for fit in going])
+            columns = [c for fit, loss, gradient, own in zip(going, losses, gradients, measured) for c in fit.accept(loss, gradient, *own)]
+            tail = tried.select("slot", "scale", *columns)
             remove(self.spark, path)
-            steps, changes = [*steps[first:], to - head], [*changes[first:], next_gradient - gradient]
-            tail, path, gram, head, gradient, value = next_tail, next_path, next_gram, to, next_gradient, next_value
-            iterations += 1
-            curvature = gram[step, 2 * step + 1] + float(steps[-1] @ changes[-1])
-            if curvature <= 0:  # a flat step says nothing about the next one
-                steps, changes = [], []
-                gram = gram[-1:, -1:]
-        return self._result(head, tail, iterations)
-
-    def _result(self, head: np.ndarray, tail: DataFrame, iterations: int) -> Fitted:
-        weights = head[1:] * self.scale
+            path = next_path
+        return [results[fit.number] for fit in self.fits]
+
+    def _result(self, fit: _Fit, tail: DataFrame) -> Fitted:
+        head, weights = fit.head, fit.head[1:] * self.scale
         own = [(s, float(weights[p])) for p, s in self.at.slots()]
-        rare = tail.select("slot", (F.col("b") * F.col("scale")).alias("weight"))
+        rare = tail.select("slot", (F.col(fit.name("b")) * F.col("scale")).alias("weight"))
         found = self.spark.createDataFrame(own, "slot long, weight double").unionByName(rare).filter("weight <> 0")
-        return Fitted(float(head[0] - self.means @ weights), [float(w) for w in weights[: self.at.numbers]], cut_lineage(found, "weights"), iterations)
+        return Fitted(float(head[0] - self.means @ weights), [float(w) for w in weights[: self.at.numbers]], cut_lineage(found, "weights"), fit.iterations)

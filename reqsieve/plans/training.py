@@ -304,7 +304,10 @@ class Encoding:
         return [self.sizes[c][0] for c in self.categorical]
 
     def fit_encoded(self, encoded: DataFrame, settings: Mapping[str, float]) -> TableModel:
-        return TableModel.of(tabled.fit(encoded, len(self.numeric), self._counts(), settings), self)
+        return self.fit_each_encoded(encoded, [settings])[0]
+
+    def fit_each_encoded(self, encoded: DataFrame, settings: Sequence[Mapping[str, float]]) -> list[TableModel]:
+        return [TableModel.of(fitted, self) for fitted in tabled.fit_each(encoded, len(self.numeric), self._counts(), settings)]
 
     def stages(self) -> list:
         stages = [one_hot(self.categorical)] if self.categorical else []
@@ -391,16 +394,14 @@ def tune(
     else:
         made = [encoding.assemble(part, [label]) for part in parts]
     ready = [cut_lineage(part, "features") for part in made]  # a fit keeps its rows in memory by itself
-    judge = _area(label)
-
-    def fitted(settings: Mapping[str, float]) -> LogisticRegressionModel | TableModel:
-        lr = regression(label)
-        return encoding.fit_encoded(ready[0], settings) if in_table else lr.fit(ready[0], overrides(lr, **settings))
-
+    judge, lr = _area(label), regression(label)
     points = [{**_settings(params), **dict(zip(grid, values))} for values in product(*grid.values())]
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        fits = [pool.submit(inheritable_thread_target(source.sparkSession)(fitted), settings) for settings in points]
-        models = [fit.result() for fit in fits]
+    if in_table:
+        models = [m for k in range(0, len(points), FITS_AT_ONCE) for m in encoding.fit_each_encoded(ready[0], points[k : k + FITS_AT_ONCE])]
+    else:
+        with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+            fits = [pool.submit(inheritable_thread_target(source.sparkSession)(lr.fit), ready[0], overrides(lr, **settings)) for settings in points]
+            models = [fit.result() for fit in fits]
     areas = [judge.evaluate(model.transform(ready[1], [label]) if in_table else model.transform(ready[1])) for model in models]
     trials = [Trial(s, area, m if in_table else WideModel(m, encoding)) for s, area, m in zip(points, areas, models)]
     return sorted(trials, key=lambda t: -t.area_under_roc)
